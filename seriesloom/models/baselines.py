@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.models.frame import as_predictions, fitted, series_rows, step_range
+from seriesloom.models.frame import as_predictions, fitted, series_rows, skipped, step_range
 
 SEASON = 12
 SEASONAL_NAIVE = "seasonal_naive"
@@ -53,3 +53,11 @@ def baseline_predictions(frame: DataFrame) -> DataFrame:
     )
     made = rows.select("*", F.explode(options).alias("m"))
     return as_predictions(made, F.col("m.model"), F.col("m.yhat"))
+
+
+def skipped_naive(frame: DataFrame) -> DataFrame:
+    return skipped(frame, SEASONAL_NAIVE, SEASON, "last year's value")
+
+
+def skipped_trend(frame: DataFrame) -> DataFrame:
+    return skipped(frame, LINEAR_TREND, 2, "a line")

@@ -26,23 +26,29 @@ def attach_actuals(predictions: DataFrame, actuals: DataFrame) -> DataFrame:
     return predictions.drop("y").join(actuals.select("state", "step", "y"), ["state", "step"])
 
 
-def score_models(predictions: DataFrame, digits: int = 4) -> DataFrame:
-    """MAE, RMSE, MAPE and sMAPE per state and model over rows with an actual.
+METRICS = ["mae", "rmse", "mape", "smape"]
+
+
+def error_metrics(use: Column, digits: int = 4) -> list[Column]:
+    """MAE, RMSE, MAPE and sMAPE aggregates over the rows where ``use`` holds.
 
     MAPE is missing when every actual is 0.
     """
-    y, yhat = F.col("y"), F.col("yhat")
+    y, yhat = F.when(use, F.col("y")), F.col("yhat")
     gap = y - yhat
-    return (
-        predictions.filter((F.col("phase") == "val") & y.isNotNull())
-        .groupBy("state", "model")
-        .agg(
-            F.round(F.avg(F.abs(gap)), digits).alias("mae"),
-            F.round(F.sqrt(F.avg(gap * gap)), digits).alias("rmse"),
-            F.round(F.avg(absolute_percentage_error(y, yhat)), 4).alias("mape"),
-            F.round(F.avg(symmetric_percentage_error(y, yhat)), 4).alias("smape"),
-        )
-    )
+    return [
+        F.round(F.avg(F.abs(gap)), digits).alias("mae"),
+        F.round(F.sqrt(F.avg(gap * gap)), digits).alias("rmse"),
+        F.round(F.avg(absolute_percentage_error(y, yhat)), 4).alias("mape"),
+        F.round(F.avg(symmetric_percentage_error(y, yhat)), 4).alias("smape"),
+    ]
+
+
+def score_models(predictions: DataFrame, digits: int = 4) -> DataFrame:
+    """Metrics per state and model over validation rows with an actual."""
+    known = F.col("y").isNotNull()
+    scored = predictions.filter((F.col("phase") == "val") & known)
+    return scored.groupBy("state", "model").agg(*error_metrics(known, digits))
 
 
 def rounded_metrics(metrics: DataFrame) -> DataFrame:
@@ -51,8 +57,9 @@ def rounded_metrics(metrics: DataFrame) -> DataFrame:
 
 
 def model_order(model: Column, names: list[str]) -> Column:
-    """Rank of a model in the competition, used to break ties."""
-    return F.array_position(F.array(*[F.lit(name) for name in names]), model).cast("int")
+    """Place of a model in the competition, used to break ties; unlisted models come last."""
+    place = F.array_position(F.array(*[F.lit(name) for name in names]), model)
+    return F.when(place > 0, place).otherwise(len(names) + 1).cast("int")
 
 
 def rank_models(metrics: DataFrame, names: list[str], primary: str = "mape") -> DataFrame:
