@@ -17,7 +17,7 @@ from seriesloom.models.frame import FUTURE, PHASES, VALIDATION, phase_frame
 from seriesloom.models.registry import BASELINES, MODELS
 from seriesloom.operators import analysis, cleaning, evaluation, features, panel as panels
 from seriesloom.plans import competition, records as rec, serving
-from seriesloom.session import scratch_path
+from seriesloom.session import materialize, scratch_path
 from seriesloom.sources import sales as src
 from seriesloom.sources.delimited import scan_csv
 
@@ -55,6 +55,11 @@ def _split(spark, d):
     return panels.train_val_split(_panel(spark, d).drop("observed"))
 
 
+def _frame_once(spark, d, phases=PHASES):
+    """The phase frame in reliable storage, for models that read it several times."""
+    return materialize(phase_frame(_panel(spark, d), phases))
+
+
 def _predictions(spark, d):
     return baselines.baseline_predictions(phase_frame(_panel(spark, d)))
 
@@ -309,12 +314,12 @@ def holiday_calendar_of_orders(spark, d):
 
 @query
 def holiday_month(spark, d):
-    return _monthly(spark, d).select("state", "date", is_holiday_month(F.col("date")).alias("holiday_month"))
+    return _monthly(spark, d).select("state", "date", is_holiday_month("date").alias("holiday_month"))
 
 
 @query
 def fourier_terms(spark, d):
-    terms = {name: F.round(term, 6) for name, term in fourier_pairs(F.col("date"), 4).items()}
+    terms = {name: F.round(term, 6) for name, term in fourier_pairs("date", 4).items()}
     return _monthly(spark, d).select("state", "date").withColumns(terms)
 
 
@@ -508,25 +513,25 @@ def forecast_components(spark, d):
 @query
 def fit_gbt(spark, d):
     """Training rows with the fitted label of the pooled trees."""
-    frame = phase_frame(_panel(spark, d), (FUTURE,))
+    frame = _frame_once(spark, d, (FUTURE,))
     model = gbt_lag.fit(frame, FUTURE.name)
     return model.transform(gbt_lag.training_rows(frame, FUTURE.name)).select("state", "date", "label", "prediction")
 
 
 @query
 def forecast_gbt(spark, d):
-    return _one_model(gbt_lag.forecast(phase_frame(_panel(spark, d)), PHASES))
+    return _one_model(gbt_lag.forecast(_frame_once(spark, d), PHASES))
 
 
 @query
 def feature_importance(spark, d):
-    frame = phase_frame(_panel(spark, d), (VALIDATION,))
+    frame = _frame_once(spark, d, (VALIDATION,))
     return gbt_lag.feature_importance(gbt_lag.fit(frame, VALIDATION.name), frame)
 
 
 @query
 def forecast_window_huber(spark, d):
-    return _one_model(window_huber.forecast(phase_frame(_panel(spark, d)), PHASES))
+    return _one_model(window_huber.forecast(_frame_once(spark, d), PHASES))
 
 
 @query

@@ -1,4 +1,7 @@
-"""Month arithmetic, calendar features, Fourier terms and the US federal holiday rules."""
+"""Month arithmetic, calendar features, Fourier terms and the US federal holiday rules.
+
+Longer expressions are written as SQL text: one call builds the whole expression.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MONDAY, THURSDAY = 0, 3
+LAST = 5
 
 # US federal holidays. Day-of-month holidays as (first year, name, month, day);
 # they are also kept on the nearest weekday when they fall on a weekend.
@@ -18,11 +22,11 @@ FIXED_HOLIDAYS = [
     (1, "Veterans Day", 11, 11),
     (1, "Christmas Day", 12, 25),
 ]
-# Weekday holidays as (first year, name, month, weekday, occurrence); 5 = last.
+# Weekday holidays as (first year, name, month, weekday, occurrence).
 WEEKDAY_HOLIDAYS = [
     (1986, "Martin Luther King Jr. Day", 1, MONDAY, 3),
     (1, "Washington's Birthday", 2, MONDAY, 3),
-    (1, "Memorial Day", 5, MONDAY, 5),
+    (1, "Memorial Day", 5, MONDAY, LAST),
     (1, "Labor Day", 9, MONDAY, 1),
     (1, "Columbus Day", 10, MONDAY, 2),
     (1, "Thanksgiving", 11, THURSDAY, 4),
@@ -37,65 +41,60 @@ def month_start(date: Column) -> Column:
     return F.trunc(date, "month")
 
 
-def month_number(date: Column) -> Column:
-    """Months since year 0: differences count whole calendar months."""
-    return F.year(date) * 12 + F.month(date)
-
-
-def months_after(date: Column, steps: Column) -> Column:
+def months_after(date: str, steps: str | int) -> Column:
     """Month end that lies ``steps`` months after the month of ``date``."""
-    return F.last_day(F.add_months(month_start(date), steps))
+    return F.expr(f"last_day(add_months(trunc({date}, 'month'), {steps}))")
 
 
-def month_angle(date: Column) -> Column:
-    return F.month(date) * F.lit(2 * math.pi) / 12
+def month_angle(date: str) -> str:
+    return f"(month({date}) * {2 * math.pi!r}D / 12)"
 
 
-def fourier_pairs(date: Column, order: int) -> dict[str, Column]:
+def fourier_pairs(date: str, order: int) -> dict[str, Column]:
     """Yearly sine and cosine terms by harmonic."""
     terms: dict[str, Column] = {}
     for k in range(1, order + 1):
-        terms[f"sin_{k}"] = F.sin(month_angle(date) * k)
-        terms[f"cos_{k}"] = F.cos(month_angle(date) * k)
+        terms[f"sin_{k}"] = F.expr(f"sin({month_angle(date)} * {k})")
+        terms[f"cos_{k}"] = F.expr(f"cos({month_angle(date)} * {k})")
     return terms
 
 
-def _nth_weekday(year: Column, month: int, weekday: int, occurrence: int) -> Column:
-    if occurrence == 5:
-        last = F.last_day(F.make_date(year, F.lit(month), F.lit(1)))
-        return F.date_sub(last, F.pmod(F.weekday(last) - weekday, F.lit(7)))
-    first = F.make_date(year, F.lit(month), F.lit(1))
-    return F.date_add(first, F.pmod(weekday - F.weekday(first), F.lit(7)) + 7 * (occurrence - 1))
+def _nth_weekday(year: str, month: int, weekday: int, occurrence: int) -> str:
+    first = f"make_date({year}, {month}, 1)"
+    if occurrence == LAST:
+        last = f"last_day({first})"
+        return f"date_sub({last}, pmod(weekday({last}) - {weekday}, 7))"
+    return f"date_add({first}, pmod({weekday} - weekday({first}), 7) + {7 * (occurrence - 1)})"
 
 
-def _entry(date: Column, name: str) -> Column:
-    return F.struct(date.alias("date"), F.lit(name).alias("name"))
+def _entry(date: str, name: str, when: str = "true") -> str:
+    quoted = name.replace("'", "\\'")
+    return f"if({when}, named_struct('date', {date}, 'name', '{quoted}'), null)"
 
 
-def holidays_of_year(year: Column) -> Column:
-    """Array of (date, name) for one year, kept-on weekdays included."""
+def _holidays(year: str) -> str:
+    """SQL text of the array of (date, name) for one year, kept-on weekdays included."""
     entries = []
     for since, name, month, day in FIXED_HOLIDAYS:
-        date = F.make_date(year, F.lit(month), F.lit(day))
-        shift = F.when(F.weekday(date) == 5, -1).when(F.weekday(date) == 6, 1)
-        kept = F.date_add(date, shift)
-        entries.append(F.when(year >= since, _entry(date, name)))
-        entries.append(F.when((year >= since) & (F.year(kept) == year), _entry(kept, f"{name} (observed)")))
-    next_new_year = F.make_date(year + 1, F.lit(1), F.lit(1))
+        date = f"make_date({year}, {month}, {day})"
+        kept = f"date_add({date}, case weekday({date}) when 5 then -1 when 6 then 1 end)"
+        entries.append(_entry(date, name, f"{year} >= {since}"))
+        entries.append(_entry(kept, f"{name} (observed)", f"{year} >= {since} and year({kept}) = {year}"))
+    next_new_year = f"make_date({year} + 1, 1, 1)"
     entries.append(
-        F.when(F.weekday(next_new_year) == 5, _entry(F.date_sub(next_new_year, 1), "New Year's Day (observed)"))
+        _entry(f"date_sub({next_new_year}, 1)", "New Year's Day (observed)", f"weekday({next_new_year}) = 5")
     )
     for since, name, month, weekday, occurrence in WEEKDAY_HOLIDAYS:
-        entries.append(F.when(year >= since, _entry(_nth_weekday(year, month, weekday, occurrence), name)))
-    return F.array_compact(F.array(*entries))
+        entries.append(_entry(_nth_weekday(year, month, weekday, occurrence), name, f"{year} >= {since}"))
+    return f"array_compact(array({', '.join(entries)}))"
 
 
 def holiday_calendar(years: DataFrame) -> DataFrame:
     """Holiday dimension ``(date, name)`` for a table of distinct years."""
-    return years.select(F.explode(holidays_of_year(F.col("year"))).alias("h")).select("h.date", "h.name")
+    return years.select(F.expr(f"inline({_holidays('year')})"))
 
 
-def is_holiday_month(date: Column) -> Column:
+def is_holiday_month(date: str) -> Column:
     """1 when any holiday lies in the month of ``date``; computed in place, so it needs no join."""
-    hit = F.exists(holidays_of_year(F.year(date)), lambda h: F.last_day(h["date"]) == F.last_day(date))
-    return hit.cast("int")
+    holidays = _holidays(f"year({date})")
+    return F.expr(f"cast(exists({holidays}, h -> last_day(h.date) = last_day({date})) as int)")

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 MONEY = "decimal(28,6)"
 
 
-def exact_sum(value: Column) -> Column:
+def exact_sum(value: str) -> Column:
     """Sum of a double column that does not depend on the order of rows or tasks.
 
     Values are added as decimals with six places. A group holding a value beyond 22 integer
     digits is added as doubles instead, so that no row is lost. NULL when no value is present.
     """
-    exact = value.try_cast(MONEY)
-    whole = F.count(exact) == F.count(value)
-    return F.when(whole, F.sum(exact).cast("double")).otherwise(F.sum(value))
+    exact = f"try_cast({value} as {MONEY})"
+    return F.expr(
+        f"if(count({exact}) = count({value}), cast(sum({exact}) as double), sum({value}))"
+    )

@@ -5,54 +5,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.models.frame import as_predictions, fitted, series_rows, skipped, step_range
+from seriesloom.models.frame import as_predictions, series_rows, skipped
 
 SEASON = 12
 SEASONAL_NAIVE = "seasonal_naive"
 LINEAR_TREND = "linear_trend"
 
+REPEAT_SEASON = f"""if(size(total_tail) = {SEASON},
+    transform(sequence(1, steps), s -> element_at(total_tail, pmod(s - 1, {SEASON}) + 1)), null)"""
+EXTEND_LINE = """if(slope is not null,
+    transform(sequence(1, steps), s -> intercept + slope * (n_fit - 1 + s)), null)"""
 
-def _line() -> list[Column]:
-    at = F.col("at").cast("double")
-    return [
-        F.regr_slope(fitted("total"), at).alias("slope"),
-        F.regr_intercept(fitted("total"), at).alias("intercept"),
-    ]
-
-
-def _repeat_season() -> Column:
-    last_year = F.col("total_tail")
-    repeated = F.transform(step_range(), lambda s: F.element_at(last_year, F.pmod(s - 1, F.lit(SEASON)) + 1))
-    return F.when(F.size(last_year) == SEASON, repeated)
 
-
-def _extend_line() -> Column:
-    at = lambda s: F.col("n_fit") - 1 + s
-    return F.when(
-        F.col("slope").isNotNull(),
-        F.transform(step_range(), lambda s: F.col("intercept") + F.col("slope") * at(s)),
-    )
+def _line() -> list[Column]:
+    fitted, at = "if(fit, total, null)", "cast(at as double)"
+    return [F.expr(f"regr_slope({fitted}, {at}) as slope"), F.expr(f"regr_intercept({fitted}, {at}) as intercept")]
 
 
 def seasonal_naive(frame: DataFrame) -> DataFrame:
     """The value of the same month one year earlier; needs one full year."""
-    return as_predictions(series_rows(frame, {"total": SEASON}), SEASONAL_NAIVE, _repeat_season())
+    return as_predictions(series_rows(frame, {"total": SEASON}), SEASONAL_NAIVE, F.expr(REPEAT_SEASON))
 
 
 def linear_trend(frame: DataFrame) -> DataFrame:
     """Least-squares line over the position in the series."""
-    return as_predictions(series_rows(frame, {}, *_line()), LINEAR_TREND, _extend_line())
+    return as_predictions(series_rows(frame, {}, *_line()), LINEAR_TREND, F.expr(EXTEND_LINE))
 
 
 def baseline_predictions(frame: DataFrame) -> DataFrame:
     """Both baselines out of one aggregate over the frame."""
     rows = series_rows(frame, {"total": SEASON}, *_line())
-    options = F.array(
-        F.struct(F.lit(SEASONAL_NAIVE).alias("model"), _repeat_season().alias("yhat")),
-        F.struct(F.lit(LINEAR_TREND).alias("model"), _extend_line().alias("yhat")),
+    made = rows.selectExpr(
+        "*",
+        f"""inline(array(struct('{SEASONAL_NAIVE}' as model, {REPEAT_SEASON} as yhat),
+                         struct('{LINEAR_TREND}' as model, {EXTEND_LINE} as yhat)))""",
     )
-    made = rows.select("*", F.explode(options).alias("m"))
-    return as_predictions(made, F.col("m.model"), F.col("m.yhat"))
+    return as_predictions(made, F.col("model"), "yhat")
 
 
 def skipped_naive(frame: DataFrame) -> DataFrame:

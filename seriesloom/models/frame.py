@@ -3,8 +3,8 @@
 A *phase* says how many of the newest months are held back and how many months to forecast:
 ``val`` holds back the validation months and forecasts exactly those, ``future`` holds back
 nothing. ``phase_frame`` lays the phases out as rows, so a model fits all series of all phases
-in the same job. The frame is shuffled once by (state, phase); every window, aggregate and
-join of the models uses that same key.
+in the same job. A panel is partitioned by series already; windows and aggregates by
+(series, phase) keep that partitioning and add no shuffle.
 """
 
 from __future__ import annotations
@@ -12,12 +12,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seriesloom.functions.calendar import months_after
 
 KEYS = ["state", "phase"]
+OF_FIT = "partition by state, phase"
+FIT_ORDER = "partition by state, phase order by date"
 
 
 @dataclass(frozen=True)
@@ -32,41 +33,26 @@ FUTURE = Phase("future", 0, 2)
 PHASES = (VALIDATION, FUTURE)
 
 
-def by_fit():
-    return W.partitionBy(*KEYS)
-
-
-def fit_order():
-    return W.partitionBy(*KEYS).orderBy("date")
-
-
 def phase_frame(panel: DataFrame, phases: tuple[Phase, ...] = PHASES) -> DataFrame:
     """Panel rows per phase with ``at`` (0-based), ``n_fit``, ``steps`` and the flag ``fit``."""
-    options = F.array(
-        *[
-            F.struct(
-                F.lit(p.name).alias("phase"), F.lit(p.held_back).alias("held"), F.lit(p.steps).alias("steps")
-            )
-            for p in phases
-        ]
+    options = ", ".join(f"struct('{p.name}' as phase, {p.held_back} as held, {p.steps} as steps)" for p in phases)
+    rows = panel.selectExpr("state", "date", "total", f"inline(array({options}))")
+    placed = rows.selectExpr(
+        "state",
+        "phase",
+        "date",
+        "total",
+        "steps",
+        f"row_number() over ({FIT_ORDER}) - 1 as at",
+        f"count(1) over ({OF_FIT}) - held as n_fit",
     )
-    rows = panel.select("state", "date", "total", F.explode(options).alias("p"))
-    rows = rows.select("state", "p.phase", "date", "total", "p.held", "p.steps")
-    size = F.count(F.lit(1)).over(by_fit())
-    rows = rows.withColumns({"at": F.row_number().over(fit_order()) - 1, "n_fit": size - F.col("held")})
-    return rows.withColumn("fit", F.col("at") < F.col("n_fit")).drop("held")
-
-
-def fitted(column: str | Column) -> Column:
-    """The column on rows a model may learn from, NULL on held-back rows."""
-    return F.when(F.col("fit"), F.col(column) if isinstance(column, str) else column)
+    return placed.withColumn("fit", F.expr("at < n_fit"))
 
 
 def _newest(column: str, k: int) -> Column:
     """The last k values of the fitted rows in time order; at most k rows are collected."""
-    recent = F.col("fit") & (F.col("at") >= F.col("n_fit") - k)
-    kept = F.array_sort(F.collect_list(F.when(recent, F.struct("at", F.col(column).alias("v")))))
-    return F.transform(kept, lambda x: x["v"])
+    kept = f"collect_list(if(fit and at >= n_fit - {k}, struct(at, {column} as v), null))"
+    return F.expr(f"transform(array_sort({kept}), r -> r.v) as {column}_tail")
 
 
 def series_rows(frame: DataFrame, memory: dict[str, int], *extra: Column) -> DataFrame:
@@ -74,25 +60,22 @@ def series_rows(frame: DataFrame, memory: dict[str, int], *extra: Column) -> Dat
 
     ``memory`` maps a column to how many recent values are kept as the array ``<column>_tail``.
     """
-    held = F.when(~F.col("fit"), F.struct("at", F.col("total").alias("v")))
     return (
         frame.groupBy(*KEYS)
         .agg(
-            F.max("n_fit").cast("int").alias("n_fit"),
-            F.max("steps").alias("steps"),
-            F.max(fitted("date")).alias("last_date"),
-            F.transform(F.array_sort(F.collect_list(held)), lambda x: x["v"]).alias("actuals"),
-            *[_newest(column, k).alias(f"{column}_tail") for column, k in memory.items()],
+            F.expr("cast(max(n_fit) as int) as n_fit"),
+            F.expr("max(steps) as steps"),
+            F.expr("max(if(fit, date, null)) as last_date"),
+            F.expr(
+                "transform(array_sort(collect_list(if(fit, null, struct(at, total as v)))), r -> r.v) as actuals"
+            ),
+            *[_newest(column, k) for column, k in memory.items()],
             *extra,
         )
-        .filter(F.col("n_fit") > 0)
+        .filter("n_fit > 0")
     )
 
 
-def step_range() -> Column:
-    return F.sequence(F.lit(1), F.col("steps"))
-
-
 def as_predictions(rows: DataFrame, model: str | Column, yhat: Column | str = "yhat") -> DataFrame:
     """Long predictions out of an array of forecasts per series; negative forecasts become 0."""
     values = F.col(yhat) if isinstance(yhat, str) else yhat
@@ -100,15 +83,14 @@ def as_predictions(rows: DataFrame, model: str | Column, yhat: Column | str = "y
     long = rows.select(
         "state", name.alias("model"), "phase", "last_date", "actuals", F.posexplode(values).alias("at", "value")
     )
-    step = F.col("at") + 1
     return long.select(
         "state",
         "model",
         "phase",
-        step.cast("int").alias("step"),
-        months_after(F.col("last_date"), step).alias("date"),
-        F.greatest(F.col("value"), F.lit(0.0)).alias("yhat"),
-        F.try_element_at(F.col("actuals"), step).alias("y"),
+        F.expr("at + 1 as step"),
+        months_after("last_date", "at + 1").alias("date"),
+        F.expr("greatest(value, 0D) as yhat"),
+        F.expr("try_element_at(actuals, at + 1) as y"),
     )
 
 

@@ -13,15 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.functions.calendar import months_after
-from seriesloom.models.frame import Phase, as_predictions, by_fit, fitted, series_rows, skipped
+from seriesloom.models.frame import OF_FIT, Phase, as_predictions, series_rows, skipped
 from seriesloom.operators.features import (
     SCALE_FLOOR,
     feature_names,
     features_from_history,
-    inverse_scale,
     model_features,
 )
-from seriesloom.session import materialize
+from seriesloom.session import materialize, side_by_side, union
 
 NAME = "gbt_lag"
 MEMORY = 13
@@ -38,15 +37,15 @@ TREE_SETTINGS = {
 }
 
 
-def _scaled(columns: dict[str, Column]) -> list[Column]:
+def _scaled(columns: dict[str, str]) -> list[Column]:
     """Features relative to the range of the series; calendar and growth stay as they are."""
     made = []
-    for name, column in columns.items():
+    for name, text in columns.items():
         if name.startswith(("lag_", "rolling_mean_")):
-            column = (column - F.col("lo")) / F.col("rng")
+            text = f"(({text}) - lo) / rng"
         elif name.startswith("rolling_std_"):
-            column = column / F.col("rng")
-        made.append(column.cast("double").alias(name))
+            text = f"({text}) / rng"
+        made.append(F.expr(f"cast({text} as double) as {name}"))
     return made
 
 
@@ -57,14 +56,11 @@ def _assembler() -> VectorAssembler:
 def training_rows(frame: DataFrame, phase: str) -> DataFrame:
     """``(state, date, features, label)`` of the fitted rows of a phase."""
     rows = frame.filter((F.col("phase") == phase) & F.col("fit"))
-    lo, hi = F.min("total").over(by_fit()), F.max("total").over(by_fit())
-    ranged = rows.select("state", "date", "total", lo.alias("lo"), (hi - lo + SCALE_FLOOR).alias("rng"))
+    lo, hi = f"min(total) over ({OF_FIT})", f"max(total) over ({OF_FIT})"
+    ranged = rows.selectExpr("state", "date", "total", f"{lo} as lo", f"{hi} - {lo} + {SCALE_FLOOR}D as rng")
     wide = model_features(ranged, known_growth_only=True, keep=["lo", "rng"])
     scaled = wide.select(
-        "state",
-        "date",
-        *_scaled({name: F.col(name) for name in feature_names()}),
-        ((F.col("sales") - F.col("lo")) / F.col("rng")).alias("label"),
+        "state", "date", *_scaled({name: name for name in feature_names()}), F.expr("(sales - lo) / rng as label")
     )
     return _assembler().transform(scaled).select("state", "date", "features", "label")
 
@@ -77,38 +73,37 @@ def fit(frame: DataFrame, phase: str, max_iterations: int = MAX_ITERATIONS) -> G
 
 def predict(frame: DataFrame, phase: Phase, model: GBTRegressionModel) -> DataFrame:
     """Walk forward: every forecast joins the history that the next step sees."""
-    wide = series_rows(
+    lo, hi = "min(if(fit, total, null))", "max(if(fit, total, null))"
+    rows = series_rows(
         frame.filter(F.col("phase") == phase.name),
         {"total": MEMORY},
-        F.min(fitted("total")).alias("lo"),
-        F.max(fitted("total")).alias("hi"),
-    ).filter(F.col("n_fit") >= LEAST)
-    rows = wide.withColumns({"rng": F.col("hi") - F.col("lo") + SCALE_FLOOR, "path": F.array().cast("array<double>")})
-    rows = rows.withColumnRenamed("total_tail", "history").drop("hi")
+        F.expr(f"{lo} as lo"),
+        F.expr(f"{hi} - {lo} + {SCALE_FLOOR}D as rng"),
+    ).filter(f"n_fit >= {LEAST}")
+    rows = rows.withColumnRenamed("total_tail", "history").withColumn("path", F.expr("cast(array() as array<double>)"))
     kept = rows.columns
     assembler = _assembler()
     for step in range(1, phase.steps + 1):
-        date = months_after(F.col("last_date"), F.lit(step))
-        features = features_from_history(
-            F.col("history"), date, F.col("n_fit") + (step - 1), known_growth_only=True
+        dated = rows.withColumn("next_date", months_after("last_date", step))
+        features = features_from_history("history", "next_date", f"n_fit + {step - 1}", known_growth_only=True)
+        scored = model.transform(assembler.transform(dated.select(*kept, *_scaled(features))))
+        valued = scored.selectExpr(*kept, "greatest(prediction * rng + lo, 0D) as value")
+        rows = valued.selectExpr(
+            *[name for name in kept if name not in ("history", "path")],
+            f"array_append(slice(history, 2, {MEMORY - 1}), value) as history",
+            "array_append(path, value) as path",
         )
-        scored = model.transform(assembler.transform(rows.select(*kept, *_scaled(features))))
-        value = F.greatest(inverse_scale(F.col("prediction"), F.col("lo"), F.col("rng")), F.lit(0.0))
-        rows = scored.select(*kept, value.alias("value")).withColumns(
-            {
-                "history": F.array_append(F.slice("history", 2, MEMORY - 1), F.col("value")),
-                "path": F.array_append("path", F.col("value")),
-            }
-        ).drop("value")
     return as_predictions(rows, NAME, "path")
 
 
+def fit_phases(frame: DataFrame, phases: tuple[Phase, ...], max_iterations: int = MAX_ITERATIONS) -> list:
+    """One model per phase. The fits are independent jobs and are submitted side by side."""
+    return side_by_side([lambda p=p: fit(frame, p.name, max_iterations) for p in phases])
+
+
 def forecast(frame: DataFrame, phases: tuple[Phase, ...], max_iterations: int = MAX_ITERATIONS) -> DataFrame:
-    parts = [predict(frame, phase, fit(frame, phase.name, max_iterations)) for phase in phases]
-    made = parts[0]
-    for other in parts[1:]:
-        made = made.unionByName(other)
-    return made
+    models = fit_phases(frame, phases, max_iterations)
+    return union([predict(frame, phase, model) for phase, model in zip(phases, models)])
 
 
 def feature_importance(model: GBTRegressionModel, frame: DataFrame) -> DataFrame:

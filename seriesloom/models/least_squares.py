@@ -21,17 +21,17 @@ JITTER = 1e-9
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def cross_products(design: list[Column], target: Column, use: Column) -> Column:
+def cross_products(design: list[str], target: str, use: str, name: str) -> Column:
     """Aggregate: row count, then the upper triangle of [design, target]' [design, target].
 
-    Only rows where ``use`` holds take part.
+    ``design`` and ``target`` are SQL terms; only rows where ``use`` holds take part.
     """
     columns = [*design, target]
-    sums = [F.coalesce(F.count_if(use).cast("double"), F.lit(0.0))]
+    sums = [f"cast(count_if({use}) as double)"]
     for i, left in enumerate(columns):
         for right in columns[i:]:
-            sums.append(F.coalesce(F.sum(F.when(use, left * right)), F.lit(0.0)))
-    return F.array(*sums)
+            sums.append(f"coalesce(sum(if({use}, {left} * {right}, null)), 0D)")
+    return F.expr(f"array({', '.join(sums)}) as {name}")
 
 
 def unpack(products: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,12 +72,14 @@ def ridge_coefficients(products: Column, penalty: list[float]) -> Column:
         coefficients, _ = solve_stacked(matrices, np.arange(len(weights)), weights)
         return pd.Series([c if n >= least else None for n, c in zip(counts, coefficients)])
 
-    return solve(products)
+    return once(solve)(products)
 
 
-def dot(coefficients: Column, values: list[Column]) -> Column:
-    """Linear combination with an array of coefficients, term by term."""
-    total = F.lit(0.0)
-    for i, value in enumerate(values):
-        total = total + F.get(coefficients, F.lit(i)) * value
-    return total
+def once(udf):
+    """Keep the optimizer from evaluating the function again in a filter pushed below it."""
+    return udf.asNondeterministic()
+
+
+def dot(coefficients: str, values: list[str]) -> str:
+    """SQL text of the linear combination with an array of coefficients."""
+    return "(" + " + ".join(f"get({coefficients}, {i}) * {value}" for i, value in enumerate(values)) + ")"

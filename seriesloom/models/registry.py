@@ -7,7 +7,6 @@ one is a call of ``register``.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame
 
@@ -50,10 +49,6 @@ def register(name: str, model: Model) -> None:
     MODELS[name] = model
 
 
-def union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
-
-
 class Forecaster:
     """One model with the fit, predict and get_params steps of a classic forecaster."""
 
@@ -79,4 +74,4 @@ class Forecaster:
         return PARAMETERS[self.name]() if self.name in PARAMETERS else {}
 
 
-__all__ = ["BASELINES", "MODELS", "PARAMETERS", "PHASES", "SKIPPED", "Forecaster", "register", "union"]
+__all__ = ["BASELINES", "MODELS", "PARAMETERS", "PHASES", "SKIPPED", "Forecaster", "register"]

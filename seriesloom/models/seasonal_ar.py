@@ -17,24 +17,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.models.frame import (
-    KEYS,
-    as_predictions,
-    by_fit,
-    fit_order,
-    fitted,
-    series_rows,
-    skipped,
-    step_range,
-)
+from seriesloom.models.frame import FIT_ORDER, KEYS, OF_FIT, as_predictions, series_rows, skipped
 from seriesloom.models.least_squares import (
     cross_products,
     dot,
+    once,
     ridge_coefficients,
     solve_stacked,
     unpack,
 )
-from seriesloom.operators.analysis import dickey_fuller_critical, dickey_fuller_statistic
+from seriesloom.operators.analysis import CRITICAL, dickey_fuller_statistic
 
 NAME = "seasonal_ar"
 SEASON = 12
@@ -91,89 +83,87 @@ SEASONAL = Variant("seasonal", 1, (1, 2, SEASON), (1, 2, 3, SEASON))
 VARIANTS = [PLAIN, LEVEL, SEASONAL]
 
 
+def _orders_sql(orders: list[tuple[int, tuple[int, ...]]]) -> str:
+    """SQL text of an array of (rank, p, q, sp, sd, sq)."""
+    names = ("p", "q", "sp", "sd", "sq")
+    return "array({})".format(
+        ", ".join(
+            f"struct({rank} as rank, " + ", ".join(f"{v} as {name}" for name, v in zip(names, order)) + ")"
+            for rank, order in orders
+        )
+    )
+
+
 def order_candidates(tested: DataFrame) -> DataFrame:
     """All candidate orders per series; ``tested`` holds (state, stationary)."""
-    orders = F.array(
-        *[
-            F.struct(
-                F.lit(rank).alias("rank"),
-                *[F.lit(v).alias(name) for name, v in zip(("p", "q", "sp", "sd", "sq"), order)],
-            )
-            for rank, order in enumerate(CANDIDATES)
-        ]
-    )
-    rows = tested.select(
-        "state", F.when(F.col("stationary"), 0).otherwise(1).alias("d"), F.explode(orders).alias("o")
-    )
-    return rows.select("state", "o.p", "d", "o.q", "o.sp", "o.sd", "o.sq", F.col("o.rank").alias("rank"))
+    orders = _orders_sql(list(enumerate(CANDIDATES)))
+    return tested.selectExpr("state", "if(stationary, 0, 1) as d", f"inline({orders})")
 
 
 def _differenced(frame: DataFrame) -> DataFrame:
     """Series relative to their mean, with the order ``d`` of the stationarity test, and differences."""
-    level = fitted(F.lag("total").over(fit_order()))
-    rows = frame.withColumns({"_level": level, "_delta": fitted(F.col("total")) - level})
-    statistic, n = dickey_fuller_statistic(F.col("_delta"), F.col("_level"), by_fit())
-    scale = F.greatest(F.avg(F.abs(fitted("total"))).over(by_fit()), F.lit(1e-9))
-    rows = rows.withColumns({"_t": statistic, "_n": n, "scale": scale})
-    stationary = F.coalesce(F.col("_t") < dickey_fuller_critical(F.col("_n")), F.lit(False))
-    rows = rows.withColumns({"d": F.when(stationary, 0).otherwise(1), "v": F.col("total") / F.col("scale")})
-    w = F.when(F.col("d") == 1, F.col("v") - F.lag("v").over(fit_order())).otherwise(F.col("v"))
-    rows = rows.withColumn("w_level", w).withColumn("w_plain", F.col("w_level"))
-    rows = rows.withColumn("w_seasonal", F.col("w_level") - F.lag("w_level", SEASON).over(fit_order()))
-    lags = {
-        f"w_{v.name}_{k}": F.lag(f"w_{v.name}", k).over(fit_order())
+    rows = frame.withColumn("_level", F.expr(f"if(fit, lag(total) over ({FIT_ORDER}), null)"))
+    statistic, n = dickey_fuller_statistic("if(fit, total - _level, null)", "_level", OF_FIT)
+    rows = rows.selectExpr(
+        "*",
+        f"{statistic} as _t",
+        f"{n} as _n",
+        f"greatest(avg(if(fit, abs(total), null)) over ({OF_FIT}), 1e-9D) as scale",
+    )
+    rows = rows.selectExpr("*", f"if(coalesce(_t < {CRITICAL.format('_n')}, false), 0, 1) as d", "total / scale as v")
+    level = f"if(d = 1, v - lag(v) over ({FIT_ORDER}), v)"
+    rows = rows.selectExpr("*", f"{level} as w_level", f"{level} as w_plain")
+    rows = rows.withColumn("w_seasonal", F.expr(f"w_level - lag(w_level, {SEASON}) over ({FIT_ORDER})"))
+    lags = [
+        f"lag(w_{v.name}, {k}) over ({FIT_ORDER}) as w_{v.name}_{k}"
         for v in VARIANTS
         for k in sorted({*v.lags, *v.long_lags})
-    }
-    return rows.withColumns(lags).drop("_level", "_delta", "_t", "_n", "v")
+    ]
+    return rows.selectExpr("*", *lags).drop("_level", "_t", "_n", "v")
 
 
-def _long_design(v: Variant) -> list[Column]:
-    return [F.lit(1.0), *[F.col(f"w_{v.name}_{k}") for k in v.long_lags]]
+def _long_design(v: Variant) -> list[str]:
+    return ["1D", *[f"w_{v.name}_{k}" for k in v.long_lags]]
 
 
-def _has_long(v: Variant) -> Column:
-    return F.col("fit") & (F.col("at") >= F.col("d") + v.lost + max(v.long_lags))
+def _has_long(v: Variant) -> str:
+    return f"(fit and at >= d + {v.lost + max(v.long_lags)})"
 
 
 def _with_residuals(rows: DataFrame) -> DataFrame:
-    """Residuals of the long autoregressions; 0 before their first row."""
+    """Residuals of the long autoregressions; 0 before their first row.
+
+    The rows of a series travel with its coefficients as an array, as long as the calendar,
+    so they need not be computed twice and joined.
+    """
     products = [
-        cross_products(_long_design(v), F.col(f"w_{v.name}"), _has_long(v)).alias(f"long_{v.name}") for v in VARIANTS
+        cross_products(_long_design(v), f"w_{v.name}", _has_long(v), f"long_{v.name}") for v in VARIANTS
     ]
-    fits = rows.groupBy(*KEYS).agg(*products)
-    fits = fits.select(
-        *KEYS,
-        *[
-            ridge_coefficients(F.col(f"long_{v.name}"), [0.0] * (1 + len(v.long_lags))).alias(f"b_{v.name}")
-            for v in VARIANTS
-        ],
-    )
-    joined = rows.join(fits, KEYS)
-    residuals = {
-        f"e_{v.name}": F.coalesce(
-            F.when(_has_long(v), F.col(f"w_{v.name}") - dot(F.col(f"b_{v.name}"), _long_design(v))), F.lit(0.0)
-        )
-        for v in VARIANTS
+    carried = [name for name in rows.columns if name not in KEYS]
+    fits = rows.groupBy(*KEYS).agg(*products, F.collect_list(F.struct(*carried)).alias("rows"))
+    solved = {
+        f"b_{v.name}": ridge_coefficients(F.col(f"long_{v.name}"), [0.0] * (1 + len(v.long_lags))) for v in VARIANTS
     }
-    joined = joined.withColumns(residuals).drop(*[f"b_{v.name}" for v in VARIANTS])
-    lags = {
-        f"e_{v.name}_{k}": F.coalesce(F.lag(f"e_{v.name}", k).over(fit_order()), F.lit(0.0))
+    coefficients = [f"b_{v.name}" for v in VARIANTS]
+    joined = fits.withColumns(solved).selectExpr(*KEYS, *coefficients, "inline(rows)")
+    residuals = [
+        f"coalesce(if({_has_long(v)}, w_{v.name} - {dot(f'b_{v.name}', _long_design(v))}, null), 0D) as e_{v.name}"
         for v in VARIANTS
-        for k in v.lags
-    }
-    return joined.withColumns(lags)
+    ]
+    joined = joined.selectExpr("*", *residuals).drop(*coefficients)
+    lags = [
+        f"coalesce(lag(e_{v.name}, {k}) over ({FIT_ORDER}), 0D) as e_{v.name}_{k}" for v in VARIANTS for k in v.lags
+    ]
+    return joined.selectExpr("*", *lags)
 
 
-def _design(v: Variant) -> list[Column]:
-    value = [F.col(f"w_{v.name}_{k}") for k in v.lags]
-    return [F.lit(1.0), *value, *[F.col(f"e_{v.name}_{k}") for k in v.lags]]
+def _design(v: Variant) -> list[str]:
+    return ["1D", *[f"w_{v.name}_{k}" for k in v.lags], *[f"e_{v.name}_{k}" for k in v.lags]]
 
 
-def _use(v: Variant) -> Column:
+def _use(v: Variant) -> str:
     """Rows of the second stage. Level and seasonal share their rows, so their AICs compare."""
-    first = 2 if v is PLAIN else 2 * SEASON
-    return F.col("fit") & (F.col("at") >= F.col("d") + first)
+    return f"(fit and at >= d + {2 if v is PLAIN else 2 * SEASON})"
 
 
 def _score(v: Variant, products: Column) -> Column:
@@ -195,31 +185,14 @@ def _score(v: Variant, products: Column) -> Column:
             result[:, i, 1 + keep] = b
         return pd.Series(list(map(lambda r: [list(x) for x in r], result)))
 
-    return solve(products)
+    return once(solve)(products)
 
 
-def _scored(v: Variant) -> Column:
-    """Candidate structs of a variant: (aic, rank, order, variant, coefficients)."""
-    orders = v.orders
-    known = F.array(
-        *[
-            F.struct(
-                F.lit(rank).alias("rank"),
-                *[F.lit(x).alias(name) for name, x in zip(("p", "q", "sp", "sd", "sq"), order)],
-            )
-            for rank, order, _ in orders
-        ]
-    )
-    return F.zip_with(
-        F.col(f"scores_{v.name}"),
-        known,
-        lambda s, o: F.struct(
-            F.get(s, F.lit(0)).alias("aic"),
-            o.alias("order"),
-            F.lit(v.name).alias("variant"),
-            F.slice(s, 2, 2 * len(v.lags) + 1).alias("coef"),
-        ),
-    )
+def _scored(v: Variant) -> str:
+    """SQL text of the candidate structs of a variant: (aic, order, variant, coefficients)."""
+    known = _orders_sql([(rank, order) for rank, order, _ in v.orders])
+    return f"""zip_with(scores_{v.name}, {known}, (s, o) -> struct(
+        get(s, 0) as aic, o as `order`, '{v.name}' as variant, slice(s, 2, {2 * len(v.lags) + 1}) as coef))"""
 
 
 def candidate_scores(frame: DataFrame) -> DataFrame:
@@ -229,88 +202,59 @@ def candidate_scores(frame: DataFrame) -> DataFrame:
     for v in VARIANTS:
         memory[f"w_{v.name}"] = SEASON
         memory[f"e_{v.name}"] = SEASON
-    products = [
-        cross_products(_design(v), F.col(f"w_{v.name}"), _use(v)).alias(f"products_{v.name}") for v in VARIANTS
-    ]
-    made = series_rows(rows, memory, *products, F.max("d").alias("d"), F.max("scale").alias("scale"))
-    made = made.filter(F.col("n_fit") >= LEAST)
+    products = [cross_products(_design(v), f"w_{v.name}", _use(v), f"products_{v.name}") for v in VARIANTS]
+    made = series_rows(rows, memory, *products, F.expr("max(d) as d"), F.expr("max(scale) as scale"))
+    made = made.filter(f"n_fit >= {LEAST}")
     made = made.withColumns({f"scores_{v.name}": _score(v, F.col(f"products_{v.name}")) for v in VARIANTS})
-    long_enough = F.col("n_fit") >= LEAST_SEASONAL
-    scored = F.when(long_enough, F.concat(_scored(LEVEL), _scored(SEASONAL))).otherwise(_scored(PLAIN))
+    scored = f"if(n_fit >= {LEAST_SEASONAL}, concat({_scored(LEVEL)}, {_scored(SEASONAL)}), {_scored(PLAIN)})"
     dropped = [f"{kind}_{v.name}" for v in VARIANTS for kind in ("products", "scores")]
-    return made.withColumn("candidates", scored).drop(*dropped)
+    return made.withColumn("candidates", F.expr(scored)).drop(*dropped)
 
 
 def fit(frame: DataFrame) -> DataFrame:
-    """The lowest AIC per series and phase; candidates that cannot be fitted come last."""
-    best = F.array_min(F.filter("candidates", lambda c: ~F.isnan(c["aic"])))
-    return candidate_scores(frame).withColumn("best", best).drop("candidates").filter(F.col("best").isNotNull())
+    """The lowest AIC per series and phase; a candidate that cannot be fitted takes no part."""
+    best = F.expr("array_min(filter(candidates, c -> not isnan(c.aic)))")
+    return candidate_scores(frame).withColumn("best", best).drop("candidates").filter("best is not null")
 
 
 def order_search(frame: DataFrame) -> DataFrame:
-    made = fit(frame)
-    return made.select(
-        *KEYS,
-        "best.order.p",
-        "d",
-        "best.order.q",
-        "best.order.sp",
-        "best.order.sd",
-        "best.order.sq",
-        F.lit(SEASON).alias("season"),
-        F.col("best.aic").alias("aic"),
-    )
+    order = [f"best.`order`.{name} as {name}" for name in ("p", "q", "sp", "sd", "sq")]
+    return fit(frame).selectExpr(*KEYS, "d", *order, f"{SEASON} as season", "best.aic as aic")
 
 
-def _path(v: Variant) -> Column:
-    """Forecasts of one variant: fold the steps over (values, residuals, totals)."""
-    start = F.struct(
-        F.col(f"w_{v.name}_tail").alias("w"),
-        F.col(f"e_{v.name}_tail").alias("e"),
-        F.transform("total_tail", lambda x: x / F.col("scale")).alias("y"),
-    )
+def _path(v: Variant) -> str:
+    """SQL text of the forecasts of one variant: fold the steps over (values, residuals, totals)."""
 
-    def back(values: Column, k: int) -> Column:
-        return F.coalesce(F.try_element_at(values, F.lit(-k)), F.lit(0.0))
-
-    def step(acc: Column, _: Column) -> Column:
-        lagged = [F.lit(1.0), *[back(acc["w"], k) for k in v.lags], *[back(acc["e"], k) for k in v.lags]]
-        w = dot(F.col("best.coef"), lagged)
-        y = w + F.col("d") * back(acc["y"], 1)
-        if v.seasonal_difference:
-            y = y + back(acc["y"], SEASON) - F.col("d") * back(acc["y"], SEASON + 1)
-        return F.struct(
-            F.array_append(acc["w"], w).alias("w"),
-            F.array_append(acc["e"], F.lit(0.0)).alias("e"),
-            F.array_append(acc["y"], y).alias("y"),
-        )
+    def back(values: str, k: int) -> str:
+        return f"coalesce(try_element_at({values}, -{k}), 0D)"
 
-    return F.aggregate(
-        step_range(),
-        start,
-        step,
-        lambda acc: F.transform(F.slice(acc["y"], -F.col("steps"), F.col("steps")), lambda x: x * F.col("scale")),
-    )
+    w = dot("best.coef", ["1D", *[back("acc.w", k) for k in v.lags], *[back("acc.e", k) for k in v.lags]])
+    y = f"{w} + d * {back('acc.y', 1)}"
+    if v.seasonal_difference:
+        y += f" + {back('acc.y', SEASON)} - d * {back('acc.y', SEASON + 1)}"
+    return f"""aggregate(
+        sequence(1, steps),
+        struct(w_{v.name}_tail as w, e_{v.name}_tail as e, transform(total_tail, x -> x / scale) as y),
+        (acc, s) -> struct(array_append(acc.w, {w}) as w, array_append(acc.e, 0D) as e, array_append(acc.y, {y}) as y),
+        acc -> transform(slice(acc.y, -steps, steps), x -> x * scale))"""
 
 
 def forecast(frame: DataFrame) -> DataFrame:
-    made = fit(frame)
-    path = F.when(F.col("best.variant") == PLAIN.name, _path(PLAIN))
-    path = path.when(F.col("best.variant") == LEVEL.name, _path(LEVEL)).otherwise(_path(SEASONAL))
-    return as_predictions(made, NAME, path)
+    path = f"""case best.variant when '{PLAIN.name}' then {_path(PLAIN)}
+                                 when '{LEVEL.name}' then {_path(LEVEL)} else {_path(SEASONAL)} end"""
+    return as_predictions(fit(frame), NAME, F.expr(path))
 
 
 def fitted_values(frame: DataFrame) -> DataFrame:
     """In-sample values of the chosen order for the rows its estimate used."""
     best = fit(frame).select(*KEYS, "best")
+    cases = " ".join(
+        f"when best.variant = '{v.name}' and {_use(v)} then total - (w_{v.name} - {dot('best.coef', _design(v))}) * scale"
+        for v in VARIANTS
+    )
     rows = _with_residuals(_differenced(frame)).join(best, KEYS)
-    value = None
-    for v in VARIANTS:
-        chosen = (F.col("best.variant") == v.name) & _use(v)
-        gap = (F.col(f"w_{v.name}") - dot(F.col("best.coef"), _design(v))) * F.col("scale")
-        value = F.when(chosen, F.col("total") - gap) if value is None else value.when(chosen, F.col("total") - gap)
-    inside = rows.withColumn("fitted", value).filter(F.col("fitted").isNotNull())
-    return inside.select("state", F.lit(NAME).alias("model"), "phase", "date", "total", "fitted")
+    inside = rows.withColumn("fitted", F.expr(f"case {cases} end")).filter("fitted is not null")
+    return inside.selectExpr("state", f"'{NAME}' as model", "phase", "date", "total", "fitted")
 
 
 def skipped_series(frame: DataFrame) -> DataFrame:

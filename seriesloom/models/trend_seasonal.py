@@ -6,11 +6,11 @@ is a penalised linear model, not a Bayesian one: the change-point prior acts as
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.functions.calendar import fourier_pairs, is_holiday_month, months_after
-from seriesloom.models.frame import KEYS, by_fit, fitted, series_rows, skipped, step_range
+from seriesloom.models.frame import KEYS, OF_FIT, series_rows, skipped
 from seriesloom.models.least_squares import cross_products, dot, ridge_coefficients
 
 NAME = "trend_seasonal"
@@ -21,23 +21,22 @@ CHANGEPOINT_PRIOR = 0.05
 SEASONAL_PENALTY = 0.1
 LEAST = 15
 
-TREND = slice(0, 2 + CHANGE_POINTS)
-SEASONAL = slice(2 + CHANGE_POINTS, 2 + CHANGE_POINTS + 2 * FOURIER_ORDER)
-HOLIDAY = slice(SEASONAL.stop, SEASONAL.stop + 1)
+TREND = range(0, 2 + CHANGE_POINTS)
+SEASONAL = range(TREND.stop, TREND.stop + 2 * FOURIER_ORDER)
+HOLIDAY = range(SEASONAL.stop, SEASONAL.stop + 1)
 
 
-def design(at: Column, date: Column) -> list[Column]:
-    """Intercept, slope, hinges, Fourier pairs, holiday flag; time runs 0..1 over the fitted rows."""
-    time = at / F.greatest(F.col("n_fit") - 1, F.lit(1))
+def with_design(rows: DataFrame, at: str) -> DataFrame:
+    """Columns x0..: intercept, slope, hinges, Fourier pairs, holiday flag.
+
+    Needs ``date`` and ``n_fit``; time runs 0..1 over the fitted rows.
+    """
+    timed = rows.withColumn("time", F.expr(f"({at}) / greatest(n_fit - 1, 1)"))
     knots = [CHANGE_RANGE * (i + 1) / CHANGE_POINTS for i in range(CHANGE_POINTS)]
-    hinges = [F.greatest(time - knot, F.lit(0.0)) for knot in knots]
-    return [
-        F.lit(1.0),
-        time,
-        *hinges,
-        *fourier_pairs(date, FOURIER_ORDER).values(),
-        is_holiday_month(date).cast("double"),
-    ]
+    hinges = [F.expr(f"greatest(time - {knot!r}D, 0D)") for knot in knots]
+    seasonal = list(fourier_pairs("date", FOURIER_ORDER).values())
+    columns = [F.lit(1.0), F.col("time"), *hinges, *seasonal, is_holiday_month("date").cast("double")]
+    return timed.select("*", *[column.alias(f"x{i}") for i, column in enumerate(columns)]).drop("time")
 
 
 def penalties(changepoint_prior: float = CHANGEPOINT_PRIOR) -> list[float]:
@@ -45,57 +44,54 @@ def penalties(changepoint_prior: float = CHANGEPOINT_PRIOR) -> list[float]:
     return [0.0, 0.0] + [hinge] * CHANGE_POINTS + [SEASONAL_PENALTY] * (2 * FOURIER_ORDER + 1)
 
 
-def _with_design(frame: DataFrame) -> DataFrame:
-    """Design columns as fields x0.. and the target on the log scale."""
-    scale = F.greatest(F.avg(fitted("total")).over(by_fit()), F.lit(1e-9))
-    rows = frame.withColumn("scale", scale)
-    columns = {f"x{i}": c for i, c in enumerate(design(F.col("at"), F.col("date")))}
-    target = F.log1p(F.greatest(F.col("total"), F.lit(0.0)) / F.col("scale"))
-    return rows.withColumns({**columns, "target": target})
+def piece(part: range) -> str:
+    """SQL text of one part of the fitted value, on the log scale."""
+    return dot(f"slice(coef, {part.start + 1}, {len(part)})", [f"x{i}" for i in part])
 
 
-def _x(n: int) -> list[Column]:
-    return [F.col(f"x{i}") for i in range(n)]
+def _history(frame: DataFrame) -> DataFrame:
+    scaled = frame.withColumn("scale", F.expr(f"greatest(avg(if(fit, total, null)) over ({OF_FIT}), 1e-9D)"))
+    return with_design(scaled, "at").withColumn("target", F.expr("log1p(greatest(total, 0D) / scale)"))
 
 
-def fit(frame: DataFrame, changepoint_prior: float = CHANGEPOINT_PRIOR) -> DataFrame:
-    """One row per series and phase with ``coef`` and ``scale``."""
-    width = HOLIDAY.stop
-    products = cross_products(_x(width), F.col("target"), F.col("fit")).alias("products")
-    rows = series_rows(_with_design(frame), {}, products, F.max("scale").alias("scale"))
-    rows = rows.filter(F.col("n_fit") >= LEAST)
-    return rows.withColumn("coef", ridge_coefficients(F.col("products"), penalties(changepoint_prior))).drop("products")
+def fit(frame: DataFrame, changepoint_prior: float = CHANGEPOINT_PRIOR, keep_rows: bool = False) -> DataFrame:
+    """One row per series and phase with ``coef`` and ``scale``; with its fitted ``rows`` if asked."""
+    names = [f"x{i}" for i in range(HOLIDAY.stop)]
+    wanted = [cross_products(names, "target", "fit", "products"), F.expr("max(scale) as scale")]
+    if keep_rows:
+        wanted.append(F.expr("collect_list(if(fit, struct(at, date, total), null)) as rows"))
+    rows = series_rows(_history(frame), {}, *wanted).filter(f"n_fit >= {LEAST}")
+    solved = rows.withColumn("coef", ridge_coefficients(F.col("products"), penalties(changepoint_prior)))
+    return solved.drop("products").filter("coef is not null")
 
 
 def forecast(frame: DataFrame, changepoint_prior: float = CHANGEPOINT_PRIOR) -> DataFrame:
-    made = fit(frame, changepoint_prior)
-    steps = made.withColumn("s", F.explode(step_range()))
-    values = design(F.col("n_fit") - 1 + F.col("s"), months_after(F.col("last_date"), F.col("s")))
-    log_value = dot(F.col("coef"), values)
-    value = F.col("scale") * F.expm1(log_value)
-    return steps.filter(F.col("coef").isNotNull()).select(
+    made = fit(frame, changepoint_prior).selectExpr("*", "explode(sequence(1, steps)) as step")
+    dated = with_design(made.withColumn("date", months_after("last_date", "step")), "n_fit - 1 + step")
+    return dated.selectExpr(
         "state",
-        F.lit(NAME).alias("model"),
+        f"'{NAME}' as model",
         "phase",
-        F.col("s").cast("int").alias("step"),
-        months_after(F.col("last_date"), F.col("s")).alias("date"),
-        F.greatest(value, F.lit(0.0)).alias("yhat"),
-        F.try_element_at(F.col("actuals"), F.col("s")).alias("y"),
+        "step",
+        "date",
+        f"greatest(scale * expm1({piece(TREND)} + {piece(SEASONAL)} + {piece(HOLIDAY)}), 0D) as yhat",
+        "try_element_at(actuals, step) as y",
     )
 
 
 def components(frame: DataFrame, changepoint_prior: float = CHANGEPOINT_PRIOR) -> DataFrame:
     """Trend, seasonal and holiday parts (log scale) and the fitted value of every fitted row."""
-    made = fit(frame, changepoint_prior).select(*KEYS, "coef", "scale").filter(F.col("coef").isNotNull())
-    rows = _with_design(frame).drop("scale").filter("fit").join(made, KEYS)
-    x = _x(HOLIDAY.stop)
-
-    def piece(s: slice) -> Column:
-        return dot(F.slice(F.col("coef"), s.start + 1, s.stop - s.start), x[s])
-
-    parts = rows.withColumns({"trend": piece(TREND), "seasonal": piece(SEASONAL), "holiday": piece(HOLIDAY)})
-    value = F.col("scale") * F.expm1(F.col("trend") + F.col("seasonal") + F.col("holiday"))
-    return parts.select("state", "phase", "date", "total", "trend", "seasonal", "holiday", value.alias("yhat"))
+    rows = fit(frame, changepoint_prior, keep_rows=True).selectExpr(*KEYS, "n_fit", "scale", "coef", "inline(rows)")
+    parts = with_design(rows, "at").selectExpr(
+        *KEYS,
+        "date",
+        "total",
+        "scale",
+        f"{piece(TREND)} as trend",
+        f"{piece(SEASONAL)} as seasonal",
+        f"{piece(HOLIDAY)} as holiday",
+    )
+    return parts.withColumn("yhat", F.expr("scale * expm1(trend + seasonal + holiday)")).drop("scale")
 
 
 def skipped_series(frame: DataFrame) -> DataFrame:

@@ -4,26 +4,18 @@ from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.models.frame import (
-    Phase,
-    as_predictions,
-    by_fit,
-    fit_order,
-    fitted,
-    series_rows,
-    skipped,
-    step_range,
-)
-from seriesloom.models.least_squares import dot
-from seriesloom.operators.features import SCALE_FLOOR, inverse_scale
+from seriesloom.models.frame import FIT_ORDER, OF_FIT, Phase, as_predictions, series_rows, skipped
+from seriesloom.operators.features import SCALE_FLOOR
+from seriesloom.session import side_by_side, union
 
 NAME = "window_huber"
 LOOKBACK = 12
 EPSILON = 1.35
-MAX_ITERATIONS = 60
+MAX_ITERATIONS = 40
+TOLERANCE = 1e-4
 
 
 def lookback_for(shortest: int, longest: int = LOOKBACK) -> int:
@@ -34,55 +26,44 @@ def lookback_for(shortest: int, longest: int = LOOKBACK) -> int:
 def training_rows(frame: DataFrame, phase: str, lookback: int = LOOKBACK) -> DataFrame:
     """``(state, date, features, label)``; series with no full window give no rows."""
     rows = frame.filter((F.col("phase") == phase) & F.col("fit"))
-    lo, hi = F.min("total").over(by_fit()), F.max("total").over(by_fit())
-    z = (F.col("total") - lo) / (hi - lo + SCALE_FLOOR)
-    scaled = rows.select("state", "phase", "date", z.alias("z"))
-    windowed = scaled.withColumn("x", F.collect_list("z").over(fit_order().rowsBetween(-lookback, -1)))
-    full = windowed.filter(F.size("x") == lookback)
-    return full.select("state", "date", array_to_vector("x").alias("features"), F.col("z").alias("label"))
+    lo, hi = f"min(total) over ({OF_FIT})", f"max(total) over ({OF_FIT})"
+    scaled = rows.selectExpr("state", "phase", "date", f"(total - {lo}) / ({hi} - {lo} + {SCALE_FLOOR}D) as label")
+    previous = f"({FIT_ORDER} rows between {lookback} preceding and 1 preceding)"
+    windowed = scaled.selectExpr("*", f"collect_list(label) over {previous} as x")
+    return windowed.filter(F.size("x") == lookback).select(
+        "state", "date", array_to_vector("x").alias("features"), "label"
+    )
 
 
 def fit(frame: DataFrame, phase: str, lookback: int = LOOKBACK) -> LinearRegressionModel:
-    rows = training_rows(frame, phase, lookback)
-    regression = LinearRegression(loss="huber", epsilon=EPSILON, maxIter=MAX_ITERATIONS, regParam=1e-4)
-    return regression.fit(rows)
+    regression = LinearRegression(loss="huber", epsilon=EPSILON, maxIter=MAX_ITERATIONS, tol=TOLERANCE, regParam=1e-4)
+    return regression.fit(training_rows(frame, phase, lookback))
 
 
 def predict(frame: DataFrame, phase: Phase, model: LinearRegressionModel) -> DataFrame:
     """Fold the steps over the scaled window of each series; one row per series, no shuffle per step."""
     lookback = model.numFeatures
+    lo, hi = "min(if(fit, total, null))", "max(if(fit, total, null))"
     rows = series_rows(
         frame.filter(F.col("phase") == phase.name),
         {"total": lookback},
-        F.min(fitted("total")).alias("lo"),
-        F.max(fitted("total")).alias("hi"),
-    ).filter(F.col("n_fit") > lookback)
-    rows = rows.withColumn("rng", F.col("hi") - F.col("lo") + SCALE_FLOOR)
-    weights = F.array(*[F.lit(float(w)) for w in model.coefficients.toArray()])
-    start = F.transform("total_tail", lambda x: (x - F.col("lo")) / F.col("rng"))
-
-    def step(window: Column, _: Column) -> Column:
-        lagged = [F.element_at(window, i - lookback) for i in range(lookback)]
-        return F.array_append(window, dot(weights, lagged) + F.lit(float(model.intercept)))
-
-    path = F.aggregate(
-        step_range(),
-        start,
-        step,
-        lambda window: F.transform(
-            F.slice(window, -F.col("steps"), F.col("steps")),
-            lambda z: inverse_scale(z, F.col("lo"), F.col("rng")),
-        ),
-    )
-    return as_predictions(rows, NAME, path)
+        F.expr(f"{lo} as lo"),
+        F.expr(f"{hi} - {lo} + {SCALE_FLOOR}D as rng"),
+    ).filter(f"n_fit > {lookback}")
+    weights = enumerate(model.coefficients.toArray())
+    value = " + ".join(f"{float(w)!r}D * element_at(z, {i - lookback})" for i, w in weights)
+    path = f"""aggregate(
+        sequence(1, steps),
+        transform(total_tail, x -> (x - lo) / rng),
+        (z, s) -> array_append(z, {value} + {float(model.intercept)!r}D),
+        z -> transform(slice(z, -steps, steps), v -> v * rng + lo))"""
+    return as_predictions(rows, NAME, F.expr(path))
 
 
 def forecast(frame: DataFrame, phases: tuple[Phase, ...], lookback: int = LOOKBACK) -> DataFrame:
-    parts = [predict(frame, phase, fit(frame, phase.name, lookback)) for phase in phases]
-    made = parts[0]
-    for other in parts[1:]:
-        made = made.unionByName(other)
-    return made
+    """One pooled model per phase; the fits are independent jobs and are submitted side by side."""
+    models = side_by_side([lambda p=p: fit(frame, p.name, lookback) for p in phases])
+    return union([predict(frame, phase, model) for phase, model in zip(phases, models)])
 
 
 def skipped_series(frame: DataFrame, lookback: int = LOOKBACK) -> DataFrame:

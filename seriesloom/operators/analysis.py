@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seriesloom.functions.sums import exact_sum
-from seriesloom.operators.panel import by_series, in_time
+from seriesloom.operators.panel import IN_TIME, by_series, in_time
 
 MONTHS = list(range(1, 13))
 PERIOD = 12
@@ -24,19 +24,18 @@ def panel_summary(panel: DataFrame) -> DataFrame:
 
 
 def top_states(panel: DataFrame, k: int = 10) -> DataFrame:
-    sums = panel.groupBy("state").agg(exact_sum(F.col("total")).alias("total"))
+    sums = panel.groupBy("state").agg(exact_sum("total").alias("total"))
     return sums.orderBy(F.desc("total"), "state").limit(k)
 
 
 def aggregate_trend(panel: DataFrame) -> DataFrame:
-    return panel.groupBy("date").agg(exact_sum(F.col("total")).alias("total"))
+    return panel.groupBy("date").agg(exact_sum("total").alias("total"))
 
 
 def seasonality_pivot(panel: DataFrame) -> DataFrame:
     """Year by month sums, 0 where a month has no rows; the twelve columns are fixed."""
-    month = F.month("date")
     cells = [
-        F.coalesce(exact_sum(F.when(month == m, F.col("total"))), F.lit(0.0)).alias(f"m{m:02d}") for m in MONTHS
+        F.coalesce(exact_sum(f"if(month(date) = {m}, total, null)"), F.lit(0.0)).alias(f"m{m:02d}") for m in MONTHS
     ]
     return panel.groupBy(F.year("date").alias("year")).agg(*cells)
 
@@ -72,28 +71,24 @@ def seasonal_decompose(panel: DataFrame) -> DataFrame:
     return rows.select("state", "date", "total", "trend", "seasonal", residual.alias("residual"))
 
 
-def dickey_fuller_critical(n: Column) -> Column:
-    """5% critical value with a constant, finite-sample response surface (MacKinnon 1991)."""
-    return F.lit(-2.8621) - F.lit(2.738) / n - F.lit(8.36) / (n * n)
+# 5% critical value with a constant for n rows, finite-sample response surface (MacKinnon 1991).
+CRITICAL = "(-2.8621D - 2.738D / {0} - 8.36D / ({0} * {0}))"
 
 
-def dickey_fuller_statistic(delta: Column, level: Column, window=None) -> tuple[Column, Column]:
-    """(t statistic, row count) of regressing the change on the previous level."""
-    def over(column: Column) -> Column:
-        return column.over(window) if window is not None else column
-
-    n = over(F.regr_count(delta, level))
-    sxx, syy, sxy = (over(f(delta, level)) for f in (F.regr_sxx, F.regr_syy, F.regr_sxy))
-    slope = F.try_divide(sxy, sxx)
-    variance = F.try_divide(syy - slope * sxy, n - F.lit(2)) 
-    return F.try_divide(slope, F.sqrt(F.try_divide(variance, sxx))), n
+def dickey_fuller_statistic(delta: str, level: str, window: str | None = None) -> tuple[str, str]:
+    """SQL text of (t statistic, row count) of regressing the change on the previous level."""
+    over = f" over ({window})" if window else ""
+    n, sxx, syy, sxy = (
+        f"regr_{name}({delta}, {level}){over}" for name in ("count", "sxx", "syy", "sxy")
+    )
+    slope = f"try_divide({sxy}, {sxx})"
+    variance = f"try_divide({syy} - {slope} * {sxy}, {n} - 2)"
+    return f"try_divide({slope}, sqrt(try_divide({variance}, {sxx})))", n
 
 
 def df_test(panel: DataFrame) -> DataFrame:
     """Dickey-Fuller test (lag 0, constant) per series; a test that fails means not stationary."""
-    level = F.lag("total").over(in_time())
-    changes = panel.select("state", level.alias("level"), (F.col("total") - level).alias("delta"))
-    statistic, n = dickey_fuller_statistic(F.col("delta"), F.col("level"))
-    tested = changes.groupBy("state").agg(n.cast("long").alias("n"), statistic.alias("t_stat"))
-    below = F.col("t_stat") < dickey_fuller_critical(F.col("n"))
-    return tested.withColumn("stationary", F.coalesce(below, F.lit(False)))
+    changes = panel.selectExpr("state", f"lag(total) over ({IN_TIME}) as level", "total")
+    statistic, n = dickey_fuller_statistic("total - level", "level")
+    tested = changes.groupBy("state").agg(F.expr(f"{n} as n"), F.expr(f"{statistic} as t_stat"))
+    return tested.withColumn("stationary", F.expr(f"coalesce(t_stat < {CRITICAL.format('n')}, false)"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.functions.calendar import is_holiday_month, month_angle, months_after
-from seriesloom.operators.panel import by_series, in_time
+from seriesloom.operators.panel import IN_TIME, by_series, in_time
 
 LAGS = [1, 2, 3, 6, 12]
 WINDOWS = [3, 6, 12]
@@ -18,51 +18,51 @@ CALENDAR = ["month", "quarter", "year", "trend", "sin_month", "cos_month"]
 SCALE_FLOOR = 1e-8
 
 
-def lag_columns(lags: list[int], value: str = "sales") -> dict[str, Column]:
-    return {f"lag_{k}": F.lag(value, k).over(in_time()) for k in lags}
+def lag_columns(lags: list[int], value: str = "sales") -> dict[str, str]:
+    return {f"lag_{k}": f"lag({value}, {k}) over ({IN_TIME})" for k in lags}
 
 
-def _full(frame, k: int, value: str, result: Column) -> Column:
-    return F.when(F.count(value).over(frame) == k, result)
-
-
-def rolling_columns(windows: list[int], value: str = "sales") -> dict[str, Column]:
+def rolling_columns(windows: list[int], value: str = "sales") -> dict[str, str]:
     """Mean and sample deviation of the previous k rows; NULL until k rows precede."""
-    columns: dict[str, Column] = {}
+    columns: dict[str, str] = {}
     for k in windows:
-        frame = in_time().rowsBetween(-k, -1)
-        columns[f"rolling_mean_{k}"] = _full(frame, k, value, F.avg(value).over(frame))
-        columns[f"rolling_std_{k}"] = _full(frame, k, value, F.stddev_samp(value).over(frame))
+        frame = f"({IN_TIME} rows between {k} preceding and 1 preceding)"
+        for kind, function in (("mean", "avg"), ("std", "stddev_samp")):
+            columns[f"rolling_{kind}_{k}"] = (
+                f"if(count({value}) over {frame} = {k}, {function}({value}) over {frame}, null)"
+            )
     return columns
 
 
-def date_columns(date: Column, trend: Column) -> dict[str, Column]:
+def date_columns(date: str, trend: str) -> dict[str, str]:
     return {
-        "month": F.month(date),
-        "quarter": F.quarter(date),
-        "year": F.year(date),
-        "trend": trend.cast("int"),
-        "sin_month": F.sin(month_angle(date)),
-        "cos_month": F.cos(month_angle(date)),
+        "month": f"month({date})",
+        "quarter": f"quarter({date})",
+        "year": f"year({date})",
+        "trend": f"cast({trend} as int)",
+        "sin_month": f"sin({month_angle(date)})",
+        "cos_month": f"cos({month_angle(date)})",
     }
 
 
-def growth(now: Column, then: Column) -> Column:
+def growth(now: str, then: str) -> str:
     """Relative change; missing when the base is missing or 0."""
-    return F.try_divide(now, then) - 1
+    return f"(try_divide({now}, {then}) - 1)"
+
+
+TREND = f"row_number() over ({IN_TIME}) - 1"
 
 
 def build_features(panel: DataFrame, lags: list[int] | None = None, windows: list[int] | None = None) -> DataFrame:
     """Full feature table; rows whose features need more history than there is are kept."""
     series = panel.select("state", "date", F.col("total").alias("sales"))
-    trend = F.row_number().over(in_time()) - 1
+    columns = {**lag_columns(lags or LAGS), **rolling_columns(windows or WINDOWS), **date_columns("date", TREND)}
+    growing = growth("sales", f"lag(sales, 12) over ({IN_TIME})")
     return series.select(
         "*",
-        *_named(lag_columns(lags or LAGS)),
-        *_named(rolling_columns(windows or WINDOWS)),
-        *_named(date_columns(F.col("date"), trend)),
-        is_holiday_month(F.col("date")).alias("holiday_month"),
-        growth(F.col("sales"), F.lag("sales", 12).over(in_time())).alias("yoy_growth"),
+        *_named(columns),
+        is_holiday_month("date").alias("holiday_month"),
+        F.expr(growing).alias("yoy_growth"),
     )
 
 
@@ -80,21 +80,17 @@ def model_features(
     """
     lags, windows = lags or LAGS, windows or WINDOWS
     series = panel.select("state", "date", F.col("total").alias("sales"), *(keep or []))
-    trend = F.row_number().over(in_time()) - 1
-    back = 1 if known_growth_only else 0
-    now = F.lag("sales", 1).over(in_time()) if known_growth_only else F.col("sales")
+    now, base = ("lag(sales, 1) over ({0})", "lag(sales, 13) over ({0})") if known_growth_only else ("sales", "lag(sales, 12) over ({0})")
     rolled = {
-        name: F.coalesce(column, F.lit(0.0)) if "_std_" in name else column
-        for name, column in rolling_columns(windows).items()
+        name: f"coalesce({text}, 0D)" if "_std_" in name else text for name, text in rolling_columns(windows).items()
     }
-    wide = series.select(
-        "*",
-        *_named(lag_columns(lags)),
-        *_named(rolled),
-        *_named(date_columns(F.col("date"), trend)),
-        F.coalesce(growth(now, F.lag("sales", 12 + back).over(in_time())), F.lit(0.0)).alias("yoy_growth"),
-    )
-    return wide.na.drop()
+    columns = {
+        **lag_columns(lags),
+        **rolled,
+        **date_columns("date", TREND),
+        "yoy_growth": f"coalesce({growth(now.format(IN_TIME), base.format(IN_TIME))}, 0D)",
+    }
+    return series.select("*", *_named(columns)).na.drop()
 
 
 def feature_names(lags: list[int] | None = None, windows: list[int] | None = None) -> list[str]:
@@ -108,44 +104,36 @@ def prepare_supervised(features: DataFrame) -> DataFrame:
 
 
 def features_from_history(
-    history: Column,
-    date: Column,
-    trend: Column,
+    history: str,
+    date: str,
+    trend: str,
     lags: list[int] | None = None,
     windows: list[int] | None = None,
     known_growth_only: bool = False,
-) -> dict[str, Column]:
+) -> dict[str, str]:
     """The ``model_features`` of the row that follows ``history``, an array of past values.
 
     Built from array expressions, so a recursive forecast is a chain of projections.
     The unknown current value is taken to repeat the last one.
     """
-    columns: dict[str, Column] = {}
-    for k in lags or LAGS:
-        columns[f"lag_{k}"] = F.element_at(history, -k)
+    columns = {f"lag_{k}": f"element_at({history}, -{k})" for k in lags or LAGS}
     for k in windows or WINDOWS:
-        recent = F.slice(history, -k, k)
-        mean = F.aggregate(recent, F.lit(0.0), lambda acc, x: acc + x) / k
+        recent = f"slice({history}, -{k}, {k})"
+        mean = f"(aggregate({recent}, 0D, (acc, x) -> acc + x) / {k})"
+        squares = f"aggregate({recent}, 0D, (acc, x) -> acc + (x - {mean}) * (x - {mean}))"
         columns[f"rolling_mean_{k}"] = mean
-        columns[f"rolling_std_{k}"] = _sample_deviation(recent, mean, k)
+        columns[f"rolling_std_{k}"] = f"sqrt({squares} / {k - 1})"
     columns.update(date_columns(date, trend))
-    back = 13 if known_growth_only else 12
-    base = F.try_element_at(history, F.lit(-back))
-    columns["yoy_growth"] = F.coalesce(growth(F.element_at(history, -1), base), F.lit(0.0))
+    base = f"try_element_at({history}, {-13 if known_growth_only else -12})"
+    columns["yoy_growth"] = f"coalesce({growth(f'element_at({history}, -1)', base)}, 0D)"
     return columns
 
 
-def _sample_deviation(values: Column, mean: Column, k: int) -> Column:
-    squares = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean))
-    return F.sqrt(squares / (k - 1))
-
-
 def next_step_features(panel: DataFrame) -> DataFrame:
     """Features of the first month after each series, from its last 13 rows."""
     memory = series_memory(panel, 13).filter(F.size("history") >= 12)
-    date = months_after(F.col("last_date"), F.lit(1))
-    made = features_from_history(F.col("history"), date, F.col("n"))
-    return memory.select("state", date.alias("date"), *_named(made))
+    dated = memory.withColumn("date", months_after("last_date", 1))
+    return dated.select("state", "date", *_named(features_from_history("history", "date", "n")))
 
 
 def series_memory(panel: DataFrame, k: int) -> DataFrame:
@@ -181,5 +169,5 @@ def make_sequences(df: DataFrame, lookback: int = 12, value: str = "z") -> DataF
     return rows.filter(F.size("x") == lookback)
 
 
-def _named(columns: dict[str, Column]) -> list[Column]:
-    return [column.alias(name) for name, column in columns.items()]
+def _named(columns: dict[str, str]) -> list[Column]:
+    return [F.expr(f"{text} as {name}") for name, text in columns.items()]

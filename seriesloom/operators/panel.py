@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seriesloom.functions.calendar import month_end, month_number, month_start, months_after
+from seriesloom.functions.calendar import months_after
 from seriesloom.functions.sums import exact_sum
 from seriesloom.schema import require_columns
 
+IN_TIME = "partition by state order by date"
+MONTHS_SINCE = "(year({0}) * 12 + month({0}) - year({1}) * 12 - month({1}))"
 MIN_PERIODS = 12
 VALIDATION_PERIODS = 6
 
@@ -32,8 +34,8 @@ def monthly_sum(clean: DataFrame, keep_missing: bool = False) -> DataFrame:
     require_columns(clean, ["state", "date", "total"])
     sums = (
         clean.filter(F.col("state").isNotNull() & F.col("date").isNotNull())
-        .groupBy("state", month_end(F.col("date")).alias("date"))
-        .agg(exact_sum(F.col("total")).alias("total"))
+        .groupBy("state", F.last_day("date").alias("date"))
+        .agg(exact_sum("total").alias("total"))
     )
     return sums if keep_missing else sums.withColumn("total", F.coalesce("total", F.lit(0.0)))
 
@@ -55,36 +57,28 @@ def _with_gaps(monthly: DataFrame, bounds: DataFrame | None) -> DataFrame:
     This builds the dense grid from one window per series, without a cross product or a join.
     """
     bounds = calendar_bounds(monthly) if bounds is None else bounds
-    w = in_time()
-    known = monthly.filter(F.col("total").isNotNull()).select(
+    known = monthly.filter("total is not null").selectExpr(
         "state",
         "date",
         "total",
-        F.lead("date").over(w).alias("next_date"),
-        F.lead("total").over(w).alias("next_total"),
-        (F.row_number().over(w) == 1).alias("leading"),
+        f"lead(date) over ({IN_TIME}) as next_date",
+        f"lead(total) over ({IN_TIME}) as next_total",
+        f"row_number() over ({IN_TIME}) = 1 as leading",
     )
-    lo, hi = bounds.select("lo").scalar(), bounds.select("hi").scalar()
-    start = F.when(F.col("leading"), lo).otherwise(F.col("date"))
-    stop = F.coalesce(F.add_months(month_start(F.col("next_date")), -1), hi)
-    months = F.sequence(month_start(start), month_start(stop), F.expr("interval 1 month"))
-    grid = known.select(
-        "state",
-        F.explode(months).alias("month"),
-        F.col("date").alias("known_date"),
-        "total",
-        "next_date",
-        "next_total",
+    known = known.withColumns({"lo": bounds.select("lo").scalar(), "hi": bounds.select("hi").scalar()})
+    grid = known.selectExpr(
+        "*",
+        """explode(sequence(trunc(if(leading, lo, date), 'month'),
+                            trunc(coalesce(add_months(trunc(next_date, 'month'), -1), hi), 'month'),
+                            interval 1 month)) as month""",
     )
-    ahead = month_number(F.col("month")) - month_number(F.col("known_date"))
-    width = month_number(F.col("next_date")) - month_number(F.col("known_date"))
-    return grid.select(
+    return grid.selectExpr(
         "state",
-        month_end(F.col("month")).alias("date"),
-        (ahead == 0).alias("observed"),
-        ahead.alias("ahead"),
-        width.alias("width"),
-        F.col("total").alias("known_total"),
+        "last_day(month) as date",
+        f"{MONTHS_SINCE.format('month', 'date')} = 0 as observed",
+        f"{MONTHS_SINCE.format('month', 'date')} as ahead",
+        f"{MONTHS_SINCE.format('next_date', 'date')} as width",
+        "total as known_total",
         "next_total",
     )
 
@@ -92,7 +86,7 @@ def _with_gaps(monthly: DataFrame, bounds: DataFrame | None) -> DataFrame:
 def dense_grid(monthly: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
     """All states by all months of the common range; absent months carry a NULL total."""
     return _with_gaps(monthly, bounds).select(
-        "state", "date", F.when(F.col("observed"), F.col("known_total")).alias("total")
+        "state", "date", F.expr("if(observed, known_total, null)").alias("total")
     )
 
 
@@ -159,10 +153,9 @@ def build_monthly_panel(
     sums = monthly_sum(rows, keep_missing=True)
     known = sums if impute_invalid else sums.withColumn("total", F.coalesce("total", F.lit(0.0)))
     grid = _with_gaps(known, calendar_bounds(sums))
-    rise = (F.col("next_total") - F.col("known_total")) * F.col("ahead") / F.col("width")
-    between = (F.col("ahead") > 0) & F.col("width").isNotNull()
-    total = F.when(between, F.col("known_total") + rise).otherwise(F.col("known_total"))
-    panel = grid.select("state", "date", total.alias("total"), "observed")
+    total = """if(ahead > 0 and width is not null,
+                  known_total + (next_total - known_total) * ahead / width, known_total) as total"""
+    panel = grid.selectExpr("state", "date", total, "observed")
     panel = enough_periods(panel, min_periods)
     if min_observed:
         panel = enough_periods(panel, min_observed, F.col("observed"))
@@ -224,12 +217,12 @@ def tail_split(rows: DataFrame, share: float = 0.2) -> DataFrame:
 
 def infer_frequency(panel: DataFrame, default: str = "ME") -> DataFrame:
     """``ME`` or ``MS`` per series whose dates are consecutive month ends or starts, else the default."""
-    step = month_number(F.col("date")) - month_number(F.lag("date").over(in_time()))
-    checked = panel.select(
+    previous = panel.selectExpr("state", "date", f"lag(date) over ({IN_TIME}) as previous")
+    checked = previous.selectExpr(
         "state",
-        F.coalesce(step == 1, F.lit(True)).alias("consecutive"),
-        (F.col("date") == month_end(F.col("date"))).alias("at_end"),
-        (F.col("date") == month_start(F.col("date"))).alias("at_start"),
+        f"coalesce({MONTHS_SINCE.format('date', 'previous')} = 1, true) as consecutive",
+        "date = last_day(date) as at_end",
+        "day(date) = 1 as at_start",
     )
     facts = checked.groupBy("state").agg(
         F.count(F.lit(1)).alias("n"),
@@ -246,4 +239,4 @@ def future_calendar(panel: DataFrame, horizon: int = 2) -> DataFrame:
     """The next ``horizon`` month ends of each series."""
     last = panel.groupBy("state").agg(F.max("date").alias("last_date"))
     steps = last.select("state", "last_date", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"))
-    return steps.select("state", "step", months_after(F.col("last_date"), F.col("step")).alias("date"))
+    return steps.select("state", "step", months_after("last_date", "step").alias("date"))

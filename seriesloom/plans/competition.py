@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.models.frame import PHASES, Phase, phase_frame
-from seriesloom.models.registry import MODELS, SKIPPED, union
+from seriesloom.models.registry import MODELS, SKIPPED
 from seriesloom.operators.panel import train_val_split, trainable
 from seriesloom.plans.records import failed_states, forecast_records
 from seriesloom.plans.serving import pending_states, select_states
-from seriesloom.session import materialize
+from seriesloom.session import materialize, side_by_side, union
 from seriesloom.sources.store import write_records
 
 FAILURE = "state string, phase string, model string, reason string"
@@ -54,15 +54,18 @@ def compete(
     kept = trainable(train_val_split(rows, held), min_train).drop("split")
     frame = materialize(phase_frame(kept, phases))
 
-    made, reasons = [], []
-    for name in names:
+    def attempt(name: str) -> DataFrame | str:
         try:
-            made.append(MODELS[name](frame, phases))
-            if name in SKIPPED:
-                reasons.append(SKIPPED[name](frame))
+            return MODELS[name](frame, phases)
         except Exception as error:  # one model must not stop the others
-            table = spark.createDataFrame([(None, None, name, str(error)[:500])], FAILURE)
-            reasons.append(table)
+            return str(error)[:500]
+
+    tried = side_by_side([lambda name=name: attempt(name) for name in names])
+    made = [result for result in tried if not isinstance(result, str)]
+    broken = [(None, None, name, result) for name, result in zip(names, tried) if isinstance(result, str)]
+    reasons = [SKIPPED[name](frame) for name in names if name in SKIPPED]
+    if broken:
+        reasons.append(spark.createDataFrame(broken, FAILURE))
     if not made:
         raise RuntimeError("no model could be run")
     predictions = materialize(union(made))

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -54,3 +58,16 @@ def materialize(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into reliable storage; the result keeps its partitioning."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def side_by_side(jobs: list[Callable]) -> list:
+    """Results of independent Spark jobs submitted from threads, in order."""
+    if len(jobs) == 1:
+        return [jobs[0]()]
+    session = SparkSession.getActiveSession()
+    with ThreadPool(len(jobs)) as pool:
+        return pool.map(lambda job: inheritable_thread_target(session)(job)() if session else job(), jobs)
