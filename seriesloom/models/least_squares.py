@@ -1,8 +1,8 @@
 """Least squares for many series at once.
 
-The cross products of all design columns are plain sums, so Spark aggregates them per series
-with map-side combine. What is left per series is one small matrix; those are solved in Arrow
-batches, stacked over the series of the batch.
+Spark computes the design columns and gathers the rows of each series, which are as many as
+the calendar has months. Arrow hands batches of series to numpy, which forms the small cross
+product matrix of each and solves them stacked.
 """
 
 from __future__ import annotations
@@ -21,26 +21,22 @@ JITTER = 1e-9
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def cross_products(design: list[str], target: str, use: str, name: str) -> Column:
-    """Aggregate: row count, then the upper triangle of [design, target]' [design, target].
+def design_rows(design: list[str], target: str, use: str, name: str) -> Column:
+    """Aggregate: the rows [design, target] where ``use`` holds, as one flat array.
 
-    ``design`` and ``target`` are SQL terms; only rows where ``use`` holds take part.
+    ``design`` and ``target`` are SQL terms. The order of rows does not matter.
     """
-    columns = [*design, target]
-    sums = [f"cast(count_if({use}) as double)"]
-    for i, left in enumerate(columns):
-        for right in columns[i:]:
-            sums.append(f"coalesce(sum(if({use}, {left} * {right}, null)), 0D)")
-    return F.expr(f"array({', '.join(sums)}) as {name}")
+    row = f"array({', '.join([*design, target])})"
+    return F.expr(f"flatten(collect_list(if({use}, {row}, null))) as {name}")
 
 
-def unpack(products: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row counts, stacked symmetric matrices) of ``cross_products`` arrays."""
-    upper = np.triu_indices(width)
-    matrices = np.zeros((len(products), width, width))
-    matrices[:, upper[0], upper[1]] = products[:, 1:]
-    matrices[:, upper[1], upper[0]] = products[:, 1:]
-    return products[:, 0], matrices
+def cross_products(batch: pd.Series, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row counts, stacked matrices [design, target]' [design, target]) of flat arrays."""
+    counts, matrices = np.zeros(len(batch)), np.zeros((len(batch), width, width))
+    for i, flat in enumerate(batch):
+        rows = np.asarray(flat, dtype=float).reshape(-1, width)
+        counts[i], matrices[i] = len(rows), rows.T @ rows
+    return counts, matrices
 
 
 def solve_stacked(matrices: np.ndarray, keep: np.ndarray, penalty: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,18 +57,18 @@ def solve_stacked(matrices: np.ndarray, keep: np.ndarray, penalty: np.ndarray) -
     return coefficients, np.maximum(matrices[:, -1, -1] - explained + fitted, 0.0)
 
 
-def ridge_coefficients(products: Column, penalty: list[float]) -> Column:
-    """Coefficient array per row of cross products; NULL with fewer rows than unpenalised columns."""
+def ridge_coefficients(rows: Column, penalty: list[float]) -> Column:
+    """Coefficient array per flat array of rows; NULL with too few rows for the unpenalised columns."""
     weights = np.asarray(penalty, dtype=float)
     least = int((weights == 0).sum()) + 1
 
     @F.pandas_udf("array<double>")
     def solve(batch: pd.Series) -> pd.Series:
-        counts, matrices = unpack(np.stack(batch.to_numpy()), len(weights) + 1)
+        counts, matrices = cross_products(batch, len(weights) + 1)
         coefficients, _ = solve_stacked(matrices, np.arange(len(weights)), weights)
         return pd.Series([c if n >= least else None for n, c in zip(counts, coefficients)])
 
-    return once(solve)(products)
+    return once(solve)(rows)
 
 
 def once(udf):

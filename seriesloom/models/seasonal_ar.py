@@ -2,9 +2,8 @@
 
 A two-stage (Hannan-Rissanen) least-squares estimate: a long autoregression gives residuals,
 then the value is regressed on its own lags and on lagged residuals. Seasonal lags enter
-additively. Every candidate order is a subset of the columns of one design, so Spark sums the
-cross products once per series, and all candidates are solved from those small matrices; the
-panel is never repeated per candidate.
+additively. Every candidate order is a subset of the columns of one design, so one small cross
+product matrix per series serves all candidates; the panel is never repeated per candidate.
 """
 
 from __future__ import annotations
@@ -20,11 +19,11 @@ from pyspark.sql import functions as F
 from seriesloom.models.frame import FIT_ORDER, KEYS, OF_FIT, as_predictions, series_rows, skipped
 from seriesloom.models.least_squares import (
     cross_products,
+    design_rows,
     dot,
     once,
     ridge_coefficients,
     solve_stacked,
-    unpack,
 )
 from seriesloom.operators.analysis import CRITICAL, dickey_fuller_statistic
 
@@ -136,11 +135,11 @@ def _with_residuals(rows: DataFrame) -> DataFrame:
     The rows of a series travel with its coefficients as an array, as long as the calendar,
     so they need not be computed twice and joined.
     """
-    products = [
-        cross_products(_long_design(v), f"w_{v.name}", _has_long(v), f"long_{v.name}") for v in VARIANTS
+    designs = [
+        design_rows(_long_design(v), f"w_{v.name}", _has_long(v), f"long_{v.name}") for v in VARIANTS
     ]
     carried = [name for name in rows.columns if name not in KEYS]
-    fits = rows.groupBy(*KEYS).agg(*products, F.collect_list(F.struct(*carried)).alias("rows"))
+    fits = rows.groupBy(*KEYS).agg(*designs, F.collect_list(F.struct(*carried)).alias("rows"))
     solved = {
         f"b_{v.name}": ridge_coefficients(F.col(f"long_{v.name}"), [0.0] * (1 + len(v.long_lags))) for v in VARIANTS
     }
@@ -166,14 +165,14 @@ def _use(v: Variant) -> str:
     return f"(fit and at >= d + {2 if v is PLAIN else 2 * SEASON})"
 
 
-def _score(v: Variant, products: Column) -> Column:
+def _score(v: Variant, designs: Column) -> Column:
     """Per candidate order of the variant: AIC, then the full coefficient vector."""
     orders = v.orders
     width = 1 + 2 * len(v.lags)
 
     @F.pandas_udf("array<array<double>>")
     def solve(batch: pd.Series) -> pd.Series:
-        n, matrices = unpack(np.stack(batch.to_numpy()), width + 1)
+        n, matrices = cross_products(batch, width + 1)
         result = np.full((len(n), len(orders), 1 + width), np.nan)
         for i, (_, _, columns) in enumerate(orders):
             keep = np.asarray(columns)
@@ -185,7 +184,7 @@ def _score(v: Variant, products: Column) -> Column:
             result[:, i, 1 + keep] = b
         return pd.Series(list(map(lambda r: [list(x) for x in r], result)))
 
-    return once(solve)(products)
+    return once(solve)(designs)
 
 
 def _scored(v: Variant) -> str:
@@ -202,12 +201,12 @@ def candidate_scores(frame: DataFrame) -> DataFrame:
     for v in VARIANTS:
         memory[f"w_{v.name}"] = SEASON
         memory[f"e_{v.name}"] = SEASON
-    products = [cross_products(_design(v), f"w_{v.name}", _use(v), f"products_{v.name}") for v in VARIANTS]
-    made = series_rows(rows, memory, *products, F.expr("max(d) as d"), F.expr("max(scale) as scale"))
+    designs = [design_rows(_design(v), f"w_{v.name}", _use(v), f"designs_{v.name}") for v in VARIANTS]
+    made = series_rows(rows, memory, *designs, F.expr("max(d) as d"), F.expr("max(scale) as scale"))
     made = made.filter(f"n_fit >= {LEAST}")
-    made = made.withColumns({f"scores_{v.name}": _score(v, F.col(f"products_{v.name}")) for v in VARIANTS})
+    made = made.withColumns({f"scores_{v.name}": _score(v, F.col(f"designs_{v.name}")) for v in VARIANTS})
     scored = f"if(n_fit >= {LEAST_SEASONAL}, concat({_scored(LEVEL)}, {_scored(SEASONAL)}), {_scored(PLAIN)})"
-    dropped = [f"{kind}_{v.name}" for v in VARIANTS for kind in ("products", "scores")]
+    dropped = [f"{kind}_{v.name}" for v in VARIANTS for kind in ("designs", "scores")]
     return made.withColumn("candidates", F.expr(scored)).drop(*dropped)
 
 

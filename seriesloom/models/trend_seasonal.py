@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.functions.calendar import fourier_pairs, is_holiday_month, months_after
 from seriesloom.models.frame import KEYS, OF_FIT, series_rows, skipped
-from seriesloom.models.least_squares import cross_products, dot, ridge_coefficients
+from seriesloom.models.least_squares import design_rows, dot, ridge_coefficients
 
 NAME = "trend_seasonal"
 CHANGE_POINTS = 6
@@ -57,12 +57,12 @@ def _history(frame: DataFrame) -> DataFrame:
 def fit(frame: DataFrame, changepoint_prior: float = CHANGEPOINT_PRIOR, keep_rows: bool = False) -> DataFrame:
     """One row per series and phase with ``coef`` and ``scale``; with its fitted ``rows`` if asked."""
     names = [f"x{i}" for i in range(HOLIDAY.stop)]
-    wanted = [cross_products(names, "target", "fit", "products"), F.expr("max(scale) as scale")]
+    wanted = [design_rows(names, "target", "fit", "designs"), F.expr("max(scale) as scale")]
     if keep_rows:
         wanted.append(F.expr("collect_list(if(fit, struct(at, date, total), null)) as rows"))
     rows = series_rows(_history(frame), {}, *wanted).filter(f"n_fit >= {LEAST}")
-    solved = rows.withColumn("coef", ridge_coefficients(F.col("products"), penalties(changepoint_prior)))
-    return solved.drop("products").filter("coef is not null")
+    solved = rows.withColumn("coef", ridge_coefficients(F.col("designs"), penalties(changepoint_prior)))
+    return solved.drop("designs").filter("coef is not null")
 
 
 def forecast(frame: DataFrame, changepoint_prior: float = CHANGEPOINT_PRIOR) -> DataFrame:

@@ -50,6 +50,16 @@ def calendar_bounds(monthly: DataFrame) -> DataFrame:
     return monthly.agg(F.min(pair)["date"].alias("lo"), F.max(pair)["date"].alias("hi"))
 
 
+def spread(monthly: DataFrame) -> DataFrame:
+    """Shuffle by series into the session's full number of shuffle partitions.
+
+    This is the shuffle the windows need anyway. Rows multiply behind it (filled gaps, phases,
+    model columns), so it must not be merged into few partitions by the size it has here.
+    """
+    partitions = int(monthly.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return monthly.repartition(partitions, "state")
+
+
 def _with_gaps(monthly: DataFrame, bounds: DataFrame | None) -> DataFrame:
     """Each present month followed by one row per missing month up to the next present one.
 
@@ -57,7 +67,7 @@ def _with_gaps(monthly: DataFrame, bounds: DataFrame | None) -> DataFrame:
     This builds the dense grid from one window per series, without a cross product or a join.
     """
     bounds = calendar_bounds(monthly) if bounds is None else bounds
-    known = monthly.filter("total is not null").selectExpr(
+    known = spread(monthly.filter("total is not null")).selectExpr(
         "state",
         "date",
         "total",

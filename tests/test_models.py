@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.models import baselines, gbt_lag, seasonal_ar, trend_seasonal, window_huber
 from seriesloom.models.frame import FUTURE, PHASES, VALIDATION, phase_frame
-from seriesloom.models.least_squares import cross_products, ridge_coefficients, solve_stacked
+from seriesloom.models.least_squares import design_rows, ridge_coefficients, solve_stacked
 from seriesloom.models.registry import MODELS, Forecaster, register
 from seriesloom.operators import evaluation, panel as panels
 from seriesloom.plans import competition, records as rec
@@ -53,8 +53,8 @@ def test_grouped_ridge_equals_numpy(spark):
     y = 1 + x @ [2.0, -3.0] + 0.1 * noise
     rows = [("A", float(a), float(b), float(t)) for (a, b), t in zip(x, y)]
     df = spark.createDataFrame(rows, "k string, a double, b double, t double")
-    products = df.groupBy("k").agg(cross_products(["1D", "a", "b"], "t", "true", "products"))
-    got = products.select(ridge_coefficients(F.col("products"), [0.0, 0.0, 0.0]).alias("c")).first().c
+    designs = df.groupBy("k").agg(design_rows(["1D", "a", "b"], "t", "true", "designs"))
+    got = designs.select(ridge_coefficients(F.col("designs"), [0.0, 0.0, 0.0]).alias("c")).first().c
     want = np.linalg.lstsq(np.column_stack([np.ones(60), x]), y, rcond=None)[0]
     np.testing.assert_allclose(got, want, rtol=1e-6)
 
