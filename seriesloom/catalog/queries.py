@@ -185,8 +185,7 @@ def min_periods(spark, d):
 
 @query
 def dropped_states(spark, d):
-    months = _customer_months(spark, d)
-    return panels.dropped_series(months, panels.enough_periods(months))
+    return panels.dropped_series(_customer_months(spark, d))
 
 
 @query
@@ -484,7 +483,10 @@ def batch_lookup(spark, d):
 
 @query
 def history_view(spark, d):
-    return serving.history_view(_panel(spark, d), _records(spark, d), digits=4)
+    """The panel serves the history and the forecasts, so it is computed once."""
+    panel = materialize(_panel(spark, d))
+    made = rec.forecast_records(baselines.baseline_predictions(phase_frame(panel)), BASELINES)
+    return serving.history_view(panel, made, digits=4)
 
 
 # Model forecasts: no exact SQL

@@ -24,7 +24,7 @@ from seriesloom.session import materialize, side_by_side, union
 
 NAME = "gbt_lag"
 MEMORY = 13
-LEAST = MEMORY + 1
+LEAST = MEMORY
 MAX_ITERATIONS = 30
 
 # Tree settings. The number of trees is ``max_iterations``; 300 is the full setting.

@@ -32,13 +32,12 @@ SEASON = 12
 LEAST = 15
 LEAST_SEASONAL = 37
 
-# The searched orders (p, q, P, D, Q) and the order used when no candidate can be fitted.
+# The searched orders (p, q, P, D, Q).
 P_RANGE = [0, 1, 2]
 Q_RANGE = [0, 1, 2]
 SEASONAL_P_RANGE = [0, 1]
 SEASONAL_D_RANGE = [0, 1]
 SEASONAL_Q_RANGE = [0, 1]
-DEFAULT_ORDER = (1, 1, 0, 1, 0)
 
 CANDIDATES = list(product(P_RANGE, Q_RANGE, SEASONAL_P_RANGE, SEASONAL_D_RANGE, SEASONAL_Q_RANGE))
 
@@ -261,4 +260,4 @@ def skipped_series(frame: DataFrame) -> DataFrame:
 
 
 def parameters() -> dict[str, str]:
-    return {"candidates": str(len(CANDIDATES)), "season": str(SEASON), "default_order": str(DEFAULT_ORDER)}
+    return {"candidates": str(len(CANDIDATES)), "season": str(SEASON)}

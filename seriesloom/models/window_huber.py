@@ -1,4 +1,8 @@
-"""Linear model with Huber loss on scaled lookback windows, one pooled model per phase."""
+"""Linear model with Huber loss on scaled lookback windows, pooled over series.
+
+A series looks back over half its points, at most twelve. Series with the same lookback share
+a model; a dense panel has one lookback, and there are never more than twelve.
+"""
 
 from __future__ import annotations
 
@@ -13,14 +17,20 @@ from seriesloom.session import side_by_side, union
 
 NAME = "window_huber"
 LOOKBACK = 12
+LEAST = 4
 EPSILON = 1.35
 MAX_ITERATIONS = 40
 TOLERANCE = 1e-4
 
 
-def lookback_for(shortest: int, longest: int = LOOKBACK) -> int:
-    """Half the points of the shortest series, at most ``longest``, at least 1."""
-    return max(1, min(longest, shortest // 2))
+LOOKBACK_OF_SERIES = f"least({LOOKBACK}, cast(n_fit div 2 as int))"
+
+
+def lookbacks(frame: DataFrame) -> dict[str, list[int]]:
+    """The lookbacks in use per phase; a handful of numbers."""
+    used = frame.filter(f"n_fit >= {LEAST}").groupBy("phase")
+    rows = used.agg(F.expr(f"array_sort(collect_set({LOOKBACK_OF_SERIES})) as lookbacks")).collect()
+    return {row.phase: list(row.lookbacks) for row in rows}
 
 
 def training_rows(frame: DataFrame, phase: str, lookback: int = LOOKBACK) -> DataFrame:
@@ -60,14 +70,22 @@ def predict(frame: DataFrame, phase: Phase, model: LinearRegressionModel) -> Dat
     return as_predictions(rows, NAME, F.expr(path))
 
 
-def forecast(frame: DataFrame, phases: tuple[Phase, ...], lookback: int = LOOKBACK) -> DataFrame:
-    """One pooled model per phase; the fits are independent jobs and are submitted side by side."""
-    models = side_by_side([lambda p=p: fit(frame, p.name, lookback) for p in phases])
-    return union([predict(frame, phase, model) for phase, model in zip(phases, models)])
+def forecast(frame: DataFrame, phases: tuple[Phase, ...]) -> DataFrame:
+    """The fits are independent jobs and are submitted side by side."""
+    used = lookbacks(frame)
+    parts = [
+        (phase, lookback, frame.filter(f"n_fit >= {LEAST} and {LOOKBACK_OF_SERIES} = {lookback}"))
+        for phase in phases
+        for lookback in used.get(phase.name, [])
+    ]
+    if not parts:
+        raise ValueError(f"no series has {LEAST} points")
+    models = side_by_side([lambda p=p: fit(p[2], p[0].name, p[1]) for p in parts])
+    return union([predict(rows, phase, model) for (phase, _, rows), model in zip(parts, models)])
 
 
-def skipped_series(frame: DataFrame, lookback: int = LOOKBACK) -> DataFrame:
-    return skipped(frame, NAME, lookback + 1, f"a lookback of {lookback}")
+def skipped_series(frame: DataFrame) -> DataFrame:
+    return skipped(frame, NAME, LEAST, "a lookback window")
 
 
 def parameters(lookback: int = LOOKBACK) -> dict[str, str]:

@@ -137,9 +137,11 @@ def enough_periods(df: DataFrame, at_least: int = MIN_PERIODS, counted: Column |
     return df.withColumn("_size", size).filter(F.col("_size") >= at_least).drop("_size")
 
 
-def dropped_series(before: DataFrame, after: DataFrame) -> DataFrame:
-    """States present in ``before`` and absent from ``after``."""
-    return before.select("state").distinct().join(after.select("state").distinct(), "state", "left_anti")
+def dropped_series(df: DataFrame, at_least: int = MIN_PERIODS, counted: Column | None = None) -> DataFrame:
+    """The states that ``enough_periods`` leaves out."""
+    counted = F.col("total").isNotNull() if counted is None else counted
+    sizes = df.groupBy("state").agg(F.count_if(counted).alias("n"))
+    return sizes.filter(F.col("n") < at_least).select("state")
 
 
 def build_monthly_panel(
@@ -195,10 +197,9 @@ def split_report(split: DataFrame) -> DataFrame:
 
 
 def split_overlap(split: DataFrame) -> DataFrame:
-    """Number of (state, date) pairs on both sides of the split."""
-    keys = ["state", "date"]
-    both = part(split, "train").select(*keys).intersect(part(split, "val").select(*keys))
-    return both.agg(F.count(F.lit(1)).alias("n_overlap"))
+    """Number of (state, date) pairs on both sides of the split; one pass, no set operation."""
+    sides = split.groupBy("state", "date").agg((F.min("split") != F.max("split")).alias("both"))
+    return sides.agg(F.count_if("both").alias("n_overlap"))
 
 
 def trainable(split: DataFrame, min_train: int = 15) -> DataFrame:
@@ -220,9 +221,9 @@ def last_rows(panel: DataFrame, k: int) -> DataFrame:
 def tail_split(rows: DataFrame, share: float = 0.2) -> DataFrame:
     """Mark the newest share (at least one row) of each series as the inner hold-out."""
     size = F.count(F.lit(1)).over(by_series())
-    newest = F.row_number().over(by_series().orderBy(F.desc("date")))
     held = F.greatest(F.lit(1), F.floor(size * F.lit(share)).cast("int"))
-    return rows.withColumn("part", F.when(newest <= held, "val").otherwise("train"))
+    late = F.row_number().over(in_time()) > size - held
+    return rows.withColumn("part", F.when(late, "val").otherwise("train"))
 
 
 def infer_frequency(panel: DataFrame, default: str = "ME") -> DataFrame:

@@ -142,15 +142,23 @@ def test_window_huber_follows_the_season(frame):
     assert mape(made)["wave"] < 5
 
 
-def test_lookback_rule():
-    assert [window_huber.lookback_for(n) for n in (1, 10, 24, 80)] == [1, 5, 12, 12]
-
-
-def test_short_series_are_listed_with_a_reason(spark):
-    rows = [("tiny", d, 1.0) for d in month_ends(2020, 1, 8)]
-    frame = phase_frame(spark.createDataFrame(rows, "state string, date date, total double"), (FUTURE,))
+def test_lookback_is_half_the_series_up_to_twelve(spark, long_panel):
+    """Short series share a model among themselves, so a group of them is fitted well."""
+    rng = np.random.default_rng(5)
+    rows = [
+        (f"short{i}", d, float(v))
+        for i in range(20)
+        for d, v in zip(month_ends(2022, 1, 16), 50 + rng.normal(size=16))
+    ]
+    rows += [("tiny", d, 1.0) for d in month_ends(2022, 1, 3)]
+    mixed = long_panel.unionByName(spark.createDataFrame(rows, long_panel.schema))
+    frame = phase_frame(mixed, (FUTURE,)).cache()
+    assert window_huber.lookbacks(frame) == {"future": [8, 12]}
+    made = window_huber.forecast(frame, (FUTURE,)).collect()
+    assert {"grow", "wave", "line"} < {r.state for r in made} and len(made) == 46
+    np.testing.assert_allclose([r.yhat for r in made if r.state.startswith("short")], 50, atol=5)
     row = window_huber.skipped_series(frame).first()
-    assert row.reason == "8 points, a lookback of 12 needs at least 13"
+    assert (row.state, row.reason) == ("tiny", "3 points, a lookback window needs at least 4")
 
 
 @pytest.mark.parametrize("name", ["seasonal_ar", "trend_seasonal", "window_huber", "gbt_lag"])

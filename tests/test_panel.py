@@ -106,7 +106,7 @@ def test_minimum_periods_and_dropped_states(spark):
     df = frame(spark, [("A", d, 1.0) for d in month_ends(2020, 1, 3)] + [("B", d, 1.0) for d in month_ends(2020, 1, 12)])
     kept = panels.enough_periods(df)
     assert {r.state for r in kept.collect()} == {"B"}
-    assert [r.state for r in panels.dropped_series(df, kept).collect()] == ["A"]
+    assert [r.state for r in panels.dropped_series(df).collect()] == ["A"]
     assert {r.state for r in panels.build_monthly_panel(df).collect()} == {"A", "B"}
     assert {r.state for r in panels.build_monthly_panel(df, min_observed=12).collect()} == {"B"}
 
