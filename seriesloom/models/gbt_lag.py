@@ -20,7 +20,7 @@ from seriesloom.operators.features import (
     features_from_history,
     model_features,
 )
-from seriesloom.session import materialize, side_by_side, union
+from seriesloom.session import gathered, side_by_side, union
 
 NAME = "gbt_lag"
 MEMORY = 13
@@ -67,7 +67,7 @@ def training_rows(frame: DataFrame, phase: str) -> DataFrame:
 
 def fit(frame: DataFrame, phase: str, max_iterations: int = MAX_ITERATIONS) -> GBTRegressionModel:
     """One pooled model. The training rows are computed once: boosting reads them repeatedly."""
-    rows = materialize(training_rows(frame, phase))
+    rows = gathered(training_rows(frame, phase))
     return GBTRegressor(maxIter=max_iterations, **TREE_SETTINGS).fit(rows)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.models.frame import FIT_ORDER, OF_FIT, Phase, as_predictions, series_rows, skipped
 from seriesloom.operators.features import SCALE_FLOOR
-from seriesloom.session import side_by_side, union
+from seriesloom.session import gathered, side_by_side, union
 
 NAME = "window_huber"
 LOOKBACK = 12
@@ -47,7 +47,7 @@ def training_rows(frame: DataFrame, phase: str, lookback: int = LOOKBACK) -> Dat
 
 def fit(frame: DataFrame, phase: str, lookback: int = LOOKBACK) -> LinearRegressionModel:
     regression = LinearRegression(loss="huber", epsilon=EPSILON, maxIter=MAX_ITERATIONS, tol=TOLERANCE, regParam=1e-4)
-    return regression.fit(training_rows(frame, phase, lookback))
+    return regression.fit(gathered(training_rows(frame, phase, lookback)))
 
 
 def predict(frame: DataFrame, phase: Phase, model: LinearRegressionModel) -> DataFrame:
