@@ -48,7 +48,8 @@ def solve_stacked(matrices: np.ndarray, keep: np.ndarray, penalty: np.ndarray) -
     k = len(keep)
     gram = matrices[np.ix_(range(len(matrices)), keep, keep)]
     moment = matrices[:, keep, -1]
-    largest = np.maximum(np.einsum("nii->ni", gram).max(axis=1), 1e-300)
+    largest = np.einsum("nii->ni", gram).max(axis=1)
+    largest = np.where(largest > 0, largest, 1.0)
     ridge = np.zeros((len(matrices), k, k))
     ridge[:, range(k), range(k)] = penalty[None, :] + JITTER * largest[:, None]
     coefficients = np.linalg.solve(gram + ridge, moment[:, :, None])[:, :, 0]

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from seriesloom.models import baselines, gbt_lag, seasonal_ar, trend_seasonal, window_huber
 from seriesloom.models.frame import PHASES, Phase, phase_frame
@@ -49,6 +49,12 @@ def register(name: str, model: Model) -> None:
     MODELS[name] = model
 
 
+def parameter_table(spark: SparkSession) -> DataFrame:
+    """``(model, params)`` of the models that have parameters."""
+    rows = [(name, make()) for name, make in PARAMETERS.items()]
+    return spark.createDataFrame(rows, "model string, params map<string,string>")
+
+
 class Forecaster:
     """One model with the fit, predict and get_params steps of a classic forecaster."""
 
@@ -74,4 +80,4 @@ class Forecaster:
         return PARAMETERS[self.name]() if self.name in PARAMETERS else {}
 
 
-__all__ = ["BASELINES", "MODELS", "PARAMETERS", "PHASES", "SKIPPED", "Forecaster", "register"]
+__all__ = ["BASELINES", "MODELS", "PARAMETERS", "PHASES", "SKIPPED", "Forecaster", "parameter_table", "register"]

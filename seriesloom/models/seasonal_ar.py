@@ -238,9 +238,14 @@ def _path(v: Variant) -> str:
 
 
 def forecast(frame: DataFrame) -> DataFrame:
+    return predict(fit(frame))
+
+
+def predict(fits: DataFrame) -> DataFrame:
+    """Forecasts out of a table of fits, fresh or stored."""
     path = f"""case best.variant when '{PLAIN.name}' then {_path(PLAIN)}
                                  when '{LEVEL.name}' then {_path(LEVEL)} else {_path(SEASONAL)} end"""
-    return as_predictions(fit(frame), NAME, F.expr(path))
+    return as_predictions(fits, NAME, F.expr(path))
 
 
 def fitted_values(frame: DataFrame) -> DataFrame:

@@ -66,7 +66,12 @@ def fit(frame: DataFrame, changepoint_prior: float = CHANGEPOINT_PRIOR, keep_row
 
 
 def forecast(frame: DataFrame, changepoint_prior: float = CHANGEPOINT_PRIOR) -> DataFrame:
-    made = fit(frame, changepoint_prior).selectExpr("*", "explode(sequence(1, steps)) as step")
+    return predict(fit(frame, changepoint_prior))
+
+
+def predict(fits: DataFrame) -> DataFrame:
+    """Forecasts out of a table of fits, fresh or stored."""
+    made = fits.selectExpr("*", "explode(sequence(1, steps)) as step")
     dated = with_design(made.withColumn("date", months_after("last_date", "step")), "n_fit - 1 + step")
     return dated.selectExpr(
         "state",

@@ -70,18 +70,23 @@ def predict(frame: DataFrame, phase: Phase, model: LinearRegressionModel) -> Dat
     return as_predictions(rows, NAME, F.expr(path))
 
 
-def forecast(frame: DataFrame, phases: tuple[Phase, ...]) -> DataFrame:
-    """The fits are independent jobs and are submitted side by side."""
+def fit_groups(frame: DataFrame, phases: tuple[Phase, ...]) -> list[tuple[Phase, LinearRegressionModel]]:
+    """One model per phase and lookback. The fits are independent jobs, submitted side by side."""
     used = lookbacks(frame)
-    parts = [
-        (phase, lookback, frame.filter(f"n_fit >= {LEAST} and {LOOKBACK_OF_SERIES} = {lookback}"))
-        for phase in phases
-        for lookback in used.get(phase.name, [])
-    ]
-    if not parts:
+    groups = [(phase, lookback) for phase in phases for lookback in used.get(phase.name, [])]
+    if not groups:
         raise ValueError(f"no series has {LEAST} points")
-    models = side_by_side([lambda p=p: fit(p[2], p[0].name, p[1]) for p in parts])
-    return union([predict(rows, phase, model) for (phase, _, rows), model in zip(parts, models)])
+    models = side_by_side([lambda g=g: fit(_of_lookback(frame, g[1]), g[0].name, g[1]) for g in groups])
+    return [(phase, model) for (phase, _), model in zip(groups, models)]
+
+
+def _of_lookback(frame: DataFrame, lookback: int) -> DataFrame:
+    return frame.filter(f"n_fit >= {LEAST} and {LOOKBACK_OF_SERIES} = {lookback}")
+
+
+def forecast(frame: DataFrame, phases: tuple[Phase, ...]) -> DataFrame:
+    groups = fit_groups(frame, phases)
+    return union([predict(_of_lookback(frame, model.numFeatures), phase, model) for phase, model in groups])
 
 
 def skipped_series(frame: DataFrame) -> DataFrame:

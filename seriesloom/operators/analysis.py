@@ -92,3 +92,14 @@ def df_test(panel: DataFrame) -> DataFrame:
     statistic, n = dickey_fuller_statistic("total - level", "level")
     tested = changes.groupBy("state").agg(F.expr(f"{n} as n"), F.expr(f"{statistic} as t_stat"))
     return tested.withColumn("stationary", F.expr(f"coalesce(t_stat < {CRITICAL.format('n')}, false)"))
+
+
+def exploratory_report(panel: DataFrame) -> dict[str, DataFrame]:
+    """The tables looked at before any training."""
+    return {
+        "summary": panel_summary(panel),
+        "top_states": top_states(panel),
+        "aggregate_trend": aggregate_trend(panel),
+        "seasonality": seasonality_pivot(panel),
+        "decomposition": seasonal_decompose(panel),
+    }

@@ -11,13 +11,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.models.frame import PHASES, Phase, phase_frame
+from seriesloom.models import gbt_lag, seasonal_ar, trend_seasonal, window_huber
+from seriesloom.models.frame import FUTURE, PHASES, Phase, phase_frame
 from seriesloom.models.registry import MODELS, SKIPPED
 from seriesloom.operators.panel import train_val_split, trainable
 from seriesloom.plans.records import failed_states, forecast_records
 from seriesloom.plans.serving import pending_states, select_states
 from seriesloom.session import materialize, side_by_side, union
-from seriesloom.sources.store import write_records
+from seriesloom.sources.store import write_coefficients, write_records
 
 FAILURE = "state string, phase string, model string, reason string"
 
@@ -74,3 +75,13 @@ def compete(
     if store_path:
         write_records(records, store_path)
     return Outcome(predictions, records, failures, failed_states(rows, records))
+
+
+def save_fits(panel: DataFrame, path: str) -> None:
+    """Fit on all data and keep the fitted models: tables for per-series fits, model folders for pooled ones."""
+    frame = materialize(phase_frame(panel, (FUTURE,)))
+    write_coefficients(seasonal_ar.fit(frame), f"{path}/{seasonal_ar.NAME}")
+    write_coefficients(trend_seasonal.fit(frame), f"{path}/{trend_seasonal.NAME}")
+    gbt_lag.save(gbt_lag.fit(frame, FUTURE.name), f"{path}/{gbt_lag.NAME}")
+    for _, model in window_huber.fit_groups(frame, (FUTURE,)):
+        model.write().overwrite().save(f"{path}/{window_huber.NAME}/{model.numFeatures}")

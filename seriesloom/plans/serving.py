@@ -10,6 +10,7 @@ from seriesloom.operators.panel import last_rows
 # Texts and limits of the answers.
 UNIT = "USD (monthly sales)"
 NOT_FOUND = "'%s' not found. GET /states for list."
+DEMO_STATES = ["California", "Texas", "Florida", "New York", "Illinois"]
 HISTORY_DEFAULT, HISTORY_LEAST, HISTORY_MOST = 36, 3, 120
 
 

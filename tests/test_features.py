@@ -133,3 +133,9 @@ def test_stationarity_of_noise_and_of_a_walk(spark):
     b, sse = np.linalg.lstsq(design, y, rcond=None)[:2]
     se = np.sqrt(sse[0] / 77 * np.linalg.inv(design.T @ design)[1, 1])
     np.testing.assert_allclose(got["walk"].t_stat, b[1] / se, rtol=1e-9)
+
+
+def test_exploratory_tables(sample_panel):
+    report = analysis.exploratory_report(sample_panel)
+    assert report["summary"].first().n_rows == 36
+    assert report["seasonality"].count() == 3 and report["aggregate_trend"].count() == 36

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from seriesloom.models import baselines, gbt_lag, seasonal_ar, trend_seasonal, window_huber
 from seriesloom.models.frame import FUTURE, PHASES, VALIDATION, phase_frame
 from seriesloom.models.least_squares import design_rows, ridge_coefficients, solve_stacked
-from seriesloom.models.registry import MODELS, Forecaster, register
+from seriesloom.models.registry import MODELS, Forecaster, parameter_table, register
 from seriesloom.operators import evaluation, panel as panels
 from seriesloom.plans import competition, records as rec
 from seriesloom.sources import store as stores
@@ -189,6 +189,26 @@ def test_competition_stores_and_resumes(spark, long_panel, tmp_path):
     assert back["line"].best_model == "linear_trend" and len(back["line"].forecast) == 2
 
 
+def test_saved_fits_forecast_like_fresh_ones(spark, long_panel, tmp_path):
+    path = str(tmp_path / "fits")
+    competition.save_fits(long_panel, path)
+    frame = phase_frame(long_panel, (FUTURE,))
+    for model in (seasonal_ar, trend_seasonal):
+        stored = model.predict(spark.read.parquet(f"{path}/{model.NAME}"))
+        got = {(r.state, r.step): r.yhat for r in stored.collect()}
+        want = {(r.state, r.step): r.yhat for r in model.forecast(frame).collect()}
+        assert got.keys() == want.keys() and len(got) == 6
+        np.testing.assert_allclose([got[k] for k in want], list(want.values()), rtol=1e-6)
+    assert gbt_lag.load(f"{path}/gbt_lag").getNumTrees == 30
+    assert (tmp_path / "fits" / "window_huber" / "12").is_dir()
+
+
+def test_parameters_are_a_table(spark):
+    rows = {r.model: r.params for r in parameter_table(spark).collect()}
+    assert set(rows) == {"seasonal_ar", "trend_seasonal", "gbt_lag", "window_huber"}
+    assert rows["gbt_lag"]["maxDepth"] == "4"
+
+
 def test_store_path_can_be_named_by_the_environment(monkeypatch):
     assert stores.store_path("a") == "a"
     monkeypatch.setenv("FORECASTS_PATH", "b")

@@ -78,6 +78,12 @@ def test_panel_scans_its_source_once(spark, tmp_path):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_dates_increase_per_state(sample_panel):
+    panel = panels.build_monthly_panel(sample_panel)
+    steps = panel.selectExpr("date > lag(date) over (partition by state order by date) as later")
+    assert steps.filter("not later").count() == 0 and panel.filter("total is null").count() == 0
+
+
 def test_null_states_are_left_out_of_the_panel(spark):
     df = frame(spark, [(None, D(2020, 1, 31), 1.0), ("A", D(2020, 1, 31), 2.0)])
     assert [r.state for r in panels.monthly_sum(df).collect()] == ["A"]
