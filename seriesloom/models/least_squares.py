@@ -58,6 +58,20 @@ def solve_stacked(matrices: np.ndarray, keep: np.ndarray, penalty: np.ndarray) -
     return coefficients, np.maximum(matrices[:, -1, -1] - explained + fitted, 0.0)
 
 
+def explosive(coefficients: np.ndarray, lags: tuple[int, ...], steps: int = 48, limit: float = 1.05) -> np.ndarray:
+    """Whether the effect of one shock still exceeds ``limit`` after ``steps`` steps.
+
+    ``coefficients`` holds the weights of the lagged values in its last axis.
+    """
+    memory = max(lags)
+    effect = np.zeros((*coefficients.shape[:-1], memory + steps))
+    effect[..., memory - 1] = 1.0
+    with np.errstate(over="ignore", invalid="ignore"):
+        for t in range(memory, memory + steps):
+            effect[..., t] = sum(coefficients[..., i] * effect[..., t - lag] for i, lag in enumerate(lags))
+        return ~(np.abs(effect[..., -memory:]).max(axis=-1) <= limit)
+
+
 def ridge_coefficients(rows: Column, penalty: list[float]) -> Column:
     """Coefficient array per flat array of rows; NULL with too few rows for the unpenalised columns."""
     weights = np.asarray(penalty, dtype=float)

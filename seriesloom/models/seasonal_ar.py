@@ -21,6 +21,7 @@ from seriesloom.models.least_squares import (
     cross_products,
     design_rows,
     dot,
+    explosive,
     once,
     ridge_coefficients,
     solve_stacked,
@@ -165,9 +166,12 @@ def _use(v: Variant) -> str:
 
 
 def _score(v: Variant, designs: Column) -> Column:
-    """Per candidate order of the variant: AIC, then the full coefficient vector."""
-    orders = v.orders
-    width = 1 + 2 * len(v.lags)
+    """Per candidate order of the variant: AIC, then the full coefficient vector.
+
+    A candidate whose own dynamics grow without bound gets no AIC and so cannot be chosen.
+    """
+    orders, lags = v.orders, v.lags
+    width = 1 + 2 * len(lags)
 
     @F.pandas_udf("array<array<double>>")
     def solve(batch: pd.Series) -> pd.Series:
@@ -181,6 +185,7 @@ def _score(v: Variant, designs: Column) -> Column:
             result[:, i, 0] = np.where(usable, n * np.log(mean) + 2 * (len(keep) + 1), np.nan)
             result[:, i, 1:] = 0.0
             result[:, i, 1 + keep] = b
+        result[:, :, 0] = np.where(explosive(result[:, :, 2 : 2 + len(lags)], lags), np.nan, result[:, :, 0])
         return pd.Series(list(map(lambda r: [list(x) for x in r], result)))
 
     return once(solve)(designs)

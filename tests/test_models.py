@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.models import baselines, gbt_lag, seasonal_ar, trend_seasonal, window_huber
 from seriesloom.models.frame import FUTURE, PHASES, VALIDATION, phase_frame
-from seriesloom.models.least_squares import design_rows, ridge_coefficients, solve_stacked
+from seriesloom.models.least_squares import design_rows, explosive, ridge_coefficients, solve_stacked
 from seriesloom.models.registry import MODELS, Forecaster, parameter_table, register
 from seriesloom.operators import evaluation, panel as panels
 from seriesloom.plans import competition, records as rec
@@ -69,6 +69,28 @@ def test_stacked_solver_reports_the_residual_sum():
     np.testing.assert_allclose(sse[0], want[1][0], rtol=1e-6)
 
 
+def test_explosive_dynamics_are_told_from_stable_ones():
+    weights = np.array([[0.5, 0.3, 0.0], [1.5, -0.7, 0.0], [1.0, 0.0, 0.0], [1.1, 0.0, 0.0], [0.0, 0.0, 1.2], [2.0, -0.9, 0.2]])
+    roots = []
+    for a in weights:
+        companion = np.eye(12, k=-1)
+        companion[0, [0, 1, 11]] = a
+        roots.append(np.abs(np.linalg.eigvals(companion)).max())
+    assert explosive(weights, (1, 2, 12)).tolist() == [r > 1.001 for r in roots]
+
+
+def test_short_bursts_do_not_explode(spark):
+    """Lines with a late jump tempt an unbounded fit; the forecast stays near the data."""
+    rows = []
+    for i in range(6):
+        values = np.concatenate([np.linspace(10, 12, 60), 12 * 1.25 ** np.arange(1, 7 + i)])
+        rows += [(f"S{i}", d, float(v)) for d, v in zip(month_ends(2015, 1, len(values)), values)]
+    panel = spark.createDataFrame(rows, "state string, date date, total double")
+    made = seasonal_ar.forecast(phase_frame(panel, (FUTURE,))).collect()
+    top = {r.state: r.top for r in panel.groupBy("state").agg(F.max("total").alias("top")).collect()}
+    assert len(made) == 12 and all(r.yhat < 3 * top[r.state] for r in made)
+
+
 def test_seasonal_ar_follows_the_season(frame):
     made = seasonal_ar.forecast(frame)
     check_shape(made)
