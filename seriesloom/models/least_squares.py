@@ -58,18 +58,21 @@ def solve_stacked(matrices: np.ndarray, keep: np.ndarray, penalty: np.ndarray) -
     return coefficients, np.maximum(matrices[:, -1, -1] - explained + fitted, 0.0)
 
 
-def explosive(coefficients: np.ndarray, lags: tuple[int, ...], steps: int = 48, limit: float = 1.05) -> np.ndarray:
-    """Whether the effect of one shock still exceeds ``limit`` after ``steps`` steps.
+def explosive(coefficients: np.ndarray, lags: tuple[int, ...], periods: int = 5, limit: float = 1.05) -> np.ndarray:
+    """Whether the effect of one shock keeps growing from the first period after it to the last.
 
-    ``coefficients`` holds the weights of the lagged values in its last axis.
+    A period is as long as the longest lag; ``coefficients`` holds the weights of the lagged
+    values in its last axis. A lasting wave or level is not growth.
     """
     memory = max(lags)
-    effect = np.zeros((*coefficients.shape[:-1], memory + steps))
+    effect = np.zeros((*coefficients.shape[:-1], memory * (periods + 1)))
     effect[..., memory - 1] = 1.0
     with np.errstate(over="ignore", invalid="ignore"):
-        for t in range(memory, memory + steps):
+        for t in range(memory, effect.shape[-1]):
             effect[..., t] = sum(coefficients[..., i] * effect[..., t - lag] for i, lag in enumerate(lags))
-        return ~(np.abs(effect[..., -memory:]).max(axis=-1) <= limit)
+        early = np.abs(effect[..., memory : 2 * memory]).max(axis=-1)
+        late = np.abs(effect[..., -memory:]).max(axis=-1)
+        return ~(late <= limit * np.maximum(early, 1.0))
 
 
 def ridge_coefficients(rows: Column, penalty: list[float]) -> Column:

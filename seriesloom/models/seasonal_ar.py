@@ -168,7 +168,8 @@ def _use(v: Variant) -> str:
 def _score(v: Variant, designs: Column) -> Column:
     """Per candidate order of the variant: AIC, then the full coefficient vector.
 
-    A candidate whose own dynamics grow without bound gets no AIC and so cannot be chosen.
+    A candidate whose dynamics, or whose residuals worked out from them, grow without bound
+    gets no AIC and so cannot be chosen.
     """
     orders, lags = v.orders, v.lags
     width = 1 + 2 * len(lags)
@@ -185,7 +186,9 @@ def _score(v: Variant, designs: Column) -> Column:
             result[:, i, 0] = np.where(usable, n * np.log(mean) + 2 * (len(keep) + 1), np.nan)
             result[:, i, 1:] = 0.0
             result[:, i, 1 + keep] = b
-        result[:, :, 0] = np.where(explosive(result[:, :, 2 : 2 + len(lags)], lags), np.nan, result[:, :, 0])
+        values, residuals = result[:, :, 2 : 2 + len(lags)], result[:, :, 2 + len(lags) :]
+        unbounded = explosive(values, lags) | explosive(-residuals, lags)
+        result[:, :, 0] = np.where(unbounded, np.nan, result[:, :, 0])
         return pd.Series(list(map(lambda r: [list(x) for x in r], result)))
 
     return once(solve)(designs)
@@ -216,7 +219,7 @@ def candidate_scores(frame: DataFrame) -> DataFrame:
 
 def fit(frame: DataFrame) -> DataFrame:
     """The lowest AIC per series and phase; a candidate that cannot be fitted takes no part."""
-    best = F.expr("array_min(filter(candidates, c -> not isnan(c.aic)))")
+    best = F.expr("array_min(filter(candidates, c -> c.aic is not null and not isnan(c.aic)))")
     return candidate_scores(frame).withColumn("best", best).drop("candidates").filter("best is not null")
 
 
