@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from seriesloom.llm import byte_bpe, gam, license_scan, secret_scan, toxicity
+from seriesloom.llm import byte_bpe, fast_minhash, gam, license_scan, secret_scan, toxicity
 from seriesloom.llm.common import crc_remainder, read_table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -21,6 +21,10 @@ def op2_secrets(spark, d):
     return secret_scan.span_digests(read_table(spark, d, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op6_minhash(spark, d):
+    return fast_minhash.near_duplicates(read_table(spark, d, "documents"))
+
+
 def op7_toxicity(spark, d):
     docs, labels = read_table(spark, d, "documents"), read_table(spark, d, "labels")
     lexicon = toxicity.learn(docs, labels, crc_remainder("doc_id", 4) != 2)
@@ -35,5 +39,5 @@ def op9_byte_bpe(spark, d):
     return byte_bpe.encode_digests(read_table(spark, d, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_secrets, op7_toxicity, op8_licenses, op9_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_secrets, op6_minhash, op7_toxicity, op8_licenses, op9_byte_bpe)}
 ORACLES: dict[str, str] = {}
