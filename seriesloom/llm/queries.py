@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from seriesloom.llm import byte_bpe, fast_minhash, gam, license_scan, secret_scan, toxicity
+from seriesloom.llm import byte_bpe, fast_minhash, gam, license_scan, rabitq, secret_scan, toxicity
 from seriesloom.llm.common import crc_remainder, read_table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -39,5 +39,9 @@ def op9_byte_bpe(spark, d):
     return byte_bpe.encode_digests(read_table(spark, d, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_secrets, op6_minhash, op7_toxicity, op8_licenses, op9_byte_bpe)}
+def op10_rabitq(spark, d):
+    return rabitq.near_vectors(read_table(spark, d, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_secrets, op6_minhash, op7_toxicity, op8_licenses, op9_byte_bpe, op10_rabitq)}
 ORACLES: dict[str, str] = {}
