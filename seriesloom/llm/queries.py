@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from seriesloom.llm import byte_bpe, fast_minhash, gam, license_scan, rabitq, secret_scan, toxicity
+from seriesloom.llm import byte_bpe, fast_minhash, gam, license_scan, packing, rabitq, secret_scan, toxicity, va_search, warc_revisits
 from seriesloom.llm.common import crc_remainder, read_table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -21,6 +21,26 @@ def op2_secrets(spark, d):
     return secret_scan.span_digests(read_table(spark, d, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+#: Words of a text, the unit in which op3_packing measures documents.
+WORDS = r"[^\x20\x09-\x0D]+"
+
+
+def op3_packing(spark, d):
+    return packing.pack_documents(read_table(spark, d, "documents"), F.regexp_count("text", F.lit(WORDS)))
+
+
+def op4_va_search(spark, d):
+    vectors = va_search.prepare(read_table(spark, d, "embeddings"), 64)
+    found = va_search.top_k(vectors, F.col("id") % 20 == 0, 20)
+    return found.select(F.col("query_id").cast("long"), "rank", F.col("vec_id").cast("long"), "score")
+
+
+def op5_revisits(spark, d):
+    found = warc_revisits.resolve_revisits(warc_revisits.captures_of(read_table(spark, d, "pages")))
+    listed = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return found.withColumn("headers", F.array_join(listed, ";"))
+
+
 def op6_minhash(spark, d):
     return fast_minhash.near_duplicates(read_table(spark, d, "documents"))
 
@@ -43,5 +63,50 @@ def op10_rabitq(spark, d):
     return rabitq.near_vectors(read_table(spark, d, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_secrets, op6_minhash, op7_toxicity, op8_licenses, op9_byte_bpe, op10_rabitq)}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality, op2_secrets, op3_packing, op4_va_search, op5_revisits,
+        op6_minhash, op7_toxicity, op8_licenses, op9_byte_bpe, op10_rabitq,
+    )
+}
+OP4_SQL = """
+WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS x
+           FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.id AS query_id, c.id AS vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.id % 20 = 0 AND q.id <> c.id AND len(q.x) = len(c.x)),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 20
+"""
+
+OP5_SQL = r"""
+WITH parts AS (SELECT *, '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?([^/?#]*)([^?#]*)(?:\?([^#]*))?' AS re FROM pages),
+cut AS (SELECT page_id, html, regexp_replace(regexp_replace(lower(regexp_extract(url, re, 1)), '^www\.', ''), ':(80|443)$', '')
+          || regexp_replace(regexp_extract(url, re, 2), '/+$', '') AS place,
+          array_to_string(list_sort(list_filter(string_split(regexp_extract(url, re, 3), '&'),
+            lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|gclid|fbclid|ref)(=|$)'))), '&') AS query FROM parts),
+p AS (SELECT page_id, html, md5(html) AS tag, 'day ' || page_id AS day,
+        place || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS canonical_url FROM cut),
+response AS (SELECT page_id * 4 AS response_id, page_id * 1000 AS ts, canonical_url, tag, day, length(html) AS n FROM p),
+revisit AS (
+  SELECT page_id * 4 + k AS record_id, page_id * 1000 + CASE k WHEN 1 THEN 500000 ELSE -1 END AS ts, canonical_url,
+    CASE WHEN page_id % 5 = 0 THEN NULL WHEN page_id % 7 = 0 THEN 'other' ELSE 'W/' || tag END AS etag,
+    CASE WHEN page_id % 5 = 0 THEN day END AS day
+  FROM p, (VALUES (1), (2)) t(k) WHERE k = 1 OR page_id % 11 = 0),
+last AS (SELECT v.record_id, arg_max(r, (r.ts, r.response_id)) AS r FROM revisit v JOIN response r
+         ON v.canonical_url = r.canonical_url AND (r.ts < v.ts OR (r.ts = v.ts AND r.response_id < v.record_id)) GROUP BY v.record_id),
+j AS (SELECT v.*, l.r, CASE WHEN l.r IS NULL THEN 'no earlier response'
+        WHEN v.etag IS NOT NULL AND replace(v.etag, 'W/', '') <> l.r.tag THEN 'validator differs'
+        WHEN v.etag IS NULL AND v.day <> l.r.day THEN 'validator differs' ELSE 'resolved' END AS reason
+      FROM revisit v LEFT JOIN last l USING (record_id))
+SELECT record_id, canonical_url, CASE WHEN reason = 'resolved' THEN r.response_id END AS response_id, reason,
+  CASE WHEN reason = 'resolved'
+    THEN 'cache-control=max-age=600;content-length=' || r.n || ';content-type=text/html;etag=' || coalesce(etag, r.tag)
+         || ';last-modified=' || coalesce(day, r.day)
+    ELSE 'cache-control=max-age=600;content-length=0' || coalesce(';etag=' || etag, '') || coalesce(';last-modified=' || day, '')
+  END AS headers
+FROM j
+"""
+
+ORACLES: dict[str, str] = {"op4_va_search": OP4_SQL, "op5_revisits": OP5_SQL}
