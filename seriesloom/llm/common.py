@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 
 from seriesloom.session import materialize
 
-__all__ = ["checkpointed", "crc_remainder", "map_texts", "read_table", "slices", "texts_of"]
+__all__ = ["add_columns", "checkpointed", "crc_remainder", "map_texts", "read_table", "slices", "texts_of"]
 
 #: Bytes of text that a task turns into numpy arrays at once; one longer text is taken alone.
 SLICE_BYTES = 4 << 20
@@ -49,6 +49,26 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
     yield from zip(cuts[:-1], cuts[1:], strict=True)
 
 
+def add_columns(docs: DataFrame, schema: str, rows: Callable[[list[str]], list], text_col: str = "text") -> DataFrame:
+    """``docs`` with the columns of ``schema``, which ``rows`` makes from whole texts (one list per column).
+
+    A NULL text counts as ''. The new names must not be in ``docs``.
+    """
+    at = docs.columns.index(text_col)
+    added = StructType.fromDDL(schema)
+    types, names = to_arrow_schema(added).types, [*docs.columns, *added.names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(batch.column(at)):
+                part = batch.slice(a, b - a)
+                made = rows(texts_of(part.column(at)))
+                arrays = [pa.array(c, type=t) for c, t in zip(made, types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *arrays], names)
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *added.fields]))
+
+
 def map_texts(
     docs: DataFrame,
     schema: str,
@@ -56,21 +76,10 @@ def map_texts(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """Apply ``rows`` (texts -> one list per output column) to every row; the id column comes first.
+    """The id column and the columns that ``rows`` makes from whole texts (see ``add_columns``).
 
-    The id keeps its type and name, NULL ids stay, a NULL text counts as ''. Only the two
-    named columns are read, so other columns cannot clash with the result's.
+    The id keeps its type and name, NULL ids stay. Only the two named columns are read, so other
+    columns cannot clash with the result's.
     """
     narrow = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    id_type = narrow.schema["_id"].dataType.simpleString()
-    target = to_arrow_schema(StructType.fromDDL(schema))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1)
-            for a, b in slices(texts):
-                columns = rows(texts_of(texts.slice(a, b - a)))
-                arrays = [pa.array(c, type=t) for c, t in zip(columns, target.types, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *arrays], ["_id", *target.names])
-
-    return narrow.mapInArrow(run, f"_id {id_type}, {schema}").withColumnRenamed("_id", id_col)
+    return add_columns(narrow, schema, rows, "_text").drop("_text").withColumnRenamed("_id", id_col)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import map_texts, texts_of
+from seriesloom.llm.common import add_columns, map_texts, texts_of
 from seriesloom.llm.labelled import SAMPLE_ROWS, labelled_texts, training_sample
 
 BINS, ROUNDS, RATE, PAIR_BINS, PAIRS, PAIR_ROUNDS = 32, 120, 0.1, 8, 6, 40
@@ -205,13 +205,17 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, label_col: str =
     return fit(x, np.array([r[1] for r in got], float))
 
 
-def score(docs: DataFrame, model: Gam, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: its score between 0 and 1."""
+def score(
+    docs: DataFrame, model: Gam, id_col: str = "doc_id", text_col: str = "text", keep: str | None = None
+) -> DataFrame:
+    """One row per document: its score between 0 and 1. With ``keep``, all columns and the score under that name."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(texts: list[str]) -> list:
         return [shared.value.scores(_matrix(texts))]
 
+    if keep:
+        return add_columns(docs, f"{keep} double", rows, text_col)
     return map_texts(docs, "score double", rows, id_col, text_col)
 
 

@@ -18,10 +18,11 @@ import re
 from collections.abc import Callable
 
 import tiktoken
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from seriesloom.llm.byte_bpe import load_ranks
-from seriesloom.llm.common import map_texts
+from seriesloom.llm.common import add_columns, map_texts
 
 # Patterns, kinds in their order, least lengths.
 ASSIGN = re.compile(
@@ -99,15 +100,15 @@ def _counter(ranks: dict[bytes, int], pattern: str) -> Callable[[str], int]:
     return _COUNTERS[key]
 
 
-def _mapped(docs, schema, of_text, ranks_path, pattern, id_col, text_col, least):
-    shared = docs.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
+def _rows(spark: SparkSession, of_text: Callable, ranks_path: str, pattern: str, least: float) -> Callable:
+    shared = spark.sparkContext.broadcast(load_ranks(ranks_path))
 
     def rows(texts: list[str]) -> list:
         count = _counter(shared.value, pattern)
         made = [of_text(t, *all_spans(t, count, least)) for t in texts]
-        return [list(c) for c in zip(*made, strict=True)] if made else []
+        return [list(c) for c in zip(*made, strict=True)]
 
-    return map_texts(docs, schema, rows, id_col, text_col)
+    return rows
 
 
 def find_secrets(
@@ -124,7 +125,8 @@ def find_secrets(
         return ([{"kind": k, "start": a, "end": b, "value": text[a:b]} for a, b, k in spans],)
 
     kind = "array<struct<kind:string,start:bigint,end:bigint,value:string>>"
-    return _mapped(docs, f"secrets {kind}", of_text, ranks_path, pattern, id_col, text_col, least)
+    rows = _rows(docs.sparkSession, of_text, ranks_path, pattern, least)
+    return map_texts(docs, f"secrets {kind}", rows, id_col, text_col)
 
 
 def span_digests(
@@ -139,7 +141,8 @@ def span_digests(
         return (*(kinds.count(k) for k in KINDS), digest, ",".join(f"{k}:{a}:{b}" for a, b, k in spans))
 
     schema = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
-    return _mapped(docs, schema, of_text, ranks_path, pattern, id_col, text_col, LEAST_CHARS_PER_TOKEN)
+    rows = _rows(docs.sparkSession, of_text, ranks_path, pattern, LEAST_CHARS_PER_TOKEN)
+    return map_texts(docs, schema, rows, id_col, text_col)
 
 
 def masked(text: str, spans: list[Span]) -> str:
@@ -152,11 +155,9 @@ def masked(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-def mask_secrets(
-    docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """Ids with the masked text, and the number of spans that were replaced."""
-    return _mapped(
-        docs, f"{text_col} string, n_secrets long", lambda t, b, s: (masked(t, s), len(s)),
-        ranks_path, pattern, id_col, text_col, LEAST_CHARS_PER_TOKEN,
-    )
+def mask_secrets(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with secrets replaced in the text; NULL stays NULL."""
+    rows = _rows(docs.sparkSession, lambda t, b, spans: (masked(t, spans),), ranks_path, pattern, LEAST_CHARS_PER_TOKEN)
+    made = add_columns(docs, "_masked string", rows, text_col)
+    text = F.when(F.col(text_col).isNotNull(), F.col("_masked"))
+    return made.withColumn(text_col, text).drop("_masked")

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import map_texts, texts_of
+from seriesloom.llm.common import add_columns, map_texts, texts_of
 from seriesloom.llm.labelled import SAMPLE_ROWS, labelled_texts, training_sample
 
 #: Known insults with their weight before learning, and phrases in which such words are harmless.
@@ -224,16 +224,25 @@ def _curve(once: DataFrame, lexicon: Lexicon) -> tuple[float, float, float]:
     return tuple(float(b) for b in beta)
 
 
-def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: score between 0 and 1, and the number of matches that count."""
+def score(
+    docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text", keep: str | None = None
+) -> DataFrame:
+    """One row per document: score between 0 and 1, and the number of matches that count.
+
+    With ``keep``, all columns and the score under that name.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
     made: dict[str, ahocorasick.Automaton] = {}
 
     def rows(texts: list[str]) -> list:
-        automaton = made.setdefault("it", None) or made.update(it=shared.value.automaton()) or made["it"]
+        if not made:
+            made["it"] = shared.value.automaton()
+        automaton = made["it"]
         got = [matched(t, automaton) for t in texts]
         x = _inputs(np.array([w for w, _, _ in got], float), np.array([n for _, n, _ in got], float))
         scores = 1 / (1 + np.exp(-np.clip(x @ np.array(shared.value.curve), -35, 35)))
         return [scores, [len(h) for _, _, h in got]]
 
+    if keep:
+        return add_columns(docs, f"{keep} double", lambda texts: rows(texts)[:1], text_col)
     return map_texts(docs, "score double, n_matches long", rows, id_col, text_col)
