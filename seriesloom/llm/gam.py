@@ -127,17 +127,26 @@ def _shallow_tree(g: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def _pair_tree(g: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray]:
-    """Gain and values of a depth-two tree: a cut of the first feature, then one of the second on each side."""
-    total, at = _best_cut(g.sum(axis=1), h.sum(axis=1))
+    """Gain and values of a depth-two tree: a cut of the first feature, then one of the second on each side.
+
+    All first cuts are tried, as an interaction need not show in either feature alone.
+    """
+    whole = _gain(g.sum(), h.sum())
+    best, sides = -1.0, []
+    for at in range(len(g)):
+        tried, gain = [], -whole
+        for rows in (slice(0, at), slice(at, None)) if at else (slice(None),):
+            side_g, side_h = g[rows].sum(axis=0), h[rows].sum(axis=0)
+            more, cut = _best_cut(side_g, side_h)
+            gain += _gain(side_g.sum(), side_h.sum()) + more
+            tried.append((rows, cut if more > 0 else 0, side_g, side_h))
+        if gain > best and all(t[3].sum() >= LEAST for t in tried):
+            best, sides = gain, tried
     out = np.zeros_like(g)
-    gain = total
-    for rows in (slice(0, at), slice(at, None)) if total > 0 else (slice(None),):
-        side_g, side_h = g[rows].sum(axis=0), h[rows].sum(axis=0)
-        more, cut = _best_cut(side_g, side_h)
-        gain += more
-        for columns in (slice(0, cut), slice(cut, None)) if more > 0 else (slice(None),):
+    for rows, cut, side_g, side_h in sides:
+        for columns in (slice(0, cut), slice(cut, None)):
             out[rows, columns] = side_g[columns].sum() / (side_h[columns].sum() + RIDGE)
-    return gain, out
+    return best, out
 
 
 def _edges(x: np.ndarray, bins: int) -> list[np.ndarray]:
