@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,12 +17,26 @@ from pyspark.sql.types import StructType
 
 from seriesloom.session import materialize
 
-__all__ = ["add_columns", "checkpointed", "crc_remainder", "map_texts", "read_table", "slices", "texts_of"]
+__all__ = ["add_columns", "checkpointed", "crc_remainder", "map_texts", "read_table", "slices", "texts_of", "workers_import"]
 
 #: Bytes of text that a task turns into numpy arrays at once; one longer text is taken alone.
 SLICE_BYTES = 4 << 20
 
 
+def workers_import(spark: SparkSession) -> None:
+    """Send this library to the Python workers, once per application, so that tasks can import it anywhere."""
+    context = spark.sparkContext
+    if getattr(context, "_library_sent", False):
+        return
+    root = Path(__file__).resolve().parent.parent
+    archive = Path(tempfile.mkdtemp(prefix="run-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._library_sent = True
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

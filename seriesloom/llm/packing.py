@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seriesloom.llm.common import workers_import
+
 CAPACITIES = (512, 1024, 2048, 4096)
 OVERHEAD = 8
 SHARD = 4096
@@ -84,6 +86,7 @@ def pack(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES) -> tuple[
 def pack_documents(docs: DataFrame, length: Column, id_col: str = "doc_id", capacities: tuple[int, ...] = CAPACITIES) -> DataFrame:
     """One row per piece: id, piece (from 0), start (within the document), length, bin (shard and number),
     bin_offset and capacity."""
+    workers_import(docs.sparkSession)
     top = max(capacities)
     capacities = tuple(sorted(capacities))
     n = F.greatest(F.coalesce(length.cast("long"), F.lit(0)), F.lit(0))

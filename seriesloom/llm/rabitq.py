@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import checkpointed
+from seriesloom.llm.common import checkpointed, workers_import
 from seriesloom.llm.components import components
 
 #: Chance of missing a pair exactly at the threshold; closer pairs are missed far less often.
@@ -204,6 +204,7 @@ def near_vectors(
     label_col: str = "label",
 ) -> DataFrame:
     """One row per vector: n_links, component_id and kept, comparing vectors of equal labels."""
+    workers_import(rows.sparkSession)
     narrow = rows.select(
         F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).alias("label")
     )

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import checkpointed
+from seriesloom.llm.common import checkpointed, workers_import
 
 #: Vectors and queries of a block, and cells per component.
 BLOCK, QUERY_BLOCK, CELLS = 4096, 1024, 64
@@ -105,6 +105,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
 
     Raises if products of the values could leave the range of exact integers.
     """
+    workers_import(vectors.sparkSession)
     vectors = checkpointed(vectors)
     size = vectors.agg(
         F.count(F.lit(1)).alias("n"),
