@@ -8,16 +8,18 @@ similarity, with concentration as if the coordinates were independent. A sketch
 per shingle, not one per shingle and coordinate.
 
 Bands of ``ROWS`` coordinates give bucket keys. At similarity 0.75 a pair shares no bucket of the
-32 with a probability of 6e-6. Every pair that shares a bucket is either compared on its full
-shingle sets or already in one component, so nothing is lost behind the buckets:
+48 with a probability of 8e-5. Every pair that shares a bucket is either compared on its full
+shingle sets, ruled out by the sizes of the sets, or already in one component, so nothing is lost
+behind the buckets:
 
 1. Equal sets become one node (their smallest id), combined before the shuffle.
-2. Each node is compared with the smallest node of its buckets; links give components.
-3. In buckets that still hold several components, the nodes outside the smallest node's component
-   are compared with all nodes of other components.
+2. In every bucket that holds several components, a pivot is compared with the nodes of other
+   components; the links give larger components. Each round picks other pivots.
+3. When a round finds no link, or after ``TURNS`` rounds, all pairs of different components that still
+   share a bucket and were not compared are compared.
 
-Pairs within a group of copies are therefore never written out: a group costs one comparison per
-node. Comparisons of one node are dealt over tasks in lots of ``LOT``, so a hot group spreads.
+A group of near copies therefore costs a few comparisons per node, not one per pair. Comparisons
+with one node are dealt over tasks in lots of ``LOT``, so a hot group spreads.
 
 Defined cases: NULL, empty and blank texts have empty sets and link with nothing; rows with a NULL
 id take no part (component NULL, kept); rows that share an id count as one node; extra columns
@@ -38,11 +40,13 @@ from seriesloom.llm.common import checkpointed, map_texts, slices, texts_of
 from seriesloom.llm.components import components
 from seriesloom.llm.shingles import mix, shingle_sets
 
-BINS, ROWS = 128, 4
+BINS, ROWS = 288, 6
 #: Links need 100 * intersection >= SHARE * union.
 SHARE = 75
 #: Comparisons with one node that a task takes at a time.
 LOT = 128
+#: Rounds with pivots before all that is left is compared.
+TURNS = 8
 #: Bytes of text hashed at a time.
 SLICE = 2 << 20
 
@@ -118,7 +122,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if (hubs[i], lots[i]) != hub:
                 hub, own = (hubs[i], lots[i]), []
             if roles[i] == 0:
-                own.append(values.copy())
+                if not any(np.array_equal(x, values) for x in own):
+                    own.append(values.copy())
             elif any(linked(x, values) for x in own):
                 found[0].append(hubs[i])
                 found[1].append(ids[i])
@@ -126,14 +131,11 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x in found], ["a", "b"])
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those pairs (hub, id) whose full sets are similar enough, as links (a, b).
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those pairs (hub, id) whose full sets (id, shingles) are similar enough, as links (a, b).
 
-    Shingles are made anew for the documents (id, text) that take part. Members of a hub are dealt into
-    lots; the hub's set goes to each of its lots.
+    Members of a hub are dealt into lots; the hub's set goes to each of its lots.
     """
-    taking = pairs.select(F.col("hub").alias("id")).union(pairs.select("id")).distinct()
-    sets = checkpointed(_with_sets(docs.join(taking, "id", "left_semi")))
     sizes = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n"))
     lot = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / LOT))
     dealt = pairs.join(sizes, "hub").select("hub", lot.alias("lot"), "id")
@@ -145,31 +147,79 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_compare, f"a {kind}, b {kind}")
 
 
+def _open_buckets(shared: DataFrame, group: DataFrame | None, turn: int) -> DataFrame:
+    """Rows of buckets that hold several components, each with its component and the bucket's pivot of this turn."""
+    placed = shared.withColumn("own", F.col("id"))
+    if group is not None:
+        placed = shared.join(group.withColumnRenamed("node", "id"), "id", "left")
+        placed = placed.select("key", "id", "n", F.coalesce("component", "id").alias("own"))
+    pivot = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "own")).alias("pivot")
+    buckets = placed.groupBy("key").agg(pivot, F.min("own").alias("low"), F.max("own").alias("high"))
+    return checkpointed(placed.join(checkpointed(buckets.filter("low <> high").select("key", "pivot")), "key"))
+
+
+def _new_pairs(pairs: DataFrame, done: DataFrame | None) -> DataFrame:
+    """Distinct pairs (hub, m, id, n) of different components, of fitting sizes and not compared before, as (hub, id)."""
+    fits = f"100 * least(m, n) >= {SHARE} * greatest(m, n)"
+    pairs = pairs.filter(f"own <> other and {fits}").select("hub", "id").distinct()
+    if done is not None:
+        x, y = F.least("hub", "id"), F.greatest("hub", "id")
+        pairs = pairs.join(done, (x == F.col("x")) & (y == F.col("y")), "left_anti")
+    return checkpointed(pairs)
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("hub", "id").alias("x"), F.greatest("hub", "id").alias("y"))
+
+
+def _links(shared: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """Links that join all similar nodes of the buckets (key, id, n), directly or through others; None if there are none."""
+    links = done = None
+    for turn in range(TURNS):
+        shared = _open_buckets(shared, None if links is None else components(links), turn)
+        if shared.isEmpty():
+            return links
+        pivot = {"hub": "pivot.id", "m": "pivot.n", "other": "pivot.own"}
+        pairs = _new_pairs(shared.select(*[F.col(v).alias(k) for k, v in pivot.items()], "id", "n", "own"), done)
+        found = checkpointed(verified(pairs, sets))
+        shared = shared.select("key", "id", "n")
+        done = _ordered(pairs) if done is None else done.union(_ordered(pairs))
+        if found.isEmpty():
+            break
+        links = found if links is None else links.union(found)
+    rest = _open_buckets(shared, None if links is None else components(links), TURNS)
+    strays = rest.filter("own <> pivot.own").select(
+        "key", F.col("id").alias("hub"), F.col("n").alias("m"), F.col("own").alias("other")
+    )
+    pairs = _new_pairs(rest.join(strays, "key").filter("own = pivot.own or id < hub"), done)
+    if pairs.isEmpty():
+        return links
+    found = verified(pairs, sets)
+    return checkpointed(found if links is None else links.union(found))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: n_shingles, component_id (smallest id reachable by links), kept (whether it is that id)."""
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     made = checkpointed(map_texts(narrow, "n long, set_key binary, bands array<long>", _sketch_rows, "id", "text"))
-    nodes = (
-        made.filter("id is not null and set_key is not null")
-        .groupBy("set_key")
-        .agg(F.min("id").alias("node"), F.first("bands").alias("bands"))
-    )
-    nodes = checkpointed(nodes)
-    entries = nodes.select(F.col("node").alias("id"), F.explode("bands").alias("key"))
-    buckets = entries.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).filter("hub <> top")
-    shared = checkpointed(entries.join(buckets.drop("top"), "key"))
-    pairs = checkpointed(shared.filter("id <> hub").select("hub", "id").distinct())
-    texts = narrow.filter("id is not null").join(nodes.select(F.col("node").alias("id")), "id", "left_semi")
-    links = checkpointed(verified(pairs, texts))
-    more = checkpointed(_across(shared, components(links), pairs))
-    if not more.isEmpty():
-        links = links.union(verified(more, texts))
-    group = components(links)
-    by_set = nodes.join(group, nodes["node"] == group["node"], "left").select(
-        "set_key", F.coalesce("component", nodes["node"]).alias("component_id")
-    )
-    found = made.filter("id is not null and set_key is not null").join(by_set, "set_key")
-    alone = made.filter("id is null or set_key is null").withColumn("component_id", F.col("id"))
+    complete = F.col("id").isNotNull() & F.col("set_key").isNotNull()
+    nodes = checkpointed(
+        made.filter(complete).groupBy("set_key").agg(
+            F.min("id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands")
+        )
+    )
+    entries = nodes.select(F.col("node").alias("id"), "n", F.explode("bands").alias("key"))
+    buckets = entries.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high")
+    shared = checkpointed(entries.join(buckets.select("key"), "key"))
+    sets = checkpointed(_with_sets(narrow.join(shared.select("id").distinct(), "id", "left_semi")))
+    links = _links(shared, sets)
+    by_set = nodes.select("set_key", F.col("node").alias("component_id"))
+    if links is not None:
+        by_set = nodes.join(components(links), "node", "left").select(
+            "set_key", F.coalesce("component", "node").alias("component_id")
+        )
+    found = made.filter(complete).join(by_set, "set_key")
+    alone = made.filter(~complete).withColumn("component_id", F.col("id"))
     columns = ["id", "n", "component_id"]
     return found.select(*columns).union(alone.select(*columns)).select(
         F.col("id").alias(id_col),
@@ -177,19 +227,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "component_id",
         F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"),
     )
-
-
-def _across(shared: DataFrame, group: DataFrame, done: DataFrame) -> DataFrame:
-    """Pairs (hub, id) that share a bucket but no component and were not compared yet."""
-    kind = F.coalesce("component", "id").alias("own")
-    placed = shared.join(group.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "hub", kind)
-    open_keys = placed.groupBy("key").agg(F.min("own").alias("low"), F.max("own").alias("high")).filter("low <> high")
-    placed = checkpointed(placed.join(open_keys.select("key"), "key", "left_semi"))
-    first = placed.filter("id = hub").select("key", F.col("own").alias("first"))
-    placed = placed.join(first, "key")
-    strays = placed.filter("own <> first").select("key", F.col("id").alias("stray"), F.col("own").alias("other"))
-    pairs = placed.join(strays, "key").filter("own <> other and (own = first or id < stray)")
-    pairs = pairs.select(F.col("stray").alias("hub"), "id").distinct()
-    ordered = done.select(F.col("hub").alias("x"), F.col("id").alias("y"))
-    same = (F.least("hub", "id") == F.col("x")) & (F.greatest("hub", "id") == F.col("y"))
-    return pairs.join(ordered, same, "left_anti")
