@@ -6,6 +6,8 @@ observations over the monthly panel to scored forecasts.
 
 from __future__ import annotations
 
+from seriesloom.functions.sums import exact_sum_sql
+
 SALES = """
 sales AS (
   SELECT o_orderkey AS rid, n_name AS state, CAST(o_orderdate AS DATE) AS date, o_totalprice AS total
@@ -34,17 +36,17 @@ firsts AS (
     SELECT *, row_number() OVER (PARTITION BY state, date ORDER BY rid) AS rn FROM typed) WHERE rn = 1
 )"""
 
-MONTHLY = SALES + """,
+EXACT = exact_sum_sql("total")
+MONTHLY = SALES + f""",
 monthly AS (
-  SELECT state, last_day(date) AS date,
-    coalesce(CAST(sum(CAST(total AS DECIMAL(28, 6))) AS DOUBLE), 0) AS total
+  SELECT state, last_day(date) AS date, coalesce({EXACT}, 0) AS total
   FROM sales GROUP BY 1, 2
 )"""
 
-CUSTOMER_MONTHS = """
+CUSTOMER_MONTHS = f"""
 months AS (
   SELECT CAST(o_custkey AS VARCHAR) AS state, last_day(CAST(o_orderdate AS DATE)) AS date,
-    CAST(sum(CAST(o_totalprice AS DECIMAL(28, 6))) AS DOUBLE) AS total
+    {exact_sum_sql("o_totalprice")} AS total
   FROM orders GROUP BY 1, 2
 )"""
 
@@ -255,11 +257,7 @@ def _with(chain: str, select: str) -> str:
 
 
 def _month_cells() -> str:
-    return ", ".join(
-        "round(coalesce(CAST(sum(CASE WHEN month(date) = {m} THEN CAST(total AS DECIMAL(28, 6)) END) AS DOUBLE), 0), 4)"
-        " AS m{m:02d}".format(m=m)
-        for m in range(1, 13)
-    )
+    return ", ".join(f"round(coalesce(max(total) FILTER (month = {m}), 0), 4) AS m{m:02d}" for m in range(1, 13))
 
 
 def _next_cells() -> str:
@@ -277,7 +275,7 @@ def _fourier_cells() -> str:
     )
 
 
-TOP = "SELECT state, CAST(sum(CAST(total AS DECIMAL(28, 6))) AS DOUBLE) AS total FROM panel GROUP BY state ORDER BY total DESC, state LIMIT 10"
+TOP = f"SELECT state, {EXACT} AS total FROM panel GROUP BY state ORDER BY total DESC, state LIMIT 10"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -385,10 +383,11 @@ def oracle_sql() -> dict[str, str]:
       FROM placed WHERE idx >= 12""")
 
     q["top_states"] = _with(PANEL, f"SELECT state, round(total, 4) AS total FROM ({TOP})")
-    q["aggregate_trend"] = _with(PANEL, """
-      SELECT date, round(CAST(sum(CAST(total AS DECIMAL(28, 6))) AS DOUBLE), 4) AS total FROM panel GROUP BY date""")
+    q["aggregate_trend"] = _with(PANEL, f"SELECT date, round({EXACT}, 4) AS total FROM panel GROUP BY date")
     q["seasonality_pivot"] = _with(PANEL, f"""
-      SELECT CAST(year(date) AS INTEGER) AS year, {_month_cells()} FROM panel GROUP BY 1""")
+      SELECT year, {_month_cells()} FROM (
+        SELECT CAST(year(date) AS INTEGER) AS year, month(date) AS month, {EXACT} AS total FROM panel GROUP BY 1, 2)
+      GROUP BY year""")
     q["seasonal_decompose"] = _with(PANEL, """
       , averaged AS (
         SELECT state, date, total, idx, n, min(total) OVER (PARTITION BY state) AS least,
@@ -399,9 +398,10 @@ def oracle_sql() -> dict[str, str]:
       phases AS (
         SELECT state, idx % 12 AS phase, avg(total / trend) AS mean FROM averaged WHERE n >= 24 AND least > 0 GROUP BY 1, 2),
       levels AS (SELECT state, avg(mean) AS level FROM phases GROUP BY state)
-      SELECT a.state, a.date, round(a.total, 6) AS total, round(a.trend, 6) AS trend, round(p.mean / l.level, 6) AS seasonal,
-        round(a.total / (p.mean / l.level) / a.trend, 6) AS residual
-      FROM averaged a JOIN phases p ON p.state = a.state AND p.phase = a.idx % 12 JOIN levels l ON l.state = a.state""")
+      SELECT a.state, a.date, round(a.total, 6) AS total, CASE WHEN l.level IS NOT NULL THEN round(a.trend, 6) END AS trend,
+        round(p.mean / l.level, 6) AS seasonal, round(a.total / (p.mean / l.level) / a.trend, 6) AS residual,
+        CASE WHEN n < 24 THEN 'fewer than 24 months' WHEN least <= 0 THEN 'a value of 0 or less' END AS reason
+      FROM averaged a LEFT JOIN phases p ON p.state = a.state AND p.phase = a.idx % 12 LEFT JOIN levels l ON l.state = a.state""")
     q["df_test"] = _with(DICKEY_FULLER, "SELECT state, n, round(t_stat, 6) AS t_stat, stationary FROM stationarity")
     q["order_candidates"] = _with(DICKEY_FULLER, """
       SELECT s.state, CAST(p.v AS INTEGER) AS p, CASE WHEN stationary THEN 0 ELSE 1 END AS d, CAST(q.v AS INTEGER) AS q,

@@ -20,14 +20,14 @@ from seriesloom.operators.features import (
     features_from_history,
     model_features,
 )
-from seriesloom.session import gathered, side_by_side, union
+from seriesloom.session import materialize, side_by_side, union
 
 NAME = "gbt_lag"
 MEMORY = 13
 LEAST = MEMORY
-MAX_ITERATIONS = 30
+MAX_ITERATIONS = 300
 
-# Tree settings. The number of trees is ``max_iterations``; 300 is the full setting.
+# Tree settings. The number of trees is ``max_iterations``.
 TREE_SETTINGS = {
     "maxDepth": 4,
     "stepSize": 0.05,
@@ -65,10 +65,13 @@ def training_rows(frame: DataFrame, phase: str) -> DataFrame:
     return _assembler().transform(scaled).select("state", "date", "features", "label")
 
 
-def fit(frame: DataFrame, phase: str, max_iterations: int = MAX_ITERATIONS) -> GBTRegressionModel:
-    """One pooled model. The training rows are computed once: boosting reads them repeatedly."""
-    rows = gathered(training_rows(frame, phase))
-    return GBTRegressor(maxIter=max_iterations, **TREE_SETTINGS).fit(rows)
+def fit(frame: DataFrame, phase: str, max_iterations: int = MAX_ITERATIONS, **settings) -> GBTRegressionModel:
+    """One pooled model. The training rows are computed once: boosting reads them repeatedly.
+
+    ``settings`` override ``TREE_SETTINGS``. The rows keep the partitioning by series of the panel.
+    """
+    rows = materialize(training_rows(frame, phase))
+    return GBTRegressor(maxIter=max_iterations, **(TREE_SETTINGS | settings)).fit(rows)
 
 
 def predict(frame: DataFrame, phase: Phase, model: GBTRegressionModel) -> DataFrame:
@@ -96,13 +99,14 @@ def predict(frame: DataFrame, phase: Phase, model: GBTRegressionModel) -> DataFr
     return as_predictions(rows, NAME, "path")
 
 
-def fit_phases(frame: DataFrame, phases: tuple[Phase, ...], max_iterations: int = MAX_ITERATIONS) -> list:
+def fit_phases(frame: DataFrame, phases: tuple[Phase, ...], **settings) -> list:
     """One model per phase. The fits are independent jobs and are submitted side by side."""
-    return side_by_side([lambda p=p: fit(frame, p.name, max_iterations) for p in phases])
+    return side_by_side([lambda p=p: fit(frame, p.name, **settings) for p in phases])
 
 
-def forecast(frame: DataFrame, phases: tuple[Phase, ...], max_iterations: int = MAX_ITERATIONS) -> DataFrame:
-    models = fit_phases(frame, phases, max_iterations)
+def forecast(frame: DataFrame, phases: tuple[Phase, ...], **settings) -> DataFrame:
+    """``settings``: ``max_iterations`` and those of ``TREE_SETTINGS``."""
+    models = fit_phases(frame, phases, **settings)
     return union([predict(frame, phase, model) for phase, model in zip(phases, models)])
 
 
@@ -125,5 +129,5 @@ def skipped_series(frame: DataFrame) -> DataFrame:
     return skipped(frame, NAME, LEAST, "a lag model")
 
 
-def parameters(max_iterations: int = MAX_ITERATIONS) -> dict[str, str]:
-    return {"max_iterations": str(max_iterations), **{k: str(v) for k, v in TREE_SETTINGS.items()}}
+def parameters(max_iterations: int = MAX_ITERATIONS, **settings) -> dict[str, str]:
+    return {"max_iterations": str(max_iterations), **{k: str(v) for k, v in (TREE_SETTINGS | settings).items()}}

@@ -39,6 +39,18 @@ def cross_products(batch: pd.Series, width: int) -> tuple[np.ndarray, np.ndarray
     return counts, matrices
 
 
+def _solved(systems: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Solutions of stacked systems; a system without one gives NaN and leaves the others alone."""
+    out = np.full(right.shape, np.nan)
+    good = np.isfinite(systems).all(axis=(1, 2)) & np.isfinite(right).all(axis=1)
+    for i in np.flatnonzero(good):
+        try:
+            out[i] = np.linalg.solve(systems[i], right[i])
+        except np.linalg.LinAlgError:
+            continue
+    return out
+
+
 def solve_stacked(matrices: np.ndarray, keep: np.ndarray, penalty: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Coefficients of the kept columns and residual sums of squares, per matrix.
 
@@ -52,12 +64,19 @@ def solve_stacked(matrices: np.ndarray, keep: np.ndarray, penalty: np.ndarray) -
     largest = np.where(largest > 0, largest, 1.0)
     ridge = np.zeros((len(matrices), k, k))
     ridge[:, range(k), range(k)] = penalty[None, :] + JITTER * largest[:, None]
-    coefficients = np.linalg.solve(gram + ridge, moment[:, :, None])[:, :, 0]
+    coefficients = _solved(gram + ridge, moment)
     explained = 2 * np.einsum("nk,nk->n", coefficients, moment)
     fitted = np.einsum("nk,nkl,nl->n", coefficients, gram, coefficients)
     return coefficients, np.maximum(matrices[:, -1, -1] - explained + fitted, 0.0)
 
 
+def least_squares(rows: np.ndarray, keep: np.ndarray, target: int) -> tuple[np.ndarray, float]:
+    """Coefficients of the kept columns of one design and the residual sum of squares; NaN without a solution."""
+    wide = rows[:, [*keep, target]]
+    b, sse = solve_stacked((wide.T @ wide)[None], np.arange(len(keep)), np.zeros(len(keep)))
+    return b[0], float(sse[0])
+
+
 def explosive(coefficients: np.ndarray, lags: tuple[int, ...], periods: int = 5, limit: float = 1.05) -> np.ndarray:
     """Whether the effect of one shock keeps growing from the first period after it to the last.
 
@@ -75,8 +94,39 @@ def explosive(coefficients: np.ndarray, lags: tuple[int, ...], periods: int = 5,
         return ~(late <= limit * np.maximum(early, 1.0))
 
 
+def score_candidates(flat, start: int, kept: list[list[int]], lags: tuple[int, ...], width: int, bounded: bool) -> list[list[float]]:
+    """Per candidate (its kept columns) of one series: AIC, whether it is explosive, all coefficients.
+
+    ``flat`` holds rows of design, target and place. AICs are those of the rows from ``start`` on, which all
+    candidates must be able to use; coefficients those of every row a candidate can use. NaN for a candidate
+    with too few rows or without a solution.
+    """
+    rows = np.asarray(flat, dtype=float).reshape(-1, width + 2)
+    known, place = np.isfinite(rows[:, width]), rows[:, width + 1]
+    result = np.full((len(kept), 2 + width), np.nan)
+    for i, columns in enumerate(kept):
+        keep = np.asarray(columns)
+        own = known & np.isfinite(rows[:, keep]).all(axis=1)
+        common = own & (place >= start)
+        n = int(common.sum())
+        if n <= len(keep) + 1 or n < int((place >= start).sum()):
+            continue
+        _, sse = least_squares(rows[common], keep, width)
+        b, _ = least_squares(rows[own], keep, width)
+        if not np.isfinite(b).all() or not np.isfinite(sse):
+            continue
+        result[i, 2:] = 0.0
+        result[i, 2 + keep] = b
+        values, residuals = result[i, 3 : 3 + len(lags)], result[i, 3 + len(lags) :]
+        unbounded = bounded and bool(explosive(values, lags) | explosive(-residuals, lags))
+        result[i, 1] = float(unbounded)
+        if not unbounded:
+            result[i, 0] = n * np.log(max(sse, 1e-12) / n) + 2 * (len(keep) + 1)
+    return result.tolist()
+
+
 def ridge_coefficients(rows: Column, penalty: list[float]) -> Column:
-    """Coefficient array per flat array of rows; NULL with too few rows for the unpenalised columns."""
+    """Coefficient array per flat array of rows; NULL with too few rows for the unpenalised columns or without a solution."""
     weights = np.asarray(penalty, dtype=float)
     least = int((weights == 0).sum()) + 1
 
@@ -84,7 +134,7 @@ def ridge_coefficients(rows: Column, penalty: list[float]) -> Column:
     def solve(batch: pd.Series) -> pd.Series:
         counts, matrices = cross_products(batch, len(weights) + 1)
         coefficients, _ = solve_stacked(matrices, np.arange(len(weights)), weights)
-        return pd.Series([c if n >= least else None for n, c in zip(counts, coefficients)])
+        return pd.Series([c if n >= least and np.isfinite(c).all() else None for n, c in zip(counts, coefficients)])
 
     return once(solve)(rows)
 

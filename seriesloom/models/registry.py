@@ -1,7 +1,7 @@
 """The competing models, in the order that breaks ties, and a facade over one of them.
 
-A model is a function ``(phase frame, phases) -> predictions`` that covers every series. Adding
-one is a call of ``register``.
+A model is a function ``(phase frame, phases, **settings) -> predictions`` that covers every series.
+Adding one is a call of ``register``.
 """
 
 from __future__ import annotations
@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from seriesloom.models import baselines, gbt_lag, seasonal_ar, trend_seasonal, window_huber
 from seriesloom.models.frame import PHASES, Phase, phase_frame
 
-Model = Callable[[DataFrame, tuple[Phase, ...]], DataFrame]
+Model = Callable[..., DataFrame]
+Settings = dict[str, dict]
 
 MODELS: dict[str, Model] = {
-    seasonal_ar.NAME: lambda frame, phases: seasonal_ar.forecast(frame),
-    trend_seasonal.NAME: lambda frame, phases: trend_seasonal.forecast(frame),
+    seasonal_ar.NAME: lambda frame, phases, **settings: seasonal_ar.forecast(frame, **settings),
+    trend_seasonal.NAME: lambda frame, phases, **settings: trend_seasonal.forecast(frame, **settings),
     gbt_lag.NAME: gbt_lag.forecast,
     window_huber.NAME: window_huber.forecast,
     baselines.SEASONAL_NAIVE: lambda frame, phases: baselines.seasonal_naive(frame),
@@ -43,25 +44,29 @@ PARAMETERS = {
 BASELINES = [baselines.SEASONAL_NAIVE, baselines.LINEAR_TREND]
 
 
-def register(name: str, model: Model) -> None:
+def register(name: str, model: Model, parameters: Callable[..., dict[str, str]] | None = None) -> None:
+    """Add a model; ``parameters`` turns its settings into a map of texts."""
     if name in MODELS:
         raise ValueError(f"a model named {name!r} exists")
     MODELS[name] = model
+    if parameters:
+        PARAMETERS[name] = parameters
 
 
-def parameter_table(spark: SparkSession) -> DataFrame:
-    """``(model, params)`` of the models that have parameters."""
-    rows = [(name, make()) for name, make in PARAMETERS.items()]
+def parameter_table(spark: SparkSession, settings: Settings | None = None) -> DataFrame:
+    """``(model, params)`` of the models that have parameters, under the given settings."""
+    rows = [(name, make(**(settings or {}).get(name, {}))) for name, make in PARAMETERS.items()]
     return spark.createDataFrame(rows, "model string, params map<string,string>")
 
 
 class Forecaster:
     """One model with the fit, predict and get_params steps of a classic forecaster."""
 
-    def __init__(self, name: str):
+    def __init__(self, name: str, **settings):
         if name not in MODELS:
             raise ValueError(f"unknown model {name!r}; known: {sorted(MODELS)}")
         self.name = name
+        self.settings = settings
         self._panel: DataFrame | None = None
 
     def fit(self, panel: DataFrame) -> Forecaster:
@@ -73,11 +78,11 @@ class Forecaster:
         if self._panel is None:
             raise RuntimeError("call fit before predict")
         phases = (Phase("future", 0, steps),)
-        made = MODELS[self.name](phase_frame(self._panel, phases), phases)
+        made = MODELS[self.name](phase_frame(self._panel, phases), phases, **self.settings)
         return made.select("state", "step", "date", "yhat")
 
     def get_params(self) -> dict[str, str]:
-        return PARAMETERS[self.name]() if self.name in PARAMETERS else {}
+        return PARAMETERS[self.name](**self.settings) if self.name in PARAMETERS else {}
 
 
 __all__ = ["BASELINES", "MODELS", "PARAMETERS", "PHASES", "SKIPPED", "Forecaster", "parameter_table", "register"]

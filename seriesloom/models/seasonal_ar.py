@@ -11,27 +11,17 @@ from __future__ import annotations
 from dataclasses import dataclass
 from itertools import product
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.models.frame import FIT_ORDER, KEYS, OF_FIT, as_predictions, series_rows, skipped
-from seriesloom.models.least_squares import (
-    cross_products,
-    design_rows,
-    dot,
-    explosive,
-    once,
-    ridge_coefficients,
-    solve_stacked,
-)
+from seriesloom.models.least_squares import design_rows, dot, once, ridge_coefficients, score_candidates
 from seriesloom.operators.analysis import CRITICAL, dickey_fuller_statistic
 
 NAME = "seasonal_ar"
 SEASON = 12
 LEAST = 15
-LEAST_SEASONAL = 37
 
 # The searched orders (p, q, P, D, Q).
 P_RANGE = [0, 1, 2]
@@ -45,7 +35,7 @@ CANDIDATES = list(product(P_RANGE, Q_RANGE, SEASONAL_P_RANGE, SEASONAL_D_RANGE,
 
 @dataclass(frozen=True)
 class Variant:
-    """A differenced series and the lags used on it; short series use ``plain`` only."""
+    """A differenced series and the lags used on it; short series use the variants with few lags."""
 
     name: str
     seasonal_difference: int
@@ -79,7 +69,13 @@ class Variant:
 PLAIN = Variant("plain", 0, (1, 2), (1, 2, 3))
 LEVEL = Variant("level", 0, (1, 2, SEASON), (1, 2, 3, SEASON))
 SEASONAL = Variant("seasonal", 1, (1, 2, SEASON), (1, 2, 3, SEASON))
-VARIANTS = [PLAIN, LEVEL, SEASONAL]
+SHORT = Variant("short", 1, (1, 2), (1, 2, 3))
+VARIANTS = [PLAIN, LEVEL, SEASONAL, SHORT]
+
+#: Rows that all scored candidates of a series share, by what they need before them, and the variants
+#: that this admits. A series takes the first for which ``COMMON_ROWS`` rows are left.
+COMMON_ROWS = 9
+COMMON = [(2 * SEASON, (LEVEL, SEASONAL)), (SEASON + 2, (LEVEL, SHORT)), (2, (PLAIN,))]
 
 
 def _orders_sql(orders: list[tuple[int, tuple[int, ...]]]) -> str:
@@ -113,6 +109,7 @@ def _differenced(frame: DataFrame) -> DataFrame:
     level = f"if(d = 1, v - lag(v) over ({FIT_ORDER}), v)"
     rows = rows.selectExpr("*", f"{level} as w_level", f"{level} as w_plain")
     rows = rows.withColumn("w_seasonal", F.expr(f"w_level - lag(w_level, {SEASON}) over ({FIT_ORDER})"))
+    rows = rows.withColumn("w_short", F.col("w_seasonal"))
     lags = [
         f"lag(w_{v.name}, {k}) over ({FIT_ORDER}) as w_{v.name}_{k}"
         for v in VARIANTS
@@ -160,72 +157,93 @@ def _design(v: Variant) -> list[str]:
     return ["1D", *[f"w_{v.name}_{k}" for k in v.lags], *[f"e_{v.name}_{k}" for k in v.lags]]
 
 
-def _use(v: Variant) -> str:
-    """Rows of the second stage. Level and seasonal share their rows, so their AICs compare."""
-    return f"(fit and at >= d + {2 if v is PLAIN else 2 * SEASON})"
+def _start() -> str:
+    """SQL text of the first row that the scored candidates of a series share."""
+    *longer, (last, _) = COMMON
+    cases = " ".join(f"when n_fit - d - {need} >= {COMMON_ROWS} then {need}" for need, _ in longer)
+    return f"(d + case {cases} else {last} end)"
 
 
-def _score(v: Variant, designs: Column) -> Column:
-    """Per candidate order of the variant: AIC, then the full coefficient vector.
+def _score(v: Variant, designs: Column, start: Column, bounded: bool) -> Column:
+    """Per candidate order of the variant: AIC on the common rows, whether it was left out as explosive, then the
+    full coefficient vector.
 
-    A candidate whose dynamics, or whose residuals worked out from them, grow without bound
-    gets no AIC and so cannot be chosen.
+    The coefficients are those of a fit on every row that the lags of the order allow, whatever the common rows.
+    With ``bounded``, a candidate whose dynamics, or whose residuals worked out from them, grow without
+    bound gets no AIC and so cannot be chosen.
     """
-    orders, lags = v.orders, v.lags
+    kept, lags = [columns for _, _, columns in v.orders], v.lags
     width = 1 + 2 * len(lags)
 
     @F.pandas_udf("array<array<double>>")
-    def solve(batch: pd.Series) -> pd.Series:
-        n, matrices = cross_products(batch, width + 1)
-        result = np.full((len(n), len(orders), 1 + width), np.nan)
-        for i, (_, _, columns) in enumerate(orders):
-            keep = np.asarray(columns)
-            b, sse = solve_stacked(matrices, keep, np.zeros(len(keep)))
-            usable = n > len(keep) + 1
-            mean = np.maximum(sse, 1e-12) / np.maximum(n, 1)
-            result[:, i, 0] = np.where(usable, n * np.log(mean) + 2 * (len(keep) + 1), np.nan)
-            result[:, i, 1:] = 0.0
-            result[:, i, 1 + keep] = b
-        values, residuals = result[:, :, 2 : 2 + len(lags)], result[:, :, 2 + len(lags) :]
-        unbounded = explosive(values, lags) | explosive(-residuals, lags)
-        result[:, :, 0] = np.where(unbounded, np.nan, result[:, :, 0])
-        return pd.Series(list(map(lambda r: [list(x) for x in r], result)))
-
-    return once(solve)(designs)
+    def solve(batch: pd.Series, starts: pd.Series) -> pd.Series:
+        return pd.Series([score_candidates(flat, start, kept, lags, width, bounded) for flat, start in zip(batch, starts)])
+
+    return once(solve)(designs, start)
 
 
 def _scored(v: Variant) -> str:
-    """SQL text of the candidate structs of a variant: (aic, order, variant, coefficients)."""
+    """SQL text of the candidate structs of a variant: (aic, order, variant, coefficients, explosive)."""
     known = _orders_sql([(rank, order) for rank, order, _ in v.orders])
     return f"""zip_with(scores_{v.name}, {known}, (s, o) -> struct(
-        get(s, 0) as aic, o as `order`, '{v.name}' as variant, slice(s, 2, {2 * len(v.lags) + 1}) as coef))"""
+        nanvl(get(s, 0), null) as aic, o as `order`, '{v.name}' as variant, slice(s, 3, {2 * len(v.lags) + 1}) as coef,
+        nanvl(get(s, 1), 0D) = 1D as explosive))"""
 
 
-def candidate_scores(frame: DataFrame) -> DataFrame:
-    """One row per series and phase with every scored candidate and the recent values to forecast from."""
+def candidate_scores(frame: DataFrame, bounded: bool = False) -> DataFrame:
+    """One row per series and phase with every scored candidate and the recent values to forecast from.
+
+    Candidates of a series are compared on the rows that all of them can use; those that need more rows
+    than the series has are not among them (``order_scores`` lists them with the reason).
+    """
     rows = _with_residuals(_differenced(frame))
     memory = {"total": SEASON + 2}
     for v in VARIANTS:
         memory[f"w_{v.name}"] = SEASON
         memory[f"e_{v.name}"] = SEASON
-    designs = [design_rows(_design(v), f"w_{v.name}", _use(v), f"designs_{v.name}") for v in VARIANTS]
+    designs = [design_rows([*_design(v), f"w_{v.name}"], "cast(at as double)", "fit", f"designs_{v.name}") for v in VARIANTS]
     made = series_rows(rows, memory, *designs, F.expr("max(d) as d"), F.expr("max(scale) as scale"))
-    made = made.filter(f"n_fit >= {LEAST}")
-    made = made.withColumns({f"scores_{v.name}": _score(v, F.col(f"designs_{v.name}")) for v in VARIANTS})
-    scored = f"if(n_fit >= {LEAST_SEASONAL}, concat({_scored(LEVEL)}, {_scored(SEASONAL)}), {_scored(PLAIN)})"
+    made = made.filter(f"n_fit >= {LEAST}").withColumn("start", F.expr(_start()))
+    made = made.withColumns(
+        {f"scores_{v.name}": _score(v, F.col(f"designs_{v.name}"), F.col("start"), bounded) for v in VARIANTS}
+    )
+    joined = [(need, f"concat({', '.join(map(_scored, variants))})") for need, variants in COMMON]
+    cases = " ".join(f"when start = d + {need} then {text}" for need, text in joined)
     dropped = [f"{kind}_{v.name}" for v in VARIANTS for kind in ("designs", "scores")]
-    return made.withColumn("candidates", F.expr(scored)).drop(*dropped)
+    return made.withColumn("candidates", F.expr(f"case {cases} end")).drop(*dropped, "start")
 
 
-def fit(frame: DataFrame) -> DataFrame:
+def fit(frame: DataFrame, bounded: bool = False) -> DataFrame:
     """The lowest AIC per series and phase; a candidate that cannot be fitted takes no part."""
-    best = F.expr("array_min(filter(candidates, c -> c.aic is not null and not isnan(c.aic)))")
-    return candidate_scores(frame).withColumn("best", best).drop("candidates").filter("best is not null")
+    best = F.expr("array_min(filter(candidates, c -> c.aic is not null))")
+    return candidate_scores(frame, bounded).withColumn("best", best).drop("candidates").filter("best is not null")
+
+
+ORDER = ("p", "q", "sp", "sd", "sq")
+
 
+def order_search(frame: DataFrame, bounded: bool = False) -> DataFrame:
+    order = [f"best.`order`.{name} as {name}" for name in ORDER]
+    return fit(frame, bounded).selectExpr(*KEYS, "d", *order, f"{SEASON} as season", "best.aic as aic")
 
-def order_search(frame: DataFrame) -> DataFrame:
-    order = [f"best.`order`.{name} as {name}" for name in ("p", "q", "sp", "sd", "sq")]
-    return fit(frame).selectExpr(*KEYS, "d", *order, f"{SEASON} as season", "best.aic as aic")
+
+def order_scores(frame: DataFrame, bounded: bool = False) -> DataFrame:
+    """All candidates per series and phase with their AIC, or the reason why there is none."""
+    known = f"inline({_orders_sql(list(enumerate(CANDIDATES)))})"
+    rows = candidate_scores(frame, bounded).selectExpr(*KEYS, "d", "candidates", known)
+    found = "get(filter(candidates, c -> c.`order`.rank = rank), 0)"
+    rows = rows.withColumn("c", F.expr(found))
+    reason = "case when c.explosive then 'explosive' when c.aic is null then 'too few rows' end as reason"
+    return rows.selectExpr(*KEYS, "d", "rank", *ORDER, "c.aic as aic", reason)
+
+
+def series_parameters(frame: DataFrame, bounded: bool = False) -> DataFrame:
+    """``(state, phase, model, params)``: the chosen orders and their AIC."""
+    texts = {"order": "p, d, q", "seasonal_order": f"sp, sd, sq, {SEASON}"}
+    pairs = [f"'{name}', concat('(', concat_ws(', ', {values}), ')')" for name, values in texts.items()]
+    return order_search(frame, bounded).selectExpr(
+        *KEYS, f"'{NAME}' as model", f"map({', '.join(pairs)}, 'aic', cast(aic as string)) as params"
+    )
 
 
 def _path(v: Variant) -> str:
@@ -245,26 +263,28 @@ def _path(v: Variant) -> str:
         acc -> transform(slice(acc.y, -steps, steps), x -> x * scale))"""
 
 
-def forecast(frame: DataFrame) -> DataFrame:
-    return predict(fit(frame))
+def forecast(frame: DataFrame, **settings) -> DataFrame:
+    """``settings``: ``bounded`` leaves out explosive candidates."""
+    return predict(fit(frame, **settings))
 
 
 def predict(fits: DataFrame) -> DataFrame:
     """Forecasts out of a table of fits, fresh or stored."""
-    path = f"""case best.variant when '{PLAIN.name}' then {_path(PLAIN)}
-                                 when '{LEVEL.name}' then {_path(LEVEL)} else {_path(SEASONAL)} end"""
-    return as_predictions(fits, NAME, F.expr(path))
+    cases = " ".join(f"when '{v.name}' then {_path(v)}" for v in VARIANTS)
+    return as_predictions(fits, NAME, F.expr(f"case best.variant {cases} end"))
 
 
-def fitted_values(frame: DataFrame) -> DataFrame:
-    """In-sample values of the chosen order for the rows its estimate used."""
-    best = fit(frame).select(*KEYS, "best")
-    cases = " ".join(
-        f"when best.variant = '{v.name}' and {_use(v)} then total - (w_{v.name} - {dot('best.coef', _design(v))}) * scale"
-        for v in VARIANTS
-    )
+def fitted_values(frame: DataFrame, **settings) -> DataFrame:
+    """In-sample values of the chosen order for all rows that its lags allow."""
+    best = fit(frame, **settings).select(*KEYS, "best")
+    cases = []
+    for v in VARIANTS:
+        known = [f"coalesce({x}, 0D)" for x in _design(v)]
+        first = f"d + {v.lost} + greatest(best.`order`.p, {SEASON} * best.`order`.sp)"
+        value = f"total - (w_{v.name} - {dot('best.coef', known)}) * scale"
+        cases.append(f"when best.variant = '{v.name}' and fit and at >= {first} then {value}")
     rows = _with_residuals(_differenced(frame)).join(best, KEYS)
-    inside = rows.withColumn("fitted", F.expr(f"case {cases} end")).filter("fitted is not null")
+    inside = rows.withColumn("fitted", F.expr(f"case {' '.join(cases)} end")).filter("fitted is not null")
     return inside.selectExpr("state", f"'{NAME}' as model", "phase", "date", "total", "fitted")
 
 
@@ -272,5 +292,5 @@ def skipped_series(frame: DataFrame) -> DataFrame:
     return skipped(frame, NAME, LEAST, "an order search")
 
 
-def parameters() -> dict[str, str]:
-    return {"candidates": str(len(CANDIDATES)), "season": str(SEASON)}
+def parameters(bounded: bool = False) -> dict[str, str]:
+    return {"candidates": str(len(CANDIDATES)), "season": str(SEASON), "bounded": str(bounded).lower()}

@@ -6,6 +6,8 @@ is a penalised linear model, not a Bayesian one: the change-point prior acts as
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,87 +16,108 @@ from seriesloom.models.frame import KEYS, OF_FIT, series_rows, skipped
 from seriesloom.models.least_squares import design_rows, dot, ridge_coefficients
 
 NAME = "trend_seasonal"
-CHANGE_POINTS = 6
 CHANGE_RANGE = 0.8
-FOURIER_ORDER = 4
-CHANGEPOINT_PRIOR = 0.05
-SEASONAL_PENALTY = 0.1
 LEAST = 15
 
-TREND = range(0, 2 + CHANGE_POINTS)
-SEASONAL = range(TREND.stop, TREND.stop + 2 * FOURIER_ORDER)
-HOLIDAY = range(SEASONAL.stop, SEASONAL.stop + 1)
 
+@dataclass(frozen=True)
+class Shape:
+    """Change points, Fourier orders and penalties; six orders are what monthly data can carry."""
+
+    change_points: int = 25
+    fourier_order: int = 6
+    changepoint_prior: float = 0.05
+    seasonal_penalty: float = 0.1
+
+    @property
+    def trend(self) -> range:
+        return range(0, 2 + self.change_points)
+
+    @property
+    def seasonal(self) -> range:
+        return range(self.trend.stop, self.trend.stop + 2 * self.fourier_order)
+
+    @property
+    def holiday(self) -> range:
+        return range(self.seasonal.stop, self.seasonal.stop + 1)
+
+    @property
+    def penalties(self) -> list[float]:
+        hinge = 1.0 / (self.changepoint_prior * 100)
+        return [0.0, 0.0] + [hinge] * self.change_points + [self.seasonal_penalty] * (2 * self.fourier_order + 1)
 
-def with_design(rows: DataFrame, at: str) -> DataFrame:
+
+def with_design(rows: DataFrame, at: str, shape: Shape = Shape()) -> DataFrame:
     """Columns x0..: intercept, slope, hinges, Fourier pairs, holiday flag.
 
     Needs ``date`` and ``n_fit``; time runs 0..1 over the fitted rows.
     """
     timed = rows.withColumn("time", F.expr(f"({at}) / greatest(n_fit - 1, 1)"))
-    knots = [CHANGE_RANGE * (i + 1) / CHANGE_POINTS for i in range(CHANGE_POINTS)]
+    knots = [CHANGE_RANGE * (i + 1) / shape.change_points for i in range(shape.change_points)]
     hinges = [F.expr(f"greatest(time - {knot!r}D, 0D)") for knot in knots]
-    seasonal = list(fourier_pairs("date", FOURIER_ORDER).values())
+    seasonal = list(fourier_pairs("date", shape.fourier_order).values())
     columns = [F.lit(1.0), F.col("time"), *hinges, *seasonal, is_holiday_month("date").cast("double")]
     return timed.select("*", *[column.alias(f"x{i}") for i, column in enumerate(columns)]).drop("time")
 
 
-def penalties(changepoint_prior: float = CHANGEPOINT_PRIOR) -> list[float]:
-    hinge = 1.0 / (changepoint_prior * 100)
-    return [0.0, 0.0] + [hinge] * CHANGE_POINTS + [SEASONAL_PENALTY] * (2 * FOURIER_ORDER + 1)
-
-
 def piece(part: range) -> str:
     """SQL text of one part of the fitted value, on the log scale."""
     return dot(f"slice(coef, {part.start + 1}, {len(part)})", [f"x{i}" for i in part])
 
 
-def _history(frame: DataFrame) -> DataFrame:
+def history(frame: DataFrame, shape: Shape = Shape()) -> DataFrame:
+    """Design columns, scale and target of every row of a phase frame."""
     scaled = frame.withColumn("scale", F.expr(f"greatest(avg(if(fit, total, null)) over ({OF_FIT}), 1e-9D)"))
-    return with_design(scaled, "at").withColumn("target", F.expr("log1p(greatest(total, 0D) / scale)"))
+    return with_design(scaled, "at", shape).withColumn("target", F.expr("log1p(greatest(total, 0D) / scale)"))
 
 
-def fit(frame: DataFrame, changepoint_prior: float = CHANGEPOINT_PRIOR, keep_rows: bool = False) -> DataFrame:
-    """One row per series and phase with ``coef`` and ``scale``; with its fitted ``rows`` if asked."""
-    names = [f"x{i}" for i in range(HOLIDAY.stop)]
+def fit(frame: DataFrame, keep_rows: bool = False, **settings) -> DataFrame:
+    """One row per series and phase with ``coef`` and ``scale``; with its fitted ``rows`` if asked.
+
+    ``settings`` are the fields of ``Shape``.
+    """
+    shape = Shape(**settings)
+    names = [f"x{i}" for i in range(shape.holiday.stop)]
     wanted = [design_rows(names, "target", "fit", "designs"), F.expr("max(scale) as scale")]
     if keep_rows:
         wanted.append(F.expr("collect_list(if(fit, struct(at, date, total), null)) as rows"))
-    rows = series_rows(_history(frame), {}, *wanted).filter(f"n_fit >= {LEAST}")
-    solved = rows.withColumn("coef", ridge_coefficients(F.col("designs"), penalties(changepoint_prior)))
+    rows = series_rows(history(frame, shape), {}, *wanted).filter(f"n_fit >= {LEAST}")
+    solved = rows.withColumn("coef", ridge_coefficients(F.col("designs"), shape.penalties))
     return solved.drop("designs").filter("coef is not null")
 
 
-def forecast(frame: DataFrame, changepoint_prior: float = CHANGEPOINT_PRIOR) -> DataFrame:
-    return predict(fit(frame, changepoint_prior))
+def forecast(frame: DataFrame, **settings) -> DataFrame:
+    return predict(fit(frame, **settings), **settings)
 
 
-def predict(fits: DataFrame) -> DataFrame:
-    """Forecasts out of a table of fits, fresh or stored."""
+def predict(fits: DataFrame, **settings) -> DataFrame:
+    """Forecasts out of a table of fits, fresh or stored, made with the same settings."""
+    shape = Shape(**settings)
     made = fits.selectExpr("*", "explode(sequence(1, steps)) as step")
-    dated = with_design(made.withColumn("date", months_after("last_date", "step")), "n_fit - 1 + step")
+    dated = with_design(made.withColumn("date", months_after("last_date", "step")), "n_fit - 1 + step", shape)
     return dated.selectExpr(
         "state",
         f"'{NAME}' as model",
         "phase",
         "step",
         "date",
-        f"greatest(scale * expm1({piece(TREND)} + {piece(SEASONAL)} + {piece(HOLIDAY)}), 0D) as yhat",
+        f"greatest(scale * expm1({piece(shape.trend)} + {piece(shape.seasonal)} + {piece(shape.holiday)}), 0D) as yhat",
         "try_element_at(actuals, step) as y",
     )
 
 
-def components(frame: DataFrame, changepoint_prior: float = CHANGEPOINT_PRIOR) -> DataFrame:
+def components(frame: DataFrame, **settings) -> DataFrame:
     """Trend, seasonal and holiday parts (log scale) and the fitted value of every fitted row."""
-    rows = fit(frame, changepoint_prior, keep_rows=True).selectExpr(*KEYS, "n_fit", "scale", "coef", "inline(rows)")
-    parts = with_design(rows, "at").selectExpr(
+    shape = Shape(**settings)
+    rows = fit(frame, keep_rows=True, **settings).selectExpr(*KEYS, "n_fit", "scale", "coef", "inline(rows)")
+    parts = with_design(rows, "at", shape).selectExpr(
         *KEYS,
         "date",
         "total",
         "scale",
-        f"{piece(TREND)} as trend",
-        f"{piece(SEASONAL)} as seasonal",
-        f"{piece(HOLIDAY)} as holiday",
+        f"{piece(shape.trend)} as trend",
+        f"{piece(shape.seasonal)} as seasonal",
+        f"{piece(shape.holiday)} as holiday",
     )
     return parts.withColumn("yhat", F.expr("scale * expm1(trend + seasonal + holiday)")).drop("scale")
 
@@ -103,9 +126,11 @@ def skipped_series(frame: DataFrame) -> DataFrame:
     return skipped(frame, NAME, LEAST, "a trend with seasonality")
 
 
-def parameters() -> dict[str, str]:
+def parameters(**settings) -> dict[str, str]:
+    shape = Shape(**settings)
     return {
-        "changepoint_prior": str(CHANGEPOINT_PRIOR),
-        "yearly_seasonality": str(FOURIER_ORDER),
+        "changepoint_prior": str(shape.changepoint_prior),
+        "change_points": str(shape.change_points),
+        "yearly_seasonality": str(shape.fourier_order),
         "add_holidays": "true",
     }

@@ -13,14 +13,15 @@ from pyspark.sql import functions as F
 
 from seriesloom.models.frame import FIT_ORDER, OF_FIT, Phase, as_predictions, series_rows, skipped
 from seriesloom.operators.features import SCALE_FLOOR
-from seriesloom.session import gathered, side_by_side, union
+from seriesloom.session import materialize, side_by_side, union
 
 NAME = "window_huber"
 LOOKBACK = 12
 LEAST = 4
 EPSILON = 1.35
-MAX_ITERATIONS = 40
-TOLERANCE = 1e-4
+MAX_ITERATIONS = 100
+TOLERANCE = 1e-6
+PENALTY = 1e-4
 
 
 LOOKBACK_OF_SERIES = f"least({LOOKBACK}, cast(n_fit div 2 as int))"
@@ -45,9 +46,17 @@ def training_rows(frame: DataFrame, phase: str, lookback: int = LOOKBACK) -> Dat
     )
 
 
-def fit(frame: DataFrame, phase: str, lookback: int = LOOKBACK) -> LinearRegressionModel:
-    regression = LinearRegression(loss="huber", epsilon=EPSILON, maxIter=MAX_ITERATIONS, tol=TOLERANCE, regParam=1e-4)
-    return regression.fit(gathered(training_rows(frame, phase, lookback)))
+def fit(
+    frame: DataFrame,
+    phase: str,
+    lookback: int = LOOKBACK,
+    epsilon: float = EPSILON,
+    max_iterations: int = MAX_ITERATIONS,
+    tolerance: float = TOLERANCE,
+    penalty: float = PENALTY,
+) -> LinearRegressionModel:
+    regression = LinearRegression(loss="huber", epsilon=epsilon, maxIter=max_iterations, tol=tolerance, regParam=penalty)
+    return regression.fit(materialize(training_rows(frame, phase, lookback)))
 
 
 def predict(frame: DataFrame, phase: Phase, model: LinearRegressionModel) -> DataFrame:
@@ -70,13 +79,13 @@ def predict(frame: DataFrame, phase: Phase, model: LinearRegressionModel) -> Dat
     return as_predictions(rows, NAME, F.expr(path))
 
 
-def fit_groups(frame: DataFrame, phases: tuple[Phase, ...]) -> list[tuple[Phase, LinearRegressionModel]]:
+def fit_groups(frame: DataFrame, phases: tuple[Phase, ...], **settings) -> list[tuple[Phase, LinearRegressionModel]]:
     """One model per phase and lookback. The fits are independent jobs, submitted side by side."""
     used = lookbacks(frame)
     groups = [(phase, lookback) for phase in phases for lookback in used.get(phase.name, [])]
     if not groups:
         raise ValueError(f"no series has {LEAST} points")
-    models = side_by_side([lambda g=g: fit(_of_lookback(frame, g[1]), g[0].name, g[1]) for g in groups])
+    models = side_by_side([lambda g=g: fit(_of_lookback(frame, g[1]), g[0].name, g[1], **settings) for g in groups])
     return [(phase, model) for (phase, _), model in zip(groups, models)]
 
 
@@ -84,8 +93,9 @@ def _of_lookback(frame: DataFrame, lookback: int) -> DataFrame:
     return frame.filter(f"n_fit >= {LEAST} and {LOOKBACK_OF_SERIES} = {lookback}")
 
 
-def forecast(frame: DataFrame, phases: tuple[Phase, ...]) -> DataFrame:
-    groups = fit_groups(frame, phases)
+def forecast(frame: DataFrame, phases: tuple[Phase, ...], **settings) -> DataFrame:
+    """``settings``: epsilon, max_iterations, tolerance and penalty of ``fit``."""
+    groups = fit_groups(frame, phases, **settings)
     return union([predict(_of_lookback(frame, model.numFeatures), phase, model) for phase, model in groups])
 
 
@@ -93,5 +103,6 @@ def skipped_series(frame: DataFrame) -> DataFrame:
     return skipped(frame, NAME, LEAST, "a lookback window")
 
 
-def parameters(lookback: int = LOOKBACK) -> dict[str, str]:
-    return {"lookback": str(lookback), "epsilon": str(EPSILON), "max_iterations": str(MAX_ITERATIONS)}
+def parameters(**settings) -> dict[str, str]:
+    known = {"lookback": LOOKBACK, "epsilon": EPSILON, "max_iterations": MAX_ITERATIONS, "tolerance": TOLERANCE, "penalty": PENALTY}
+    return {name: str(value) for name, value in (known | settings).items()}

@@ -33,19 +33,24 @@ def aggregate_trend(panel: DataFrame) -> DataFrame:
 
 
 def seasonality_pivot(panel: DataFrame) -> DataFrame:
-    """Year by month sums, 0 where a month has no rows; the twelve columns are fixed."""
+    """Year by month sums, 0 where a month has no rows; the twelve columns are fixed.
+
+    Rows are added per year and month first, so the twelve cells look at few rows.
+    """
+    months = panel.groupBy(F.year("date").alias("year"), F.month("date").alias("month"))
+    sums = months.agg(exact_sum("total").alias("total"))
     cells = [
-        F.coalesce(exact_sum(f"if(month(date) = {m}, total, null)"), F.lit(0.0)).alias(f"m{m:02d}") for m in MONTHS
+        F.coalesce(F.max(F.when(F.col("month") == m, F.col("total"))), F.lit(0.0)).alias(f"m{m:02d}") for m in MONTHS
     ]
-    return panel.groupBy(F.year("date").alias("year")).agg(*cells)
+    return sums.groupBy("year").agg(*cells)
 
 
 def seasonal_decompose(panel: DataFrame) -> DataFrame:
-    """Multiplicative trend, seasonal and residual parts for series of two full years or more.
+    """Multiplicative trend, seasonal and residual parts of every row of the panel.
 
     Trend is the centred moving average over one period with half weights at both ends; it is
-    missing for half a period at either end. Series holding a value of 0 or less have no
-    multiplicative decomposition and are left out.
+    missing for half a period at either end. Series under two full years or holding a value of 0
+    or less have no multiplicative decomposition: their parts are NULL and ``reason`` says why.
     """
     half = PERIOD // 2
     inner = in_time().rowsBetween(1 - half, half - 1)
@@ -61,14 +66,17 @@ def seasonal_decompose(panel: DataFrame) -> DataFrame:
         F.min("total").over(by_series()).alias("least"),
         F.when(F.count("total").over(outer) == PERIOD + 1, average).alias("trend"),
     )
-    rows = rows.filter((F.col("n") >= 2 * PERIOD) & (F.col("least") > 0))
+    reason = F.when(F.col("n") < 2 * PERIOD, f"fewer than {2 * PERIOD} months").when(
+        F.coalesce(F.col("least") <= 0, F.lit(True)), "a value of 0 or less"
+    )
+    rows = rows.withColumn("reason", reason).withColumn("trend", F.when(F.col("reason").isNull(), F.col("trend")))
     phase = F.col("at") % PERIOD
     same_phase = W.partitionBy("state", phase)
-    rows = rows.withColumn("phase_mean", F.avg(F.col("total") / F.col("trend")).over(same_phase))
+    rows = rows.withColumn("phase_mean", F.avg(F.try_divide("total", "trend")).over(same_phase))
     level = F.avg(F.when(F.col("at") < PERIOD, F.col("phase_mean"))).over(by_series())
     rows = rows.withColumn("seasonal", F.col("phase_mean") / level)
     residual = F.col("total") / F.col("seasonal") / F.col("trend")
-    return rows.select("state", "date", "total", "trend", "seasonal", residual.alias("residual"))
+    return rows.select("state", "date", "total", "trend", "seasonal", residual.alias("residual"), "reason")
 
 
 # 5% critical value with a constant for n rows, finite-sample response surface (MacKinnon 1991).

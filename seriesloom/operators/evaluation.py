@@ -88,17 +88,17 @@ def model_wins(best: DataFrame) -> DataFrame:
 def leaderboard(ranked: DataFrame) -> DataFrame:
     """Per winning model: wins, share of all states, mean MAPE of that model over all its states.
 
-    One aggregate over the ranked metrics; the window behind it sees one row per model.
+    Models with equal wins come in competition order. The number of states is an aggregate of its own.
     """
     models = ranked.groupBy("model").agg(
-        F.count_if("is_best").alias("wins"), F.avg("mape").alias("avg_mape")
+        F.count_if("is_best").alias("wins"), F.avg("mape").alias("avg_mape"), F.min("model_ord").alias("model_ord")
     )
-    total = F.sum("wins").over(W.partitionBy(F.lit(1)))
-    board = models.withColumn("total_states", total).filter(F.col("wins") > 0)
+    total = ranked.agg(F.count_if("is_best").alias("total")).scalar()
+    board = models.withColumn("total_states", total).filter(F.col("wins") > 0).orderBy(F.desc("wins"), "model_ord", "model")
     return board.select(
         "model",
         "wins",
         F.round(F.col("wins") / F.col("total_states") * 100, 1).alias("win_pct"),
         F.round(F.coalesce("avg_mape", F.lit(0.0)), 2).alias("avg_val_mape"),
         "total_states",
-    ).orderBy(F.desc("wins"), "model")
+    )

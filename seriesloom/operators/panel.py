@@ -17,7 +17,6 @@ from seriesloom.schema import require_columns
 
 IN_TIME = "partition by state order by date"
 MONTHS_SINCE = "(year({0}) * 12 + month({0}) - year({1}) * 12 - month({1}))"
-MAX_MONTHS = 2400
 MIN_PERIODS = 12
 VALIDATION_PERIODS = 6
 
@@ -61,14 +60,14 @@ def spread(monthly: DataFrame) -> DataFrame:
     return monthly.repartition(partitions, "state")
 
 
-def _with_gaps(monthly: DataFrame, bounds: DataFrame | None, max_months: int = MAX_MONTHS) -> DataFrame:
+def _with_gaps(monthly: DataFrame, bounds: DataFrame | None, max_months: int | None = None) -> DataFrame:
     """Each present month followed by one row per missing month up to the next present one.
 
     The first month of a series also yields the months before it, the last one those after it.
     This builds the dense grid from one window per series, without a cross product or a join.
 
-    A range beyond ``max_months`` stops the job: one stray year would otherwise multiply the
-    rows of every series. The limit also bounds what is gathered per series further on.
+    With ``max_months``, a longer range stops the job: one stray year multiplies the rows of every
+    series. ``panel_summary`` and ``quality_report`` show the range.
     """
     bounds = calendar_bounds(monthly) if bounds is None else bounds
     known = spread(monthly.filter("total is not null")).selectExpr(
@@ -80,10 +79,10 @@ def _with_gaps(monthly: DataFrame, bounds: DataFrame | None, max_months: int = M
         f"row_number() over ({IN_TIME}) = 1 as leading",
     )
     known = known.withColumns({"lo": bounds.select("lo").scalar(), "hi": bounds.select("hi").scalar()})
-    too_long = f"'the calendar has more than {max_months} months; set min_date and max_date'"
-    known = known.withColumn(
-        "hi", F.expr(f"if({MONTHS_SINCE.format('hi', 'lo')} >= {max_months}, raise_error({too_long}), hi)")
-    )
+    if max_months is not None:
+        too_long = f"'the calendar has more than {max_months} months; set min_date and max_date'"
+        width = MONTHS_SINCE.format("hi", "lo")
+        known = known.withColumn("hi", F.expr(f"if({width} >= {max_months}, raise_error({too_long}), hi)"))
     grid = known.selectExpr(
         "*",
         """explode(sequence(trunc(if(leading, lo, date), 'month'),
@@ -159,7 +158,7 @@ def build_monthly_panel(
     impute_invalid: bool = False,
     min_date: str | None = None,
     max_date: str | None = None,
-    max_months: int = MAX_MONTHS,
+    max_months: int | None = None,
 ) -> DataFrame:
     """Dense panel ``(state, date, total, observed)``, unique per (state, date), no gaps.
 

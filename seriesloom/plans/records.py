@@ -69,9 +69,10 @@ def forecast_records(predictions: DataFrame, names: list[str], primary: str = "m
 
 
 def record_metrics(records: DataFrame) -> DataFrame:
-    """Metrics of the records as rows, with the winner marked."""
-    rows = records.select("state", "best_model", F.explode("metrics").alias("m"))
-    return rows.select("state", "m.*", (F.col("m.model") == F.col("best_model")).alias("is_best"))
+    """Metrics of the records as rows in competition order, with the winner marked."""
+    rows = records.select("state", "best_model", F.posexplode("metrics").alias("at", "m"))
+    best = (F.col("m.model") == F.col("best_model")).alias("is_best")
+    return rows.select("state", "m.*", best, (F.col("at") + 1).alias("model_ord"))
 
 
 def forecast_points(records: DataFrame, digits: int = 2) -> DataFrame:

@@ -10,11 +10,22 @@ from seriesloom.operators.panel import last_rows
 # Texts and limits of the answers.
 UNIT = "USD (monthly sales)"
 NOT_FOUND = "'%s' not found. GET /states for list."
-DEMO_STATES = ["California", "Texas", "Florida", "New York", "Illinois"]
 HISTORY_DEFAULT, HISTORY_LEAST, HISTORY_MOST = 36, 3, 120
 
 
+class EmptyStore(LookupError):
+    """No forecasts are stored."""
+
+
+def loaded(records: DataFrame) -> DataFrame:
+    """``records``, or an error when there are none."""
+    if records.isEmpty():
+        raise EmptyStore("no forecasts are stored; run the competition first")
+    return records
+
+
 def list_states(records: DataFrame) -> DataFrame:
+    """Stored states by name. Pass ``loaded(records)`` for an error on an empty store."""
     return records.select("state").distinct().orderBy("state")
 
 
@@ -25,17 +36,16 @@ def health(records: DataFrame) -> DataFrame:
 def lookup_states(requests: DataFrame, records: DataFrame) -> DataFrame:
     """The record behind each distinct requested name; an exact name wins over another spelling.
 
-    One join on the lower-case name; a request meets only the spellings of its own name.
+    Names are matched first, on narrow rows of an inner join in which the few requests can be the broadcast
+    side; the records of the chosen states are fetched last, again with the small side free to be broadcast.
     """
-    asked = requests.select("request").distinct().withColumn("_key", F.lower("request"))
-    stored = records.withColumn("_key", F.lower("state"))
-    hits = asked.join(stored, "_key", "left")
-    found = F.struct(*[name for name in records.columns])
-    preference = F.struct(F.col("request") != F.col("state"), F.col("state"))
-    picked = hits.groupBy("request").agg(
-        F.min_by(F.when(F.col("state").isNotNull(), found), preference).alias("found")
-    )
-    return picked.select("request", "found.*")
+    asked = requests.select("request").distinct()
+    names = records.select("state").withColumn("_key", F.lower("state"))
+    hits = names.join(asked.withColumn("_key", F.lower("request")), "_key")
+    choice = F.min(F.struct(F.col("request") != F.col("state"), F.col("state").alias("name")))["name"]
+    chosen = hits.groupBy("request").agg(choice.alias("state"))
+    found = records.join(chosen, "state")
+    return asked.join(found, "request", "left").select("request", *records.columns)
 
 
 def forecast_response(requests: DataFrame, records: DataFrame, digits: int = 2) -> DataFrame:

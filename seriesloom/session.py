@@ -61,16 +61,6 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-ROWS_PER_TASK = 50_000
-
-
-def gathered(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in tasks of a useful size, for jobs that pass over it many times."""
-    rows = materialize(df)
-    wanted = max(1, -(-rows.count() // ROWS_PER_TASK))
-    return rows.coalesce(wanted) if wanted < rows.rdd.getNumPartitions() else rows
-
-
 def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seriesloom.schema import FORECAST_STORE
 
@@ -18,16 +18,21 @@ def store_path(default: str) -> str:
     return os.environ.get(PATH_VARIABLE) or default
 
 
+RUN_AT = T.StructField("run_at", T.TimestampType())
+
+
 def write_records(records: DataFrame, path: str) -> None:
-    """Append finished records. Each run adds files, so a broken run loses only its own states."""
-    records.select(*FORECAST_STORE.fieldNames()).write.mode("append").parquet(path)
+    """Append finished records with the time of the run. Each run adds files, so a broken run loses only its own states."""
+    stamped = records.select(*FORECAST_STORE.fieldNames()).withColumn(RUN_AT.name, F.current_timestamp())
+    stamped.write.mode("append").parquet(path)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """The newest record per state. A state has one record per run."""
-    stored = spark.read.schema(FORECAST_STORE).parquet(store_path(path))
-    newest = W.partitionBy("state").orderBy(F.desc("fit_end"))
-    return stored.withColumn("_rank", F.row_number().over(newest)).filter(F.col("_rank") == 1).drop("_rank")
+    """The newest record per state: by last month, then by the time of the run."""
+    stored = spark.read.schema(T.StructType([*FORECAST_STORE.fields, RUN_AT])).parquet(store_path(path))
+    record = F.struct(*FORECAST_STORE.fieldNames()).alias("r")
+    newest = stored.groupBy("state").agg(F.max_by(record, F.struct("fit_end", RUN_AT.name)).alias("r"))
+    return newest.select("r.*")
 
 
 def export_json(records: DataFrame, path: str) -> None:

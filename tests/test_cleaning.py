@@ -114,3 +114,25 @@ def test_csv_scan_keeps_text_and_file_order(spark, tmp_path):
         assert [tuple(r) for r in clean.collect()] == [("S", d("2020-01-01"), 0.0, "k0")]
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_sums_lose_nothing_and_have_no_order(spark):
+    import math
+
+    from seriesloom.functions.sums import exact_sum
+
+    groups = {
+        "small": [1e-7, 2e-7],
+        "mixed": [1e15, 1e-7, -1e15, 0.1, 0.2],
+        "large": [1e15, 1.0, 3e15, 0.25],
+        "huge": [1e300, 1.0],
+        "cents": [0.01 * i for i in range(1, 400)],
+        "none": [None, None],
+    }
+    rows = [(g, v) for g, values in groups.items() for v in values] + [("nan", float("nan")), ("nan", 1.0)]
+    frame = spark.createDataFrame(rows, "g string, v double")
+    made = [{r.g: r.s for r in df.groupBy("g").agg(exact_sum("v").alias("s")).collect()} for df in (frame, frame.orderBy("v").repartition(7))]
+    assert made[0].pop("nan") != made[1].pop("nan") and made[0] == made[1]
+    for g, values in groups.items():
+        want = None if values[0] is None else math.fsum(values)
+        assert made[0][g] == want or abs(made[0][g] - want) <= 2 * math.ulp(want), g

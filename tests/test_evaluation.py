@@ -134,3 +134,30 @@ def test_zip_points_stops_at_the_shorter_array(spark):
     df = spark.createDataFrame([("A", ["d1", "d2", "d3"], [1.0, 2.0])], "state string, dates array<string>, vals array<double>")
     got = [(r.step, r.date, r.value) for r in rec.zip_points(df, "dates", "vals").orderBy("step").collect()]
     assert got == [(1, "d1", 1.0), (2, "d2", 2.0)]
+
+
+def test_leaderboard_ties_follow_the_competition(spark):
+    y = [10.0, 20.0, 30.0]
+    rows = predictions(spark, series("S", "B", y, y) + series("S", "A", [1, 2, 3], y) + series("T", "A", y, y) + series("T", "B", [1, 2, 3], y))
+    ranked = evaluation.rank_models(evaluation.score_models(rows), ["B", "A"])
+    assert [(r.model, r.wins) for r in evaluation.leaderboard(ranked).collect()] == [("B", 1), ("A", 1)]
+
+
+def test_actuals_are_attached_by_state_and_step(spark):
+    rows = predictions(spark, series("S", "A", [1.0, 2.0], [0.0, 0.0]))
+    actuals = spark.createDataFrame([("S", 1, 5.0), ("S", 2, 7.0), ("T", 1, 9.0)], "state string, step int, y double")
+    got = evaluation.attach_actuals(rows, actuals).orderBy("step").collect()
+    assert [(r.step, r.yhat, r.y) for r in got] == [(1, 1.0, 5.0), (2, 2.0, 7.0)]
+
+
+def test_an_empty_store_is_an_error(spark, records):
+    assert serving.loaded(records).count() == 3
+    with pytest.raises(serving.EmptyStore):
+        serving.loaded(records.filter("state = 'none'"))
+
+
+def test_lookup_ranks_narrow_rows(spark, records):
+    """The requests are the small side of both joins; records take part once, at the end."""
+    asked = spark.createDataFrame([("texas",)], "request string")
+    plan = serving.lookup_states(asked, records)._jdf.queryExecution().optimizedPlan().toString()
+    assert "min(struct" in plan and "min_by" not in plan

@@ -111,8 +111,13 @@ def test_decomposition_recovers_a_known_pattern(spark):
     rows += [("short", d, 1.0) for d in month_ends(2019, 1, 20)]
     rows += [("zero", d, float(i)) for i, d in enumerate(month_ends(2019, 1, 48))]
     df = spark.createDataFrame(rows, "state string, date date, total double")
-    got = analysis.seasonal_decompose(df).orderBy("date").toPandas()
-    assert set(got.state) == {"A"} and got.trend.isna().sum() == 12
+    made = analysis.seasonal_decompose(df).orderBy("date").toPandas()
+    assert made.groupby("state").size().to_dict() == {"A": 48, "short": 20, "zero": 48}
+    reasons = made.drop_duplicates("state").set_index("state").reason.to_dict()
+    assert reasons == {"A": None, "short": "fewer than 24 months", "zero": "a value of 0 or less"}
+    assert made[made.state != "A"][["trend", "seasonal", "residual"]].isna().all(axis=None)
+    got = made[made.state == "A"].reset_index(drop=True)
+    assert got.trend.isna().sum() == 12
     np.testing.assert_allclose(got.seasonal[:12], pattern / pattern.mean(), rtol=0.02)
     x = pd.Series(trend * pattern[np.arange(48) % 12])
     centred = x.rolling(12).mean().rolling(2).mean().shift(-6)

@@ -185,7 +185,8 @@ def test_lookback_is_half_the_series_up_to_twelve(spark, long_panel):
 
 @pytest.mark.parametrize("name", ["seasonal_ar", "trend_seasonal", "window_huber", "gbt_lag"])
 def test_facade_forecasts_two_months(sample_panel, name):
-    rows = Forecaster(name).fit(sample_panel).predict(2).collect()
+    settings = {"max_iterations": 20} if name == "gbt_lag" else {}
+    rows = Forecaster(name, **settings).fit(sample_panel).predict(2).collect()
     assert sorted(r.step for r in rows) == [1, 2] and all(r.yhat >= 0 for r in rows)
 
 
@@ -213,7 +214,7 @@ def test_competition_stores_and_resumes(spark, long_panel, tmp_path):
 
 def test_saved_fits_forecast_like_fresh_ones(spark, long_panel, tmp_path):
     path = str(tmp_path / "fits")
-    competition.save_fits(long_panel, path)
+    competition.save_fits(long_panel, path, {"gbt_lag": {"max_iterations": 7}})
     frame = phase_frame(long_panel, (FUTURE,))
     for model in (seasonal_ar, trend_seasonal):
         stored = model.predict(spark.read.parquet(f"{path}/{model.NAME}"))
@@ -221,7 +222,7 @@ def test_saved_fits_forecast_like_fresh_ones(spark, long_panel, tmp_path):
         want = {(r.state, r.step): r.yhat for r in model.forecast(frame).collect()}
         assert got.keys() == want.keys() and len(got) == 6
         np.testing.assert_allclose([got[k] for k in want], list(want.values()), rtol=1e-6)
-    assert gbt_lag.load(f"{path}/gbt_lag").getNumTrees == 30
+    assert gbt_lag.load(f"{path}/gbt_lag").getNumTrees == 7
     assert (tmp_path / "fits" / "window_huber" / "12").is_dir()
 
 
@@ -237,17 +238,90 @@ def test_store_path_can_be_named_by_the_environment(monkeypatch):
     assert stores.store_path("a") == "b"
 
 
-def test_one_broken_model_does_not_stop_the_others(long_panel, monkeypatch):
+def test_one_broken_model_does_not_stop_the_others(spark, long_panel):
+    """Broken while its plan is built, or while it runs; short and unknown states get a reason too."""
+
     def broken(frame, phases):
-        raise ValueError("no luck")
+        raise ValueError("no luck" * 200)
+
+    def broken_later(frame, phases):
+        made = MODELS["linear_trend"](frame, phases)
+        return made.withColumn("yhat", F.expr("if(yhat is null, 0D, raise_error('no luck at run time'))"))
 
+    short = spark.createDataFrame([("short", d, 1.0) for d in month_ends(2022, 1, 12)], long_panel.schema)
     register("broken", broken)
+    register("broken_later", broken_later)
     try:
-        outcome = competition.compete(long_panel, ["linear_trend", "broken"])
-        assert outcome.records.count() == 3 and outcome.failed.count() == 0
-        assert [(r.model, r.reason) for r in outcome.failures.collect()] == [("broken", "no luck")]
+        names = ["linear_trend", "broken", "broken_later"]
+        panel = long_panel.unionByName(short)
+        outcome = competition.compete(panel, names, request=["wave", "line", "short", "nowhere"])
+        assert {r.state for r in outcome.records.collect()} == {"wave", "line"}
+        assert {r.state for r in outcome.failed.collect()} == {"short", "nowhere"}
+        reasons = {r.model or r.state: r.reason for r in outcome.failures.collect()}
+        assert set(reasons) == {"broken", "broken_later", "short", "nowhere"}
+        assert reasons["broken"] == "no luck" * 200 and "no luck at run time" in reasons["broken_later"]
+        assert reasons["short"].startswith("6 training months") and reasons["nowhere"] == "not in the panel"
     finally:
         MODELS.pop("broken")
+        MODELS.pop("broken_later")
+
+
+def test_a_series_without_a_solution_leaves_the_others(spark, long_panel):
+    bad = [("bad", d, float("inf")) for d in month_ends(2017, 1, 84)]
+    panel = long_panel.unionByName(spark.createDataFrame(bad, long_panel.schema))
+    outcome = competition.compete(panel, ["trend_seasonal", "seasonal_ar"])
+    assert {r.state for r in outcome.records.collect()} >= {"grow", "wave", "line"}
+    failed = {(r.state, r.model, r.reason) for r in outcome.failures.collect()}
+    assert ("bad", "trend_seasonal", "its estimate failed") in failed
+
+
+def test_settings_reach_the_models(spark, long_panel):
+    outcome = competition.compete(long_panel, ["gbt_lag", "seasonal_ar"], settings={"gbt_lag": {"max_iterations": 3}, "seasonal_ar": {"bounded": True}})
+    assert outcome.records.count() == 3
+    assert Forecaster("trend_seasonal", fourier_order=2).get_params()["yearly_seasonality"] == "2"
+    table = {r.model: r.params for r in parameter_table(spark, {"gbt_lag": {"max_iterations": 3}}).collect()}
+    assert table["gbt_lag"]["max_iterations"] == "3" and parameter_table(spark).filter("model = 'gbt_lag'").first().params["max_iterations"] == "300"
+
+
+def order_frame(spark):
+    """Series of 20, 36, 37 and 80 points, and one that grows by 3 % a month."""
+    at = np.arange(80)
+    season = 100 + 10 * np.sin(np.pi * at / 6) + at / 2 + (at * 7919 % 13) / 5
+    rows = [(f"n{n}", d, float(v)) for n in (20, 36, 37, 80) for d, v in zip(month_ends(2015, 1, n), season)]
+    rows += [("grow", d, float(100 * 1.03**i)) for i, d in enumerate(month_ends(2015, 1, 80))]
+    return phase_frame(spark.createDataFrame(rows, "state string, date date, total double"), (FUTURE,)).cache()
+
+
+def test_every_order_has_a_score_or_a_reason(spark):
+    frame = order_frame(spark)
+    rows = seasonal_ar.order_scores(frame).collect()
+    scored = {s: sum(r.aic is not None for r in rows if r.state == s) for s in ("n20", "n36", "n37", "n80", "grow")}
+    assert len(rows) == 5 * 72 and scored == {"n20": 9, "n36": 72, "n37": 72, "n80": 72, "grow": 72}
+    assert {r.reason for r in rows if r.aic is None} == {"too few rows"}
+    bounded = seasonal_ar.order_scores(frame, bounded=True).filter("state = 'grow'").collect()
+    assert any(r.reason == "explosive" for r in bounded)
+    best = {r.state: r.aic for r in seasonal_ar.order_search(frame).collect()}
+    assert all(best[s] == min(r.aic for r in rows if r.state == s and r.aic is not None) for s in best)
+    made = {r.step: r.yhat for r in seasonal_ar.forecast(frame).filter("state = 'grow'").collect()}
+    np.testing.assert_allclose([made[1], made[2]], [100 * 1.03**80, 100 * 1.03**81], rtol=1e-4)
+
+
+def test_the_chosen_order_is_fitted_on_every_row_it_can_use(spark):
+    frame = order_frame(spark)
+    chosen = {r.state: r for r in seasonal_ar.order_search(frame).collect()}
+    counts = {r.state: r["count"] for r in seasonal_ar.fitted_values(frame).groupBy("state").count().collect()}
+    for state, n in (("n20", 20), ("n36", 36), ("n37", 37), ("n80", 80), ("grow", 80)):
+        r = chosen[state]
+        assert counts[state] == n - r.d - 12 * r.sd - max(r.p, 12 * r.sp)
+    params = seasonal_ar.series_parameters(frame).filter("state = 'n80'").first().params
+    assert set(params) == {"order", "seasonal_order", "aic"} and params["seasonal_order"].endswith(", 12)")
+
+
+def test_the_newest_run_is_read(spark, long_panel, tmp_path):
+    path = str(tmp_path / "twice")
+    for names in (["seasonal_naive"], ["linear_trend"]):
+        competition.compete(long_panel, names, store_path=path)
+    assert {r.best_model for r in stores.read_records(spark, path).collect()} == {"linear_trend"}
 
 
 def test_chart_rows_cover_all_kinds(spark, long_panel):

@@ -122,12 +122,12 @@ def test_date_limits_cut_the_panel(sample_panel):
     assert cut.agg(F.min("date"), F.max("date"), F.count("*")).first() == (D(2020, 3, 31), D(2021, 12, 31), 22)
 
 
-def test_a_stray_year_stops_the_job_unless_cut(spark):
+def test_a_stray_year_can_stop_the_job_or_be_cut(spark):
     df = frame(spark, [("A", D(2, 1, 1), 1.0), ("A", D(2020, 1, 1), 1.0), ("A", D(2020, 3, 1), 1.0)])
     with pytest.raises(Exception, match="more than 2400 months"):
-        panels.build_monthly_panel(df, min_periods=1).collect()
+        panels.build_monthly_panel(df, min_periods=1, max_months=2400).collect()
     assert panels.build_monthly_panel(df, min_periods=1, min_date="2000-01-01").count() == 3
-    assert panels.build_monthly_panel(df, min_periods=1, max_months=30000).count() == 2018 * 12 + 3
+    assert panels.build_monthly_panel(df, min_periods=1).count() == 2018 * 12 + 3
 
 
 @pytest.mark.parametrize(
