@@ -67,7 +67,8 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
         if not len(items):
             break
         h = mix(items ^ _SEEDS[i])
-        to = (h >> np.uint64(57)).astype(np.int64) if i < BINS else i - BINS
+        # the upper 16 bits choose the bin, the lower 48 are the value
+        to = ((h >> np.uint64(48)) * np.uint64(BINS) >> np.uint64(16)).astype(np.int64) if i < BINS else i - BINS
         value = (h & np.uint64((1 << 48) - 1)) | np.uint64(i << 48)
         np.minimum.at(cells, owner * BINS + to, value)
         left = (out == _EMPTY).any(axis=1)[owner]
