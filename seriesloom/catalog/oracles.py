@@ -275,6 +275,20 @@ def _fourier_cells() -> str:
     )
 
 
+def _scaled_cells() -> str:
+    """Features of the pooled trees in their order, relative to the range of the series."""
+    cells = [f"({name} - lo) / rng" for name in LAG_NAMES]
+    for k in (3, 6, 12):
+        cells += [f"(rolling_mean_{k} - lo) / rng", f"coalesce(rolling_std_{k}, 0) / rng"]
+    return ", ".join(f"CAST({c} AS DOUBLE)" for c in [*cells, "month", "quarter", "year", "trend", "sin_month", "cos_month", "growth"])
+
+
+def _design_cells(points: int = 25, orders: int = 6) -> str:
+    hinges = [f"greatest(time - {0.8 * (i + 1) / points:.17e}, 0)" for i in range(points)]
+    waves = [f"{f}(2 * pi() * month(date) / 12 * {k})" for k in range(1, orders + 1) for f in ("sin", "cos")]
+    return ", ".join(f"CAST({c} AS DOUBLE)" for c in ["1", "time", *hinges, *waves, HOLIDAY_MONTH])
+
+
 TOP = f"SELECT state, {EXACT} AS total FROM panel GROUP BY state ORDER BY total DESC, state LIMIT 10"
 
 
@@ -448,6 +462,50 @@ def oracle_sql() -> dict[str, str]:
       SELECT a.request, a.best_model, w.step, w.date, w.value,
         CASE WHEN a.state IS NULL THEN '''' || a.request || ''' not found. GET /states for list.' END AS error
       FROM answers a LEFT JOIN winner w ON w.state = a.state""")
+    q["forecast_response"] = _with(REQUESTS, """
+      SELECT a.request AS state, a.best_model, CAST(2 AS INTEGER) AS forecast_steps, 'USD (monthly sales)' AS unit,
+        w.step, w.date, w.value
+      FROM answers a JOIN winner w ON w.state = a.state""")
+    q["health"] = _with(PREDICTIONS, "SELECT 'healthy' AS status, count(*) AS states_loaded FROM best")
+    q["store_round_trip"] = q["best_forecast"]
+    q["skipped_series"] = _with(CUSTOMER_MONTHS, """
+      , phased AS (
+        SELECT s.state, f.phase, s.n - f.held AS n_fit
+        FROM (SELECT state, count(*) AS n FROM months GROUP BY state) s CROSS JOIN (VALUES ('val', 6), ('future', 0)) f(phase, held))
+      SELECT state, phase, m.model, n_fit || ' points, ' || m.needs || m.least AS reason
+      FROM phased, (VALUES ('seasonal_naive', 'last year''s value needs at least ', 12),
+                           ('linear_trend', 'a line needs at least ', 2)) m(model, needs, least)
+      WHERE n_fit < m.least""")
+    q["failed_states"] = _with(CUSTOMER_MONTHS, "SELECT state FROM months GROUP BY state HAVING count(*) - 6 < 2")
+    q["monotone_dates"] = _with(PANEL, """
+      SELECT state, count(*) AS n, bool_and(rises) AS monotone FROM (
+        SELECT state, coalesce(date > lag(date) OVER (PARTITION BY state ORDER BY date), true) AS rises FROM panel) GROUP BY state""")
+    q["gbt_training_rows"] = _with(FEATURES, f"""
+      , wide AS (
+        SELECT *, min(sales) OVER s AS lo, max(sales) OVER s - min(sales) OVER s + 1e-8 AS rng,
+          coalesce(lag_1 / nullif(lag(sales, 13) OVER (PARTITION BY state ORDER BY date), 0) - 1, 0) AS growth
+        FROM features WINDOW s AS (PARTITION BY state)),
+      listed AS (
+        SELECT state, date, (sales - lo) / rng AS label, [{_scaled_cells()}] AS cells FROM wide
+        WHERE lag_12 IS NOT NULL AND rolling_mean_12 IS NOT NULL)
+      SELECT state, date, round(label, 4) AS label, CAST(i.pos AS INTEGER) AS pos, round(cells[i.pos + 1], 4) AS value
+      FROM listed, range(18) i(pos)""")
+    q["huber_windows"] = _with(PANEL, """
+      , ranged AS (
+        SELECT state, date, idx, (total - min(total) OVER s) / (max(total) OVER s - min(total) OVER s + 1e-8) AS z
+        FROM placed WINDOW s AS (PARTITION BY state))
+      SELECT a.state, a.date, round(a.z, 6) AS label, CAST(p.pos AS INTEGER) AS pos, round(b.z, 6) AS x
+      FROM ranged a CROSS JOIN range(12) p(pos) JOIN ranged b ON b.state = a.state AND b.idx = a.idx - 12 + p.pos
+      WHERE a.idx >= 12""")
+    q["trend_design"] = _with(PANEL, f"""
+      , timed AS (SELECT state, date, idx / greatest(n - 1, 1) AS time FROM placed),
+      listed AS (SELECT state, date, [{_design_cells()}] AS cells FROM timed)
+      SELECT state, date, CAST(i.pos AS INTEGER) AS pos, round(cells[i.pos + 1], 6) AS x FROM listed, range(40) i(pos)""")
+    q["model_output_checks"] = _with(PREDICTIONS, """
+      SELECT s.state, m.model, s.phase, CAST(s.step AS INTEGER) AS step, s.date, true AS good, round(p.total, 4) AS y
+      FROM steps s CROSS JOIN (VALUES ('seasonal_ar'), ('trend_seasonal'), ('gbt_lag'), ('window_huber'), ('seasonal_naive'),
+                                      ('linear_trend')) m(model)
+      LEFT JOIN panel p ON p.state = s.state AND p.date = s.date""")
     q["history_view"] = _with(PREDICTIONS, """
       SELECT state, 'history' AS kind, date, round(total, 4) AS value FROM placed WHERE idx >= n - 36
       UNION ALL SELECT state, 'forecast', date, value FROM winner""")

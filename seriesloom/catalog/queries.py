@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +20,7 @@ from seriesloom.operators import analysis, cleaning, evaluation, features, panel
 from seriesloom.plans import competition, records as rec, serving
 from seriesloom.session import materialize, scratch_path
 from seriesloom.sources import sales as src
+from seriesloom.sources import store as stores
 from seriesloom.sources.delimited import scan_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -489,9 +491,113 @@ def history_view(spark, d):
     return serving.history_view(panel, made, digits=4)
 
 
+@query
+def forecast_response(spark, d):
+    """The answer to each request, one row per forecast point."""
+    found = serving.forecast_response(_requests(spark, d), _records(spark, d), 4)
+    rows = found.select("state", "best_model", "forecast_steps", "unit", F.posexplode("forecast").alias("at", "p"))
+    return rows.select(
+        "state", "best_model", "forecast_steps", "unit", (F.col("at") + 1).alias("step"), F.col("p.date").alias("date"),
+        F.col("p.value").alias("value"),
+    )
+
+
+@query
+def health(spark, d):
+    return serving.health(serving.loaded(_records(spark, d)))
+
+
+@query
+def store_round_trip(spark, d):
+    """Records written to Parquet, exported as JSON and read back, one row per forecast point."""
+    path = scratch_path(spark, "store")
+    stores.write_records(_records(spark, d), f"{path}/parquet")
+    stores.export_json(stores.read_records(spark, f"{path}/parquet"), f"{path}/json")
+    return rec.forecast_points(stores.import_json(spark, f"{path}/json"), 4)
+
+
+def _customer_frame(spark, d):
+    return phase_frame(_customer_months(spark, d))
+
+
+@query
+def skipped_series(spark, d):
+    """Customer series that are too short for a baseline, with the reason."""
+    frame = _customer_frame(spark, d)
+    return baselines.skipped_naive(frame).unionByName(baselines.skipped_trend(frame))
+
+
+@query
+def failed_states(spark, d):
+    """Customers for which no baseline could be scored."""
+    made = rec.forecast_records(baselines.baseline_predictions(_customer_frame(spark, d)), BASELINES)
+    return rec.failed_states(_customer_months(spark, d), made)
+
+
+@query
+def monotone_dates(spark, d):
+    """Whether the dates of each series rise from row to row."""
+    previous = F.lag("date").over(panels.in_time())
+    rows = _panel(spark, d).select("state", F.coalesce(F.col("date") > previous, F.lit(True)).alias("rises"))
+    return rows.groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.bool_and("rises").alias("monotone"))
+
+
+# What models are fitted on: exact, beside forecasts that are not
+
+
+@query
+def gbt_training_rows(spark, d):
+    """Scaled features and label of the pooled trees, one row per feature."""
+    rows = gbt_lag.training_rows(phase_frame(_panel(spark, d), (FUTURE,)), FUTURE.name)
+    long = rows.select("state", "date", "label", F.posexplode(vector_to_array("features")).alias("pos", "value"))
+    return _round(long, 4, "label", "value")
+
+
+@query
+def huber_windows(spark, d):
+    """Scaled lookback windows and labels of the pooled regression, one row per window cell."""
+    rows = window_huber.training_rows(phase_frame(_panel(spark, d), (FUTURE,)), FUTURE.name)
+    long = rows.select("state", "date", "label", F.posexplode(vector_to_array("features")).alias("pos", "x"))
+    return _round(long, 6, "label", "x")
+
+
+@query
+def trend_design(spark, d):
+    """Design columns of the trend with seasonality, one row per column."""
+    shape = trend_seasonal.Shape()
+    rows = trend_seasonal.history(phase_frame(_panel(spark, d), (FUTURE,)), shape)
+    cells = F.array(*[F.col(f"x{i}").cast("double") for i in range(shape.holiday.stop)])
+    return _round(rows.select("state", "date", F.posexplode(cells).alias("pos", "x")), 6, "x")
+
+
+@query
+def model_output_checks(spark, d):
+    """Of every forecast of every model: its place in time, whether it is a number of 0 or more, the actual beside it."""
+    made = competition.compete(_panel(spark, d), list(MODELS)).predictions
+    good = F.coalesce((F.col("yhat") >= 0) & ~F.isnan("yhat"), F.lit(False)).alias("good")
+    return made.select("state", "model", "phase", "step", "date", good, F.round("y", 4).alias("y"))
+
+
 # Model forecasts: no exact SQL
 
 
+@query
+def order_scores(spark, d):
+    """All 72 orders per series with their AIC or the reason for none."""
+    return _round(seasonal_ar.order_scores(phase_frame(_panel(spark, d), (FUTURE,))), 4, "aic")
+
+
+@query
+def series_parameters(spark, d):
+    rows = seasonal_ar.series_parameters(phase_frame(_panel(spark, d)))
+    return rows.select("state", "phase", "model", F.explode("params").alias("name", "value"))
+
+
+@query
+def fitted_values(spark, d):
+    return _round(seasonal_ar.fitted_values(phase_frame(_panel(spark, d))), 4, "total", "fitted")
+
+
 @query
 def forecast_seasonal_ar(spark, d):
     return _one_model(seasonal_ar.forecast(phase_frame(_panel(spark, d))))

@@ -119,10 +119,12 @@ def features_from_history(
     columns = {f"lag_{k}": f"element_at({history}, -{k})" for k in lags or LAGS}
     for k in windows or WINDOWS:
         recent = f"slice({history}, -{k}, {k})"
-        mean = f"(aggregate({recent}, 0D, (acc, x) -> acc + x) / {k})"
-        squares = f"aggregate({recent}, 0D, (acc, x) -> acc + (x - {mean}) * (x - {mean}))"
-        columns[f"rolling_mean_{k}"] = mean
-        columns[f"rolling_std_{k}"] = f"sqrt({squares} / {k - 1})"
+        total = f"aggregate({recent}, 0D, (acc, x) -> acc + x)"
+        columns[f"rolling_mean_{k}"] = f"({total} / {k})"
+        # the mean travels in the accumulator, so it is worked out once
+        columns[f"rolling_std_{k}"] = f"""aggregate({recent}, struct({total} / {k} as mean, 0D as squares),
+            (acc, x) -> struct(acc.mean as mean, acc.squares + (x - acc.mean) * (x - acc.mean) as squares),
+            acc -> sqrt(acc.squares / {k - 1}))"""
     columns.update(date_columns(date, trend))
     base = f"try_element_at({history}, {-13 if known_growth_only else -12})"
     columns["yoy_growth"] = f"coalesce({growth(f'element_at({history}, -1)', base)}, 0D)"
