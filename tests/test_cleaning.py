@@ -136,3 +136,17 @@ def test_sums_lose_nothing_and_have_no_order(spark):
     for g, values in groups.items():
         want = None if values[0] is None else math.fsum(values)
         assert made[0][g] == want or abs(made[0][g] - want) <= 2 * math.ulp(want), g
+
+
+def test_csv_rows_are_deduplicated_by_a_hash_aggregate(spark, tmp_path):
+    """The first row by file, then by place; the order is one number of fixed width."""
+    folder = tmp_path / "a b%25ü"
+    folder.mkdir()
+    for k in range(3):
+        lines = "".join(f"s{i % 5},2020-01-{i % 3 + 1:02d},{100 * k + i}\n" for i in range(40))
+        (folder / f"f {k}.csv").write_text("state,date,total\n" + lines)
+    clean = cleaning.clean_observations(scan_csv(spark, str(folder)))
+    got = {(r.state, r.date.day): r.total for r in clean.collect()}
+    assert got == {(f"s{i % 5}", i % 3 + 1): float(i) for i in reversed(range(40))}
+    plan = clean._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
