@@ -13,12 +13,11 @@ shingle sets, ruled out by the sizes of the sets, or already in one component, s
 behind the buckets:
 
 1. Equal sets become one node (their smallest id), combined before the shuffle.
-2. In every bucket that holds several components, a pivot is compared with the nodes of other
-   components; the links give larger components. Each round picks other pivots.
-3. When a round finds no link, or after ``TURNS`` rounds, all pairs of different components that still
-   share a bucket and were not compared are compared.
+2. Every node is compared with the pivots of its buckets, about log2(s) of a bucket's s nodes; the links
+   give components.
+3. All pairs of different components that still share a bucket and were not compared are compared.
 
-A group of near copies therefore costs a few comparisons per node, not one per pair. Comparisons
+A group of near copies therefore costs about log2(s) comparisons per node, not one per pair. Comparisons
 with one node are dealt over tasks in lots of ``LOT``, so a hot group spreads.
 
 Defined cases: NULL, empty and blank texts have empty sets and link with nothing; rows with a NULL
@@ -45,8 +44,6 @@ BINS, ROWS = 288, 6
 SHARE = 75
 #: Comparisons with one node that a task takes at a time.
 LOT = 128
-#: Rounds with pivots before all that is left is compared.
-TURNS = 8
 #: Bytes of text hashed at a time.
 SLICE = 2 << 20
 
@@ -148,55 +145,40 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.mapInArrow(_compare, f"a {kind}, b {kind}")
 
 
-def _open_buckets(shared: DataFrame, group: DataFrame | None, turn: int) -> DataFrame:
-    """Rows of buckets that hold several components, each with its component and the bucket's pivot of this turn."""
-    placed = shared.withColumn("own", F.col("id"))
-    if group is not None:
-        placed = shared.join(group.withColumnRenamed("node", "id"), "id", "left")
-        placed = placed.select("key", "id", "n", F.coalesce("component", "id").alias("own"))
-    pivot = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "own")).alias("pivot")
-    buckets = placed.groupBy("key").agg(pivot, F.min("own").alias("low"), F.max("own").alias("high"))
-    return checkpointed(placed.join(checkpointed(buckets.filter("low <> high").select("key", "pivot")), "key"))
-
-
-def _new_pairs(pairs: DataFrame, done: DataFrame | None) -> DataFrame:
-    """Distinct pairs (hub, m, id, n) of different components, of fitting sizes and not compared before, as (hub, id)."""
-    fits = f"100 * least(m, n) >= {SHARE} * greatest(m, n)"
-    pairs = pairs.filter(f"own <> other and {fits}").select("hub", "id").distinct()
-    if done is not None:
-        x, y = F.least("hub", "id"), F.greatest("hub", "id")
-        pairs = pairs.join(done, (x == F.col("x")) & (y == F.col("y")), "left_anti")
-    return checkpointed(pairs)
-
-
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("hub", "id").alias("x"), F.greatest("hub", "id").alias("y"))
-
-
-def _links(shared: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """Links that join all similar nodes of the buckets (key, id, n), directly or through others; None if there are none."""
-    links = done = None
-    for turn in range(TURNS):
-        shared = _open_buckets(shared, None if links is None else components(links), turn)
-        if shared.isEmpty():
-            return links
-        pivot = {"hub": "pivot.id", "m": "pivot.n", "other": "pivot.own"}
-        pairs = _new_pairs(shared.select(*[F.col(v).alias(k) for k, v in pivot.items()], "id", "n", "own"), done)
-        found = checkpointed(verified(pairs, sets))
-        shared = shared.select("key", "id", "n")
-        done = _ordered(pairs) if done is None else done.union(_ordered(pairs))
-        if found.isEmpty():
-            break
-        links = found if links is None else links.union(found)
-    rest = _open_buckets(shared, None if links is None else components(links), TURNS)
-    strays = rest.filter("own <> pivot.own").select(
-        "key", F.col("id").alias("hub"), F.col("n").alias("m"), F.col("own").alias("other")
-    )
-    pairs = _new_pairs(rest.join(strays, "key").filter("own = pivot.own or id < hub"), done)
-    if pairs.isEmpty():
-        return links
-    found = verified(pairs, sets)
-    return checkpointed(found if links is None else links.union(found))
+def _pairs(members: DataFrame, others: DataFrame) -> DataFrame:
+    """Distinct pairs (hub, id) that share a bucket and whose set sizes fit: members (key, id, n), others (key, hub, m)."""
+    fits = f"id <> hub and 100 * least(m, n) >= {SHARE} * greatest(m, n)"
+    return members.join(others, "key").filter(fits).select("hub", "id").distinct()
+
+
+def _with_pivots(shared: DataFrame) -> DataFrame:
+    """Pairs of every node of a bucket with the bucket's pivots.
+
+    A bucket of s nodes has its node of least hash as a pivot and, beyond four nodes, about log2(s) more: the
+    nodes whose hash lies below that share. In a group of near copies a node then misses all pivots with
+    a chance that falls as a power of the size, so few are left to compare with many.
+    """
+    h = F.xxhash64("id")
+    share = F.shiftrightunsigned(h, 11) / float(1 << 53)
+    pivot = (h == F.col("low")) | ((F.col("size") > 4) & (share < F.log2("size") / F.col("size")))
+    return _pairs(shared.select("key", "id", "n"), shared.filter(pivot).select("key", F.col("id").alias("hub"), F.col("n").alias("m")))
+
+
+def _rest(shared: DataFrame, group: DataFrame, done: DataFrame) -> DataFrame:
+    """Pairs that share a bucket but no component and were not compared: nodes outside the component of
+    the bucket's first node with all nodes of other components."""
+    placed = shared.join(group.withColumnRenamed("node", "id"), "id", "left")
+    placed = placed.select("key", "id", "n", "low", F.coalesce("component", "id").alias("own"))
+    mixed = placed.groupBy("key").agg(F.min("own").alias("x"), F.max("own").alias("y")).filter("x <> y").select("key")
+    placed = checkpointed(placed.join(mixed, "key"))
+    first = placed.filter(F.xxhash64("id") == F.col("low")).select("key", F.col("own").alias("first"))
+    placed = placed.join(first, "key")
+    strays = placed.filter("own <> first").select("key", F.col("id").alias("hub"), F.col("n").alias("m"), F.col("own").alias("other"))
+    fits = f"own <> other and (own = first or id < hub) and 100 * least(m, n) >= {SHARE} * greatest(m, n)"
+    pairs = placed.join(strays, "key").filter(fits).select("hub", "id").distinct()
+    known = done.select(F.least("hub", "id").alias("x"), F.greatest("hub", "id").alias("y")).distinct()
+    same = (F.least("hub", "id") == F.col("x")) & (F.greatest("hub", "id") == F.col("y"))
+    return pairs.join(known, same, "left_anti")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,15 +192,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         )
     )
     entries = nodes.select(F.col("node").alias("id"), "n", F.explode("bands").alias("key"))
-    buckets = entries.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high")
-    shared = checkpointed(entries.join(buckets.select("key"), "key"))
+    buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.xxhash64("id")).alias("low"))
+    shared = checkpointed(entries.join(buckets.filter("size > 1"), "key"))
     sets = checkpointed(_with_sets(narrow.join(shared.select("id").distinct(), "id", "left_semi")))
-    links = _links(shared, sets)
-    by_set = nodes.select("set_key", F.col("node").alias("component_id"))
-    if links is not None:
-        by_set = nodes.join(components(links), "node", "left").select(
-            "set_key", F.coalesce("component", "node").alias("component_id")
-        )
+    pairs = checkpointed(_with_pivots(shared))
+    links = checkpointed(verified(pairs, sets))
+    group = components(links)
+    more = checkpointed(_rest(shared, group, pairs))
+    if not more.isEmpty():
+        group = components(group.select(F.col("node").alias("a"), F.col("component").alias("b")).union(verified(more, sets)))
+    by_set = nodes.join(group, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
     found = made.filter(complete).join(by_set, "set_key")
     alone = made.filter(~complete).withColumn("component_id", F.col("id"))
     columns = ["id", "n", "component_id"]
