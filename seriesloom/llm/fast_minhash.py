@@ -13,12 +13,14 @@ shingle sets, ruled out by the sizes of the sets, or already in one component, s
 behind the buckets:
 
 1. Equal sets become one node (their smallest id), combined before the shuffle.
-2. Every node is compared with the pivots of its buckets, about log2(s) of a bucket's s nodes; the links
-   give components.
-3. All pairs of different components that still share a bucket and were not compared are compared.
+2. Every node is compared with the pivot of each of its buckets; the links give components.
+3. In buckets that still hold several components, all pairs of different components are compared, block by block:
+   the sketches rule out pairs whose similarity they bound below 0.75 by five deviations (a chance of
+   3e-7), full sets decide the others. Only links that join components leave a block.
 
-A group of near copies therefore costs about log2(s) comparisons per node, not one per pair. Comparisons
-with one node are dealt over tasks in lots of ``LOT``, so a hot group spreads.
+A group of near copies therefore costs about one comparison per node and band; only what stays apart close to the
+threshold is compared pair by pair, and no pair is a row. Comparisons with one node are dealt over tasks in
+lots of ``LOT``, so a hot group spreads.
 
 Defined cases: NULL, empty and blank texts have empty sets and link with nothing; rows with a NULL
 id take no part (component NULL, kept); rows that share an id count as one node; extra columns
@@ -44,6 +46,8 @@ BINS, ROWS = 288, 6
 SHARE = 75
 #: Comparisons with one node that a task takes at a time.
 LOT = 128
+#: Nodes of a bucket that are compared pair by pair in one task, and deviations that a sketch's estimate must be off.
+BLOCK, SIGMAS = 512, 5
 #: Bytes of text hashed at a time.
 SLICE = 2 << 20
 
@@ -87,16 +91,17 @@ def _sketch_rows(texts: list[str]) -> list:
 
 
 def _with_sets(rows: DataFrame) -> DataFrame:
-    """(id, shingles) of rows (id, text): the sorted hashes as bytes."""
+    """(id, shingles, marks) of rows (id, text): the sorted hashes, and the low byte of each coordinate of the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch.column(1), SLICE):
                 sets = shingle_sets(texts_of(batch.column(1).slice(a, b - a)))
-                made = pa.array([s.tobytes() for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), made], ["id", "shingles"])
+                marks = sketches(sets).astype(np.uint8)
+                made = [pa.array([x.tobytes() for x in values], pa.binary()) for values in (sets, marks)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *made], ["id", "shingles", "marks"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, shingles binary")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, shingles binary, marks binary")
 
 
 def linked(a: np.ndarray, b: np.ndarray, share: int = SHARE) -> bool:
@@ -137,6 +142,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     sizes = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n"))
     lot = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / LOT))
     dealt = pairs.join(sizes, "hub").select("hub", lot.alias("lot"), "id")
+    sets = sets.select("id", "shingles")
     members = dealt.join(sets, "id").select("hub", "lot", F.lit(1).alias("role"), "id", "shingles")
     hubs = dealt.select("hub", "lot", F.col("hub").alias("id")).distinct().join(sets, "id")
     rows = members.unionByName(hubs.select("hub", "lot", F.lit(0).alias("role"), "id", "shingles"))
@@ -152,33 +158,82 @@ def _pairs(members: DataFrame, others: DataFrame) -> DataFrame:
 
 
 def _with_pivots(shared: DataFrame) -> DataFrame:
-    """Pairs of every node of a bucket with the bucket's pivots.
+    """Pairs of every node of a bucket with the bucket's pivot, its node of least hash."""
+    pivots = shared.filter(F.xxhash64("id") == F.col("low")).select("key", F.col("id").alias("hub"), F.col("n").alias("m"))
+    return _pairs(shared.select("key", "id", "n"), pivots)
 
-    A bucket of s nodes has its node of least hash as a pivot and, beyond four nodes, about log2(s) more: the
-    nodes whose hash lies below that share. In a group of near copies a node then misses all pivots with
-    a chance that falls as a power of the size, so few are left to compare with many.
+
+def _mixed(shared: DataFrame, group: DataFrame) -> DataFrame:
+    """Rows (key, id, size, own) of buckets that hold several components and more than a pivot and one node."""
+    placed = shared.filter("size > 2").join(group.withColumnRenamed("node", "id"), "id", "left")
+    placed = placed.select("key", "id", "size", F.coalesce("component", "id").alias("own"))
+    mixed = placed.groupBy("key").agg(F.min("own").alias("x"), F.max("own").alias("y")).filter("x <> y").select("key")
+    return placed.join(mixed, "key")
+
+
+def _links_within(mixed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between different components of a bucket, enough to join all that its pairs join.
+
+    A bucket of more than ``BLOCK`` nodes is cut into parts that meet pairwise, so its pairs spread over tasks and
+    none of them is a row.
     """
-    h = F.xxhash64("id")
-    share = F.shiftrightunsigned(h, 11) / float(1 << 53)
-    pivot = (h == F.col("low")) | ((F.col("size") > 4) & (share < F.log2("size") / F.col("size")))
-    return _pairs(shared.select("key", "id", "n"), shared.filter(pivot).select("key", F.col("id").alias("hub"), F.col("n").alias("m")))
+    parts = F.ceil(F.col("size") / BLOCK)
+    met = mixed.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    met = met.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "id", "own")
+    carried = met.join(sets, "id").select("key", "low", "high", "id", "own", "marks", "shingles")
+    kind = sets.schema["id"].dataType.simpleString()
+    block = ["key", "low", "high"]
+    return carried.repartition(*block).sortWithinPartitions(*block).mapInArrow(_compare_blocks, f"a {kind}, b {kind}")
 
 
-def _rest(shared: DataFrame, group: DataFrame, done: DataFrame) -> DataFrame:
-    """Pairs that share a bucket but no component and were not compared: nodes outside the component of
-    the bucket's first node with all nodes of other components."""
-    placed = shared.join(group.withColumnRenamed("node", "id"), "id", "left")
-    placed = placed.select("key", "id", "n", "low", F.coalesce("component", "id").alias("own"))
-    mixed = placed.groupBy("key").agg(F.min("own").alias("x"), F.max("own").alias("y")).filter("x <> y").select("key")
-    placed = checkpointed(placed.join(mixed, "key"))
-    first = placed.filter(F.xxhash64("id") == F.col("low")).select("key", F.col("own").alias("first"))
-    placed = placed.join(first, "key")
-    strays = placed.filter("own <> first").select("key", F.col("id").alias("hub"), F.col("n").alias("m"), F.col("own").alias("other"))
-    fits = f"own <> other and (own = first or id < hub) and 100 * least(m, n) >= {SHARE} * greatest(m, n)"
-    pairs = placed.join(strays, "key").filter(fits).select("hub", "id").distinct()
-    known = done.select(F.least("hub", "id").alias("x"), F.greatest("hub", "id").alias("y")).distinct()
-    same = (F.least("hub", "id") == F.col("x")) & (F.greatest("hub", "id") == F.col("y"))
-    return pairs.join(known, same, "left_anti")
+def block_links(own: list, marks: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs of places that link nodes of different components; pairs joined by earlier ones are not looked at.
+
+    Sketches rule out a pair whose similarity they bound below the threshold by ``SIGMAS`` deviations.
+    """
+    up: dict = {c: c for c in own}
+
+    def top(c):
+        while up[c] != c:
+            up[c] = c = up[up[c]]
+        return c
+
+    sizes = np.array([len(x) for x in sets])
+    least = BINS * (SHARE / 100 - SIGMAS * (SHARE / 100 * (1 - SHARE / 100) / BINS) ** 0.5)
+    found = []
+    for i in range(len(own) - 1):
+        near = (marks[i + 1 :] == marks[i]).sum(axis=1) >= least
+        near &= 100 * np.minimum(sizes[i + 1 :], sizes[i]) >= SHARE * np.maximum(sizes[i + 1 :], sizes[i])
+        for j in (np.flatnonzero(near) + i + 1).tolist():
+            x, y = top(own[i]), top(own[j])
+            if x != y and linked(sets[i], sets[j]):
+                up[x] = y
+                found.append((i, j))
+    return found
+
+
+def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``block_links`` of rows (key, low, high, id, own, marks, shingles) sorted by the first three."""
+    now, held, kind = None, [], pa.int64()
+
+    def out():
+        pairs = block_links(
+            [h[1] for h in held], np.stack([np.frombuffer(h[2], np.uint8) for h in held]), [np.frombuffer(h[3], np.uint64) for h in held]
+        )
+        return pa.RecordBatch.from_arrays([pa.array([held[p[k]][0] for p in pairs], kind) for k in (0, 1)], ["a", "b"])
+
+    for batch in batches:
+        kind = batch.column(3).type
+        columns = [c.to_pylist() for c in batch.columns]
+        for key, low, high, *row in zip(*columns, strict=True):
+            if (key, low, high) != now:
+                if len(held) > 1:
+                    yield out()
+                now, held = (key, low, high), []
+            held.append(row)
+    if len(held) > 1:
+        yield out()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,9 +253,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = checkpointed(_with_pivots(shared))
     links = checkpointed(verified(pairs, sets))
     group = components(links)
-    more = checkpointed(_rest(shared, group, pairs))
-    if not more.isEmpty():
-        group = components(group.select(F.col("node").alias("a"), F.col("component").alias("b")).union(verified(more, sets)))
+    mixed = checkpointed(_mixed(shared, group))
+    if not mixed.isEmpty():
+        stars = group.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        group = components(stars.union(_links_within(mixed, sets)))
     by_set = nodes.join(group, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
     found = made.filter(complete).join(by_set, "set_key")
     alone = made.filter(~complete).withColumn("component_id", F.col("id"))
