@@ -159,3 +159,20 @@ def test_tables_keep_the_recall_at_every_size(largest):
     bits, tables = rabitq.plan(largest, 0.93)
     meet = (1 - np.arccos(0.93) / np.pi) ** bits
     assert 1 - (1 - meet) ** tables >= 0.999 and largest / 2**bits <= 2
+
+
+def test_blocks_join_what_all_pairs_join():
+    rng = np.random.default_rng(12)
+    base = rng.integers(1, 1 << 63, 200, dtype=np.uint64)
+    sets = []
+    for _ in range(60):
+        keep = base[rng.random(200) < rng.uniform(0.75, 1)]
+        sets.append(np.unique(np.concatenate([keep, rng.integers(1, 1 << 63, 8, dtype=np.uint64)])))
+    own = [int(c) for c in rng.integers(0, 40, 60)]
+    marks = fast_minhash.sketches(sets).astype(np.uint8)
+    found = fast_minhash.block_links(own, marks, sets)
+    plain = [(i, j) for i in range(60) for j in range(i) if fast_minhash.linked(sets[i], sets[j])]
+    assert len(plain) > 100 and all(fast_minhash.linked(sets[i], sets[j]) for i, j in found)
+    same = [(i, j) for i in range(60) for j in range(i) if own[i] == own[j]]
+    assert smallest_reachable(range(60), same + found) == smallest_reachable(range(60), same + plain)
+    assert len(found) < 60
