@@ -102,6 +102,32 @@ def test_random_strings_are_added_and_known_ones_are_not(spark):
     assert secret_scan.method_spans("0" * 50 + " 12345678901234567890123", count) == []
 
 
+def test_secrets_behind_readable_text_and_around_base_spans(spark):
+    rng = random.Random(7)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    secrets = ["".join(rng.choices(chars, k=24)) for _ in range(60)]
+    fronts = [
+        "production/database/credentials/",
+        "Production_Database_Connection_Access_Configuration=",
+        "https/documentation/reference/production/database/connection/configuration/key=",
+        "configurationOfTheDatabaseConnection",
+    ]
+    count = secret_scan._counter(byte_bpe.load_ranks(RANKS), public_tokenizers.PATTERN)
+    for front in fronts:
+        for secret in secrets:
+            text = f"see {front}{secret} there"
+            at = text.index(secret)
+            spans = secret_scan.method_spans(text, count)
+            assert any(a <= at and at + len(secret) <= b for a, b, _ in spans), text
+    texts = ["a Zx9Qw3Lm8Kp2" + "0123456789abcdef" + "Xb7Nc4Rt6Yh1 b", "commit/0123456789abcdef01 x", "at/123e4567-e89b-12d3-a456-426614174000/documentation/reference/production"]
+    got = secret_scan.mask_secrets(documents(spark, list(enumerate(texts))), RANKS, public_tokenizers.PATTERN).collect()
+    masks = {r.doc_id: r.text for r in got}
+    assert masks[0] == "a <random><hex><random> b"
+    assert masks[1] == "commit/<hex> x" and masks[2] == texts[2]
+    brute = [3.0, -1, 2, -4, 5, 0, -1, 1, -9, 2]
+    assert secret_scan.maximal(brute) == [(0, 2), (4, 4), (7, 7), (9, 9)]
+
+
 def test_masking(spark):
     got = secret_scan.mask_secrets(documents(spark, SECRETS), RANKS, public_tokenizers.PATTERN).collect()
     texts = {r.doc_id: r.text for r in got}
