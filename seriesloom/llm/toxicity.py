@@ -1,7 +1,8 @@
 """Toxicity score from a weighted lexicon.
 
-Texts are folded first: lower case, homoglyphs to Latin letters, digits and signs that stand for
-letters to those letters, everything else to single spaces. One Aho-Corasick pass then finds the
+Texts are folded first: lower case, format characters dropped, homoglyphs and Latin letters with
+diacritics to plain letters, digits and signs that stand for letters to those letters, everything
+else to single spaces. One Aho-Corasick pass then finds the
 entries of the lexicon, whole words or word beginnings, and the exception phrases; an entry
 inside an exception phrase does not count. The weights of the rest, as a sum and per word of the
 text, go through a logistic curve.
@@ -28,6 +29,7 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,8 +47,33 @@ EXCEPTIONS = (
 #: Letters that look like Latin ones, and signs that stand for letters.
 HOMOGLYPHS = dict(zip("абвгдеёзијкмнорстухѕіјһԁԛԝɑαβεικνορτυχıⅼ", "abbrdeeeujkmhopctyxsijhdqwaabeiknoptuxil", strict=False))
 SIGNS = dict(zip("013457@$", "oieastas", strict=True))
-_SUSPECT = re.compile("[^\x00-ɏ]")
-_FOLD = {ord(k): v for k, v in HOMOGLYPHS.items()}
+#: Latin letters with diacritics, also those that Unicode does not decompose, and small capitals.
+_NAMED = re.compile("LATIN (?:SMALL LETTER (?:DOTLESS )?([A-Z])(?: WITH .+)?|LETTER SMALL CAPITAL ([A-Z]))")
+_LATIN = (range(0x80, 0x2B0), range(0x1D00, 0x1DC0), range(0x1E00, 0x1F00), range(0x2C60, 0x2C80), range(0xA720, 0xA800), range(0xAB30, 0xAB70))
+_FOLD = {c: (m[1] or m[2]).lower() for r in _LATIN for c in r if (m := _NAMED.fullmatch(unicodedata.name(chr(c), "")))}
+_FOLD |= {ord("æ"): "ae", ord("œ"): "oe", ord("ß"): "ss"} | {ord(k): v for k, v in HOMOGLYPHS.items()}
+#: Characters that are not seen, what is no part of a word, and marks on folded letters or on nothing.
+_UNSEEN = regex.compile(r"[\p{Cf}\p{Default_Ignorable_Code_Point}]")
+_APART = regex.compile(r"[^\p{L}\p{N}\p{M}\x00-\x7F]")
+_MARKS = regex.compile(r"(?<![^a-z0-9@$ ])\p{M}+")
+
+
+class _Folding(dict):
+    """What stands for each code point, made when one is first met."""
+
+    def __missing__(self, code: int) -> str:
+        char = chr(code)
+        if _UNSEEN.match(char):
+            out = ""
+        elif _APART.match(char):
+            out = " "
+        else:
+            out = unicodedata.normalize("NFD", char.lower().translate(_FOLD)).translate(_FOLD)
+        self[code] = out
+        return out
+
+
+_FOLDING = _Folding()
 _BYTES = bytes(
     b + 32 if 65 <= b < 91 else ord(SIGNS[chr(b)]) if chr(b) in SIGNS else b if b >= 128 or 97 <= b < 123 else 32
     for b in range(256)
@@ -60,8 +87,10 @@ HELD_TERMS = 200_000
 
 def fold(text: str) -> list[str]:
     """Folded words of a text."""
-    if _SUSPECT.search(text):
-        text = unicodedata.normalize("NFKC", text).lower().translate(_FOLD)
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text).translate(_FOLDING)
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", _MARKS.sub("", text))
     raw = text.encode("utf-8", "surrogatepass").translate(_BYTES)
     return raw.decode("utf-8", "surrogatepass").lower().split()
 

@@ -80,6 +80,19 @@ def test_folding_and_exceptions():
     assert toxicity.matched("", automaton)[:2] == (0, 0) and toxicity.matched("midiot", automaton)[0] == 0
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "\u0131d\u0131ot", "\u00efdi\u00f6t", "i\u0307di\u0323ot", "idi\u00adot", "i\u200bdi\u200cot", "\ufeffidiot", "\u017ftupid",
+        "i\u0111i\u00f8t", "\u0130D\u0130OT", "\u026a\u1d05\u026a\u1d0f\u1d1b", "\u0456di\u043e\u0301t", "\u201cidiot\u201d", "you idiot\u2014go",
+    ],
+)
+def test_disguised_words_match(text):
+    automaton = toxicity.Lexicon(dict(toxicity.KNOWN)).automaton()
+    assert len(toxicity.matched(f"what an {text} here", automaton)[2]) == 1
+    assert toxicity.fold("na\u00efve stra\u00dfe \u65e5\u672c\u8a9e") == ["naive", "strasse", "\u65e5\u672c\u8a9e"]
+
+
 def test_longer_texts_dilute_matches(spark):
     rows = [(1, "idiot"), (2, "idiot " + "word " * 500), (3, "word " * 500)]
     scores = {r.doc_id: r.score for r in toxicity.score(documents(spark, rows), toxicity.Lexicon(dict(toxicity.KNOWN))).collect()}
