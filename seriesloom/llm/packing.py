@@ -7,8 +7,9 @@ permitted capacities: the one with the least cost per filled token, taking the r
 to come can fill into account. At the end every bin is downsized to the smallest capacity that holds its
 contents. The cost of a bin is its capacity plus ``OVERHEAD`` tokens.
 
-Packing is done per shard: pieces are dealt over shards of about ``SHARD`` pieces by their id's hash, so a
-shard fits a task and shards run side by side; a bin is named by shard and number. Within a shard, pieces of
+Packing is done per shard: pieces are dealt over shards of about ``SHARD`` pieces by a hash, so a shard fits a
+task and shards run side by side; a bin is named by shard and number. Rows of equal id (or none) and length are
+counted first and dealt in lots of at most ``LOT``, so that repeated and NULL ids spread over the shards too. Within a shard, pieces of
 one length are interchangeable, so best fit works on counts per room and takes time linear in pieces and
 capacity.
 
@@ -32,6 +33,7 @@ from seriesloom.llm.common import workers_import
 CAPACITIES = (512, 1024, 2048, 4096)
 OVERHEAD = 8
 SHARD = 4096
+LOT = 64
 
 
 def opened(length: int, rest: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD) -> int:
@@ -92,9 +94,14 @@ def pack_documents(docs: DataFrame, length: Column, id_col: str = "doc_id", capa
     n = F.greatest(F.coalesce(length.cast("long"), F.lit(0)), F.lit(0))
     rows = docs.select(F.col(id_col).alias("id"), n.alias("n"))
     last = F.greatest(F.ceil(F.col("n") / top) - 1, F.lit(0))
-    pieces = rows.select("id", "n", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece")).select(
-        "id", "piece", (F.col("piece") * top).alias("start"), F.least(F.lit(top), F.col("n") - F.col("piece") * top).alias("length")
-    )
+    zero = F.lit(0).cast("long")
+    equal = rows.groupBy("id", "n").agg(F.count(F.lit(1)).alias("c"))
+    lots = equal.select("id", "n", "c", F.explode(F.sequence(zero, F.expr(f"(c - 1) div {LOT}"))).alias("lot"))
+    pieces = lots.select("*", F.explode(F.sequence(zero, last)).alias("piece")).select(
+        "id", "n", "lot", "piece", (F.col("piece") * top).alias("start"),
+        F.least(F.lit(top), F.col("n") - F.col("piece") * top).alias("length"),
+        F.least(F.lit(LOT), F.col("c") - F.col("lot") * LOT).alias("copies"),
+    )
     total = rows.agg(F.sum(F.greatest(F.ceil(F.col("n") / top), F.lit(1)))).first()[0] or 0
     shards = max(1, -(-total // SHARD))
     kind = pieces.schema["id"].dataType.simpleString()
@@ -114,9 +121,10 @@ def pack_documents(docs: DataFrame, length: Column, id_col: str = "doc_id", capa
         if held:
             yield _packed(held, capacities)
 
-    shard = F.pmod(F.xxhash64("id", "piece"), F.lit(shards)).alias("shard")
-    dealt = pieces.select(shard, "id", "piece", "start", "length").repartition("shard")
-    packed = dealt.sortWithinPartitions("shard", F.desc("length"), "id", "piece").mapInArrow(
+    shard = F.pmod(F.xxhash64("id", "n", "lot", "piece"), F.lit(shards)).alias("shard")
+    dealt = pieces.select(shard, "id", "piece", "start", "length", "copies").repartition("shard")
+    each = dealt.select("shard", "id", "piece", "start", "length", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    packed = each.drop("col").sortWithinPartitions("shard", F.desc("length"), "id", "piece").mapInArrow(
         run, f"id {kind}, piece long, start long, length long, shard long, number long, bin_offset long, capacity long"
     )
     return packed.select(

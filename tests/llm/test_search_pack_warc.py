@@ -92,6 +92,18 @@ def test_packing_places_every_token_once(spark):
     assert packing.pack_documents(docs.limit(0), F.col("words")).count() == 0
 
 
+def test_null_and_repeated_ids_spread_over_shards(spark):
+    rows = spark.range(30_000).selectExpr("CASE WHEN id % 3 = 0 THEN id WHEN id % 3 = 1 THEN -1 END AS doc_id", "CASE WHEN id % 3 = 0 THEN id % 700 ELSE 7 END AS words")
+    packed = packing.pack_documents(rows, F.col("words")).withColumn("shard", F.split("bin", "-")[0]).persist()
+    sizes = [r["count"] for r in packed.groupBy("shard").count().collect()]
+    assert sum(sizes) == 30_000 and max(sizes) < 1.5 * packing.SHARD
+    counts = {r.doc_id: r["count"] for r in packed.filter("doc_id is null or doc_id = -1").groupBy("doc_id").count().collect()}
+    assert counts == {None: 10_000, -1: 10_000}
+    held = packed.groupBy("bin").agg(F.sum("length").alias("s"), F.max(F.col("bin_offset") + F.col("length")).alias("e"), F.max("capacity").alias("c"))
+    assert held.filter("s <> e or s > c").count() == 0
+    packed.unpersist()
+
+
 def test_best_fit_and_downsizing():
     bins, offsets, sizes = packing.pack([3000, 1000, 1096, 600], (512, 1024, 2048, 4096))
     assert bins[0] == bins[2] and offsets[2] == 3000  # the tightest room, not the first
