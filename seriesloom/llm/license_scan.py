@@ -129,23 +129,32 @@ class Scanner:
         return len(words), hits
 
     def _verified(self, i: int, wanted: list[tuple[int, int]], joined: str) -> set[tuple[int, int, int]]:
-        """Spans and edits of notice ``i`` within the windows, which are joined where they overlap."""
+        """Spans and edits of notice ``i``: the best match of every window and what lies beside it there; of
+        places that overlap, those with the fewest edits."""
         notice, found = self.notices[i], set()
         if not notice.edits:
             for a, b in wanted:
                 if (a == 0 or joined[a - 1] == " ") and (b == len(joined) or joined[b : b + 1] == " "):
                     found.add((a, b, 0))
             return found
-        merged: list[list[int]] = []
-        for a, b in sorted(wanted):
-            if merged and a <= merged[-1][1]:
-                merged[-1][1] = max(b, merged[-1][1])
-            else:
-                merged.append([a, b])
-        for a, b in merged:
-            for m in self.fuzzy[i].finditer(joined, max(0, a), min(len(joined), b)):
-                if m.end() > m.start():
-                    found.add((m.start(), m.end(), sum(m.fuzzy_counts)))
+        places = set()
+        for a, b in set(wanted):
+            lo, hi = max(0, a), min(len(joined), b)
+            if joined[hi : hi + 1] not in ("", " "):
+                hi = joined.rfind(" ", lo, hi)  # the end of a window must not pass for that of a word
+            stretches = [(lo, hi)]
+            while stretches:
+                lo, hi = stretches.pop()
+                m = self.fuzzy[i].search(joined, lo, hi) if hi - lo >= len(notice.phrase) - notice.edits else None
+                if m and m.end() > m.start():
+                    places.add((sum(m.fuzzy_counts), *m.span()))
+                    stretches += [(lo, m.start() - 1), (m.end() + 1, hi)]
+        taken: list[tuple[int, int]] = []
+        for edits, a, b in sorted(places):
+            at = bisect_right(taken, (a, b))
+            if (at == 0 or taken[at - 1][1] <= a) and (at == len(taken) or b <= taken[at][0]):
+                taken.insert(at, (a, b))
+                found.add((a, b, edits))
         return found
 
 

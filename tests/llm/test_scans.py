@@ -193,3 +193,20 @@ def test_pigeonhole_finds_every_place_within_the_edits():
                 del chars[at]
         text = "some words before " + "".join(chars) + " and behind"
         assert scan(text)[1], text
+
+
+def test_neighbouring_notices_are_all_found():
+    scan = license_scan.scanner(license_scan.notices()).scan
+    rng = random.Random(3)
+    phrase = "released under the mit license"
+    variants = [phrase, "releasd undr the mit license", "released undder the mit licence", "releasedd under the mit license"]
+    for _ in range(50):
+        chosen = [rng.choice(variants) for _ in range(rng.randint(2, 5))]
+        between = rng.choice([" ", " x ", " and it is "])
+        text, want = between.join(chosen), []
+        for v in chosen:
+            at = want[-1][1] + len(between) if want else 0
+            want.append((at, at + len(v)))
+        assert [(h.start, h.end) for h in scan(text)[1] if h.label == "mit" and not h.base] == want, text
+    assert [(h.start, h.end) for h in scan(f"releasd undr the mit license x {phrase}")[1] if not h.base] == [(0, 28), (31, 61)]
+    assert not scan("released under the mit licensexyzw")[1]
