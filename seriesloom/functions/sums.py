@@ -1,4 +1,4 @@
-"""Sums of doubles that lose nothing and do not depend on the order of rows or tasks."""
+"""Sums of doubles that lose nothing from 2^-100 up and do not depend on the order of rows or tasks."""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ def exact_sum_sql(value: str) -> str:
     A value is cut into whole multiples of 2^50, 2^20 and so on down to 2^-100 by remainders, which are
     exact. The multiples are added as numbers of their own: the highest as doubles, which are whole
     and so exact up to 2^53, the others, below 2^30 each, as long integers, which hold eight thousand million of
-    them; more raise an error. The parts are put together from the smallest up. NULL when no value is
+    them; more raise an error. What a value holds below 2^-100 is dropped. The parts are put together from the smallest up. NULL when no value is
     present; a value that is not finite makes the sum not finite.
     """
     sizes = [f"{2.0 ** cut:.17e}" for cut in CUTS]
