@@ -1,9 +1,9 @@
-import datetime
 import os
 import sys
 
 import numpy as np
 import pytest
+from months import month_ends
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -15,15 +15,6 @@ def spark():
     return local_session(8, "tests", memory="6g")
 
 
-def month_end(year, month):
-    first = datetime.date(year + month // 12, month % 12 + 1, 1)
-    return first - datetime.timedelta(days=1)
-
-
-def month_ends(year, month, n):
-    return [month_end(year + (month - 1 + i) // 12, (month - 1 + i) % 12 + 1) for i in range(n)]
-
-
 @pytest.fixture(scope="session")
 def sample_values():
     at = np.arange(36)

@@ -2,7 +2,7 @@ import datetime
 
 import numpy as np
 import pandas as pd
-from conftest import month_ends
+from months import month_ends
 from pyspark.sql import functions as F
 
 from seriesloom.functions.calendar import holiday_calendar

@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from conftest import month_ends
+from months import month_ends
 from pyspark.sql import functions as F
 
 from seriesloom.models import baselines, gbt_lag, seasonal_ar, trend_seasonal, window_huber

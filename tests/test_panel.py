@@ -3,7 +3,7 @@ import datetime
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import month_ends
+from months import month_ends
 from pyspark.sql import functions as F
 
 from seriesloom.operators import panel as panels
