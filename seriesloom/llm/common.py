@@ -17,7 +17,7 @@ from pyspark.sql.types import StructType
 
 from seriesloom.session import materialize
 
-__all__ = ["add_columns", "checkpointed", "crc_remainder", "map_texts", "read_table", "slices", "texts_of", "workers_import"]
+__all__ = ["add_columns", "checkpointed", "crc_remainder", "in_arrow", "map_texts", "read_table", "slices", "texts_of", "workers_import"]
 
 #: Bytes of text that a task turns into numpy arrays at once; one longer text is taken alone.
 SLICE_BYTES = 4 << 20
@@ -37,6 +37,12 @@ def workers_import(spark: SparkSession) -> None:
     context._library_sent = True
 
 
+def in_arrow(df: DataFrame, run: Callable, schema: StructType | str) -> DataFrame:
+    """``df.mapInArrow`` with the library at hand in the workers; every Arrow map of the operators goes through here."""
+    workers_import(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -83,7 +89,7 @@ def add_columns(docs: DataFrame, schema: str, rows: Callable[[list[str]], list],
                 arrays = [pa.array(c, type=t) for c, t in zip(made, types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *arrays], names)
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *added.fields]))
+    return in_arrow(docs, run, StructType([*docs.schema.fields, *added.fields]))
 
 
 def map_texts(

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import checkpointed, map_texts, slices, texts_of
+from seriesloom.llm.common import checkpointed, in_arrow, map_texts, slices, texts_of
 from seriesloom.llm.components import components
 from seriesloom.llm.shingles import mix, shingle_sets
 
@@ -101,7 +101,7 @@ def _with_sets(rows: DataFrame) -> DataFrame:
                 made = [pa.array([x.tobytes() for x in values], pa.binary()) for values in (sets, marks)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *made], ["id", "shingles", "marks"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, shingles binary, marks binary")
+    return in_arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, shingles binary, marks binary")
 
 
 def linked(a: np.ndarray, b: np.ndarray, share: int = SHARE) -> bool:
@@ -148,7 +148,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     rows = members.unionByName(hubs.select("hub", "lot", F.lit(0).alias("role"), "id", "shingles"))
     rows = rows.repartition("hub", "lot").sortWithinPartitions("hub", "lot", "role")
     kind = pairs.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(_compare, f"a {kind}, b {kind}")
+    return in_arrow(rows, _compare, f"a {kind}, b {kind}")
 
 
 def _pairs(members: DataFrame, others: DataFrame) -> DataFrame:
@@ -184,7 +184,7 @@ def _links_within(mixed: DataFrame, sets: DataFrame) -> DataFrame:
     carried = met.join(sets, "id").select("key", "low", "high", "id", "own", "marks", "shingles")
     kind = sets.schema["id"].dataType.simpleString()
     block = ["key", "low", "high"]
-    return carried.repartition(*block).sortWithinPartitions(*block).mapInArrow(_compare_blocks, f"a {kind}, b {kind}")
+    return in_arrow(carried.repartition(*block).sortWithinPartitions(*block), _compare_blocks, f"a {kind}, b {kind}")
 
 
 def block_links(own: list, marks: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:

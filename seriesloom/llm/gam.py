@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import add_columns, map_texts, texts_of
+from seriesloom.llm.common import add_columns, in_arrow, map_texts, texts_of
 from seriesloom.llm.labelled import SAMPLE_ROWS, labelled_texts, training_sample
 
 BINS, ROUNDS, RATE, PAIR_BINS, PAIRS, PAIR_ROUNDS = 32, 120, 0.1, 8, 6, 40
@@ -208,7 +208,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, label_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), values], ["doc_id", "label", "x"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    rows = texts.mapInArrow(run, f"doc_id {kind}, label int, x array<double>").dropDuplicates(["doc_id"])
+    rows = in_arrow(texts, run, f"doc_id {kind}, label int, x array<double>").dropDuplicates(["doc_id"])
     got = sorted((str(r.doc_id), r.label, r.x) for r in rows.collect())
     x = np.array([r[2] for r in got], float).reshape(len(got), len(FEATURES))
     return fit(x, np.array([r[1] for r in got], float))

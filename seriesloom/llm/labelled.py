@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import workers_import
-
 #: Most labelled rows that a fit reads; the rows with the smallest hash of their id are taken.
 SAMPLE_ROWS = 20_000
 
@@ -18,7 +16,6 @@ def training_sample(labels: DataFrame, label_col: str, allowed: Column, bound: i
     smallest label.
     """
     spark = labels.sparkSession
-    workers_import(spark)
     kind = labels.schema["doc_id"].dataType.simpleString()
     chosen = (
         labels.filter(allowed & F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1))

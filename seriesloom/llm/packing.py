@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import workers_import
+from seriesloom.llm.common import in_arrow
 
 CAPACITIES = (512, 1024, 2048, 4096)
 OVERHEAD = 8
@@ -88,7 +88,6 @@ def pack(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES) -> tuple[
 def pack_documents(docs: DataFrame, length: Column, id_col: str = "doc_id", capacities: tuple[int, ...] = CAPACITIES) -> DataFrame:
     """One row per piece: id, piece (from 0), start (within the document), length, bin (shard and number),
     bin_offset and capacity."""
-    workers_import(docs.sparkSession)
     top = max(capacities)
     capacities = tuple(sorted(capacities))
     n = F.greatest(F.coalesce(length.cast("long"), F.lit(0)), F.lit(0))
@@ -124,9 +123,10 @@ def pack_documents(docs: DataFrame, length: Column, id_col: str = "doc_id", capa
     shard = F.pmod(F.xxhash64("id", "n", "lot", "piece"), F.lit(shards)).alias("shard")
     dealt = pieces.select(shard, "id", "piece", "start", "length", "copies").repartition("shard")
     each = dealt.select("shard", "id", "piece", "start", "length", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    packed = each.drop("col").sortWithinPartitions("shard", F.desc("length"), "id", "piece").mapInArrow(
-        run, f"id {kind}, piece long, start long, length long, shard long, number long, bin_offset long, capacity long"
-    )
+    packed = in_arrow(
+        each.drop("col").sortWithinPartitions("shard", F.desc("length"), "id", "piece"), run,
+        f"id {kind}, piece long, start long, length long, shard long, number long, bin_offset long, capacity long",
+    )
     return packed.select(
         F.col("id").alias(id_col), "piece", "start", "length",
         F.concat_ws("-", "shard", "number").alias("bin"), "bin_offset", "capacity",

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import checkpointed, workers_import
+from seriesloom.llm.common import checkpointed, in_arrow
 from seriesloom.llm.components import components
 
 #: Chance of missing a pair exactly at the threshold; closer pairs are missed far less often.
@@ -204,7 +204,6 @@ def near_vectors(
     label_col: str = "label",
 ) -> DataFrame:
     """One row per vector: n_links, component_id and kept, comparing vectors of equal labels."""
-    workers_import(rows.sparkSession)
     narrow = rows.select(
         F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).alias("label")
     )
@@ -219,7 +218,8 @@ def near_vectors(
     kind = nodes.schema["node"].dataType.simpleString()
     label = nodes.schema["label"].dataType.simpleString()
     coded = checkpointed(
-        nodes.select("label", "node", "copies", "v").mapInArrow(
+        in_arrow(
+            nodes.select("label", "node", "copies", "v"),
             lambda b: _codes(b, bits, tables),
             f"label {label}, node {kind}, copies long, dim int, unit binary, keys array<long>",
         )
@@ -239,9 +239,11 @@ def near_vectors(
     carried = met.join(coded.select("node", "label", "dim", "unit", "keys"), ["node", "label", "dim"])
     block = [*bucket, "low", "high"]
     found = checkpointed(
-        carried.repartition(*block)
-        .sortWithinPartitions(*block)
-        .mapInArrow(lambda b: _compare(b, threshold), f"a {kind}, n long, b {kind}")
+        in_arrow(
+            carried.repartition(*block).sortWithinPartitions(*block),
+            lambda b: _compare(b, threshold),
+            f"a {kind}, n long, b {kind}",
+        )
     )
     counts = found.groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "node")
     group = components(found.select("a", "b"))

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import add_columns, map_texts, texts_of
+from seriesloom.llm.common import add_columns, in_arrow, map_texts, texts_of
 from seriesloom.llm.labelled import SAMPLE_ROWS, labelled_texts, training_sample
 
 #: Known insults with their weight before learning, and phrases in which such words are harmless.
@@ -173,7 +173,7 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column, label_col: str =
                 ["copy", "label", "text"],
             )
 
-    once = texts.mapInArrow(folded, "copy long, label int, text string").groupBy("copy").agg(
+    once = in_arrow(texts, folded, "copy long, label int, text string").groupBy("copy").agg(
         F.max(F.struct("label", "text")).alias("r")
     )
     once = once.select("copy", "r.label", "r.text").persist()
@@ -209,8 +209,7 @@ def _weights(once: DataFrame) -> Lexicon:
         return Lexicon(words)
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
     top = (
-        once.select("label", "text")
-        .mapInArrow(counted, "term string, clean long, toxic long")
+        in_arrow(once.select("label", "text"), counted, "term string, clean long, toxic long")
         .groupBy("term")
         .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
         .filter(F.col("toxic") >= LEAST_SUPPORT)
@@ -238,7 +237,7 @@ def _curve(once: DataFrame, lexicon: Lexicon) -> tuple[float, float, float]:
                 ["label", "weight", "words"],
             )
 
-    rows = once.select("label", "text").mapInArrow(weighed, "label int, weight double, words long").collect()
+    rows = in_arrow(once.select("label", "text"), weighed, "label int, weight double, words long").collect()
     y = np.array([r.label for r in rows], float)
     if len(np.unique(y)) < 2:
         return Lexicon().curve
