@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from seriesloom.llm import byte_bpe, fast_minhash, gam, license_scan, packing, rabitq, secret_scan, toxicity, va_search, warc_revisits
+from seriesloom.llm import byte_bpe, fast_minhash, gam, license_scan, packing, quality_rules, rabitq, secret_scan, toxicity, va_search, warc_revisits
 from seriesloom.llm.common import crc_remainder, read_table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -63,11 +63,16 @@ def op10_rabitq(spark, d):
     return rabitq.near_vectors(read_table(spark, d, "embeddings"))
 
 
+def op11_quality_rules(spark, d):
+    return quality_rules.judge(read_table(spark, d, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality, op2_secrets, op3_packing, op4_va_search, op5_revisits,
         op6_minhash, op7_toxicity, op8_licenses, op9_byte_bpe, op10_rabitq,
+        op11_quality_rules,
     )
 }
 OP4_SQL = """
@@ -109,4 +114,38 @@ SELECT record_id, canonical_url, CASE WHEN reason = 'resolved' THEN r.response_i
 FROM j
 """
 
-ORACLES: dict[str, str] = {"op4_va_search": OP4_SQL, "op5_revisits": OP5_SQL}
+STOPS = ", ".join(f"'{w}'" for w in sorted(set(quality_rules.STOP_WORDS)))
+OP11_SQL = rf"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+        list_filter(string_split(text, chr(10)), lambda s: regexp_matches(s, '[^\x20\x09-\x0D]')) AS lines FROM t),
+windows AS (SELECT r, unnest(range(1, len(words) - 6)) AS i, words FROM w WHERE len(words) >= 8),
+texts AS (SELECT r, i, array_to_string(words[i:i + 7], ' ') AS t FROM windows),
+hits AS (SELECT r, i FROM texts QUALIFY count(*) OVER (PARTITION BY r, t) > 1),
+steps AS (SELECT r, least(8, coalesce(lead(i) OVER (PARTITION BY r ORDER BY i) - i, 8)) AS n FROM hits),
+again AS (SELECT r, sum(n) AS n FROM steps GROUP BY r),
+m AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+  CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+  CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(again.n, 0) AS BIGINT) AS n_repeat_words, CAST(len(lines) AS BIGINT) AS n_lines,
+  CAST(len(list_filter(words, lambda x: regexp_matches(x, '\pL'))) AS BIGINT) AS n_letter_words,
+  CAST(len(list_filter(words, lambda x: list_contains([{STOPS}], lower(rtrim(x, '.,;:!?'))))) AS BIGINT) AS n_stop_words,
+  CAST(len(regexp_extract_all(text, '[A-Z]')) AS BIGINT) AS n_capitals,
+  CAST(len(list_filter(range(2, len(words) + 1), lambda i: words[i] = words[i - 1])) AS BIGINT) AS n_same_words,
+  CAST(len(list_filter(lines, lambda x: regexp_matches(x, '^[ \t]*[-*•‣◦]'))) AS BIGINT) AS n_bullet_lines,
+  CAST(len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[ \t\r]*$'))) AS BIGINT) AS n_ellipsis_lines
+  FROM w LEFT JOIN again USING (r)),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  list_filter([
+    CASE WHEN n_words < 20 THEN 'few_words' END, CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 'repeated_windows' END,
+    CASE WHEN n_words > 1000000 THEN 'many_words' END,
+    CASE WHEN 100 * word_chars < 300 * n_words OR 100 * word_chars > 1200 * n_words THEN 'word_length' END,
+    CASE WHEN 100 * n_symbols > 10 * n_words THEN 'symbols' END, CASE WHEN 100 * n_letter_words < 75 * n_words THEN 'letters' END,
+    CASE WHEN 100 * n_stop_words < 6 * n_words THEN 'stop_words' END, CASE WHEN 100 * n_capitals > 30 * word_chars THEN 'capitals' END,
+    CASE WHEN 100 * n_same_words > 15 * n_words THEN 'stutter' END, CASE WHEN 100 * n_dup_lines > 40 * n_lines THEN 'copied_lines' END,
+    CASE WHEN 100 * n_bullet_lines > 90 * n_lines THEN 'bullets' END,
+    CASE WHEN 100 * n_ellipsis_lines > 30 * n_lines THEN 'ellipses' END], lambda x: x IS NOT NULL) AS broken FROM m)
+SELECT * EXCLUDE (broken), NOT base_failed AND len(broken) = 0 AS kept, array_to_string(broken, ',') AS broken_rules FROM f
+"""
+
+ORACLES: dict[str, str] = {"op4_va_search": OP4_SQL, "op5_revisits": OP5_SQL, "op11_quality_rules": OP11_SQL}
