@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from seriesloom.llm import byte_bpe, fast_minhash, gam, license_scan, packing, quality_rules, rabitq, secret_scan, toxicity, va_search, warc_revisits
+from seriesloom.llm import byte_bpe, fast_minhash, gam, license_scan, packing, quality_rules, rabitq, secret_scan, token_alignment, toxicity, va_search, warc_revisits
 from seriesloom.llm.common import crc_remainder, read_table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -67,12 +67,20 @@ def op11_quality_rules(spark, d):
     return quality_rules.judge(read_table(spark, d, "documents"))
 
 
+#: Files of the two aligned vocabularies.
+BYTE_LEVEL, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op13_alignment(spark, d):
+    return token_alignment.align(read_table(spark, d, "documents"), BYTE_LEVEL, PIECES)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality, op2_secrets, op3_packing, op4_va_search, op5_revisits,
         op6_minhash, op7_toxicity, op8_licenses, op9_byte_bpe, op10_rabitq,
-        op11_quality_rules,
+        op11_quality_rules, op13_alignment,
     )
 }
 OP4_SQL = """

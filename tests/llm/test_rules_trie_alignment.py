@@ -1,10 +1,17 @@
 """Rules on texts, the trie of conversations and the alignment of two tokenizers, against plain versions."""
 
+import hashlib
+import itertools
+import random
 import re
+from collections import Counter
 
+import numpy as np
+import pytest
 from helpers import ODD_TEXTS, documents
 
-from seriesloom.llm import quality_rules
+from seriesloom.llm import quality_rules, token_alignment
+from seriesloom.llm.queries import BYTE_LEVEL, PIECES
 
 
 def plain_counts(text):
@@ -46,3 +53,76 @@ def test_a_table_of_rules_decides(spark):
     assert got[1] == "" and "capitals" in got[2] and "symbols" in got[3] and "bullets" in got[4]
     own = quality_rules.judge(documents(spark, rows), [quality_rules.Rule("short", "n_words", most=5)], [])
     assert {r.broken_rules for r in own.collect()} == {"short"} and not any(r.base_failed for r in own.collect())
+
+
+def plain_alignment(texts):
+    """Measures of every text by enumerating all links."""
+    e = token_alignment.Encoders(BYTE_LEVEL, PIECES)
+    rows, holds = [], Counter()
+    for text in texts:
+        text = text or ""
+        a = e.a.encode(" " + text, add_special_tokens=False).ids if text else []
+        b = e.b.encode(text) if text else []
+        spans = []
+        for ids, size in ((a, e.a_bytes), (b, e.b_bytes)):
+            ends = list(itertools.accumulate(len(size[i]) for i in ids))
+            spans.append(list(zip(ids, ends)))
+        joined = [b"".join(size[i] for i in ids) for ids, size in ((a, e.a_bytes), (b, e.b_bytes))]
+        if not text or any(j != (" " + text).encode() for j in joined):
+            rows.append((0, 0, 0, [], ""))
+            continue
+        cuts = sorted({x for _, x in spans[0]} & {x for _, x in spans[1]})
+        parts = [[[i for i, end in side if low < end <= high] for side in spans] for low, high in zip([0, *cuts], cuts)]
+        found = [(x, y) for p in parts for x in p[0] for y in p[1]]
+        holds.update(set(found))
+        shown = ";".join("|".join(",".join(map(str, side)) for side in p) for p in parts)
+        rows.append((len(a), len(b), len(cuts), found, hashlib.sha256(shown.encode()).hexdigest()))
+    best = {}
+    for (x, _), n in holds.items():
+        best[x] = max(best.get(x, 0), n)
+    return [(n, m, g, len(f), sum(holds[p] == best[p[0]] for p in f), sum(holds[p] for p in f), h) for n, m, g, f, h in rows]
+
+
+ALIGNED = [
+    "The quick brown fox", "The quick brown fox", "the fox", "\n\n  two  spaces\t", "日本語のテキスト 🙂 é", "a▁b", "<|endoftext|> <s> </s>",
+    "İstanbul ß ﬁ ​", "xxxxxxxxxxxxxxxxxxxxxxx" * 9, " lead", "trail ", "\x00 nul", "é combined", "antidisestablishmentarianism " * 3,
+]
+
+
+@pytest.mark.parametrize("share, hot, small", [(1 << 18, 10_000, 64), (3, 2, 1), (0, 0, 2)])
+def test_alignment_like_all_links(spark, monkeypatch, share, hot, small):
+    """With no room for common pairs and texts everything is joined by shuffles, with the same result."""
+    monkeypatch.setattr(token_alignment, "SHARE", share)
+    monkeypatch.setattr(token_alignment, "HOT_TEXTS", hot)
+    rows = [(i, t) for i, t in enumerate(ALIGNED)] + [r for r in ODD_TEXTS if r[1] is None or len(r[1]) < 100]
+    got = token_alignment.align(documents(spark, rows), BYTE_LEVEL, PIECES).collect()
+    want = [(i, *w) for (i, _), w in zip(rows, plain_alignment([t for _, t in rows]))]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_large_groups_are_laid_out_by_distinct_tokens():
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(0, 4, 60), rng.integers(0, 3, 50)
+    in_a, in_b = np.sort(rng.integers(0, 3, 60)), np.sort(rng.integers(0, 3, 50))
+    want = Counter(int(x) * token_alignment.WIDTH + int(y) for x, g in zip(a, in_a) for y, h in zip(b, in_b) if g == h)
+    codes, times = token_alignment.links(a, b, in_a, in_b, 3)
+    assert dict(zip(codes.tolist(), times.tolist())) == dict(want)
+
+
+def test_long_texts_are_cut_without_changing_tokens(monkeypatch):
+    e = token_alignment.Encoders(BYTE_LEVEL, PIECES)
+    rng = random.Random(1)
+    pieces = [" ", "  ", "\n", "a", "the", "it's", "1984", "é", "日本", "!?", " \t", "x "]
+    texts = ["".join(rng.choice(pieces) for _ in range(400)) for _ in range(30)] + ["", " ", "no", "nospace" * 50]
+    whole = e.ids(texts)
+    monkeypatch.setattr(token_alignment, "LONG", 10)
+    monkeypatch.setattr(token_alignment, "PART", 7)
+    assert max(len(e.parts(t)) for t in texts) > 10
+    for (a, b), (c, d) in zip(whole, e.ids(texts)):
+        assert a.tolist() == c.tolist() and b.tolist() == d.tolist()
+
+
+def test_nothing_to_align(spark):
+    assert token_alignment.align(documents(spark, []), BYTE_LEVEL, PIECES).count() == 0
+    got = token_alignment.align(documents(spark, [(1, None), (None, "")]), BYTE_LEVEL, PIECES).collect()
+    assert sorted(str(tuple(r)) for r in got) == ["(1, 0, 0, 0, 0, 0, 0, '')", "(None, 0, 0, 0, 0, 0, 0, '')"]
