@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from seriesloom.llm import byte_bpe, fast_minhash, gam, license_scan, packing, quality_rules, rabitq, secret_scan, token_alignment, toxicity, va_search, warc_revisits
+from seriesloom.llm import byte_bpe, fast_minhash, gam, license_scan, packing, prefix_trie, quality_rules, rabitq, secret_scan, token_alignment, toxicity, va_search, warc_revisits
 from seriesloom.llm.common import crc_remainder, read_table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -67,6 +67,10 @@ def op11_quality_rules(spark, d):
     return quality_rules.judge(read_table(spark, d, "documents"))
 
 
+def op12_prefix_trie(spark, d):
+    return prefix_trie.trie(read_table(spark, d, "conversations"), prefix_trie.Borrowing())
+
+
 #: Files of the two aligned vocabularies.
 BYTE_LEVEL, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
@@ -80,7 +84,7 @@ QUERIES = {
     for f in (
         op1_quality, op2_secrets, op3_packing, op4_va_search, op5_revisits,
         op6_minhash, op7_toxicity, op8_licenses, op9_byte_bpe, op10_rabitq,
-        op11_quality_rules, op13_alignment,
+        op11_quality_rules, op12_prefix_trie, op13_alignment,
     )
 }
 OP4_SQL = """
@@ -156,4 +160,27 @@ f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
 SELECT * EXCLUDE (broken), NOT base_failed AND len(broken) = 0 AS kept, array_to_string(broken, ',') AS broken_rules FROM f
 """
 
-ORACLES: dict[str, str] = {"op4_va_search": OP4_SQL, "op5_revisits": OP5_SQL, "op11_quality_rules": OP11_SQL}
+OP12_SQL = """
+WITH steps AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)),
+        lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+own AS (SELECT conv_id AS c, list({'role': coalesce(role, ''), 'text': coalesce(text, '')}
+          ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
+        FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+sums AS (SELECT c, turns, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+            lambda s, b: xor(s >> 8, t[CAST(xor(s, b) & 255 AS BIGINT) + 1])), 4294967295) % 9 AS h FROM own, steps),
+made AS (SELECT s.c, list_concat(list_slice(coalesce(b.turns, []), 1, s.h), list_slice(s.turns, s.h + 1, len(s.turns))) AS turns
+         FROM sums s LEFT JOIN own b ON b.c = s.c - s.c % 5),
+passed AS (SELECT c, len(turns) AS n, unnest(range(0, len(turns) + 1)) AS d, turns FROM made),
+node AS (SELECT turns[1:d] AS path, d AS depth, min(c) AS conv_id, count(*) AS n_convs,
+           sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE n = d), '')) AS ends_sha256,
+           count(*) FILTER (WHERE n > d) AS beyond FROM passed GROUP BY ALL),
+up AS (SELECT path, unnest(range(0, depth + 1)) AS e, (n_convs - 1) * coalesce(octet_length(encode(path[depth].text)), 0) AS saved,
+         CASE WHEN beyond = 0 THEN 1 ELSE 0 END AS leaf FROM node),
+below AS (SELECT path[1:e] AS path, sum(saved) AS saved, sum(leaf) AS leaves FROM up GROUP BY ALL),
+kids AS (SELECT path[1:depth - 1] AS path, count(*) AS n FROM node WHERE depth > 0 GROUP BY ALL)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, CAST(coalesce(kids.n, 0) AS BIGINT) AS n_children,
+  CAST(below.leaves AS BIGINT) AS n_leaves, CAST(below.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM node n JOIN below USING (path) LEFT JOIN kids USING (path) LEFT JOIN node p ON n.depth > 0 AND p.path = n.path[1:n.depth - 1]
+"""
+
+ORACLES: dict[str, str] = {"op4_va_search": OP4_SQL, "op5_revisits": OP5_SQL, "op11_quality_rules": OP11_SQL, "op12_prefix_trie": OP12_SQL}

@@ -2,15 +2,17 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 from helpers import ODD_TEXTS, documents
 
-from seriesloom.llm import quality_rules, token_alignment
+from seriesloom.llm import prefix_trie, quality_rules, token_alignment
 from seriesloom.llm.queries import BYTE_LEVEL, PIECES
 
 
@@ -126,3 +128,87 @@ def test_nothing_to_align(spark):
     assert token_alignment.align(documents(spark, []), BYTE_LEVEL, PIECES).count() == 0
     got = token_alignment.align(documents(spark, [(1, None), (None, "")]), BYTE_LEVEL, PIECES).collect()
     assert sorted(str(tuple(r)) for r in got) == ["(1, 0, 0, 0, 0, 0, 0, '')", "(None, 0, 0, 0, 0, 0, 0, '')"]
+
+
+def plain_trie(rows):
+    """Nodes of the rebuilt conversations by enumerating prefixes."""
+    own = {}
+    for c, turn, role, text in rows:
+        if c is not None:
+            own.setdefault(c, []).append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [(r, t) for _, _, r, t in sorted(turns)] for c, turns in own.items()}
+    made = {}
+    for c, turns in own.items():
+        h, start = zlib.crc32(str(c).encode()) % 9, int(math.fmod(c, 5))
+        made[c] = own.get(c - start, [])[:h] + turns[h:]
+    members = {}
+    for c, turns in made.items():
+        for d in range(len(turns) + 1):
+            members.setdefault(tuple(turns[:d]), []).append(c)
+    out = []
+    for path, who in members.items():
+        under = [p for p in members if p[: len(path)] == path]
+        leaves = [p for p in under if not any(q[:-1] == p and q for q in members)]
+        saved = sum((len(members[p]) - 1) * len(p[-1][1].encode()) for p in under if p)
+        ends = ",".join(map(str, sorted(c for c in who if len(made[c]) == len(path))))
+        parent = min(members[path[:-1]]) if path else None
+        children = sum(len(p) == len(path) + 1 for p in under)
+        out.append((min(who), len(path), parent, len(who), children, len(leaves), saved, hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(map(str, out))
+
+
+def conversations(spark, rows):
+    made = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    return made.selectExpr("*", "cast(null as string) as key", "cast(null as int) as depth", "cast(null as long) as root", "'x' as parent")
+
+
+def mixed_conversations(seed, n=60):
+    rng = random.Random(seed)
+    rows = []
+    for c in rng.sample(range(-20, 90), n):
+        for turn in range(rng.randint(1, 12)):
+            rows.append((c, turn, rng.choice(["user", "assistant"]) if turn % 4 == 0 else "user", rng.choice(["é", "bb", "ccc"]) if rng.random() < 0.3 else "same"))
+    rows += [(200, t, "user", f"long {t}") for t in range(150)] + [(205, t, "user", f"long {t}") for t in range(150)]
+    rows += [(c, t, "user", "copy") for c in range(300, 360, 5) for t in range(3)]
+    rows += [(401, 0, "user", "no base"), (402, None, None, None), (402, None, "user", "x"), (402, 1, None, "y"), (None, 1, "user", "none"), (403, 0, "u", "")]
+    rows += [(10, 1, "user", "twice"), (10, 1, "user", "twice")]
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("top, parts", [(10_000, 8), (20, 40), (3, 7), (1, 1)])
+def test_trie_like_enumeration(spark, monkeypatch, top, parts):
+    """Whatever the size of the crown and wherever conversations are cut by partitions."""
+    monkeypatch.setattr(prefix_trie, "TOP", top)
+    rows = mixed_conversations(top)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = prefix_trie.trie(conversations(spark, rows), prefix_trie.Borrowing()).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(str(tuple(r)) for r in got) == plain_trie(rows)
+
+
+def test_trie_of_plain_conversations_and_of_none(spark):
+    rows = [(1, 0, "u", "a"), (1, 1, "u", "b"), (2, 0, "u", "a"), (2, 1, "u", "c")]
+    got = {(r.conv_id, r.depth): r for r in prefix_trie.trie(conversations(spark, rows)).collect()}
+    assert set(got) == {(1, 0), (1, 1), (1, 2), (2, 2)} and got[1, 1].n_leaves == 2 and got[1, 0].saved_tokens == 1
+    assert prefix_trie.trie(conversations(spark, [])).count() == 0
+    assert prefix_trie.trie(conversations(spark, [(None, 0, "u", "a")]), prefix_trie.Borrowing()).count() == 0
+
+
+def test_queue_spills_and_stays_sorted():
+    rng = random.Random(2)
+    queue, items = prefix_trie.SpillingQueue(held=50), [(rng.randrange(10_000), bytes([i % 256])) for i in range(3000)]
+    for item in items[:2000]:
+        queue.push(item)
+    assert len(queue.runs) > 10 and len(queue.heap) <= 50
+    got = [queue.pop() for _ in range(500)]
+    for item in items[2000:]:
+        queue.push((item[0] + 10_000, item[1]))
+    while queue.first() is not None:
+        got.append(queue.pop())
+    assert got == sorted([*items[:2000], *((a + 10_000, b) for a, b in items[2000:])])
