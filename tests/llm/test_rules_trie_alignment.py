@@ -212,3 +212,16 @@ def test_queue_spills_and_stays_sorted():
     while queue.first() is not None:
         got.append(queue.pop())
     assert got == sorted([*items[:2000], *((a + 10_000, b) for a, b in items[2000:])])
+
+
+def test_both_ways_to_merge_give_the_same_tokens():
+    """Every token of the vocabulary, every early character in several places, and mixed texts."""
+    e = token_alignment.Encoders(BYTE_LEVEL, PIECES)
+    assert e.fast is not None
+    early = [chr(c) for c in range(ord(token_alignment.EARLY)) if not 0xD800 <= c < 0xE000]
+    rng = random.Random(4)
+    texts = [t for t in (x.decode("utf-8", "ignore") for x in e.a_bytes) if t and max(t) < token_alignment.EARLY]
+    texts += [shape.replace("_", c) for c in early for shape in (" _", "a_b", "1_ 2", " _ _\n_", "'_ll")]
+    texts += ["".join(rng.choice(early[:200] + [" ", "\n", "'s"]) for _ in range(60)) for _ in range(3000)]
+    slow = [x.ids for x in e.a.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [e.fast.encode_ordinary(t) for t in texts] == slow
