@@ -506,6 +506,7 @@ def oracle_sql() -> dict[str, str]:
       FROM steps s CROSS JOIN (VALUES ('seasonal_ar'), ('trend_seasonal'), ('gbt_lag'), ('window_huber'), ('seasonal_naive'),
                                       ('linear_trend')) m(model)
       LEFT JOIN panel p ON p.state = s.state AND p.date = s.date""")
+    q["stored_panel"] = q["monthly_panel"]
     q["history_view"] = _with(PREDICTIONS, """
       SELECT state, 'history' AS kind, date, round(total, 4) AS value FROM placed WHERE idx >= n - 36
       UNION ALL SELECT state, 'forecast', date, value FROM winner""")

@@ -5,6 +5,7 @@ All run over the whole tables. Results are rounded where engines differ in the l
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.ml.functions import vector_to_array
@@ -19,6 +20,7 @@ from seriesloom.models.registry import BASELINES, MODELS
 from seriesloom.operators import analysis, cleaning, evaluation, features, panel as panels
 from seriesloom.plans import competition, records as rec, serving
 from seriesloom.session import materialize, scratch_path
+from seriesloom.sources import panel_store
 from seriesloom.sources import sales as src
 from seriesloom.sources import store as stores
 from seriesloom.sources.delimited import scan_csv
@@ -30,6 +32,7 @@ STATE = "NATION_7"
 EARLIER_REGION = "AMERICA"
 EARLIER_REGIONS_SELECTED = "EUROPE"
 LOOKBACK = 12
+LATE = "2000-08-15"
 
 
 def query(function: Query) -> Query:
@@ -516,6 +519,17 @@ def store_round_trip(spark, d):
     return rec.forecast_points(stores.import_json(spark, f"{path}/json"), 4)
 
 
+@query
+def stored_panel(spark, d):
+    """The panel read from the bucketed store after the observations of the last year were merged into it."""
+    table = f"panel_{uuid.uuid4().hex}"
+    sales = _sales(spark, d)
+    late = F.col("date") >= F.lit(LATE)
+    panel_store.create_store(sales.filter(~late), table, path=scratch_path(spark, "panel"))
+    panel_store.merge_observations(sales.filter(late), table)
+    return _round(panel_store.stored_panel(spark, table).select("state", "date", "total"), 6, "total")
+
+
 def _customer_frame(spark, d):
     return phase_frame(_customer_months(spark, d))
 

@@ -18,11 +18,21 @@ def exact_sum_sql(value: str) -> str:
     them; more raise an error. What a value holds below 2^-100 is dropped. The parts are put together from the smallest up. NULL when no value is
     present; a value that is not finite makes the sum not finite.
     """
+    return joined_parts(exact_part_sqls(value))
+
+
+def exact_part_sqls(value: str) -> list[str]:
+    """SQL texts of the sums of the multiples, highest first, each a double; parts of separate rows may be added up later."""
     sizes = [f"{2.0 ** cut:.17e}" for cut in CUTS]
     parts = [f"sum(({value} - {value} % {sizes[0]}) / {sizes[0]}) * {sizes[0]}"]
     for above, size in zip(sizes, sizes[1:]):
         whole = f"({value} % {above} - {value} % {size}) / {size}"
         parts.append(f"CAST(sum(CAST(CASE WHEN isnan({value} % {above}) THEN 0 ELSE {whole} END AS BIGINT)) AS DOUBLE) * {size}")
+    return parts
+
+
+def joined_parts(parts: list[str]) -> str:
+    """SQL text of the total of parts, added from the smallest up."""
     total = parts[-1]
     for part in reversed(parts[:-1]):
         total = f"({total} + {part})"

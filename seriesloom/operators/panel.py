@@ -60,17 +60,19 @@ def spread(monthly: DataFrame) -> DataFrame:
     return monthly.repartition(partitions, "state")
 
 
-def _with_gaps(monthly: DataFrame, bounds: DataFrame | None, max_months: int | None = None) -> DataFrame:
+def _with_gaps(monthly: DataFrame, bounds: DataFrame | None, max_months: int | None = None, placed: bool = False) -> DataFrame:
     """Each present month followed by one row per missing month up to the next present one.
 
     The first month of a series also yields the months before it, the last one those after it.
     This builds the dense grid from one window per series, without a cross product or a join.
 
     With ``max_months``, a longer range stops the job: one stray year multiplies the rows of every
-    series. ``panel_summary`` and ``quality_report`` show the range.
+    series. ``panel_summary`` and ``quality_report`` show the range. ``placed`` rows are partitioned by series already,
+    as those of a bucketed table are, and are not shuffled.
     """
     bounds = calendar_bounds(monthly) if bounds is None else bounds
-    known = spread(monthly.filter("total is not null")).selectExpr(
+    present = monthly.filter("total is not null")
+    known = (present if placed else spread(present)).selectExpr(
         "state",
         "date",
         "total",
@@ -171,8 +173,21 @@ def build_monthly_panel(
     if max_date:
         rows = rows.filter(F.col("date") <= F.lit(max_date).cast("date"))
     sums = monthly_sum(rows, keep_missing=True)
+    return panel_of_sums(sums, min_periods, min_observed, impute_invalid, max_months)
+
+
+def panel_of_sums(
+    sums: DataFrame,
+    min_periods: int = MIN_PERIODS,
+    min_observed: int = 0,
+    impute_invalid: bool = False,
+    max_months: int | None = None,
+    bounds: DataFrame | None = None,
+    placed: bool = False,
+) -> DataFrame:
+    """The dense panel of month sums ``(state, date, total)`` in which a month of only missing totals is NULL."""
     known = sums if impute_invalid else sums.withColumn("total", F.coalesce("total", F.lit(0.0)))
-    grid = _with_gaps(known, calendar_bounds(sums), max_months)
+    grid = _with_gaps(known, calendar_bounds(sums) if bounds is None else bounds, max_months, placed)
     total = """if(ahead > 0 and width is not null,
                   known_total + (next_total - known_total) * ahead / width, known_total) as total"""
     panel = grid.selectExpr("state", "date", total, "observed")
