@@ -506,6 +506,17 @@ def oracle_sql() -> dict[str, str]:
       FROM steps s CROSS JOIN (VALUES ('seasonal_ar'), ('trend_seasonal'), ('gbt_lag'), ('window_huber'), ('seasonal_naive'),
                                       ('linear_trend')) m(model)
       LEFT JOIN panel p ON p.state = s.state AND p.date = s.date""")
+    phases = """
+      , numbered AS (SELECT state, date, total, row_number() OVER w AS idx, count(*) OVER (PARTITION BY state) AS n
+                   FROM panel WINDOW w AS (PARTITION BY state ORDER BY date)),
+      fitted AS (SELECT state, phase, steps, max(idx) AS n, max(date) AS last_date, arg_max(total, idx) AS newest, arg_min(total, idx) AS oldest,
+                   avg(total) FILTER (idx > n - held - 12) AS yhat
+                 FROM numbered CROSS JOIN (VALUES ('val', 6, 6), ('future', 0, 2)) f(phase, held, steps) WHERE idx <= n - held GROUP BY state, phase, steps)"""
+    q["forecast_plugin"] = _with(PANEL, f"""{phases}
+      SELECT state, 'recent_mean' AS model, phase, step, CAST(last_day(date_trunc('month', last_date) + to_months(step)) AS DATE) AS date, round(yhat, 4) AS yhat
+      FROM (SELECT *, CAST(unnest(generate_series(1, steps)) AS INTEGER) AS step FROM fitted)""")
+    q["plugin_failures"] = _with(PANEL, f"""{phases}
+      SELECT state, 'rising_only' AS model, phase, 'ValueError: fell over ' || n || ' months' AS reason FROM fitted WHERE newest < oldest""")
     q["stored_panel"] = q["monthly_panel"]
     q["history_view"] = _with(PREDICTIONS, """
       SELECT state, 'history' AS kind, date, round(total, 4) AS value FROM placed WHERE idx >= n - 36

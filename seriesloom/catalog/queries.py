@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.functions.calendar import fourier_pairs, holiday_calendar, is_holiday_month
 from seriesloom.functions.parsing import parse_date, parse_money
-from seriesloom.models import baselines, gbt_lag, seasonal_ar, trend_seasonal, window_huber
+from seriesloom.models import baselines, gbt_lag, per_series, seasonal_ar, trend_seasonal, window_huber
 from seriesloom.models.frame import FUTURE, PHASES, VALIDATION, phase_frame
 from seriesloom.models.registry import BASELINES, MODELS
 from seriesloom.operators import analysis, cleaning, evaluation, features, panel as panels
@@ -530,6 +530,55 @@ def stored_panel(spark, d):
     return _round(panel_store.stored_panel(spark, table).select("state", "date", "total"), 6, "total")
 
 
+class RecentMean:
+    """A model of a user: the mean of the last months."""
+
+    def __init__(self, months: int = 12):
+        self.months = months
+
+    def fit(self, series):
+        self.level = series.iloc[-self.months :].mean()
+        return self
+
+    def predict(self, steps):
+        return [self.level] * steps
+
+    def get_params(self):
+        return {"months": self.months, "fitted_level": round(self.level, 2)}
+
+
+class RisingOnly(RecentMean):
+    """A model that refuses series whose last month is below the first one."""
+
+    def fit(self, series):
+        if series.iloc[-1] < series.iloc[0]:
+            raise ValueError(f"fell over {len(series)} months")
+        return super().fit(series)
+
+
+@query
+def forecast_plugin(spark, d):
+    """Forecasts of a plain Python class that is fitted on every series."""
+    made = per_series.forecast_each("recent_mean", RecentMean, phase_frame(_panel(spark, d)), months=12)
+    return _round(made.filter("error is null").select("state", "model", "phase", "step", "date", "yhat"), 4, "yhat")
+
+
+@query
+def plugin_failures(spark, d):
+    """The texts of the series that a Python class refuses, each with its own reason."""
+    made = per_series.forecast_each("rising_only", RisingOnly, phase_frame(_panel(spark, d)))
+    return made.filter("error is not null").select("state", "model", "phase", F.col("error").alias("reason"))
+
+
+@query
+def plugin_competition(spark, d):
+    """A Python class beside the two baselines: winner and forecast per state."""
+    frame = materialize(phase_frame(_panel(spark, d)))
+    own = per_series.forecast_each("recent_mean", RecentMean, frame).filter("error is null").drop("error")
+    made = rec.forecast_records(baselines.baseline_predictions(frame).unionByName(own), [*BASELINES, "recent_mean"])
+    return rec.forecast_points(made, 4)
+
+
 def _customer_frame(spark, d):
     return phase_frame(_customer_months(spark, d))
 

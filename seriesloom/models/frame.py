@@ -76,12 +76,21 @@ def series_rows(frame: DataFrame, memory: dict[str, int], *extra: Column) -> Dat
     )
 
 
-def as_predictions(rows: DataFrame, model: str | Column, yhat: Column | str = "yhat") -> DataFrame:
-    """Long predictions out of an array of forecasts per series; negative forecasts become 0."""
+def as_predictions(
+    rows: DataFrame, model: str | Column, yhat: Column | str = "yhat", error: Column | None = None
+) -> DataFrame:
+    """Long predictions out of an array of forecasts per series; negative forecasts become 0.
+
+    With ``error``, a series that has such a text gets one row with it, in the column ``error``, and no forecast.
+    """
     values = F.col(yhat) if isinstance(yhat, str) else yhat
     name = F.lit(model) if isinstance(model, str) else model
+    told = []
+    if error is not None:
+        values = F.when(error.isNull(), values).otherwise(F.array(F.lit(None).cast("double")))
+        told = [error.alias("error")]
     long = rows.select(
-        "state", name.alias("model"), "phase", "last_date", "actuals", F.posexplode(values).alias("at", "value")
+        "state", name.alias("model"), "phase", "last_date", "actuals", *told, F.posexplode(values).alias("at", "value")
     )
     return long.select(
         "state",
@@ -91,6 +100,7 @@ def as_predictions(rows: DataFrame, model: str | Column, yhat: Column | str = "y
         months_after("last_date", "at + 1").alias("date"),
         F.expr("greatest(value, 0D) as yhat"),
         F.expr("try_element_at(actuals, at + 1) as y"),
+        *(["error"] if told else []),
     )
 
 

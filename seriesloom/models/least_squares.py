@@ -16,6 +16,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 JITTER = 1e-9
+#: What became of a candidate, by number.
+OUTCOMES = ("", "explosive", "too few rows", "not comparable", "no solution")
 
 # Executors get these helpers inside the task, so the package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -98,8 +100,8 @@ def score_candidates(flat, start: int, kept: list[list[int]], lags: tuple[int, .
     """Per candidate (its kept columns) of one series: AIC, whether it is explosive, all coefficients.
 
     ``flat`` holds rows of design, target and place. AICs are those of the rows from ``start`` on, which all
-    candidates must be able to use; coefficients those of every row a candidate can use. NaN for a candidate
-    with too few rows or without a solution.
+    candidates must be able to use; coefficients those of every row a candidate can use. A candidate without AIC
+    has one of ``OUTCOMES`` in the place that says whether it is explosive.
     """
     rows = np.asarray(flat, dtype=float).reshape(-1, width + 2)
     known, place = np.isfinite(rows[:, width]), rows[:, width + 1]
@@ -110,10 +112,12 @@ def score_candidates(flat, start: int, kept: list[list[int]], lags: tuple[int, .
         common = own & (place >= start)
         n = int(common.sum())
         if n <= len(keep) + 1 or n < int((place >= start).sum()):
+            result[i, 1] = OUTCOMES.index("too few rows" if n <= len(keep) + 1 else "not comparable")
             continue
         _, sse = least_squares(rows[common], keep, width)
         b, _ = least_squares(rows[own], keep, width)
         if not np.isfinite(b).all() or not np.isfinite(sse):
+            result[i, 1] = OUTCOMES.index("no solution")
             continue
         result[i, 2:] = 0.0
         result[i, 2 + keep] = b
@@ -125,20 +129,33 @@ def score_candidates(flat, start: int, kept: list[list[int]], lags: tuple[int, .
     return result.tolist()
 
 
-def ridge_coefficients(rows: Column, penalty: list[float]) -> Column:
-    """Coefficient array per flat array of rows; NULL with too few rows for the unpenalised columns or without a solution."""
+def ridge_solutions(rows: Column, penalty: list[float]) -> Column:
+    """Struct per flat array of rows: the coefficients ``coef``, or the reason ``error`` why there are none."""
     weights = np.asarray(penalty, dtype=float)
     least = int((weights == 0).sum()) + 1
 
-    @F.pandas_udf("array<double>")
-    def solve(batch: pd.Series) -> pd.Series:
+    def reason(n: float, matrix: np.ndarray, c: np.ndarray) -> str | None:
+        if n < least:
+            return f"{int(n)} rows, {least} needed"
+        if not np.isfinite(matrix).all():
+            return "its values or design are not finite"
+        return None if np.isfinite(c).all() else "its system of equations has no solution"
+
+    @F.pandas_udf("coef array<double>, error string")
+    def solve(batch: pd.Series) -> pd.DataFrame:
         counts, matrices = cross_products(batch, len(weights) + 1)
         coefficients, _ = solve_stacked(matrices, np.arange(len(weights)), weights)
-        return pd.Series([c if n >= least and np.isfinite(c).all() else None for n, c in zip(counts, coefficients)])
+        errors = [reason(n, m, c) for n, m, c in zip(counts, matrices, coefficients)]
+        return pd.DataFrame({"coef": [c if e is None else None for c, e in zip(coefficients, errors)], "error": errors})
 
     return once(solve)(rows)
 
 
+def ridge_coefficients(rows: Column, penalty: list[float]) -> Column:
+    """Coefficient array per flat array of rows; NULL with too few rows for the unpenalised columns or without a solution."""
+    return ridge_solutions(rows, penalty)["coef"]
+
+
 def once(udf):
     """Keep the optimizer from evaluating the function again in a filter pushed below it."""
     return udf.asNondeterministic()

@@ -79,6 +79,8 @@ class Forecaster:
             raise RuntimeError("call fit before predict")
         phases = (Phase("future", 0, steps),)
         made = MODELS[self.name](phase_frame(self._panel, phases), phases, **self.settings)
+        if "error" in made.columns:
+            made = made.filter("error is null")
         return made.select("state", "step", "date", "yhat")
 
     def get_params(self) -> dict[str, str]:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.models.frame import FIT_ORDER, KEYS, OF_FIT, as_predictions, series_rows, skipped
-from seriesloom.models.least_squares import design_rows, dot, once, ridge_coefficients, score_candidates
+from seriesloom.models.least_squares import OUTCOMES, design_rows, dot, once, ridge_coefficients, score_candidates
 from seriesloom.operators.analysis import CRITICAL, dickey_fuller_statistic
 
 NAME = "seasonal_ar"
@@ -183,11 +183,11 @@ def _score(v: Variant, designs: Column, start: Column, bounded: bool) -> Column:
 
 
 def _scored(v: Variant) -> str:
-    """SQL text of the candidate structs of a variant: (aic, order, variant, coefficients, explosive)."""
+    """SQL text of the candidate structs of a variant: (aic, order, variant, coefficients, outcome)."""
     known = _orders_sql([(rank, order) for rank, order, _ in v.orders])
     return f"""zip_with(scores_{v.name}, {known}, (s, o) -> struct(
         nanvl(get(s, 0), null) as aic, o as `order`, '{v.name}' as variant, slice(s, 3, {2 * len(v.lags) + 1}) as coef,
-        nanvl(get(s, 1), 0D) = 1D as explosive))"""
+        cast(nanvl(get(s, 1), 0D) as int) as outcome))"""
 
 
 def candidate_scores(frame: DataFrame, bounded: bool = False) -> DataFrame:
@@ -213,10 +213,19 @@ def candidate_scores(frame: DataFrame, bounded: bool = False) -> DataFrame:
     return made.withColumn("candidates", F.expr(f"case {cases} end")).drop(*dropped, "start")
 
 
-def fit(frame: DataFrame, bounded: bool = False) -> DataFrame:
-    """The lowest AIC per series and phase; a candidate that cannot be fitted takes no part."""
+def fit(frame: DataFrame, bounded: bool = False, keep_failed: bool = False) -> DataFrame:
+    """The lowest AIC per series and phase; a candidate that cannot be fitted takes no part.
+
+    With ``keep_failed``, series without any candidate stay, with the reason as ``error``.
+    """
     best = F.expr("array_min(filter(candidates, c -> c.aic is not null))")
-    return candidate_scores(frame, bounded).withColumn("best", best).drop("candidates").filter("best is not null")
+    scored = candidate_scores(frame, bounded).withColumn("best", best)
+    counted = ", ".join(
+        f"nullif(concat(size(filter(candidates, c -> c.outcome = {i})), ' {text}'), '0 {text}')" for i, text in enumerate(OUTCOMES) if text
+    )
+    error = F.expr(f"if(best is null, concat('no order could be fitted: ', concat_ws(', ', {counted})), null) as error")
+    scored = scored.select("*", error).drop("candidates")
+    return scored if keep_failed else scored.filter("best is not null").drop("error")
 
 
 ORDER = ("p", "q", "sp", "sd", "sq")
@@ -233,7 +242,8 @@ def order_scores(frame: DataFrame, bounded: bool = False) -> DataFrame:
     rows = candidate_scores(frame, bounded).selectExpr(*KEYS, "d", "candidates", known)
     found = "get(filter(candidates, c -> c.`order`.rank = rank), 0)"
     rows = rows.withColumn("c", F.expr(found))
-    reason = "case when c.explosive then 'explosive' when c.aic is null then 'too few rows' end as reason"
+    told = " ".join(f"when c.outcome = {i} then '{text}'" for i, text in enumerate(OUTCOMES) if text)
+    reason = f"case {told} when c.aic is null then 'too few rows' end as reason"
     return rows.selectExpr(*KEYS, "d", "rank", *ORDER, "c.aic as aic", reason)
 
 
@@ -265,13 +275,14 @@ def _path(v: Variant) -> str:
 
 def forecast(frame: DataFrame, **settings) -> DataFrame:
     """``settings``: ``bounded`` leaves out explosive candidates."""
-    return predict(fit(frame, **settings))
+    return predict(fit(frame, keep_failed=True, **settings))
 
 
 def predict(fits: DataFrame) -> DataFrame:
     """Forecasts out of a table of fits, fresh or stored."""
     cases = " ".join(f"when '{v.name}' then {_path(v)}" for v in VARIANTS)
-    return as_predictions(fits, NAME, F.expr(f"case best.variant {cases} end"))
+    error = F.col("error") if "error" in fits.columns else None
+    return as_predictions(fits, NAME, F.expr(f"case best.variant {cases} end"), error)
 
 
 def fitted_values(frame: DataFrame, **settings) -> DataFrame:

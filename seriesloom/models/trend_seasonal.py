@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.functions.calendar import fourier_pairs, is_holiday_month, months_after
 from seriesloom.models.frame import KEYS, OF_FIT, series_rows, skipped
-from seriesloom.models.least_squares import design_rows, dot, ridge_coefficients
+from seriesloom.models.least_squares import design_rows, dot, ridge_solutions
 
 NAME = "trend_seasonal"
 CHANGE_RANGE = 0.8
@@ -71,10 +71,10 @@ def history(frame: DataFrame, shape: Shape = Shape()) -> DataFrame:
     return with_design(scaled, "at", shape).withColumn("target", F.expr("log1p(greatest(total, 0D) / scale)"))
 
 
-def fit(frame: DataFrame, keep_rows: bool = False, **settings) -> DataFrame:
+def fit(frame: DataFrame, keep_rows: bool = False, keep_failed: bool = False, **settings) -> DataFrame:
     """One row per series and phase with ``coef`` and ``scale``; with its fitted ``rows`` if asked.
 
-    ``settings`` are the fields of ``Shape``.
+    ``settings`` are the fields of ``Shape``. With ``keep_failed``, series without a solution stay, with the reason as ``error``.
     """
     shape = Shape(**settings)
     names = [f"x{i}" for i in range(shape.holiday.stop)]
@@ -82,18 +82,20 @@ def fit(frame: DataFrame, keep_rows: bool = False, **settings) -> DataFrame:
     if keep_rows:
         wanted.append(F.expr("collect_list(if(fit, struct(at, date, total), null)) as rows"))
     rows = series_rows(history(frame, shape), {}, *wanted).filter(f"n_fit >= {LEAST}")
-    solved = rows.withColumn("coef", ridge_coefficients(F.col("designs"), shape.penalties))
-    return solved.drop("designs").filter("coef is not null")
+    solved = rows.withColumn("solved", ridge_solutions(F.col("designs"), shape.penalties)).drop("designs")
+    solved = solved.select(*[c for c in solved.columns if c != "solved"], "solved.coef", "solved.error")
+    return solved if keep_failed else solved.filter("coef is not null").drop("error")
 
 
 def forecast(frame: DataFrame, **settings) -> DataFrame:
-    return predict(fit(frame, **settings), **settings)
+    return predict(fit(frame, keep_failed=True, **settings), **settings)
 
 
 def predict(fits: DataFrame, **settings) -> DataFrame:
     """Forecasts out of a table of fits, fresh or stored, made with the same settings."""
     shape = Shape(**settings)
-    made = fits.selectExpr("*", "explode(sequence(1, steps)) as step")
+    told = "error" in fits.columns
+    made = fits.selectExpr("*", f"explode({'if(error is null, sequence(1, steps), array(0))' if told else 'sequence(1, steps)'}) as step")
     dated = with_design(made.withColumn("date", months_after("last_date", "step")), "n_fit - 1 + step", shape)
     return dated.selectExpr(
         "state",
@@ -102,7 +104,8 @@ def predict(fits: DataFrame, **settings) -> DataFrame:
         "step",
         "date",
         f"greatest(scale * expm1({piece(shape.trend)} + {piece(shape.seasonal)} + {piece(shape.holiday)}), 0D) as yhat",
-        "try_element_at(actuals, step) as y",
+        "try_element_at(actuals, nullif(step, 0)) as y",
+        *(["error"] if told else []),
     )
 
 

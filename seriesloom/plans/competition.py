@@ -53,8 +53,14 @@ def _unknown(panel: DataFrame, request: DataFrame | list[str] | None) -> DataFra
     return names.select("state", F.lit(None).cast("string").alias("phase"), F.lit(None).cast("string").alias("model"), F.lit("not in the panel").alias("reason"))
 
 
+def _own_errors(made: DataFrame, name: str) -> DataFrame:
+    """Series whose fit failed, with the text that the model gave for it."""
+    told = made.filter("error is not null")
+    return told.select("state", "phase", F.lit(name).alias("model"), F.col("error").alias("reason"))
+
+
 def _without_forecast(frame: DataFrame, made: DataFrame, name: str, skipped: DataFrame | None) -> DataFrame:
-    """Series that a model took on but gave no forecast for."""
+    """Series that a model took on but gave neither a forecast nor a reason for."""
     keys = ["state", "phase"]
     rest = frame.select(*keys).distinct().join(made.select(*keys).distinct(), keys, "left_anti")
     if skipped is not None:
@@ -77,8 +83,8 @@ def compete(
 
     ``settings`` maps model names to keyword arguments. Every model's predictions are computed on
     their own, so one that fails while it runs leaves the others intact. ``failures`` has the whole
-    text of such an error, and a row with the reason for every series that a model did not forecast,
-    every state with too few rows and every requested name that is not in the panel.
+    text of such an error, and a row for every series that a model did not forecast, with the reason that the
+    model itself gives for this series where it has one, and for every state with too few rows and every requested name that is not in the panel.
     """
     spark = panel.sparkSession
     names = names or list(MODELS)
@@ -108,6 +114,9 @@ def compete(
             reasons.append(skipped)
         if name in made:
             reasons.append(_without_forecast(frame, made[name], name, skipped))
+            if "error" in made[name].columns:
+                reasons.append(_own_errors(made[name], name))
+                made[name] = made[name].filter("error is null").drop("error")
     if broken:
         reasons.append(spark.createDataFrame(broken, FAILURE))
     if not made:
