@@ -310,6 +310,7 @@ def oracle_sql() -> dict[str, str]:
         CAST(count(DISTINCT CASE WHEN date IS NOT NULL THEN state END) AS BIGINT) AS n_states,
         min(date) AS min_date, max(date) AS max_date
       FROM typed""")
+    q["quality_observed"] = q["quality_report"]
     q["select_states"] = _with(MONTHLY, """
       SELECT state, date, total FROM monthly WHERE state IN (
         SELECT n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'EUROPE')""")
@@ -517,6 +518,11 @@ def oracle_sql() -> dict[str, str]:
       FROM (SELECT *, CAST(unnest(generate_series(1, steps)) AS INTEGER) AS step FROM fitted)""")
     q["plugin_failures"] = _with(PANEL, f"""{phases}
       SELECT state, 'rising_only' AS model, phase, 'ValueError: fell over ' || n || ' months' AS reason FROM fitted WHERE newest < oldest""")
+    q["stepwise_commit"] = q["best_forecast"]
+    # exact while a group has few distinct values, as here at small scale; beyond, the sketch is an estimate
+    q["distinct_sketches"] = """
+      SELECT n_name AS state, CAST(year(o_orderdate) AS INTEGER) AS year, count(DISTINCT o_custkey) AS n_distinct
+      FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL"""
     q["stored_panel"] = q["monthly_panel"]
     q["history_view"] = _with(PREDICTIONS, """
       SELECT state, 'history' AS kind, date, round(total, 4) AS value FROM placed WHERE idx >= n - 36

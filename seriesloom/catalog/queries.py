@@ -17,8 +17,8 @@ from seriesloom.functions.parsing import parse_date, parse_money
 from seriesloom.models import baselines, gbt_lag, per_series, seasonal_ar, trend_seasonal, window_huber
 from seriesloom.models.frame import FUTURE, PHASES, VALIDATION, phase_frame
 from seriesloom.models.registry import BASELINES, MODELS
-from seriesloom.operators import analysis, cleaning, evaluation, features, panel as panels
-from seriesloom.plans import competition, records as rec, serving
+from seriesloom.operators import analysis, cleaning, evaluation, features, panel as panels, sketches
+from seriesloom.plans import competition, records as rec, serving, stepwise
 from seriesloom.session import materialize, scratch_path
 from seriesloom.sources import panel_store
 from seriesloom.sources import sales as src
@@ -141,6 +141,21 @@ def quality_report(spark, d):
     return cleaning.quality_report(src.untidy_observations(spark, d))
 
 
+@query
+def quality_observed(spark, d):
+    """The counts of ``quality_report``, taken while the cleaned table is written: one scan for both."""
+    path = scratch_path(spark, "clean")
+    counts = cleaning.write_clean(src.untidy_observations(spark, d), path)
+    return cleaning.counts_with_range(counts, spark.read.parquet(path))
+
+
+@query
+def distinct_sketches(spark, d):
+    """Distinct customers per state and year, out of sketches that were made per month and united."""
+    months = sketches.monthly_sketches(src.customer_sales(spark, d), "customer")
+    return sketches.united(months, ["state", F.year("date").alias("year")])
+
+
 @query
 def select_states(spark, d):
     return serving.select_states(_monthly(spark, d), _states_of_region(spark, d, EARLIER_REGIONS_SELECTED))
@@ -530,6 +545,28 @@ def stored_panel(spark, d):
     return _round(panel_store.stored_panel(spark, table).select("state", "date", "total"), 6, "total")
 
 
+class Interrupted(Exception):
+    """Ends the first of two jobs on one store."""
+
+
+@query
+def stepwise_commit(spark, d):
+    """Forecasts read from a store whose job was broken off after two of four groups and then went on."""
+    path, panel = scratch_path(spark, "steps"), materialize(_panel(spark, d))
+    finished = []
+
+    def stop_at_two(group):
+        finished.append(group)
+        if len(finished) == 2:
+            raise Interrupted
+
+    try:
+        stepwise.compete_in_steps(panel, path, 4, stop_at_two, names=BASELINES)
+    except Interrupted:
+        stepwise.compete_in_steps(panel, path, 4, names=BASELINES)
+    return rec.forecast_points(stepwise.read_steps(spark, path), 4)
+
+
 class RecentMean:
     """A model of a user: the mean of the last months."""
 
@@ -570,15 +607,6 @@ def plugin_failures(spark, d):
     return made.filter("error is not null").select("state", "model", "phase", F.col("error").alias("reason"))
 
 
-@query
-def plugin_competition(spark, d):
-    """A Python class beside the two baselines: winner and forecast per state."""
-    frame = materialize(phase_frame(_panel(spark, d)))
-    own = per_series.forecast_each("recent_mean", RecentMean, frame).filter("error is null").drop("error")
-    made = rec.forecast_records(baselines.baseline_predictions(frame).unionByName(own), [*BASELINES, "recent_mean"])
-    return rec.forecast_points(made, 4)
-
-
 def _customer_frame(spark, d):
     return phase_frame(_customer_months(spark, d))
 

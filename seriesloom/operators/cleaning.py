@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from seriesloom.functions.parsing import normalized_name, parse_date, parse_money
@@ -69,3 +69,41 @@ def quality_report(raw: DataFrame) -> DataFrame:
         F.min("min_date").alias("min_date"),
         F.max("max_date").alias("max_date"),
     )
+
+
+def observed_counts(raw: DataFrame) -> tuple[DataFrame, Observation, Observation]:
+    """The cleaned rows and two observations that fill while these are written.
+
+    The first counts rows, bad dates and bad totals before the deduplication, the second cleaned rows and the range of dates.
+    """
+    before, after = Observation(), Observation()
+    dated = F.col("date").isNotNull()
+    typed = parse_observations(normalize_columns(raw)).observe(
+        before,
+        F.count(F.lit(1)).alias("n_rows_raw"),
+        F.count_if(~dated).alias("n_bad_dates"),
+        F.count_if(dated & F.col("total").isNull()).alias("n_bad_totals"),
+    )
+    clean = dedupe_first(typed.filter(dated), order="rid").observe(
+        after, F.count(F.lit(1)).alias("n_rows_clean"), F.min("date").alias("min_date"), F.max("date").alias("max_date")
+    )
+    return clean, before, after
+
+
+def write_clean(raw: DataFrame, path: str) -> dict[str, object]:
+    """Write the cleaned rows of ``(rid, state, date, total)`` to ``path`` and return the counts of the same pass.
+
+    Observations of a job are exact when no stage of it runs twice; after a lost executor, repeated tasks may count
+    twice, so a job that was repaired should take ``quality_report`` instead.
+    """
+    clean, before, after = observed_counts(raw)
+    clean.write.mode("overwrite").parquet(path)
+    found = before.get | after.get
+    return found | {"n_duplicates": found["n_rows_raw"] - found["n_bad_dates"] - found["n_rows_clean"]}
+
+
+def counts_with_range(counts: dict[str, object], clean: DataFrame) -> DataFrame:
+    """The observed counts as one row, with the number of states of the cleaned rows."""
+    kinds = {name: "date" if name.endswith("date") else "long" for name in counts}
+    known = [F.lit(value).cast(kinds[name]).alias(name) for name, value in counts.items()]
+    return clean.agg(F.countDistinct("state").alias("n_states")).select(*known, "n_states")

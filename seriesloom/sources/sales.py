@@ -49,6 +49,15 @@ def customer_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def customer_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(state, date, customer)`` per order, joined like ``sales_observations``."""
+    orders, customer, nation = (table(spark, sf_dir, name) for name in ("orders", "customer", "nation"))
+    homes = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
+    return orders.join(homes, F.col("o_custkey") == F.col("c_custkey")).select(
+        F.col("n_name").alias("state"), F.to_date("o_orderdate").alias("date"), F.col("o_custkey").alias("customer")
+    )
+
+
 def untidy_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order as the text a hand-kept file would hold.
 
