@@ -1,7 +1,8 @@
 """Distinct counts that can be merged: HyperLogLog sketches per series and month.
 
 A sketch has a bounded size whatever it has seen, is formed in every task before the shuffle, and sketches of months,
-whenever they were made, unite into that of any longer time: the sketch of a union equals that of all its rows. Small
+whenever they were made, unite into that of any longer time: a union holds the same registers as a sketch of all its rows. (Its
+estimate may differ within the error, as a sketch that was never united also uses the order in which values came.) Small
 counts are exact; beyond about 200 distinct values the standard error is 1.04 / sqrt(2^precision), 1.6 per cent for the
 default. ``exact`` counts stay the default elsewhere; sketches are for counts over many months that come in pieces.
 

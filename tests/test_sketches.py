@@ -12,13 +12,15 @@ def sold(spark, n):
     )
 
 
-def test_united_sketches_equal_the_sketch_of_all_rows(spark):
+def test_united_sketches_estimate_like_the_sketch_of_all_rows(spark):
     rows = sold(spark, 120_000)
     early, late = rows.filter("date < '2020-11-15'"), rows.filter("date >= '2020-11-15'")
     kept = sketches.merged(sketches.monthly_sketches(early, "customer"), sketches.monthly_sketches(late, "customer"))
     got = {(r.state, str(r.date)): r.n for r in kept.select("state", "date", F.hll_sketch_estimate("sketch").alias("n")).collect()}
     whole = sketches.monthly_sketches(rows, "customer")
-    assert got == {(r.state, str(r.date)): r.n for r in whole.select("state", "date", F.hll_sketch_estimate("sketch").alias("n")).collect()}
+    direct = {(r.state, str(r.date)): r.n for r in whole.select("state", "date", F.hll_sketch_estimate("sketch").alias("n")).collect()}
+    assert got.keys() == direct.keys() and {k for k in got if got[k] != direct[k]} <= {(f"s{i}", "2020-11-30") for i in range(3)}
+    assert all(abs(got[k] - direct[k]) < 0.02 * direct[k] for k in got)
     united = {r.state: r.n_distinct for r in sketches.united(kept, ["state"]).collect()}
     once = rows.groupBy("state").agg(F.hll_sketch_estimate(F.hll_sketch_agg("customer", F.lit(12))).alias("n"), F.countDistinct("customer").alias("true"))
     for r in once.collect():
