@@ -6,15 +6,16 @@ upper bound of the inner product. Vectors are then read exactly in order of thei
 the k-th score found is beyond what any vector not yet read can reach. Blocks give their k best, which are
 ranked together, so the result is that of comparing all pairs.
 
-All numbers are integers held exactly in double precision (``prepare`` refuses larger ones), so there is
-no rounding and ties go to the smaller id. Queries and vectors meet block by block: every block of queries
+All numbers are integers. Products whose sums stay below 2^53 are exact in double precision; for larger ones the bounds
+are widened by their rounding and the vectors that are read are multiplied as integers of any size, so scores are
+exact and ties go to the smaller id. Only a score beyond the range of long stops the job. Queries and vectors meet block by block: every block of queries
 with every block of vectors, which is the stated query set against all rows. Block sizes bound the memory
 of a task whatever the input.
 
 Defined cases: NULL vectors or ids and vectors with NULL or non-finite components take no part, as query or
-as candidate; a query is compared with vectors of its own length only; a query is never its own candidate
-(rows that share an id are not candidates for each other); equal rows with different ids are all
-candidates; with fewer than k candidates all are returned; an empty table gives an empty result; extra
+as candidate; a query is compared with vectors of its own length only; every row but the query's own
+is a candidate, whatever its id and values, so repeated rows are candidates of each other, fill a rank each and, if they
+are queries, get an answer each; scaled values beyond the range of doubles take no part; with fewer than k candidates all are returned; an empty table gives an empty result; extra
 columns are not read.
 """
 
@@ -50,39 +51,65 @@ def cells_of(x: np.ndarray, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray,
     return numbers, low, high
 
 
+def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products of rows with one vector, exactly: in doubles where all sums stay whole, else in integers of any size."""
+    if not x.size or np.abs(x).max() * np.abs(q).max() * len(q) < EXACT:
+        return x @ q
+    whole = [int(v) for v in q]
+    return np.array([sum(int(v) * w for v, w in zip(row, whole, strict=True)) for row in x], object)
+
+
+def _best(got: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k highest scores, ties to the smaller id and row."""
+    if got.dtype != object:
+        return np.lexsort((rows, ids, -got))[:k]
+    return np.array(sorted(range(len(got)), key=lambda i: (-got[i], ids[i], rows[i]))[:k], np.int64)
+
+
 def search_block(
-    query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best (query id, id, score) of each query in one block of vectors."""
+    query_rows: np.ndarray, queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """The k best of each query in one block of vectors: place of the query, place of the vector, score.
+
+    Rows are told apart by their row numbers, so vectors with the query's id, or equal to it, are candidates.
+    """
     numbers, low, high = cells_of(x)
     dims = np.arange(x.shape[1])
     lowest, highest = low[dims, numbers], high[dims, numbers]
     up, down = np.maximum(queries, 0), np.minimum(queries, 0)
     most = up @ highest.T + down @ lowest.T
     least = up @ lowest.T + down @ highest.T
+    largest = np.maximum(np.abs(lowest), np.abs(highest))
+    if largest.max() * np.abs(queries).max() * x.shape[1] >= EXACT:
+        # sums that are not whole are off by a small part of the sum of their terms
+        slack = np.abs(queries) @ largest.T * (x.shape[1] + 2) * 2.0**-51
+        most, least = most + slack, least - slack
     out: tuple[list, list, list] = ([], [], [])
-    for q, name in enumerate(query_ids):
-        other = ids != name
+    for q, row in enumerate(query_rows):
+        other = rows != row
         bound = np.where(other, most[q], -np.inf)
         sure = np.where(other, least[q], -np.inf)
-        if len(ids) > k:
-            floor = np.partition(sure, len(ids) - k)[len(ids) - k]
+        if len(rows) > k:
+            floor = np.partition(sure, len(rows) - k)[len(rows) - k]
             taken = np.flatnonzero((bound >= floor) & other)
         else:
             taken = np.flatnonzero(other)
         order = taken[np.argsort(-bound[taken], kind="stable")]
-        got_ids, got = np.zeros(0, ids.dtype), np.zeros(0)
+        places, got = np.zeros(0, np.int64), np.zeros(0)
         for a in range(0, len(order), READ):
             if len(got) == k and got[-1] > bound[order[a]]:
                 break
-            rows = order[a : a + READ]
-            got_ids, got = np.concatenate([got_ids, ids[rows]]), np.concatenate([got, x[rows] @ queries[q]])
-            best = np.lexsort((got_ids, -got))[:k]
-            got_ids, got = got_ids[best], got[best]
-        out[0].append(np.full(len(got), name))
-        out[1].append(got_ids)
-        out[2].append(got)
-    return tuple(np.concatenate(o) if o else np.zeros(0, np.int64) for o in out)
+            read = order[a : a + READ]
+            places, got = np.concatenate([places, read]), np.concatenate([got, products(x[read], queries[q])])
+            best = _best(got, ids[places], rows[places], k)
+            places, got = places[best], got[best]
+        out[0].append(np.full(len(got), q))
+        out[1].append(places)
+        out[2].extend(int(v) for v in got)
+    whole = [np.concatenate(o) if o else np.zeros(0, np.int64) for o in out[:2]]
+    if any(abs(v) >= 1 << 63 for v in out[2]):
+        raise ValueError("a score is too large for a long integer")
+    return whole[0], whole[1], out[2]
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -95,47 +122,47 @@ def prepare(rows: DataFrame, scale: int, id_col: str = "vec_id", vector_col: str
     """(id, dim, v): vectors as integers floor(scale * x), those that take part only."""
     x = F.col("x")
     rows = rows.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("x"))
-    good = ~F.exists("x", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & (F.size("x") > 0)
+    good = ~F.exists("x", lambda c: c.isNull() | F.isnan(c) | (F.abs(c * F.lit(float(scale))) == float("inf"))) & (F.size("x") > 0)
     rows = rows.filter(F.col("id").isNotNull() & x.isNotNull() & good)
-    return rows.select("id", F.size("x").alias("dim"), F.transform("x", lambda c: F.floor(c * float(scale)).cast("double")).alias("v"))
+    scaled = lambda c: c * F.lit(float(scale))
+    # doubles from 2^53 on are whole, and beyond 2^63 floor has no long to give
+    whole = lambda c: F.when(F.abs(scaled(c)) >= EXACT, scaled(c)).otherwise(F.floor(scaled(c)).cast("double"))
+    return rows.select("id", F.size("x").alias("dim"), F.transform("x", whole).alias("v"))
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score) of vectors (id, dim, v) of integers; ``is_query`` is a condition on id.
 
-    Raises if products of the values could leave the range of exact integers.
+    Raises if a score that is among the best of a block is beyond the range of long.
     """
     workers_import(vectors.sparkSession)
-    vectors = checkpointed(vectors)
-    size = vectors.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(is_query).alias("q"),
-        F.max(F.col("dim") * F.pow(F.array_max(F.transform("v", lambda c: F.abs(c))), 2)).alias("top"),
-    ).first()
-    if size.top is not None and size.top >= EXACT:
-        raise ValueError("values are too large for exact inner products")
+    vectors = checkpointed(vectors.withColumn("row", F.monotonically_increasing_id()))
+    size = vectors.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("q")).first()
     blocks, query_blocks = max(1, -(-size.n // BLOCK)), max(1, -(-size.q // QUERY_BLOCK))
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks))
-    query_block = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(query_blocks))
+    block = F.pmod(F.xxhash64("row"), F.lit(blocks))
+    query_block = F.pmod(F.xxhash64("row", F.lit(1)), F.lit(query_blocks))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    rows = vectors.select("id", "dim", "v", block.cast("int").alias("b")).withColumn("qb", every(query_blocks))
-    asked = vectors.filter(is_query).select("id", "dim", "v", query_block.cast("int").alias("qb")).withColumn("b", every(blocks))
+    columns = ["id", "row", "dim", "v"]
+    rows = vectors.select(*columns, block.cast("int").alias("b")).withColumn("qb", every(query_blocks))
+    asked = vectors.filter(is_query).select(*columns, query_block.cast("int").alias("qb")).withColumn("b", every(blocks))
     kind = vectors.schema["id"].dataType.simpleString()
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        parts = ([], [], [])
+        at, place, score = np.zeros(0, np.int64), np.zeros(0, np.int64), []
         if left.num_rows and right.num_rows:
-            ids, names = left.column("id").to_numpy(), right.column("id").to_numpy()
-            made = search_block(names, _matrix(right.column("v")), ids, _matrix(left.column("v")), k)
-            parts = made
-        id_type = left.schema.field("id").type
-        arrays = [pa.array(parts[0], id_type), pa.array(parts[1], id_type), pa.array(np.asarray(parts[2], np.int64), pa.int64())]
-        return pa.Table.from_arrays(arrays, ["query_id", "vec_id", "score"])
+            names, numbers = left.column("id").to_numpy(), left.column("row").to_numpy()
+            at, place, score = search_block(
+                right.column("row").to_numpy(), _matrix(right.column("v")), numbers, names, _matrix(left.column("v")), k
+            )
+        arrays = [
+            right.column("row").take(pa.array(at)), right.column("id").take(pa.array(at)),
+            left.column("row").take(pa.array(place)), left.column("id").take(pa.array(place)), pa.array(score, pa.int64()),
+        ]
+        return pa.Table.from_arrays(arrays, ["query_row", "query_id", "row", "vec_id", "score"])
 
     keys = ["b", "qb", "dim"]
-    found = (
-        rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(meet, f"query_id {kind}, vec_id {kind}, score long")
-    )
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    made = f"query_row long, query_id {kind}, row long, vec_id {kind}, score long"
+    found = rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(meet, made)
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
+    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

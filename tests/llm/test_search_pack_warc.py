@@ -1,5 +1,6 @@
 """Exact search, packing, revisits and the pipeline."""
 
+import math
 import random
 from collections import defaultdict
 
@@ -7,6 +8,7 @@ import duckdb
 import numpy as np
 import pytest
 from helpers import ODD_TEXTS, documents, shingles
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -20,7 +22,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_results_equal_those_of_sql(spark, name):
     con = duckdb.connect()
-    for table in ("embeddings", "pages"):
+    for table in ("embeddings", "pages", "documents", "conversations"):
         con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     df = QUERIES[name](spark, SF)
     want = con.execute(f"select {', '.join(df.columns)} from ({ORACLES[name]})").fetchall()
@@ -28,13 +30,14 @@ def test_results_equal_those_of_sql(spark, name):
 
 
 def plain_top(rows, k):
-    usable = {i: np.floor(64 * np.array(v, float)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all()}
+    usable = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all()]
     out = []
-    for q in usable:
+    for n, (q, x) in enumerate(usable):
         if q % 20 == 0:
-            scored = sorted((-int(usable[q] @ v), i) for i, v in usable.items() if i != q and len(v) == len(usable[q]))
+            others = [(i, v) for m, (i, v) in enumerate(usable) if m != n and len(v) == len(x)]
+            scored = sorted((-sum(a * b for a, b in zip(x, v)), i) for i, v in others)
             out += [(q, r, i, -s) for r, (s, i) in enumerate(scored[:k], 1)]
-    return out
+    return sorted(out)
 
 
 def search(spark, rows, k):
@@ -50,14 +53,34 @@ def test_search_like_all_pairs(spark, monkeypatch):
     rows += [(300 + i, rows[i % 3][1]) for i in range(60)]  # ties
     rows += [(400, None), (420, [None] * 12), (440, [float("nan")] * 12), (460, [float("inf")] * 12), (480, []), (None, rows[0][1])]
     rows += [(500, [1.0, 2.0]), (501, [3.0, 1.0])]
-    assert sorted(map(tuple, search(spark, rows, 5).collect())) == sorted(plain_top(rows, 5))
+    assert sorted(map(tuple, search(spark, rows, 5).collect())) == plain_top(rows, 5)
+
+
+def test_repeated_rows_are_candidates_of_each_other(spark, monkeypatch):
+    """Queries and candidates repeated, under one id and under several, within and across blocks."""
+    monkeypatch.setattr(va_search, "BLOCK", 10)
+    monkeypatch.setattr(va_search, "QUERY_BLOCK", 3)
+    rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (0, [3.0, 1.0]), (7, [5.0, 5.0]), (7, [5.0, 5.0]), (7, [4.0, 4.0]), (8, [5.0, 5.0])]
+    rows += [(20, [2.0, 2.0])] * 4 + [(i, [0.5, i / 9]) for i in range(21, 50)]
+    for k in (3, 5, 100):
+        assert sorted(map(tuple, search(spark, rows, k).collect())) == plain_top(rows, k)
+
+
+def test_large_vectors_keep_exact_scores(spark, monkeypatch):
+    monkeypatch.setattr(va_search, "BLOCK", 40)
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(np.float32(v)) for v in rng.normal(size=6)]) for i in range(120)]
+    rows += [(200 + i, [float(np.float32(v * 3e6)) for v in rng.normal(size=6)]) for i in range(12)]
+    rows += [(220, [2.0**24, 1.0, 0.0, 0.0, 0.0, 0.0]), (221, [2.0**24, 1.0, 0.0, 0.0, 0.0, 0.0]), (222, [2.0**24, 1.015625, 0.0, 0.0, 0.0, 0.0])]
+    got = sorted(map(tuple, search(spark, rows, 6).collect()))
+    assert got == plain_top(rows, 6) and max(s for *_, s in got) > 1 << 56
 
 
 def test_search_with_few_or_no_rows(spark):
     assert sorted(map(tuple, search(spark, [(0, [1.0]), (1, [2.0]), (2, [-1.0])], 20).collect())) == [(0, 1, 1, 8192), (0, 2, 2, -4096)]
     assert search(spark, [], 20).count() == 0
-    with pytest.raises(ValueError, match="too large"):
-        search(spark, [(0, [1e30]), (1, [1e30])], 2)
+    with pytest.raises(PythonException, match="too large"):
+        search(spark, [(0, [1e30]), (1, [1e30])], 2).collect()
 
 
 def test_most_vectors_are_not_read_exactly(monkeypatch):
@@ -66,7 +89,7 @@ def test_most_vectors_are_not_read_exactly(monkeypatch):
     read = []
     plain = np.lexsort
     monkeypatch.setattr(np, "lexsort", lambda keys: read.append(1) or plain(keys))
-    va_search.search_block(np.array([-1]), x[:1], np.arange(2000), x, 10)
+    va_search.search_block(np.array([-1]), x[:1], np.arange(2000), np.arange(2000), x, 10)
     assert 1 <= len(read) <= 10
 
 
