@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.functions.calendar import fourier_pairs, holiday_calendar, is_holiday_month
 from seriesloom.functions.parsing import parse_date, parse_money
-from seriesloom.models import baselines, gbt_lag, per_series, seasonal_ar, trend_seasonal, window_huber
+from seriesloom.models import baselines, gbt_lag, per_series, seasonal_ar, series_trees, trend_seasonal, window_huber
 from seriesloom.models.frame import FUTURE, PHASES, VALIDATION, phase_frame
 from seriesloom.models.registry import BASELINES, MODELS
 from seriesloom.operators import analysis, cleaning, evaluation, features, panel as panels, sketches
@@ -722,6 +722,19 @@ def forecast_gbt(spark, d):
     return _one_model(gbt_lag.forecast(_frame_once(spark, d), PHASES))
 
 
+@query
+def forecast_gbt_pooled(spark, d):
+    """Forecasts of the pooled trees, one model per phase for all series."""
+    return _one_model(gbt_lag.forecast(_frame_once(spark, d), PHASES, pooled=True))
+
+
+@query
+def series_importance(spark, d):
+    """Share of each feature in the gain of the trees of each series."""
+    made = series_trees.fit(_frame_once(spark, d, (VALIDATION,)), (VALIDATION,))
+    return _round(series_trees.importance(made), 6, "importance")
+
+
 @query
 def feature_importance(spark, d):
     frame = _frame_once(spark, d, (VALIDATION,))

@@ -98,7 +98,7 @@ def as_predictions(
         "phase",
         F.expr("at + 1 as step"),
         months_after("last_date", "at + 1").alias("date"),
-        F.expr("greatest(value, 0D) as yhat"),
+        F.expr("if(error is null, greatest(value, 0D), null) as yhat" if told else "greatest(value, 0D) as yhat"),
         F.expr("try_element_at(actuals, at + 1) as y"),
         *(["error"] if told else []),
     )

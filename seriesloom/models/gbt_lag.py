@@ -1,6 +1,8 @@
-"""Gradient-boosted trees on lag, rolling and calendar features, one pooled model per phase.
+"""Gradient-boosted trees on lag, rolling and calendar features.
 
-Each series is scaled to the range of its fitted rows, so one model serves series of any size.
+``forecast`` grows the trees of every series on its own rows (``series_trees``), or with ``pooled=True`` one MLlib
+model per phase on the rows of all series. The functions below are those of the pooled model: each series is scaled
+to the range of its fitted rows, so one model serves series of any size.
 The recursive forecast keeps the last 13 values of a series as an array and is a chain of
 projections over one row per series: no shuffle, join or lineage cut per step.
 """
@@ -13,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.functions.calendar import months_after
+from seriesloom.models import series_trees
 from seriesloom.models.frame import OF_FIT, Phase, as_predictions, series_rows, skipped
 from seriesloom.operators.features import (
     SCALE_FLOOR,
@@ -104,8 +107,10 @@ def fit_phases(frame: DataFrame, phases: tuple[Phase, ...], **settings) -> list:
     return side_by_side([lambda p=p: fit(frame, p.name, **settings) for p in phases])
 
 
-def forecast(frame: DataFrame, phases: tuple[Phase, ...], **settings) -> DataFrame:
-    """``settings``: ``max_iterations`` and those of ``TREE_SETTINGS``."""
+def forecast(frame: DataFrame, phases: tuple[Phase, ...], pooled: bool = False, **settings) -> DataFrame:
+    """``settings``: those of ``series_trees.Growth``; of the pooled model ``max_iterations`` and ``TREE_SETTINGS``."""
+    if not pooled:
+        return series_trees.predict(series_trees.fit(frame, phases, **settings), NAME)
     models = fit_phases(frame, phases, **settings)
     return union([predict(frame, phase, model) for phase, model in zip(phases, models)])
 
@@ -129,5 +134,7 @@ def skipped_series(frame: DataFrame) -> DataFrame:
     return skipped(frame, NAME, LEAST, "a lag model")
 
 
-def parameters(max_iterations: int = MAX_ITERATIONS, **settings) -> dict[str, str]:
+def parameters(pooled: bool = False, max_iterations: int = MAX_ITERATIONS, **settings) -> dict[str, str]:
+    if not pooled:
+        return series_trees.parameters(max_iterations=max_iterations, **settings)
     return {"max_iterations": str(max_iterations), **{k: str(v) for k, v in (TREE_SETTINGS | settings).items()}}
