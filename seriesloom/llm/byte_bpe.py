@@ -29,6 +29,10 @@ from seriesloom.llm.common import map_texts
 
 #: Entries of one generation of the memo; two generations are kept.
 MEMO_ENTRIES = 600_000
+#: Bytes of one generation, and the longest part that is kept: where words have no spaces, a part is a paragraph.
+MEMO_BYTES, MEMO_PART = 128 << 20, 64
+#: Bytes of an entry beside its text and ids: two objects and a place in the table.
+ENTRY_BYTES = 200
 
 #: A space with white space before it, and white space or the end behind it.
 IRREGULAR = re.compile(r"\s (?:\s|\Z)")
@@ -110,7 +114,7 @@ class PerfectHash:
 class Encoder:
     """Encodes and decodes texts by a rank table; ``pattern`` splits a text into pre-tokens."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memo_entries: int = MEMO_ENTRIES):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo_entries: int = MEMO_ENTRIES, memo_bytes: int = MEMO_BYTES):
         self.whole = PerfectHash(list(ranks), list(ranks.values()))
         self.byte_ids = [ranks[bytes([b])] for b in range(256)]
         self.table = [b""] * (max(ranks.values()) + 1)
@@ -126,7 +130,7 @@ class Encoder:
         #: the same for two bytes, by left byte * 256 + right byte; -1 if they don't merge
         self.two = [ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)]
         self.split = regex.compile(pattern).findall
-        self.memo_entries = memo_entries
+        self.memo_entries, self.memo_bytes, self.held = memo_entries, memo_bytes, 0
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -197,10 +201,12 @@ class Encoder:
             found = young.get(part)
             if found is None:
                 found = self.old.get(part) or self.unit(" " + part)
-                if len(young) >= self.memo_entries:
-                    self.old, self.young = young, {}
-                    young = self.young
-                young[part] = found
+                if len(part) <= MEMO_PART:
+                    if len(young) >= self.memo_entries or self.held >= self.memo_bytes:
+                        self.old, self.young, self.held = young, {}, 0
+                        young = self.young
+                    young[part] = found
+                    self.held += ENTRY_BYTES + 4 * len(part) + len(found)
             parts.append(found)
         return b"".join(parts)
 

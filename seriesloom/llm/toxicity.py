@@ -141,10 +141,22 @@ def matched(text: str, automaton: ahocorasick.Automaton) -> tuple[float, int, li
             harmless.append((start, end))
         elif start not in best or best[start][1] < weight:
             best[start] = (end, weight)
-    hits = [(a, b, w) for a, (b, w) in best.items() if not any(x <= a and b <= y for x, y in harmless)]
+    hits = _outside(best, sorted(harmless))
     return sum(w for _, _, w in hits), len(words), hits
 
 
+def _outside(best: dict[int, tuple[int, float]], harmless: list[tuple[int, int]]) -> list[tuple[int, int, float]]:
+    """Matches that lie in no exception phrase, in order of place; both lists are walked once."""
+    hits, at, reach = [], 0, -1
+    for start, (end, weight) in sorted(best.items()):
+        while at < len(harmless) and harmless[at][0] <= start:
+            reach = max(reach, harmless[at][1])
+            at += 1
+        if end > reach:
+            hits.append((start, end, weight))
+    return hits
+
+
 def _inputs(weight: np.ndarray, words: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(weight)), np.log1p(weight), np.log1p(100 * weight / (words + 20))], axis=1)
 

@@ -97,3 +97,16 @@ def test_longer_texts_dilute_matches(spark):
     rows = [(1, "idiot"), (2, "idiot " + "word " * 500), (3, "word " * 500)]
     scores = {r.doc_id: r.score for r in toxicity.score(documents(spark, rows), toxicity.Lexicon(dict(toxicity.KNOWN))).collect()}
     assert scores[1] > scores[2] > scores[3]
+
+
+def test_exception_phrases_are_walked_once():
+    """The same hits as trying every phrase, also nested and neighbouring ones; 100,000 phrases in one text."""
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        best = {int(a): (int(a + rng.integers(1, 6)), 1.0) for a in rng.integers(0, 60, 12)}
+        harmless = [(int(a), int(a + rng.integers(1, 15))) for a in rng.integers(0, 60, 6)]
+        want = [(a, b, w) for a, (b, w) in sorted(best.items()) if not any(x <= a and b <= y for x, y in harmless)]
+        assert toxicity._outside(best, sorted(harmless)) == want
+    automaton = toxicity.Lexicon({"idiot": 2.0, "stupid": 3.0}).automaton()
+    weight, words, hits = toxicity.matched("idiot stupid mistake " * 100_000, automaton)
+    assert words == 300_000 and len(hits) == 100_000 and weight == 200_000.0

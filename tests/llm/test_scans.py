@@ -210,3 +210,16 @@ def test_neighbouring_notices_are_all_found():
         assert [(h.start, h.end) for h in scan(text)[1] if h.label == "mit" and not h.base] == want, text
     assert [(h.start, h.end) for h in scan(f"releasd undr the mit license x {phrase}")[1] if not h.base] == [(0, 28), (31, 61)]
     assert not scan("released under the mit licensexyzw")[1]
+
+
+def test_memo_of_parts_is_bounded_by_bytes():
+    """Long parts are not kept; short ones only up to the bytes of a generation; ids stay those of the reference library."""
+    encoder = byte_bpe.Encoder(byte_bpe.load_ranks(RANKS), public_tokenizers.PATTERN, memo_bytes=2_000)
+    reference = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.load_ranks(RANKS), special_tokens={})
+    paragraph = "".join(chr(0x4E00 + i * 37 % 5000) for i in range(2_000))
+    text = " ".join([paragraph, "a", paragraph, *(f"w{i}" for i in range(100)), "w1", "a"])
+    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == reference.encode_ordinary(text)
+    assert max(map(len, [*encoder.young, *encoder.old])) <= byte_bpe.MEMO_PART
+    assert len(encoder.young) <= 10 and len(encoder.old) <= 10
+    long = encoder.encode("x" * 10_000_000)
+    assert encoder.decode(long) == b"x" * 10_000_000
