@@ -418,6 +418,17 @@ def oracle_sql() -> dict[str, str]:
         CASE WHEN n < 24 THEN 'fewer than 24 months' WHEN least <= 0 THEN 'a value of 0 or less' END AS reason
       FROM averaged a LEFT JOIN phases p ON p.state = a.state AND p.phase = a.idx % 12 LEFT JOIN levels l ON l.state = a.state""")
     q["df_test"] = _with(DICKEY_FULLER, "SELECT state, n, round(t_stat, 6) AS t_stat, stationary FROM stationarity")
+    q["adf_one_lag"] = _with(DICKEY_FULLER, """
+      , lagged AS (SELECT *, lag(delta) OVER (PARTITION BY state ORDER BY date) AS before FROM (
+          SELECT state, date, total - lag(total) OVER w AS delta, lag(total) OVER w AS level
+          FROM split WHERE split = 'train' WINDOW w AS (PARTITION BY state ORDER BY date))),
+      squares AS (SELECT state, count(*) AS n, regr_sxx(delta, level) AS ll, regr_sxx(delta, before) AS bb, regr_sxy(before, level) AS lb,
+                    regr_sxy(delta, level) AS dl, regr_sxy(delta, before) AS db, regr_syy(delta, level) AS dd
+                  FROM lagged WHERE before IS NOT NULL GROUP BY state),
+      slopes AS (SELECT *, (dl * bb - db * lb) / (ll * bb - lb * lb) AS g, (db * ll - dl * lb) / (ll * bb - lb * lb) AS h FROM squares),
+      ratio AS (SELECT state, n, g / sqrt((dd - g * dl - h * db) / (n - 3) * bb / (ll * bb - lb * lb)) AS t FROM slopes)
+      SELECT state, CAST(n AS BIGINT) AS n, round(t, 4) AS t_stat,
+        t <= -18.83 OR 2.1659 + 1.4412 * t + 0.038269 * t * t < -1.6448536269514722 AS stationary FROM ratio""")
     q["order_candidates"] = _with(DICKEY_FULLER, """
       SELECT s.state, CAST(p.v AS INTEGER) AS p, CASE WHEN stationary THEN 0 ELSE 1 END AS d, CAST(q.v AS INTEGER) AS q,
         CAST(sp.v AS INTEGER) AS sp, CAST(sd.v AS INTEGER) AS sd, CAST(sq.v AS INTEGER) AS sq,

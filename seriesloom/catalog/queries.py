@@ -17,7 +17,7 @@ from seriesloom.functions.parsing import parse_date, parse_money
 from seriesloom.models import baselines, gbt_lag, per_series, seasonal_ar, series_trees, trend_seasonal, window_huber
 from seriesloom.models.frame import FUTURE, PHASES, VALIDATION, phase_frame
 from seriesloom.models.registry import BASELINES, MODELS
-from seriesloom.operators import analysis, cleaning, evaluation, features, panel as panels, sketches
+from seriesloom.operators import analysis, cleaning, evaluation, features, panel as panels, sketches, stationarity
 from seriesloom.plans import competition, records as rec, serving, stepwise
 from seriesloom.session import materialize, scratch_path
 from seriesloom.sources import panel_store
@@ -393,6 +393,19 @@ def seasonal_decompose(spark, d):
     return _round(analysis.seasonal_decompose(_panel(spark, d)), 6, "total", "trend", "seasonal", "residual")
 
 
+@query
+def adf_test(spark, d):
+    """Augmented test with the lags that AIC chooses."""
+    return _round(stationarity.adf_test(panels.part(_split(spark, d), "train")), 6, "t_stat", "p_value")
+
+
+@query
+def adf_one_lag(spark, d):
+    """Augmented test with one lagged difference."""
+    made = stationarity.adf_test(panels.part(_split(spark, d), "train"), lags=1)
+    return _round(made.select("state", "n", "t_stat", "stationary"), 4, "t_stat")
+
+
 @query
 def df_test(spark, d):
     return _round(analysis.df_test(panels.part(_split(spark, d), "train")), 6, "t_stat")

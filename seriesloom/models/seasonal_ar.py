@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from seriesloom.models.frame import FIT_ORDER, KEYS, OF_FIT, as_predictions, series_rows, skipped
 from seriesloom.models.least_squares import OUTCOMES, design_rows, dot, once, ridge_coefficients, score_candidates
 from seriesloom.operators.analysis import CRITICAL, dickey_fuller_statistic
+from seriesloom.operators.stationarity import adf_test
 
 NAME = "seasonal_ar"
 SEASON = 12
@@ -95,8 +96,12 @@ def order_candidates(tested: DataFrame) -> DataFrame:
     return tested.selectExpr("state", "if(stationary, 0, 1) as d", f"inline({orders})")
 
 
-def _differenced(frame: DataFrame) -> DataFrame:
+def _differenced(frame: DataFrame, augmented: bool = False) -> DataFrame:
     """Series relative to their mean, with the order ``d`` of the stationarity test, and differences."""
+    decided = f"_t < {CRITICAL.format('_n')}"
+    if augmented:
+        tests = adf_test(frame.filter("fit"), keys=tuple(KEYS)).select(*KEYS, F.col("stationary").alias("_stationary"))
+        frame, decided = frame.join(tests, KEYS, "left"), "_stationary"
     rows = frame.withColumn("_level", F.expr(f"if(fit, lag(total) over ({FIT_ORDER}), null)"))
     statistic, n = dickey_fuller_statistic("if(fit, total - _level, null)", "_level", OF_FIT)
     rows = rows.selectExpr(
@@ -105,7 +110,7 @@ def _differenced(frame: DataFrame) -> DataFrame:
         f"{n} as _n",
         f"greatest(avg(if(fit, abs(total), null)) over ({OF_FIT}), 1e-9D) as scale",
     )
-    rows = rows.selectExpr("*", f"if(coalesce(_t < {CRITICAL.format('_n')}, false), 0, 1) as d", "total / scale as v")
+    rows = rows.selectExpr("*", f"if(coalesce({decided}, false), 0, 1) as d", "total / scale as v")
     level = f"if(d = 1, v - lag(v) over ({FIT_ORDER}), v)"
     rows = rows.selectExpr("*", f"{level} as w_level", f"{level} as w_plain")
     rows = rows.withColumn("w_seasonal", F.expr(f"w_level - lag(w_level, {SEASON}) over ({FIT_ORDER})"))
@@ -115,7 +120,7 @@ def _differenced(frame: DataFrame) -> DataFrame:
         for v in VARIANTS
         for k in sorted({*v.lags, *v.long_lags})
     ]
-    return rows.selectExpr("*", *lags).drop("_level", "_t", "_n", "v")
+    return rows.selectExpr("*", *lags).drop("_level", "_t", "_n", "v", "_stationary")
 
 
 def _long_design(v: Variant) -> list[str]:
@@ -190,13 +195,13 @@ def _scored(v: Variant) -> str:
         cast(nanvl(get(s, 1), 0D) as int) as outcome))"""
 
 
-def candidate_scores(frame: DataFrame, bounded: bool = False) -> DataFrame:
+def candidate_scores(frame: DataFrame, bounded: bool = False, augmented: bool = False) -> DataFrame:
     """One row per series and phase with every scored candidate and the recent values to forecast from.
 
     Candidates of a series are compared on the rows that all of them can use; those that need more rows
     than the series has are not among them (``order_scores`` lists them with the reason).
     """
-    rows = _with_residuals(_differenced(frame))
+    rows = _with_residuals(_differenced(frame, augmented))
     memory = {"total": SEASON + 2}
     for v in VARIANTS:
         memory[f"w_{v.name}"] = SEASON
@@ -213,13 +218,15 @@ def candidate_scores(frame: DataFrame, bounded: bool = False) -> DataFrame:
     return made.withColumn("candidates", F.expr(f"case {cases} end")).drop(*dropped, "start")
 
 
-def fit(frame: DataFrame, bounded: bool = False, keep_failed: bool = False) -> DataFrame:
+def fit(frame: DataFrame, bounded: bool = False, keep_failed: bool = False, augmented: bool = False) -> DataFrame:
     """The lowest AIC per series and phase; a candidate that cannot be fitted takes no part.
 
+    ``augmented`` takes the order of differencing from the augmented test instead of the plain one.
+
     With ``keep_failed``, series without any candidate stay, with the reason as ``error``.
     """
     best = F.expr("array_min(filter(candidates, c -> c.aic is not null))")
-    scored = candidate_scores(frame, bounded).withColumn("best", best)
+    scored = candidate_scores(frame, bounded, augmented).withColumn("best", best)
     counted = ", ".join(
         f"nullif(concat(size(filter(candidates, c -> c.outcome = {i})), ' {text}'), '0 {text}')" for i, text in enumerate(OUTCOMES) if text
     )
@@ -231,9 +238,9 @@ def fit(frame: DataFrame, bounded: bool = False, keep_failed: bool = False) -> D
 ORDER = ("p", "q", "sp", "sd", "sq")
 
 
-def order_search(frame: DataFrame, bounded: bool = False) -> DataFrame:
+def order_search(frame: DataFrame, bounded: bool = False, augmented: bool = False) -> DataFrame:
     order = [f"best.`order`.{name} as {name}" for name in ORDER]
-    return fit(frame, bounded).selectExpr(*KEYS, "d", *order, f"{SEASON} as season", "best.aic as aic")
+    return fit(frame, bounded, augmented=augmented).selectExpr(*KEYS, "d", *order, f"{SEASON} as season", "best.aic as aic")
 
 
 def order_scores(frame: DataFrame, bounded: bool = False) -> DataFrame:
@@ -274,7 +281,7 @@ def _path(v: Variant) -> str:
 
 
 def forecast(frame: DataFrame, **settings) -> DataFrame:
-    """``settings``: ``bounded`` leaves out explosive candidates."""
+    """``settings``: ``bounded`` leaves out explosive candidates, ``augmented`` differences by the augmented test."""
     return predict(fit(frame, keep_failed=True, **settings))
 
 
@@ -294,7 +301,7 @@ def fitted_values(frame: DataFrame, **settings) -> DataFrame:
         first = f"d + {v.lost} + greatest(best.`order`.p, {SEASON} * best.`order`.sp)"
         value = f"total - (w_{v.name} - {dot('best.coef', known)}) * scale"
         cases.append(f"when best.variant = '{v.name}' and fit and at >= {first} then {value}")
-    rows = _with_residuals(_differenced(frame)).join(best, KEYS)
+    rows = _with_residuals(_differenced(frame, settings.get("augmented", False))).join(best, KEYS)
     inside = rows.withColumn("fitted", F.expr(f"case {' '.join(cases)} end")).filter("fitted is not null")
     return inside.selectExpr("state", f"'{NAME}' as model", "phase", "date", "total", "fitted")
 
@@ -303,5 +310,6 @@ def skipped_series(frame: DataFrame) -> DataFrame:
     return skipped(frame, NAME, LEAST, "an order search")
 
 
-def parameters(bounded: bool = False) -> dict[str, str]:
-    return {"candidates": str(len(CANDIDATES)), "season": str(SEASON), "bounded": str(bounded).lower()}
+def parameters(bounded: bool = False, augmented: bool = False) -> dict[str, str]:
+    flags = {"bounded": str(bounded).lower(), "augmented": str(augmented).lower()}
+    return {"candidates": str(len(CANDIDATES)), "season": str(SEASON), **flags}
