@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.functions.calendar import fourier_pairs, holiday_calendar, is_holiday_month
 from seriesloom.functions.parsing import parse_date, parse_money
-from seriesloom.models import baselines, gbt_lag, per_series, seasonal_ar, series_trees, trend_seasonal, window_huber
+from seriesloom.models import baselines, gbt_lag, per_series, seasonal_ar, seasonal_product, series_trees, trend_seasonal, window_huber
 from seriesloom.models.frame import FUTURE, PHASES, VALIDATION, phase_frame
 from seriesloom.models.registry import BASELINES, MODELS
 from seriesloom.operators import analysis, cleaning, evaluation, features, panel as panels, sketches, stationarity
@@ -707,6 +707,19 @@ def forecast_seasonal_ar(spark, d):
     return _one_model(seasonal_ar.forecast(phase_frame(_panel(spark, d))))
 
 
+@query
+def forecast_seasonal_product(spark, d):
+    """Forecasts of the order chosen among products of lag polynomials."""
+    return _one_model(seasonal_product.forecast(phase_frame(_panel(spark, d))))
+
+
+@query
+def product_order_scores(spark, d):
+    """All 72 products of lag polynomials per series: sums of squares before and after the steps, AIC or reason."""
+    made = seasonal_product.order_scores(phase_frame(_panel(spark, d), (FUTURE,)))
+    return _round(made, 4, "start_sse", "sse", "aic")
+
+
 @query
 def order_search(spark, d):
     return _round(seasonal_ar.order_search(phase_frame(_panel(spark, d))), 4, "aic")

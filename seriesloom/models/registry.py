@@ -10,14 +10,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesloom.models import baselines, gbt_lag, seasonal_ar, trend_seasonal, window_huber
+from seriesloom.models import baselines, gbt_lag, seasonal_ar, seasonal_product, trend_seasonal, window_huber
 from seriesloom.models.frame import PHASES, Phase, phase_frame
 
 Model = Callable[..., DataFrame]
 Settings = dict[str, dict]
 
+
+def _seasonal(frame: DataFrame, phases: tuple[Phase, ...], product: bool = False, **settings) -> DataFrame:
+    """With ``product``, lag polynomials are multiplied and fitted by Gauss-Newton instead of the two-stage estimate."""
+    return (seasonal_product if product else seasonal_ar).forecast(frame, **settings)
+
+
+def _seasonal_parameters(product: bool = False, **settings) -> dict[str, str]:
+    return (seasonal_product if product else seasonal_ar).parameters(**settings)
+
+
 MODELS: dict[str, Model] = {
-    seasonal_ar.NAME: lambda frame, phases, **settings: seasonal_ar.forecast(frame, **settings),
+    seasonal_ar.NAME: _seasonal,
     trend_seasonal.NAME: lambda frame, phases, **settings: trend_seasonal.forecast(frame, **settings),
     gbt_lag.NAME: gbt_lag.forecast,
     window_huber.NAME: window_huber.forecast,
@@ -35,7 +45,7 @@ SKIPPED = {
 }
 
 PARAMETERS = {
-    seasonal_ar.NAME: seasonal_ar.parameters,
+    seasonal_ar.NAME: _seasonal_parameters,
     trend_seasonal.NAME: trend_seasonal.parameters,
     gbt_lag.NAME: gbt_lag.parameters,
     window_huber.NAME: window_huber.parameters,

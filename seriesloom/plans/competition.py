@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.models import gbt_lag, seasonal_ar, trend_seasonal, window_huber
+from seriesloom.models import gbt_lag, seasonal_ar, seasonal_product, trend_seasonal, window_huber
 from seriesloom.models.frame import FUTURE, PHASES, Phase, phase_frame
 from seriesloom.models.registry import MODELS, SKIPPED, Settings
 from seriesloom.operators.panel import train_val_split, trainable
@@ -133,7 +133,9 @@ def save_fits(panel: DataFrame, path: str, settings: Settings | None = None) ->
     """Fit on all data and keep the fitted models: tables for per-series fits, model folders for pooled ones."""
     of = lambda model: (settings or {}).get(model.NAME, {})
     frame = materialize(phase_frame(panel, (FUTURE,)))
-    write_coefficients(seasonal_ar.fit(frame, **of(seasonal_ar)), f"{path}/{seasonal_ar.NAME}")
+    seasonal = {k: v for k, v in of(seasonal_ar).items() if k != "product"}
+    made = (seasonal_product if of(seasonal_ar).get("product") else seasonal_ar).fit(frame, **seasonal)
+    write_coefficients(made, f"{path}/{seasonal_ar.NAME}")
     write_coefficients(trend_seasonal.fit(frame, **of(trend_seasonal)), f"{path}/{trend_seasonal.NAME}")
     gbt_lag.save(gbt_lag.fit(frame, FUTURE.name, **of(gbt_lag)), f"{path}/{gbt_lag.NAME}")
     for _, model in window_huber.fit_groups(frame, (FUTURE,), **of(window_huber)):
