@@ -383,6 +383,9 @@ def oracle_sql() -> dict[str, str]:
               last_day(CAST(date_trunc('month', max(date)) + INTERVAL 1 MONTH AS DATE)) AS date, {_next_cells()}
             FROM placed GROUP BY state)""")
     q["holiday_calendar"] = _with(HOLIDAYS, "SELECT date, name FROM calendar_days")
+    q["holiday_day_counts"] = _with(HOLIDAYS + "," + PANEL, """
+      SELECT p.date, replace(c.name, ' (observed)', '') AS holiday, CAST(count(*) AS INTEGER) AS days
+      FROM (SELECT DISTINCT date FROM panel) p JOIN calendar_days c ON last_day(c.date) = p.date GROUP BY 1, 2""")
     q["holiday_month"] = _with(HOLIDAYS + "," + MONTHLY, """
       SELECT m.state, m.date, CAST(m.date IN (SELECT last_day(date) FROM calendar_days) AS INTEGER) AS holiday_month
       FROM monthly m""")

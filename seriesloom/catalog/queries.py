@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.functions.calendar import fourier_pairs, holiday_calendar, is_holiday_month
+from seriesloom.functions.calendar import fourier_pairs, holiday_calendar, holiday_days, is_holiday_month
 from seriesloom.functions.parsing import parse_date, parse_money
 from seriesloom.models import baselines, gbt_lag, per_series, seasonal_ar, seasonal_product, series_trees, trend_seasonal, window_huber
 from seriesloom.models.frame import FUTURE, PHASES, VALIDATION, phase_frame
@@ -730,6 +730,31 @@ def forecast_trend_seasonal(spark, d):
     return _one_model(trend_seasonal.forecast(phase_frame(_panel(spark, d))))
 
 
+@query
+def forecast_trend_sparse(spark, d):
+    """Forecasts with sparse change points and one column per holiday."""
+    return _one_model(trend_seasonal.forecast(phase_frame(_panel(spark, d)), sparse=True, named_holidays=True))
+
+
+@query
+def trend_changes(spark, d):
+    """Months in which the trend of a state changes."""
+    return _round(trend_seasonal.trend_changes(phase_frame(_panel(spark, d))), 8, "slope_change")
+
+
+@query
+def holiday_effects(spark, d):
+    return _round(trend_seasonal.holiday_effects(phase_frame(_panel(spark, d), (FUTURE,)), sparse=True), 8, "effect")
+
+
+@query
+def holiday_day_counts(spark, d):
+    """Days of each holiday per month of the panel."""
+    months = _panel(spark, d).select("date").distinct()
+    named = [F.struct(F.lit(name).alias("holiday"), days.alias("days")) for name, days in holiday_days("date").items()]
+    return months.select("date", F.inline(F.array(*named))).filter("days > 0")
+
+
 @query
 def forecast_components(spark, d):
     return trend_seasonal.components(phase_frame(_panel(spark, d), (FUTURE,)))

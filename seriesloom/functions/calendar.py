@@ -110,3 +110,22 @@ def is_holiday_month(date: str) -> Column:
     """
     tests = " ".join(f"when {month} then year({date}) >= {since}" for month, since in sorted(_first_years().items()))
     return F.expr(f"cast(case month({date}) {tests} else false end as int)")
+
+
+HOLIDAY_NAMES = [name for _, name, *_ in [*FIXED_HOLIDAYS, *WEEKDAY_HOLIDAYS]]
+
+
+def holiday_days(date: str) -> dict[str, Column]:
+    """Days of each holiday in the month of ``date``, by name, kept-on weekdays included; no join."""
+    days: dict[str, Column] = {}
+    year = f"year({date})"
+    for since, name, month, day in FIXED_HOLIDAYS:
+        own = f"make_date({year}, {month}, {day})"
+        kept = f"date_add({own}, case weekday({own}) when 5 then -1 when 6 then 1 end)"
+        count = f"if(month({date}) = {month} and {year} >= {since}, 1 + cast(coalesce(month({kept}) = {month}, false) as int), 0)"
+        if (month, day) == (1, 1):
+            count += f" + if(month({date}) = 12 and weekday(make_date({year} + 1, 1, 1)) = 5, 1, 0)"
+        days[name] = F.expr(count)
+    for since, name, month, *_ in WEEKDAY_HOLIDAYS:
+        days[name] = F.expr(f"if(month({date}) = {month} and {year} >= {since}, 1, 0)")
+    return days
