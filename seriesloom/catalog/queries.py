@@ -18,7 +18,7 @@ from seriesloom.models import baselines, gbt_lag, per_series, seasonal_ar, seaso
 from seriesloom.models.frame import FUTURE, PHASES, VALIDATION, phase_frame
 from seriesloom.models.registry import BASELINES, MODELS
 from seriesloom.operators import analysis, cleaning, evaluation, features, panel as panels, sketches, stationarity
-from seriesloom.plans import competition, records as rec, serving, stepwise
+from seriesloom.plans import competition, records as rec, serving, stepwise, winners
 from seriesloom.session import materialize, scratch_path
 from seriesloom.sources import panel_store
 from seriesloom.sources import sales as src
@@ -797,6 +797,29 @@ def forecast_window_huber(spark, d):
     return _one_model(window_huber.forecast(_frame_once(spark, d), PHASES))
 
 
+@query
+def penalty_path(spark, d):
+    """Error on the inner hold-out for every penalty of the pooled regression."""
+    return _round(window_huber.penalty_path(_frame_once(spark, d, (VALIDATION,)), (VALIDATION,)), 6, "error")
+
+
+@query
+def stored_winners(spark, d):
+    """Forecasts out of a table of the winning fits, without fitting: the same as ``best_forecast``."""
+    panel, path = materialize(_panel(spark, d)), scratch_path(spark, "winners")
+    records = rec.forecast_records(baselines.baseline_predictions(phase_frame(panel)), BASELINES)
+    winners.store_winners(panel, records, path)
+    return _round(winners.forecast_from_store(spark, path), 4, "value")
+
+
+@query
+def winner_parameters(spark, d):
+    """Parameters of the winner of every state among all models."""
+    panel, path = materialize(_panel(spark, d)), scratch_path(spark, "winners")
+    winners.store_winners(panel, competition.compete(panel, list(MODELS)).records, path)
+    return winners.read_winners(spark, path).select("state", "model", F.explode("params").alias("name", "setting"))
+
+
 @query
 def full_competition(spark, d):
     """All models on all series: the winner and its first forecasts per state."""

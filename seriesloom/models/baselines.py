@@ -22,14 +22,32 @@ def _line() -> list[Column]:
     return [F.expr(f"regr_slope({fitted}, {at}) as slope"), F.expr(f"regr_intercept({fitted}, {at}) as intercept")]
 
 
+def naive_fits(frame: DataFrame) -> DataFrame:
+    """One row per series with its last year."""
+    return series_rows(frame, {"total": SEASON})
+
+
+def predict_naive(fits: DataFrame) -> DataFrame:
+    return as_predictions(fits, SEASONAL_NAIVE, F.expr(REPEAT_SEASON))
+
+
 def seasonal_naive(frame: DataFrame) -> DataFrame:
     """The value of the same month one year earlier; needs one full year."""
-    return as_predictions(series_rows(frame, {"total": SEASON}), SEASONAL_NAIVE, F.expr(REPEAT_SEASON))
+    return predict_naive(naive_fits(frame))
+
+
+def line_fits(frame: DataFrame) -> DataFrame:
+    """One row per series with its slope and intercept."""
+    return series_rows(frame, {}, *_line())
+
+
+def predict_line(fits: DataFrame) -> DataFrame:
+    return as_predictions(fits, LINEAR_TREND, F.expr(EXTEND_LINE))
 
 
 def linear_trend(frame: DataFrame) -> DataFrame:
     """Least-squares line over the position in the series."""
-    return as_predictions(series_rows(frame, {}, *_line()), LINEAR_TREND, F.expr(EXTEND_LINE))
+    return predict_line(line_fits(frame))
 
 
 def baseline_predictions(frame: DataFrame) -> DataFrame:

@@ -284,7 +284,8 @@ def _path() -> str:
 
 def predict(fits: DataFrame) -> DataFrame:
     """Forecasts out of a table of fits, fresh or stored."""
-    return as_predictions(fits, NAME, F.expr(f"if(best is null, null, {_path()})"), F.col("error"))
+    error = F.col("error") if "error" in fits.columns else None
+    return as_predictions(fits, NAME, F.expr(f"if(best is null, null, {_path()})"), error)
 
 
 def forecast(frame: DataFrame, bounded: bool = False) -> DataFrame:
