@@ -135,13 +135,14 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those pairs (hub, id) whose full sets (id, shingles) are similar enough, as links (a, b).
+    """Those pairs (hub, id, size) whose full sets (id, shingles) are similar enough, as links (a, b).
 
-    Members of a hub are dealt into lots; the hub's set goes to each of its lots.
+    Members of a hub are dealt into lots; the hub's set goes to each of its lots. The number of lots comes from the
+    size of the bucket that the pair was found in, so no row has to meet its hub to learn it: a bucket gives a lot about
+    ``LOT`` members, and a hub has at most as many buckets as there are bands.
     """
-    sizes = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n"))
-    lot = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / LOT))
-    dealt = pairs.join(sizes, "hub").select("hub", lot.alias("lot"), "id")
+    lot = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / LOT))
+    dealt = pairs.select("hub", lot.alias("lot"), "id")
     sets = sets.select("id", "shingles")
     members = dealt.join(sets, "id").select("hub", "lot", F.lit(1).alias("role"), "id", "shingles")
     hubs = dealt.select("hub", "lot", F.col("hub").alias("id")).distinct().join(sets, "id")
@@ -152,15 +153,18 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _pairs(members: DataFrame, others: DataFrame) -> DataFrame:
-    """Distinct pairs (hub, id) that share a bucket and whose set sizes fit: members (key, id, n), others (key, hub, m)."""
+    """Distinct pairs (hub, id) that share a bucket and whose set sizes fit, with the size of the largest such bucket.
+
+    members (key, id, n, size), others (key, hub, m).
+    """
     fits = f"id <> hub and 100 * least(m, n) >= {SHARE} * greatest(m, n)"
-    return members.join(others, "key").filter(fits).select("hub", "id").distinct()
+    return members.join(others, "key").filter(fits).groupBy("hub", "id").agg(F.max("size").alias("size"))
 
 
 def _with_pivots(shared: DataFrame) -> DataFrame:
     """Pairs of every node of a bucket with the bucket's pivot, its node of least hash."""
     pivots = shared.filter(F.xxhash64("id") == F.col("low")).select("key", F.col("id").alias("hub"), F.col("n").alias("m"))
-    return _pairs(shared.select("key", "id", "n"), pivots)
+    return _pairs(shared.select("key", "id", "n", "size"), pivots)
 
 
 def _mixed(shared: DataFrame, group: DataFrame) -> DataFrame:
