@@ -534,7 +534,6 @@ def oracle_sql() -> dict[str, str]:
       SELECT state, 'rising_only' AS model, phase, 'ValueError: fell over ' || n || ' months' AS reason FROM fitted WHERE newest < oldest""")
     q["stepwise_commit"] = q["best_forecast"]
     q["stored_winners"] = q["best_forecast"]
-    # exact while a group has few distinct values, as here at small scale; beyond, the sketch is an estimate
     q["distinct_sketches"] = """
       SELECT n_name AS state, CAST(year(o_orderdate) AS INTEGER) AS year, count(DISTINCT o_custkey) AS n_distinct
       FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL"""

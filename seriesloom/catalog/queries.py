@@ -151,9 +151,9 @@ def quality_observed(spark, d):
 
 @query
 def distinct_sketches(spark, d):
-    """Distinct customers per state and year, out of sketches that were made per month and united."""
-    months = sketches.monthly_sketches(src.customer_sales(spark, d), "customer")
-    return sketches.united(months, ["state", F.year("date").alias("year")])
+    """Distinct customers per state and year, exact, out of the customers of each month."""
+    months = sketches.monthly_values(src.customer_sales(spark, d), "customer")
+    return sketches.counted(months, ["state", F.year("date").alias("year")])
 
 
 @query

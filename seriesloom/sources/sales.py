@@ -50,12 +50,15 @@ def customer_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def customer_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(state, date, customer)`` per order, joined like ``sales_observations``."""
+    """``(state, date, customer)`` per customer and day with an order, joined like ``sales_observations``.
+
+    Orders of a day are made one row in every task before the shuffle, so a customer with a large share of all orders
+    brings as many rows to the join as there are days.
+    """
     orders, customer, nation = (table(spark, sf_dir, name) for name in ("orders", "customer", "nation"))
     homes = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
-    return orders.join(homes, F.col("o_custkey") == F.col("c_custkey")).select(
-        F.col("n_name").alias("state"), F.to_date("o_orderdate").alias("date"), F.col("o_custkey").alias("customer")
-    )
+    days = orders.select(F.col("o_custkey").alias("customer"), F.to_date("o_orderdate").alias("date")).distinct()
+    return days.join(homes, F.col("customer") == F.col("c_custkey")).select(F.col("n_name").alias("state"), "date", "customer")
 
 
 def untidy_observations(spark: SparkSession, sf_dir: str) -> DataFrame:

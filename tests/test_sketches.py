@@ -1,8 +1,11 @@
 """Sketches that unite, and counts that are taken while rows are written."""
 
+import duckdb
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry_points
 from seriesloom.operators import cleaning, sketches
+from seriesloom.sources import sales as src
 
 
 def sold(spark, n):
@@ -35,6 +38,41 @@ def test_small_counts_are_exact_and_nulls_do_not_count(spark):
     assert sketches.monthly_sketches(rows.limit(0), "customer").count() == 0
 
 
+def test_merged_values_count_like_all_rows(spark):
+    """Months that come in two pieces, one month in both; NULL values, dates and states as SQL groups and counts them."""
+    rows = sold(spark, 60_000).unionByName(spark.createDataFrame(
+        [("s0", None, 7), ("s0", None, 7), (None, "2020-03-05", 8), ("s9", "2020-03-05", None)], "state string, date string, customer long",
+    ).withColumn("date", F.to_date("date")))
+    late = F.coalesce(F.col("date") >= "2020-11-15", F.lit(False))
+    early, late = (sketches.monthly_values(rows.filter(part), "customer") for part in (~late, late))
+    by = ["state", F.year("date").alias("year")]
+    got = {tuple(r) for r in sketches.counted(sketches.merged_values(early, late), by).collect()}
+    assert got == {tuple(r) for r in rows.groupBy(*by).agg(F.countDistinct("customer")).collect()}
+    assert {("s0", None, 1), (None, 2020, 1), ("s9", 2020, 0)} <= got and max(n for *_, n in got) > 5000
+    assert sketches.merged_values(early, early).count() == early.count()
+
+
+def test_query_counts_large_groups_like_its_sql(spark, tmp_path):
+    """Thousands of customers in a state and year, where a sketch would only estimate; some orders have no date, and a third
+    are of one customer, who comes once a day to the join."""
+    tables = {
+        "nation": spark.range(2).selectExpr("cast(id as int) as n_nationkey", "concat('n', id) as n_name", "0 as n_regionkey"),
+        "customer": spark.range(9000).selectExpr("id as c_custkey", "cast(id % 2 as int) as c_nationkey"),
+        "orders": spark.range(40_000).selectExpr(
+            "id as o_orderkey", "if(id % 3 = 0, 7, pmod(xxhash64(id), 9000)) as o_custkey", "1.0D as o_totalprice",
+            "if(id % 1000 = 0, null, cast(date_add(date'2020-01-01', cast(id % 700 as int)) as timestamp_ntz)) as o_orderdate",
+        ),
+    }
+    con = duckdb.connect()
+    for name, table in tables.items():
+        table.write.parquet(str(tmp_path / f"{name}.parquet"))
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    want = con.execute(entry_points.oracle_sql()["distinct_sketches"]).fetchall()
+    got = entry_points.queries()["distinct_sketches"](spark, str(tmp_path)).select("state", "year", "n_distinct")
+    assert {tuple(r) for r in got.collect()} == set(want) and len(want) == 6
+    assert src.customer_sales(spark, str(tmp_path)).filter("customer = 7").count() == 701
+
+
 def test_counts_of_the_written_pass_equal_the_report(spark, tmp_path):
     rows = [
         (1, "A", "2020-01-05", "10"), (2, "A", "2020-01-05", "11"), (3, "A", "nothing", "12"), (4, "B", "1/12/2019", "n/a"),
