@@ -142,9 +142,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
     block = F.pmod(F.xxhash64("row"), F.lit(blocks))
     query_block = F.pmod(F.xxhash64("row", F.lit(1)), F.lit(query_blocks))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    columns = ["id", "row", "dim", "v"]
-    rows = vectors.select(*columns, block.cast("int").alias("b")).withColumn("qb", every(query_blocks))
-    asked = vectors.filter(is_query).select(*columns, query_block.cast("int").alias("qb")).withColumn("b", every(blocks))
+    rows = vectors.select("id", "row", "dim", "v", block.cast("int").alias("b")).withColumn("qb", every(query_blocks))
+    # columns of their own: a cogroup whose sides share columns loses those of the right side when its result is projected
+    own = [F.col(name).alias(f"query_{name}") for name in ("id", "row", "dim", "v")]
+    asked = vectors.filter(is_query).select(*own, query_block.cast("int").alias("qb")).withColumn("b", every(blocks))
     kind = vectors.schema["id"].dataType.simpleString()
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -152,17 +153,16 @@ def top_k(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
         if left.num_rows and right.num_rows:
             names, numbers = left.column("id").to_numpy(), left.column("row").to_numpy()
             at, place, score = search_block(
-                right.column("row").to_numpy(), _matrix(right.column("v")), numbers, names, _matrix(left.column("v")), k
+                right.column("query_row").to_numpy(), _matrix(right.column("query_v")), numbers, names, _matrix(left.column("v")), k
             )
         arrays = [
-            right.column("row").take(pa.array(at)), right.column("id").take(pa.array(at)),
+            right.column("query_row").take(pa.array(at)), right.column("query_id").take(pa.array(at)),
             left.column("row").take(pa.array(place)), left.column("id").take(pa.array(place)), pa.array(score, pa.int64()),
         ]
         return pa.Table.from_arrays(arrays, ["query_row", "query_id", "row", "vec_id", "score"])
 
-    keys = ["b", "qb", "dim"]
     made = f"query_row long, query_id {kind}, row long, vec_id {kind}, score long"
-    found = rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(meet, made)
+    found = rows.groupBy("b", "qb", "dim").cogroup(asked.groupBy("b", "qb", "query_dim")).applyInArrow(meet, made)
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -56,6 +56,15 @@ def test_search_like_all_pairs(spark, monkeypatch):
     assert sorted(map(tuple, search(spark, rows, 5).collect())) == plain_top(rows, 5)
 
 
+def test_search_can_be_counted_and_projected(spark):
+    rows = [(i, [1.0 + i % 7, 2.0 - i % 5]) for i in range(41)] + [(60, [1.0])]
+    found, want = search(spark, rows, 5), plain_top(rows, 5)
+    assert found.count() == len(want) == 15
+    for column in found.columns:
+        at = found.columns.index(column)
+        assert sorted(r[0] for r in found.select(column).collect()) == sorted(r[at] for r in want)
+
+
 def test_repeated_rows_are_candidates_of_each_other(spark, monkeypatch):
     """Queries and candidates repeated, under one id and under several, within and across blocks."""
     monkeypatch.setattr(va_search, "BLOCK", 10)
